@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-_MODULES = ("scalars", "telemetry", "gates", "timeline")
+_MODULES = ("sessions", "scalars", "telemetry", "gates", "timeline")
 
 
 

@@ -9,7 +9,7 @@ from reelspark.catalog import bindings as b
 from reelspark.functions import formats, identity, levels, samples, storage
 
 C = F.col
-RATE = F.lit(48000)
+RATE = 48000
 
 MS = "CASE WHEN {n} > 0 THEN floor({n} / 48000 * 1000 + 0.5)::BIGINT ELSE 0 END"
 
@@ -25,7 +25,7 @@ KEYS = ["session_id", "item_id", "attempt_id", "start_sample", "end_sample"]
 @query("f1_samples_to_ms", b.with_tables("takes", f"""
   SELECT {TAKE_KEY}, {ms("(end_sample - start_sample)")} AS ms FROM takes"""))
 def f1(spark, sf):
-    return b.takes(spark, sf).select(*KEYS, samples.samples_to_ms(C("end_sample") - C("start_sample"), RATE).alias("ms"))
+    return b.takes(spark, sf).select(*KEYS, samples.samples_to_ms(C("end_sample") - C("start_sample"), F.lit(RATE)).alias("ms"))
 
 
 @query("f2_format_durations", b.with_tables("telemetry", """
@@ -39,7 +39,7 @@ def f2(spark, sf):
     w = C("committed_samples") - 3000
     return t.select("session_id", "seq", samples.format_ms(w / F.lit(48.0)).alias("ms_text"),
                     samples.format_wait_seconds(w).alias("wait_text"),
-                    samples.format_duration(C("captured_samples"), RATE).alias("clock"))
+                    samples.format_duration(C("captured_samples"), F.lit(RATE)).alias("clock"))
 
 
 @query("f3_dbfs", b.with_tables("telemetry", """
@@ -86,7 +86,7 @@ def f6(spark, sf):
 @query("f7_head_silence_ms", b.with_tables("takes", f"""
   SELECT {TAKE_KEY}, CASE WHEN content_started_sample > 0 THEN {ms("greatest(0, content_started_sample - start_sample)")} END AS head_ms FROM takes"""))
 def f7(spark, sf):
-    return b.takes(spark, sf).select(*KEYS, samples.head_silence_ms(C("start_sample"), C("content_started_sample"), RATE).alias("head_ms"))
+    return b.takes(spark, sf).select(*KEYS, samples.head_silence_ms(C("start_sample"), C("content_started_sample"), F.lit(RATE)).alias("head_ms"))
 
 
 @query("f8_pad_status", b.with_tables("takes", f"""
@@ -94,7 +94,7 @@ def f7(spark, sf):
   SELECT {TAKE_KEY}, CASE WHEN tail_ms IS NULL THEN 'unknown' WHEN tail_ms < 500 THEN 'short' ELSE 'met' END AS tail_status FROM x"""))
 def f8(spark, sf):
     t = b.takes(spark, sf)
-    tail = F.when(C("tail_silence_samples").isNotNull(), samples.samples_to_ms(C("tail_silence_samples"), RATE))
+    tail = F.when(C("tail_silence_samples").isNotNull(), samples.samples_to_ms(C("tail_silence_samples"), F.lit(RATE)))
     return t.select(*KEYS, samples.pad_status(tail, F.lit(500)).alias("tail_status"))
 
 

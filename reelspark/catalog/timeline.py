@@ -44,7 +44,7 @@ def j1(spark, sf):
 
 
 @query("j1_take_coverage", b.with_tables("takes", SEGMENTS + f""",
-  j AS (SELECT t.session_id, t.item_id, t.pos, count(segment_index) AS parts, coalesce(sum(least(end_sample, global_start_frame + frames) - greatest(start_sample, global_start_frame)), 0)::BIGINT AS mapped_frames
+  j AS (SELECT t.session_id, t.item_id, t.pos, count(segment_index) AS parts, coalesce(sum(least(end_sample, global_start_frame + frames) - greatest(start_sample, global_start_frame)) FILTER (WHERE segment_index IS NOT NULL), 0)::BIGINT AS mapped_frames
         FROM takes t LEFT JOIN segments s ON t.session_id = s.session_id AND start_sample < global_start_frame + frames AND global_start_frame < end_sample AND end_sample > start_sample
         GROUP BY ALL)
   SELECT session_id, item_id, attempt_id, start_sample, end_sample, parts, mapped_frames,

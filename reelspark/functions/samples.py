@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0).cast("long")
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def _at_least_zero(x: Column) -> Column:
-    return F.greatest(ZERO, F.coalesce(x, ZERO))
+    return F.greatest(_zero(), F.coalesce(x, _zero()))
 
 
 def half_up(x: Column) -> Column:
@@ -18,7 +20,7 @@ def half_up(x: Column) -> Column:
 
 
 def samples_to_ms(n: Column, rate: Column) -> Column:
-    return F.when(n > 0, half_up(n / F.greatest(rate, F.lit(1)) * 1000)).otherwise(ZERO)
+    return F.when(n > 0, half_up(n / F.greatest(rate, F.lit(1)) * 1000)).otherwise(_zero())
 
 
 def discontinuity_ms(silence: Column, rate: Column) -> Column:
@@ -26,15 +28,15 @@ def discontinuity_ms(silence: Column, rate: Column) -> Column:
 
 
 def format_ms(ms: Column) -> Column:
-    return F.concat(F.greatest(ZERO, half_up(ms)).cast("string"), F.lit(" ms"))
+    return F.concat(F.greatest(_zero(), half_up(ms)).cast("string"), F.lit(" ms"))
 
 
 def format_wait_seconds(ms: Column) -> Column:
-    return F.format_string("%.1f s", (F.greatest(ZERO, ms) / F.lit(1000)).cast("double"))
+    return F.format_string("%.1f s", (F.greatest(_zero(), ms) / F.lit(1000)).cast("double"))
 
 
 def format_duration(n: Column, rate: Column) -> Column:
-    s = F.greatest(ZERO, F.floor(n / F.greatest(rate, F.lit(1))).cast("long"))
+    s = F.greatest(_zero(), F.floor(n / F.greatest(rate, F.lit(1))).cast("long"))
     hours = F.floor(s / 3600).cast("string")
     return F.concat_ws(
         ":", F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours),
@@ -54,7 +56,7 @@ def head_start(detector: Column, start: Column, recording_started: Column, passe
 
 
 def head_silence_ms(start: Column, content_started: Column, rate: Column) -> Column:
-    gap = F.greatest(ZERO, content_started - F.greatest(ZERO, start))
+    gap = F.greatest(_zero(), content_started - F.greatest(_zero(), start))
     return F.when(content_started > 0, samples_to_ms(gap, rate))
 
 
@@ -93,7 +95,7 @@ def speech_bounds(started: Column, boundary: Column, first: Column, last: Column
     """(start, end) of a take trimmed to its speech plus padding."""
     f = F.greatest(first, started)
     l = F.least(F.greatest(last, f), boundary)
-    s = F.greatest(F.greatest(ZERO, f - pad), started)
+    s = F.greatest(F.greatest(_zero(), f - pad), started)
     e = F.greatest(F.least(l + pad, boundary), s + 1)
     raw = (first == 0) | (boundary <= started)
     return F.struct(F.when(raw, started).otherwise(s).alias("start"), F.when(raw, boundary).otherwise(e).alias("end"))
