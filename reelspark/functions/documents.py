@@ -6,7 +6,7 @@ field is taken from the document itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAFE_INTEGER = 9_007_199_254_740_991
@@ -17,6 +17,15 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def parse_rows(df: DataFrame, source: str, name: str) -> DataFrame:
+    """Adds the parsed document as ``name``.
+
+    Going through explode keeps the optimizer from pushing the many checks that follow
+    below the projection, which would parse the text once per check.
+    """
+    return df.select("*", F.explode(F.array(parse(F.col(source)))).alias(name))
+
+
 def at(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "variant")
 

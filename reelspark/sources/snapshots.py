@@ -112,8 +112,8 @@ def _generation(name: Column, what: int) -> Column:
 
 def snapshot_candidates(files: DataFrame) -> DataFrame:
     """Candidates from snapshot files (session_dir, name, modified_at, text)."""
-    rows = files.select("session_dir", "modified_at", d.parse(C("text")).alias("snapshot"),
-                        _generation(C("name"), 0).alias("priority"), _generation(C("name"), 1).cast("long").alias("ordinal"))
+    rows = d.parse_rows(files, "text", "snapshot").select(
+        "session_dir", "modified_at", "snapshot", _generation(C("name"), 0).alias("priority"), _generation(C("name"), 1).cast("long").alias("ordinal"))
     rows = rows.where(C("priority").isNotNull() & snapshot_valid(C("snapshot")))
     return rows.withColumn("journal_seq", F.coalesce(d.whole(C("snapshot"), "$.journal_seq"), F.lit(0).cast("long")))
 
@@ -124,8 +124,8 @@ def journal_events(lines: DataFrame) -> DataFrame:
     A damaged line is skipped: every event carries the full projection. The event's own
     number must equal the one inside its snapshot.
     """
-    rows = lines.select("session_dir", "line_no", "modified_at", d.parse(C("text")).alias("e"))
-    snap = d.at(C("e"), "$.snapshot")
+    rows = d.parse_rows(lines, "text", "e").select("*", F.explode(F.array(d.at(C("e"), "$.snapshot"))).alias("snap"))
+    snap = C("snap")
     ok = (d.is_text(C("e"), "$.event") & F.coalesce(d.text(C("e"), "$.event") != "", F.lit(False))
           & d.is_positive(C("e"), "$.journal_seq") & snapshot_valid(snap))
     rows = rows.where(ok).select(
