@@ -24,7 +24,7 @@ def files(spark, sf):
     rep = lambda c, x, y: F.replace(c, F.lit(x), F.lit(y))
     content = (F.when(k == 0, t).when(k == 1, F.concat(F.lit("ID, Text ,tag\n"), t)).when(k == 2, rep(t, " de ", TAB))
                .when(k == 3, F.concat(F.lit("text\titem_id\n"), rep(rep(t, ". ", TAB), " ", TAB)))
-               .when(k == 4, F.concat(F.lit("﻿"), rep(rep(t, " en ", ' "en, ""x"" en" '), " the ", ' "the, y')))
+               .when(k == 4, F.concat(F.lit("\uFEFF"), rep(rep(t, " en ", ' "en, ""x"" en" '), " the ", ' "the, y')))
                .otherwise(F.concat(F.lit("label,id\n\n"), t)))
     return d.select(C("doc_id").alias("script_id"), content.alias("content"))
 
@@ -83,16 +83,16 @@ def s1(spark, sf):
   , er AS (SELECT script_id, line_no::INTEGER AS line_no, 'empty_id' AS code FROM rw JOIN ch USING (script_id, d) WHERE item_id = ''
   UNION ALL SELECT script_id, line_no, 'empty_text' FROM rw JOIN ch USING (script_id, d) WHERE text = ''
   UNION ALL SELECT script_id, line_no, 'duplicate_id' FROM rw JOIN ch USING (script_id, d) WHERE dup
-  UNION ALL SELECT script_id, NULL, 'no_id_column' FROM hx JOIN ch USING (script_id, d) WHERE i <= 0
+  UNION ALL SELECT script_id, NULL::INTEGER, 'no_id_column' FROM hx JOIN ch USING (script_id, d) WHERE i <= 0
   UNION ALL SELECT script_id, NULL, 'no_text_column' FROM hx JOIN ch USING (script_id, d) WHERE t <= 0)
-  SELECT * FROM er UNION ALL SELECT script_id, NULL, 'empty_file' FROM ln WHERE len(lines) = 0
+  SELECT script_id, line_no::INTEGER AS line_no, code FROM er UNION ALL SELECT script_id, NULL, 'empty_file' FROM ln WHERE len(lines) = 0
   UNION ALL SELECT script_id, NULL, 'no_rows' FROM st JOIN ch USING (script_id, d) WHERE e = 0 AND items = 0"""))
 def s1_errors(spark, sf):
     return src.script_errors(files(spark, sf))
 
 
 @query("s2_delimiter_choice", oracle("""
-  SELECT ch.script_id, ch.d AS delimiter, items, errors::BIGINT AS errors FROM ch JOIN se USING (script_id, d)"""))
+  SELECT ch.script_id, ch.d AS delimiter, items::BIGINT AS items, errors::BIGINT AS errors FROM ch JOIN se USING (script_id, d)"""))
 def s2(spark, sf):
     lines = src.script_lines(files(spark, sf))
     return src.choose_delimiter(lines, src.parsed_rows(lines))

@@ -17,13 +17,19 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
-def parse_rows(df: DataFrame, source: str, name: str) -> DataFrame:
-    """Adds the parsed document as ``name``.
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds ``value`` so that it is computed once per row.
 
-    Going through explode keeps the optimizer from pushing the many checks that follow
-    below the projection, which would parse the text once per check.
+    The optimizer pushes a filter below a projection by repeating the projected
+    expression in it; it does not do so through explode. Worth it for costly values that
+    many later columns and filters use.
     """
-    return df.select("*", F.explode(F.array(parse(F.col(source)))).alias(name))
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def parse_rows(df: DataFrame, source: str, name: str) -> DataFrame:
+    """Adds the parsed document as ``name``."""
+    return once(df, name, parse(F.col(source)))
 
 
 def at(doc: Column, path: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspark.functions.documents import once
+
 C = F.col
 
 # Accepted column names, compared trimmed and lower-cased.
@@ -12,8 +14,9 @@ ID_NAMES = ("id", "编号", "序号", "文本id", "text_id", "item_id")
 TEXT_NAMES = ("text", "文本", "内容", "正文", "文案", "sentence", "句子", "句子正文", "唤醒词", "wake", "wakeword", "wake_word")
 LABEL_NAMES = ("label", "标签", "要求", "备注", "备注标签", "语气", "强调", "tag")
 # The white space an editor trims.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
-_CUT = "￿"
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+NOT_SPACE = SPACE.replace("[", "[^", 1)
+_CUT = "\uFFFF"
 
 
 def trim(x: Column) -> Column:
@@ -39,6 +42,10 @@ def cells(line: Column, delimiter: str) -> Column:
     return F.transform(F.split(joined, _CUT), trim)
 
 
+def by_delimiter(line: Column) -> Column:
+    return F.when(C("delimiter") == ",", cells(line, ",")).otherwise(cells(line, "\t"))
+
+
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(C("_metadata.file_path").alias("script_id"), C("value").alias("content"))
 
@@ -48,29 +55,32 @@ def _place(header: Column, names: tuple[str, ...]) -> Column:
     return F.array_position(F.transform(header, lambda h: h.isin(*names)), True).cast("int") - 1
 
 
-def _variant(delimiter: str) -> Column:
-    header = F.transform(cells(C("lines")[0], delimiter), F.lower)
-    ids, texts, labels = _place(header, ID_NAMES), _place(header, TEXT_NAMES), _place(header, LABEL_NAMES)
-    named = (ids >= 0) | (texts >= 0)
-    pick = lambda place, default: F.when(named, place).otherwise(default)
-    return F.struct(F.lit(delimiter).alias("delimiter"), named.alias("named"), pick(ids, 0).alias("id_at"),
-                    pick(texts, 1).alias("text_at"), pick(labels, 2).alias("label_at"))
-
-
 def _cell(row: Column, place: Column) -> Column:
     return F.coalesce(F.when(place >= 0, F.get(row, place)), F.lit(""))
 
 
 def script_lines(files: DataFrame) -> DataFrame:
-    """Non-blank lines per script, numbered from 1, with the ways to read them."""
-    body = F.regexp_replace(C("content"), "^﻿", "")
-    lines = F.filter(F.split(body, r"\r?\n"), lambda x: trim(x) != "")
-    rows = files.select("script_id", lines.alias("lines"), F.contains(C("content"), F.lit("\t")).alias("tabs"))
-    rows = rows.withColumn("plain", ~(C("tabs") | F.exists("lines", lambda x: F.contains(x, F.lit(",")) | F.contains(x, F.lit("\t")))))
-    # A script without tabs has no items when read by tabs, so that reading is left out.
-    readings = F.when(C("plain"), F.array()).when(C("tabs"), F.array(_variant(","), _variant("\t"))).otherwise(F.array(_variant(",")))
-    return rows.select("script_id", "lines", "plain", F.size("lines").alias("n_lines"),
-                       F.when(F.size("lines") > 0, readings).alias("readings"))
+    """Non-blank lines per script, numbered from 1."""
+    body = F.regexp_replace(C("content"), "^\uFEFF", "")
+    rows = once(files.select("script_id", "content"), "lines", F.filter(F.split(body, r"\r?\n"), lambda x: x.rlike(NOT_SPACE)))
+    separated = F.exists("lines", lambda x: F.contains(x, F.lit(",")) | F.contains(x, F.lit("\t")))
+    return rows.select("script_id", "lines", F.contains(C("content"), F.lit("\t")).alias("tabs"), ~separated,
+                       F.size("lines").alias("n_lines")).toDF("script_id", "lines", "tabs", "plain", "n_lines")
+
+
+def readings(lines: DataFrame) -> DataFrame:
+    """The ways to read a separated script: delimiter and the places of its columns.
+
+    A script without tabs has no items when read by tabs, so that reading is left out.
+    """
+    ways = F.when(C("tabs"), F.array(F.lit(","), F.lit("\t"))).otherwise(F.array(F.lit(",")))
+    rows = lines.where(~C("plain") & (C("n_lines") > 0)).select("script_id", "lines", F.explode(ways).alias("delimiter"))
+    rows = once(rows, "header", F.transform(by_delimiter(C("lines")[0]), F.lower))
+    rows = once(rows, "p", F.struct(_place(C("header"), ID_NAMES).alias("id"), _place(C("header"), TEXT_NAMES).alias("text"),
+                                    _place(C("header"), LABEL_NAMES).alias("label")))
+    named = (C("p.id") >= 0) | (C("p.text") >= 0)
+    at = lambda name, default: F.when(named, C(f"p.{name}")).otherwise(default).alias(f"{name}_at")
+    return rows.select("script_id", "lines", "delimiter", named.alias("named"), at("id", 0), at("text", 1), at("label", 2))
 
 
 def plain_items(lines: DataFrame) -> DataFrame:
@@ -84,12 +94,11 @@ def plain_items(lines: DataFrame) -> DataFrame:
 
 def parsed_rows(lines: DataFrame) -> DataFrame:
     """Body rows of every reading, each with the line of the first valid use of its id."""
-    rows = lines.select("script_id", "lines", F.explode("readings").alias("r")).where("r.id_at >= 0 AND r.text_at >= 0")
-    rows = rows.select("script_id", "r", F.posexplode("lines").alias("i", "line")).where(~(C("r.named") & (C("i") == 0)))
-    row = F.when(C("r.delimiter") == ",", cells(C("line"), ",")).otherwise(cells(C("line"), "\t"))
-    rows = rows.select("script_id", C("r.delimiter").alias("delimiter"), (C("i") + 1).alias("line_no"), "r", row.alias("row"))
-    rows = rows.select("script_id", "delimiter", "line_no", _cell(C("row"), C("r.id_at")).alias("item_id"),
-                       _cell(C("row"), C("r.text_at")).alias("text"), _cell(C("row"), C("r.label_at")).alias("label"))
+    rows = readings(lines).where("id_at >= 0 AND text_at >= 0")
+    rows = rows.select("script_id", "delimiter", "named", "id_at", "text_at", "label_at", F.posexplode("lines").alias("i", "line"))
+    rows = once(rows.where(~(C("named") & (C("i") == 0))), "row", by_delimiter(C("line")))
+    rows = rows.select("script_id", "delimiter", (C("i") + 1).alias("line_no"), _cell(C("row"), C("id_at")).alias("item_id"),
+                       _cell(C("row"), C("text_at")).alias("text"), _cell(C("row"), C("label_at")).alias("label"))
     return first_use(rows)
 
 
@@ -117,10 +126,9 @@ def _is_item() -> Column:
 
 
 def _reading_errors(lines: DataFrame) -> DataFrame:
-    """Readings whose header lacks the id or the text column."""
-    r = lines.select("script_id", F.explode("readings").alias("r"))
-    codes = F.array_compact(F.array(F.when(C("r.id_at") < 0, "no_id_column"), F.when(C("r.text_at") < 0, "no_text_column")))
-    return r.select("script_id", C("r.delimiter").alias("delimiter"), codes.alias("codes"))
+    """Readings with what their header lacks."""
+    codes = F.array_compact(F.array(F.when(C("id_at") < 0, "no_id_column"), F.when(C("text_at") < 0, "no_text_column")))
+    return readings(lines).select("script_id", "delimiter", codes.alias("codes"))
 
 
 def choose_delimiter(lines: DataFrame, rows: DataFrame) -> DataFrame:
