@@ -421,11 +421,11 @@ def c10(spark, sf):
 
 
 C11_CHECKS = [
-    ("fault-archive-clean", "d % 31 <> 0 AND d % 41 <> 0 AND d % 43 <> 0"), ("fault-archive-status", "status = 'faulted' AND marker"), ("fault-archive-watermarks", "d % 7 <> 0 AND d % 5 <> 0 AND d % 6 <> 0 AND com IS NOT NULL"),
+    ("fault-archive-clean", "d % 31 <> 0 AND d % 41 <> 0 AND d % 43 <> 0"), ("fault-archive-status", "status = 'faulted' AND marker"), ("fault-archive-watermarks", "d % 7 <> 0 AND d % 5 <> 0 AND (d % 6 <> 0 OR com IS NULL)"),
     ("fault-archive-frames", "physical_frames > 0 AND physical_frames = com"), ("fault-archive-segments", "segments > 0 AND inexact = 0 AND trail = 0")]
 
 
-@query("c11_fault_archive_checks", b.with_tables("candidates markers takes", SEALED + _facts_sql([(i, c.replace(" AND com IS NOT NULL", "")) for i, c in C11_CHECKS])))
+@query("c11_fault_archive_checks", b.with_tables("candidates markers takes", SEALED + _facts_sql(C11_CHECKS)))
 def c11(spark, sf):
     f = sealed_facts(spark, sf)
     return checks.fault_archive_checks(f.join(op.watermarks_match(f, reported(f), MATCHED), "session_id"))

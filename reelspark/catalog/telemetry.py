@@ -139,7 +139,7 @@ def streak_input(spark, sf):
                                          (C("seq") * 7 % 5000).alias("silence_samples"), F.floor(C("at_ms") / 100000).cast("long").alias("now_ms"))
 
 
-@query("w11_discontinuity_streak", b.with_tables("telemetry", f"""
+W11_SQL = b.with_tables("telemetry", f"""
   d AS ({STREAK_INPUT}),
   l AS (SELECT *, lag(count) OVER w AS pc, lag(silence_samples) OVER w AS ps FROM d WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
   i AS (SELECT *, coalesce(count > pc AND count > 0, false) AS inc, coalesce(count < pc, false) AS dec, greatest(0, silence_samples - ps) AS added FROM l),
@@ -147,7 +147,10 @@ def streak_input(spark, sf):
   f AS (SELECT *, inc AND NOT coalesce(li > 0 AND now_ms - li <= 50, false) AS fresh FROM t),
   n AS (SELECT *, sum(CASE WHEN fresh OR dec THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM f),
   r AS (SELECT *, sum(CASE WHEN inc THEN added ELSE 0 END) OVER (PARTITION BY session_id, island ORDER BY seq ROWS UNBOUNDED PRECEDING) AS total FROM n)
-  SELECT session_id, seq, total::BIGINT AS streak_silence_samples, floor(total / 48000.0::DOUBLE * 1000 + 0.5) >= 10 AS show FROM r WHERE inc"""))
+  SELECT session_id, seq, total::BIGINT AS streak_silence_samples, floor(total / 48000.0::DOUBLE * 1000 + 0.5) >= 10 AS show FROM r WHERE inc""")
+
+
+@query("w11_discontinuity_streak", W11_SQL)
 def w11(spark, sf):
     return op.discontinuity_streaks(streak_input(spark, sf), chunk_width(spark), 48000)
 
