@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-_MODULES = ("sessions", "scalars", "telemetry", "gates", "timeline", "scripts", "text", "devices", "fleet", "streams")
+_MODULES = ("sessions", "scalars", "telemetry", "gates", "timeline", "scripts", "text", "devices", "fleet", "delivery", "streams")
 
 
 

@@ -68,6 +68,17 @@ def csv_cell(x: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def fixed6(name: str) -> Column:
+    """A non-negative double column with six decimals, rounded by its exact binary value.
+
+    format_string rounds the shortest decimal form instead, which differs near ties. The
+    fraction times 2^62 is a whole number; rounding it to millionths is exact in decimals.
+    """
+    millionths = F.expr(f"(CAST(CAST(({name} - floor({name})) * 4611686018427387904D AS BIGINT) AS DECIMAL(20,0)) * 2000000BD + 4611686018427387904BD) div 9223372036854775808BD")
+    whole = F.floor(F.col(name)).cast("long") + F.when(millionths >= 1_000_000, 1).otherwise(0)
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((millionths % 1_000_000).cast("string"), 6, "0"))
+
+
 def error_class(raw: Column) -> Column:
     out = F.lit("generic")
     for pattern, kind in reversed(ERROR_RULES):
