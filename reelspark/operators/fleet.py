@@ -191,17 +191,29 @@ def plan_run_checks(runs: DataFrame, targets: DataFrame, channels: tuple[int, ..
     return matrix.unionByName(rest)
 
 
-def report_checks(selected: DataFrame) -> DataFrame:
-    """Checks of each selected report against its requirement (columns joined on)."""
+def _report_rules() -> list[tuple[str, Column]]:
     every = lambda values, c: (F.size(values) > 0) & F.forall(values, lambda v: v == C(c))
     minimum = F.coalesce(C("min_hours") * 3600, C("min_seconds"))
-    return check_rows(selected, RUN, [
+    return [
         ("report-readable", C("selected").isNotNull()), ("report-mode", C("report_mode") == C("mode")),
         ("report-complete-pass", C("overall") == "PASS"),
         ("qualification-binding", (C("report_qualification") == C("qualification_id")) & (C("report_run") == C("run_id"))),
         ("option-sample_rate", every(C("sample_rates"), "sample_rate")), ("option-bit_depth", every(C("bit_depths"), "bit_depth")),
         ("option-channel", every(C("channels"), "channel")), ("duration-reached", minimum.isNull() | (C("elapsed_seconds") >= minimum)),
-        ("export-option", C("report_export") == C("export")), ("all-acceptance-checks-pass", (C("n_checks") > 0) & (C("n_passed") == C("n_checks")))])
+        ("export-option", C("report_export") == C("export")), ("all-acceptance-checks-pass", (C("n_checks") > 0) & (C("n_passed") == C("n_checks")))]
+
+
+def report_checks(selected: DataFrame) -> DataFrame:
+    """Checks of each selected report against its requirement (columns joined on)."""
+    return check_rows(selected, RUN, _report_rules())
+
+
+def report_status() -> Column:
+    """PASS where every report check passes, without spreading them to rows."""
+    ok = F.lit(True)
+    for _, rule in _report_rules():
+        ok = ok & F.coalesce(rule, F.lit(False))
+    return F.when(ok, "PASS").otherwise("FAIL")
 
 
 def key_set_equal(doc: Column, keys: tuple[str, ...]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import levels
 from reelspark.operators.scan import Scan, chunk_of, scan
+from reelspark.session import written
 
 C = F.col
 KEYS = ["session_id"]
@@ -151,7 +152,7 @@ def discontinuity_streaks(rows: DataFrame, width: int, rate: int, streak_ms: int
     """Every increase of the discontinuity count with the silence of its streak.
 
     ``count``, ``silence_samples`` and ``now_ms`` are the meter columns. Only rows where
-    the count moves reach the second and third scan.
+    the count moves, few among all polls, are written and reach the second and third scan.
     """
     rows = scan(chunked(rows, width), KEYS, ["seq"], "chunk",
                 Scan(lag={"prev_count": C("count"), "prev_silence": C("silence_samples")}))
@@ -159,6 +160,7 @@ def discontinuity_streaks(rows: DataFrame, width: int, rate: int, streak_ms: int
         *KEYS, "seq", "now_ms", "chunk",
         ((C("count") > C("prev_count")) & (C("count") > 0)).alias("inc"), (C("count") < C("prev_count")).alias("dec"),
         F.greatest(F.lit(0).cast("long"), C("silence_samples") - C("prev_silence")).alias("added"))
+    moved = written(moved, "moved-counts")
     moved = scan(moved, KEYS, ["seq"], "chunk", Scan(last={"last_inc": F.when(C("inc"), C("now_ms"))}))
     in_streak = F.coalesce((C("last_inc") > 0) & (C("now_ms") - C("last_inc") <= streak_ms), F.lit(False))
     moved = moved.withColumn("fresh", C("inc") & ~in_streak)
@@ -194,7 +196,7 @@ def take_spans(rows: DataFrame, width: int) -> DataFrame:
     rows = scan(chunked(rows, width), KEYS, ["seq"], "chunk", Scan(lag={"was": C("recording")}))
     was = F.coalesce(C("was"), F.lit(False))
     edges = rows.where(C("recording") != was)
-    edges = scan(edges.select(*KEYS, "seq", "chunk", "recording", "cursor"), KEYS, ["seq"], "chunk",
+    edges = scan(written(edges.select(*KEYS, "seq", "chunk", "recording", "cursor"), "edges"), KEYS, ["seq"], "chunk",
                  Scan(total={"rises": C("recording").cast("long")}))
     span = C("rises") + C("recording").cast("long")
     return edges.groupBy(*KEYS, span.alias("span")).agg(

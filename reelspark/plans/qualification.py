@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.operators import checks, fleet
+from reelspark.session import written
 
 C = F.col
 
@@ -21,13 +22,12 @@ def run_results(runs: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def with_status(rows: DataFrame) -> DataFrame:
-    failed = fleet.report_checks(rows).groupBy(*fleet.RUN).agg(F.bool_and(C("status") == "PASS").alias("ok"))
-    return rows.join(failed, fleet.RUN).withColumn("status", F.when(C("ok"), "PASS").otherwise("FAIL"))
+    return rows.withColumn("status", fleet.report_status())
 
 
 def qualify(runs: DataFrame, reports: DataFrame, targets: DataFrame, channels: tuple[int, ...]) -> DataFrame:
     """qualification_id, overall, runs, passed, missing."""
-    rows = with_status(run_results(runs, reports))
+    rows = written(with_status(run_results(runs, reports)), "run-results")
     bound = fleet.bound_runs(rows).select(*fleet.RUN, (C("status") == "PASS").alias("bound_ok"))
     rows = rows.join(bound, fleet.RUN, "left").withColumn(
         "status", F.when((C("status") == "PASS") & F.coalesce("bound_ok", F.lit(True)), "PASS").otherwise("FAIL"))

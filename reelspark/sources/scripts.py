@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions.documents import once
+from reelspark.session import written
 
 C = F.col
 
@@ -14,13 +15,13 @@ ID_NAMES = ("id", "编号", "序号", "文本id", "text_id", "item_id")
 TEXT_NAMES = ("text", "文本", "内容", "正文", "文案", "sentence", "句子", "句子正文", "唤醒词", "wake", "wakeword", "wake_word")
 LABEL_NAMES = ("label", "标签", "要求", "备注", "备注标签", "语气", "强调", "tag")
 # The white space an editor trims.
-SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-NOT_SPACE = SPACE.replace("[", "[^", 1)
+SPACE = ("\t\n\x0B\f\r \u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A"
+         "\u2028\u2029\u202F\u205F\u3000\uFEFF")
 _CUT = "\uFFFF"
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACE))
 
 
 def cells(line: Column, delimiter: str) -> Column:
@@ -62,7 +63,7 @@ def _cell(row: Column, place: Column) -> Column:
 def script_lines(files: DataFrame) -> DataFrame:
     """Non-blank lines per script, numbered from 1."""
     body = F.regexp_replace(C("content"), "^\uFEFF", "")
-    rows = once(files.select("script_id", "content"), "lines", F.filter(F.split(body, r"\r?\n"), lambda x: x.rlike(NOT_SPACE)))
+    rows = once(files.select("script_id", "content"), "lines", F.filter(F.split(body, r"\r?\n"), lambda x: trim(x) != ""))
     separated = F.exists("lines", lambda x: F.contains(x, F.lit(",")) | F.contains(x, F.lit("\t")))
     return rows.select("script_id", "lines", F.contains(C("content"), F.lit("\t")).alias("tabs"), ~separated,
                        F.size("lines").alias("n_lines")).toDF("script_id", "lines", "tabs", "plain", "n_lines")
@@ -93,13 +94,16 @@ def plain_items(lines: DataFrame) -> DataFrame:
 
 
 def parsed_rows(lines: DataFrame) -> DataFrame:
-    """Body rows of every reading, each with the line of the first valid use of its id."""
+    """Body rows of every reading, each with the line of the first valid use of its id.
+
+    Parsing is the costly part and four later steps use its rows, so they are written once.
+    """
     rows = readings(lines).where("id_at >= 0 AND text_at >= 0")
     rows = rows.select("script_id", "delimiter", "named", "id_at", "text_at", "label_at", F.posexplode("lines").alias("i", "line"))
     rows = once(rows.where(~(C("named") & (C("i") == 0))), "row", by_delimiter(C("line")))
     rows = rows.select("script_id", "delimiter", (C("i") + 1).alias("line_no"), _cell(C("row"), C("id_at")).alias("item_id"),
                        _cell(C("row"), C("text_at")).alias("text"), _cell(C("row"), C("label_at")).alias("label"))
-    return first_use(rows)
+    return written(first_use(written(rows, "script-rows")), "script-uses")
 
 
 def first_use(rows: DataFrame) -> DataFrame:
