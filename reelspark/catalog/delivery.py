@@ -47,9 +47,7 @@ def s7(spark, sf):
   WITH s AS (SELECT 'master-' || lpad(vec_id::VARCHAR, 6, '0') || '.wav' AS path, unnest(range(0, 64)) AS i, round(unnest(embedding)::DOUBLE * 32767) / 32768 AS v FROM embeddings WHERE vec_id % 7 < 6)
   SELECT path, i // 20 * 20 AS block_start, min(i // 20 * 20) + count(*) AS block_end, round(sum(v), 6) AS total FROM s GROUP BY path, i // 20""")
 def s8(spark, sf):
-    files = wav_files(spark, sf)
-    inv = wav.inventory(files).where("error is null").select("path", "data_at", "bit_depth", "physical_frames")
-    bl = wav.pcm_blocks(files.select("path", "content").join(inv, "path"), 20)
+    bl = wav.pcm_blocks(wav.inventory(wav_files(spark, sf), keep=("content",)).where("error is null"), 20)
     return bl.select("path", "block_start", "block_end", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 

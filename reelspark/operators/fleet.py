@@ -24,6 +24,17 @@ def duplicate_bindings(reports: DataFrame) -> DataFrame:
     return reports.join(many, RUN).select(*RUN, "path", "n")
 
 
+def left_on_optional(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on a key that most left rows lack.
+
+    Rows without key match nothing, yet would all hash to one task; a second join column,
+    null wherever a key exists, deals them out by ``spread``.
+    """
+    l = left.withColumn("_spread", F.when(C(key).isNull(), C(spread).cast("string")))
+    r = right.withColumn("_there", F.lit(None).cast("string")).withColumnRenamed(key, "_key")
+    return l.join(r, (l[key] == r["_key"]) & l["_spread"].eqNullSafe(r["_there"]), "left").drop("_spread", "_there", "_key")
+
+
 def select_reports(runs: DataFrame, reports: DataFrame) -> DataFrame:
     """The report of each required run, or why there is none.
 
@@ -37,7 +48,7 @@ def select_reports(runs: DataFrame, reports: DataFrame) -> DataFrame:
     values = values.select("path", "mode", "sample_rate", F.explode(F.array_distinct("bit_depths")).alias("bit_depth"), "channels")
     near = values.select("mode", "sample_rate", "bit_depth", F.explode(F.array_distinct("channels")).alias("channel")).groupBy(*cell).agg(
         F.count(F.lit(1)).alias("near"))
-    out = runs.join(bound, RUN, "left").join(paths, "report", "left").join(near, cell, "left")
+    out = left_on_optional(runs.join(bound, RUN, "left"), paths, "report", "run_id").join(near, cell, "left")
     error = (F.when(C("n") > 1, "duplicate").when(C("report").isNotNull(), F.when(C("found").isNull(), "not_found"))
              .when(C("n").isNull(), "missing"))
     out = out.withColumn("error", error)

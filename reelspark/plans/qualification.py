@@ -18,7 +18,7 @@ def run_results(runs: DataFrame, reports: DataFrame) -> DataFrame:
         C("path").alias("selected"), C("mode").alias("report_mode"), "overall", C("qualification_id").alias("report_qualification"),
         C("run_id").alias("report_run"), "session_id", "session_dir", "sample_rates", "bit_depths", "channels", "elapsed_seconds",
         C("export").alias("report_export"), "n_checks", "n_passed")
-    return chosen.join(r, "selected", "left")
+    return fleet.left_on_optional(chosen, r, "selected", "run_id")
 
 
 def with_status(rows: DataFrame) -> DataFrame:

@@ -55,9 +55,12 @@ def _headers():
     return headers
 
 
-def inventory(files: DataFrame) -> DataFrame:
-    """One row per file (path, length, head): format, declared and physical frames, exactness."""
-    d = files.select("path", "length", _headers()("head").alias("h")).select("path", "length", "h.*")
+def inventory(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per file (path, length, head): format, declared and physical frames, exactness.
+
+    ``keep`` passes further columns through, so that decoding needs no join with the files.
+    """
+    d = files.select("path", "length", *keep, _headers()("head").alias("h")).select("path", "length", *keep, "h.*")
     zero = F.lit(0).cast("long")
     declared = F.when(C("rf64"), C("ds_data")).otherwise(C("data32"))
     payload = F.greatest(zero, C("length") - C("data_at"))
@@ -78,12 +81,12 @@ def inventory(files: DataFrame) -> DataFrame:
     error = (F.when(C("length") < 12, "too_short").when(~C("wave"), "not_wave").when(C("code").isNull() | C("data_at").isNull(), "no_format_or_data")
              .when(C("rf64") & C("ds_data").isNull(), "no_ds64"))
     ok = error.isNull()
-    keep = lambda c, n: F.when(ok, c).alias(n)
+    sane = lambda c, n: F.when(ok, c).alias(n)
     return d.select(
-        "path", "length", error.alias("error"), keep(F.when(C("rf64"), "rf64").otherwise("riff"), "container"), keep(C("rate"), "sample_rate"),
-        keep(C("channels"), "channels"), keep(C("bits"), "bit_depth"), keep(F.when(C("code") == 1, "pcm").when(C("code") == 3, "float"), "encoding"),
-        keep(C("format_valid"), "format_valid"), keep(C("data_at"), "data_at"), keep(C("declared_frames"), "declared_frames"),
-        keep(C("physical_frames"), "physical_frames"), keep(C("trailing_bytes"), "trailing_bytes"), keep(F.coalesce(base & (riff | rf64), F.lit(False)), "exact_header"))
+        "path", "length", *keep, error.alias("error"), sane(F.when(C("rf64"), "rf64").otherwise("riff"), "container"), sane(C("rate"), "sample_rate"),
+        sane(C("channels"), "channels"), sane(C("bits"), "bit_depth"), sane(F.when(C("code") == 1, "pcm").when(C("code") == 3, "float"), "encoding"),
+        sane(C("format_valid"), "format_valid"), sane(C("data_at"), "data_at"), sane(C("declared_frames"), "declared_frames"),
+        sane(C("physical_frames"), "physical_frames"), sane(C("trailing_bytes"), "trailing_bytes"), sane(F.coalesce(base & (riff | rf64), F.lit(False)), "exact_header"))
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

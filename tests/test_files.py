@@ -34,7 +34,7 @@ def test_wav_inventory_and_blocks(spark, tmp_path):
     got = {r.name: (r.error, r.container, r.physical_frames, r.trailing_bytes, r.exact_header) for r in inv.collect()}
     assert got == {"a.wav": (None, "riff", 3, 0, True), "b.wav": (None, "riff", 2, 2, False), "c.wav": (None, "riff", 2, 0, True), "d.wav": (None, "rf64", 3, 0, True),
                    "e.wav": ("too_short", None, None, None, None), "f.wav": (None, "riff", 3, 0, True)}
-    blocks = wav.pcm_blocks(files.select("path", "content").join(inv.where("error is null"), "path"), 2).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    blocks = wav.pcm_blocks(wav.inventory(files, keep=("content",)).where("error is null"), 2).withColumn("name", F.element_at(F.split("path", "/"), -1))
     s = {}
     for r in blocks.orderBy("name", "block_start").collect():
         s.setdefault(r.name, []).extend(r.samples)
