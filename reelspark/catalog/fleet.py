@@ -394,7 +394,20 @@ def c7(spark, sf):
     return checks.phase1_checks(f, 48000, 15.0)
 
 
-@query("c9_replug_archive_checks")
+C9_CHECKS = [
+    ("replug-states-once", "n_p = 1 AND n_a = 1 AND n_s = 1"), ("replug-present-exact", "at_p < a_first"), ("replug-absent", "n_a > 0"), ("replug-fault-before-absent", "a_fault < at_a"),
+    ("replug-stable", "at_a < at_s"), ("replug-after-stable", "b_rows >= 2 AND b_first > at_s"), ("replug-rates", "a_dc / a_de BETWEEN 45600 AND 50400 AND b_dc / b_de BETWEEN 45600 AND 50400 AND a_de > 0 AND b_de > 0"),
+    ("replug-levels", "a_peak > power(10, -2.5) AND b_peak > power(10, -2.5)"), ("replug-duration", "b_elapsed >= 60")]
+
+
+@query("c9_replug_archive_checks", b.with_tables("telemetry", """
+  e AS (SELECT session_id, min(seq) AS lo, max(seq) AS hi FROM telemetry GROUP BY 1),
+  r AS (SELECT t.*, seq < (lo + hi) // 2 AS a, CASE WHEN seq = lo THEN 'p' WHEN seq = hi THEN 's' WHEN k = 50 THEN 'a' END AS st, faulted OR overflow_samples > 0 OR fault_marker_exists AS bad FROM telemetry t JOIN e USING (session_id)),
+  facts AS (SELECT session_id, count_if(st = 'p') AS n_p, count_if(st = 'a') AS n_a, count_if(st = 's') AS n_s, min(seq) FILTER (WHERE st = 'p') AS at_p, min(seq) FILTER (WHERE st = 'a') AS at_a, min(seq) FILTER (WHERE st = 's') AS at_s,
+     min(seq) FILTER (WHERE a) AS a_first, min(seq) FILTER (WHERE a AND bad) AS a_fault, min(seq) FILTER (WHERE NOT a) AS b_first, count_if(NOT a) AS b_rows,
+     arg_max(captured_samples, seq) FILTER (WHERE a AND NOT bad) - arg_min(captured_samples, seq) FILTER (WHERE a AND NOT bad) AS a_dc, arg_max(elapsed_seconds, seq) FILTER (WHERE a AND NOT bad) - arg_min(elapsed_seconds, seq) FILTER (WHERE a AND NOT bad) AS a_de,
+     arg_max(captured_samples, seq) FILTER (WHERE NOT a) - arg_min(captured_samples, seq) FILTER (WHERE NOT a) AS b_dc, arg_max(elapsed_seconds, seq) FILTER (WHERE NOT a) - arg_min(elapsed_seconds, seq) FILTER (WHERE NOT a) AS b_de,
+     max(peak) FILTER (WHERE a) AS a_peak, max(peak) FILTER (WHERE NOT a) AS b_peak, max(elapsed_seconds) FILTER (WHERE NOT a) AS b_elapsed FROM r GROUP BY 1) """ + _facts_sql(C9_CHECKS)))
 def c9(spark, sf):
     """Device states once per session at fixed ranks of its polls; phases before and after."""
     t = b.telemetry(spark, sf)
