@@ -34,7 +34,10 @@ def with_tables(names: str, body: str) -> str:
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone is."""
+    day = F.datediff(ts.cast("date"), F.lit("1970-01-01")).cast("long")
+    second = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return ((day * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + second
 
 
 def telemetry(spark: SparkSession, sf: str) -> DataFrame:
