@@ -25,7 +25,7 @@ from reelspark.llm.common import map_rows
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^" + SPACE + "\\p{L}\\p{N}]+"
 # Words whose encoding a task remembers; beyond it the memory starts anew.
-MEMORY = 600_000
+MEMORY = 300_000
 _NONE = 1 << 40
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +33,7 @@ def texts_of(column: pa.Array) -> list[str]:
 def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges that hold at most about `most` bytes of text each (a longer text gets a range of its own)."""
     start = size = 0
-    for i, n in enumerate(texts.cast(pa.large_binary()).to_pandas().map(lambda b: len(b) if b is not None else 0)):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if i > start and size + n > most:
             yield start, i
             start, size = i, 0
@@ -41,7 +42,7 @@ def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def map_rows(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], dict[str, list]]], most: int = 32 << 20) -> DataFrame:
+def map_rows(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], dict[str, list]]], most: int = 8 << 20) -> DataFrame:
     """Adds `fields` to every row of `df`, computed from its text column.
 
     `make()` runs once a task and returns the function from a list of texts (null read as empty) to
