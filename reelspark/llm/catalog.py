@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import bpe
+from reelspark.llm import bpe, sharding, warc
+from reelspark.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +29,15 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
     return bpe.decode(coded, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = written(warc.write_records(warc.plan_records(table(spark, sf_dir, "pages"))), "warc")
+    return warc.read_records(archive).drop("intact")
+
+
+@query
+def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_size(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
