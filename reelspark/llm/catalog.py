@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import bpe, sharding, warc
+from reelspark.llm import bpe, langid, quality, sharding, warc
 from reelspark.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,19 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_size(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.featurise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", (langid.remainder("doc_id", 4) == 2).alias("held_out"), "features")
+    docs = written(docs, "features")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    model = quality.fit(docs.where("not held_out").join(labels, "doc_id"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(langid.remainder("doc_id", 3) != 1))
+    return langid.label(docs.select("doc_id", (langid.remainder("doc_id", 3) == 1).alias("held_out"), "text"), model).drop("text")
