@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import bpe, langid, quality, sharding, warc
+from reelspark.llm import bpe, langid, pii, quality, sharding, warc
 from reelspark.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,11 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(langid.remainder("doc_id", 3) != 1))
     return langid.label(docs.select("doc_id", (langid.remainder("doc_id", 3) == 1).alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op6_personal_data_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    kinds = [F.regexp_count("base", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *kinds, F.sha2("base", 256).alias("base_sha256"), "spans")

@@ -1,0 +1,286 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field that adds to them.
+
+The field runs over the shapes of the words between white space: a word's own shape and those of its neighbours
+score the labels, transitions tie them together. It is trained on a small labelled table, WINDOWS short windows
+that the patterns label in the corpus, by gradient ascent of the conditional likelihood, and decoded by Viterbi,
+all texts of a batch abreast in numpy. A decoded span is added where it meets no span of the patterns and its
+digits hold as that kind does (Luhn, parts up to 255, 10 to 15 digits); pattern spans always stay.
+
+Null text counts as empty and has no spans. Offsets are code points, the end exclusive.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
+
+from reelspark.llm.common import map_rows, pieces, texts_of
+
+KINDS = ("email", "ip", "card", "phone")
+LABELS = ("other", *KINDS)
+#: Windows in the labelled table, the words on either side of a span, the longest window.
+WINDOWS, BESIDE, LONGEST = 3000, 6, 32
+ROUNDS, RATE, PENALTY = 120, 0.2, 1e-4
+MEMORY = 300_000
+# The base patterns.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # starts at the first digit of a run, as every leftmost match does
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"\S+")
+_RUN = re.compile(r"[^\W\d_]+|[0-9]+|\W|\d|_")
+
+
+def luhn(digits: str) -> bool:
+    own, other = digits[-1::-2], digits[-2::-2]
+    return (sum(map(int, own)) + sum(sum(divmod(2 * int(d), 10)) for d in other)) % 10 == 0
+
+
+def digits_of(s: str) -> str:
+    return "".join(_DIGIT.findall(s))
+
+
+def holds(kind: str, s: str) -> bool:
+    """Whether what stands there can be of that kind."""
+    if kind == "email":
+        return "@" in s.strip("@")
+    if kind == "ip":
+        parts = re.findall(r"[0-9]+", s)
+        return len(parts) == 4 and all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in parts)
+    digits = digits_of(s)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches: each needs an @, and starts where the run of local characters before it does."""
+    out, low, at = [], 0, text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(LOCAL))
+        low = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            low = m.end()
+        at = text.find("@", low)
+    return out
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    found = [("email", i, j) for i, j in emails(text)] if "@" in text else []
+    if _DIGIT.search(text):
+        for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
+            if kind != "phone" or "+" in text:
+                found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if holds(kind, m[0])]
+    return in_order(found)
+
+
+def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+def told(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{i}:{j}" for k, i, j in spans)
+
+
+def shape(word: str) -> str:
+    """Letter runs as a, digit runs by length, symbols as they stand; plain words and their punctuation are alike."""
+    if not _DIGIT.search(word) and "@" not in word:
+        return "a"
+    out = []
+    for run in _RUN.findall(word.strip(",;:!?\"'")):
+        out.append("9" * min(len(run), 4) if run[0].isdigit() and len(run) < 5 else f"<{min(len(run), 20)}>" if run[0].isdigit() else "a" if run[0].isalpha() else run)
+    return "".join(out)[:40]
+
+
+def windows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The labelled table: shapes and labels of short windows around spans and around other numbers."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text rlike '[0-9@]'")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in pieces(batch.column(1), 8 << 20):
+                out = []
+                for k, text in zip(batch.column(0).slice(i, j - i).to_pylist(), texts_of(batch.column(1).slice(i, j - i)), strict=True):
+                    spans = base_spans(text)
+                    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+                    shapes = [shape(w) for _, _, w in words]
+                    labels, at = [0] * len(words), 0
+                    for kind, s, e in spans:
+                        while at < len(words) and words[at][1] <= s:
+                            at += 1
+                        n = at
+                        while n < len(words) and words[n][0] < e:
+                            labels[n] = labels[n] or LABELS.index(kind)
+                            n += 1
+                    n = 0
+                    while n < len(words):
+                        if labels[n] or shapes[n] != "a":
+                            a, b = max(0, n - BESIDE), min(len(words), max(0, n - BESIDE) + LONGEST)
+                            out.append((k, a, shapes[a:b], labels[a:b]))
+                            n = b
+                        n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())))], names=["doc_id", "at", "shapes", "labels"])
+
+    return rows.mapInArrow(run, "doc_id long, at int, shapes array<string>, labels array<int>")
+
+
+def train(rows: list[tuple[list[str], list[int]]]) -> dict:
+    """Weights of own, earlier and later shape (shapes x labels each) and of transitions, by gradient ascent."""
+    names = ["", "a", *sorted({s for shapes, _ in rows for s in shapes} - {"a", ""})]  # "" is a shape never seen, and the edge
+    place, n_labels = {s: i for i, s in enumerate(names)}, len(LABELS)
+    weights = np.zeros((3, len(names), n_labels))
+    weights[0, 0] = [2.0] + [0.0] * (n_labels - 1)
+    trans = np.zeros((n_labels, n_labels))
+    if rows:
+        size, steps = len(rows), max(len(s) for s, _ in rows)
+        x, y, live = np.zeros((size, steps + 2), int), np.zeros((size, steps), int), np.zeros((size, steps), bool)
+        for i, (shapes, labels) in enumerate(rows):
+            x[i, 1 : len(shapes) + 1] = [place[s] for s in shapes]
+            y[i, : len(labels)], live[i, : len(labels)] = labels, True
+        parts = (x[:, 1:-1], x[:, :-2], x[:, 2:])
+        gold = np.zeros((size, steps, n_labels))
+        gold[np.arange(size)[:, None], np.arange(steps), y] = live
+        gold_t = np.einsum("bti,btj->ij", gold[:, :-1], gold[:, 1:])
+        moments = [(np.zeros_like(weights), np.zeros_like(weights)), (np.zeros_like(trans), np.zeros_like(trans))]
+        for step in range(1, ROUNDS + 1):
+            emit = sum(weights[k][p] for k, p in enumerate(parts))
+            ahead, back = np.zeros((size, steps, n_labels)), np.zeros((size, steps, n_labels))
+            ahead[:, 0] = emit[:, 0]
+            for t in range(1, steps):
+                v = (ahead[:, t - 1, :, None] + trans)
+                top = v.max(1)
+                ahead[:, t] = np.where(live[:, t, None], top + np.log(np.exp(v - top[:, None]).sum(1)) + emit[:, t], ahead[:, t - 1])
+            for t in range(steps - 2, -1, -1):
+                v = trans + (emit[:, t + 1] + back[:, t + 1])[:, None, :]
+                top = v.max(2)
+                back[:, t] = np.where(live[:, t + 1, None], top + np.log(np.exp(v - top[:, :, None]).sum(2)), 0)
+            top = ahead[:, -1].max(1)
+            total = top + np.log(np.exp(ahead[:, -1] - top[:, None]).sum(1))
+            p = np.exp(ahead + back - total[:, None, None]) * live[:, :, None]
+            pair = np.exp(ahead[:, :-1, :, None] + trans + (emit + back)[:, 1:, None, :] - total[:, None, None, None]) * live[:, 1:, None, None]
+            grad = np.stack([np.stack([np.bincount(q.ravel(), (gold - p)[..., c].ravel(), len(names)) for c in range(n_labels)], 1) for q in parts])
+            for value, g, (m, s) in ((weights, grad / size - PENALTY * weights, moments[0]), (trans, (gold_t - pair.sum((0, 1))) / size - PENALTY * trans, moments[1])):
+                m += 0.1 * (g - m)
+                s += 0.001 * (g * g - s)
+                value += RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-6)
+    return {"shapes": place, "weights": weights.astype(np.float32), "trans": trans.astype(np.float32)}
+
+
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> dict:
+    """Trains on the WINDOWS windows with the smallest hash; only those come to the driver."""
+    table = windows(docs, text, key)
+    rows = table.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(WINDOWS).collect()
+    return train([(r["shapes"], r["labels"]) for r in rows])
+
+
+class Finder:
+    def __init__(self, model: dict):
+        self.m = model
+        self.memory: dict[str, int] = {}
+
+    def word(self, w: str) -> int:
+        n = self.m["shapes"].get(shape(w), 0)
+        self.memory[w] = n
+        return n
+
+    def labels(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi over all texts of a batch abreast, longest first."""
+        w, trans = self.m["weights"], self.m["trans"]
+        n = trans.shape[0]
+        by = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+        lens = np.array([len(rows[i]) for i in by], np.int64)
+        steps = int(lens[0]) if len(lens) else 0
+        active = np.searchsorted(-lens, -np.arange(steps), "left")
+        starts = np.append(0, np.cumsum(lens))[:-1]
+        flat = np.concatenate([rows[i] for i in by]) if by else np.zeros(0, np.int64)
+        before, after = np.append(0, flat)[: len(flat)], np.append(flat, 0)[1:]
+        before[starts[lens > 0]] = 0
+        after[(starts + lens - 1)[lens > 0]] = 0
+        emit = w[0][flat] + w[1][before] + w[2][after]
+        best = np.zeros((len(by), n), np.float32)
+        froms: list[np.ndarray] = []
+        for t in range(steps):
+            k = active[t]
+            if t:
+                v = best[:k, :, None] + trans
+                at = v.argmax(1)
+                froms.append(at.astype(np.int8))
+                best[:k] = np.take_along_axis(v, at[:, None], 1)[:, 0] + emit[starts[:k] + t]
+            else:
+                best[:k] = emit[starts[:k]]
+        labels = np.zeros(len(flat), np.int8)
+        state = best.argmax(1)
+        for t in range(steps - 1, -1, -1):
+            k = active[t]
+            labels[starts[:k] + t] = state[:k]
+            if t:
+                state[:k] = froms[t - 1][np.arange(k), state[:k]]
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(rows)
+        for i, s, m in zip(by, starts.tolist(), lens.tolist(), strict=True):
+            out[i] = labels[s : s + m]
+        return out
+
+    def added(self, text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        out = []
+        at = np.flatnonzero(labels)
+        groups = np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(labels[at]) != 0)) + 1)
+        for g in groups:
+            kind, i, j = LABELS[labels[g[0]]], words[g[0]][0], words[g[-1]][1]
+            while i < j and not (text[i].isalnum() or text[i] in "+("):
+                i += 1
+            while j > i and not (text[j - 1].isalnum() or text[j - 1] == ")"):
+                j -= 1
+            if i < j and holds(kind, text[i:j]) and not any(s < j and i < e for _, s, e in base):
+                out.append((kind, i, j))
+        return out
+
+    def __call__(self, texts: list[str]) -> dict[str, list]:
+        if len(self.memory) > MEMORY:
+            self.memory = {}
+        get = self.memory.get
+        rows = []
+        for t in texts:
+            words = t.split()
+            rows.append(np.fromiter([x if (x := get(w)) is not None else self.word(w) for w in words], np.int64, len(words)))
+        base, spans = [], []
+        for text, labels in zip(texts, self.labels(rows), strict=True):
+            found = base_spans(text)
+            base.append(told(found))
+            spans.append(told(in_order(found + self.added(text, labels, found)) if labels.any() else found))
+        return {"base": base, "spans": spans}
+
+
+def find(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """Adds base and spans: `kind:start:end` of the pattern spans and of all spans, joined by commas."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_rows(docs, text, [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())], lambda: Finder(shared.value))
+
+
+def masked(text: str, spans: str) -> str:
+    """The text with every span replaced by its kind in brackets; a span within an earlier one goes with it."""
+    out, at = [], 0
+    for kind, i, j in ((k, int(i), int(j)) for k, i, j in (s.split(":") for s in spans.split(",") if s)):
+        if i >= at:
+            out += [text[at:i], f"[{kind.upper()}]"]
+        at = max(at, j)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """`docs` with its personal data replaced; null texts stay null."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema[text].dataType
+
+    def make():
+        finder = Finder(shared.value)
+        return lambda texts: {text: [masked(t, s) if s else t for t, s in zip(texts, finder(texts)["spans"], strict=True)]}
+
+    whole = map_rows(docs.withColumn("_null", F.col(text).isNull()), text, [T.StructField(text, kind)], make)
+    return whole.withColumn(text, F.when(~F.col("_null"), F.col(text))).select(*docs.columns)
