@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import bpe, langid, pii, quality, sharding, warc
+from reelspark.llm import bpe, langid, pii, quality, sharding, warc, weak
 from reelspark.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def op6_personal_data_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.fit(docs))
     kinds = [F.regexp_count("base", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *kinds, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(weak.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    return weak.judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
