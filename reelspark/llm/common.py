@@ -42,7 +42,7 @@ def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def map_rows(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], dict[str, list]]], most: int = 8 << 20) -> DataFrame:
+def map_rows(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], dict[str, list]]], most: int = 4 << 20) -> DataFrame:
     """Adds `fields` to every row of `df`, computed from its text column.
 
     `make()` runs once a task and returns the function from a list of texts (null read as empty) to
