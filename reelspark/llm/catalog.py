@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import bpe, langid, pii, quality, sharding, warc, weak
+from reelspark.llm import bpe, decontam, langid, pii, quality, sharding, warc, weak
 from reelspark.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,12 @@ def op6_personal_data_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(weak.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
     return weak.judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@query
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"))
+
+
+ORACLES["op2_template_decontamination"] = decontam.oracle()
