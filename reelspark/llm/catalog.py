@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import bpe, decontam, langid, near, pii, quality, sharding, warc, weak
+from reelspark.llm import bpe, decontam, langid, near, pii, quality, sharding, suffix, warc, weak
 from reelspark.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ ORACLES["op2_template_decontamination"] = decontam.oracle()
 @query
 def op3_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+@query
+def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
