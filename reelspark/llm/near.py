@@ -235,7 +235,7 @@ def within_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash (MD5, binary) and class_id of every row."""
+    """doc_id, text_hash (MD5, binary), class_hash (null for a row without words) and class_id of every row."""
     base = prepared(docs, text, key).withColumn("node", F.unhex(F.md5("text")))
     signed = written(sign(base).select("doc_id", "node", "signature"), "signatures")
     full = signed.where("signature is not null")
@@ -254,7 +254,25 @@ def classes(docs: DataFrame, least: float = LEAST, text: str = "text", key: str
     more = verified(within_blocks(members, nodes), texts, least)
     found = components(links.unionAll(written(more, "links")))
     named = nodes.select("node", "first_id").join(found, "node", "left").select("node", "first_id", F.coalesce("class", "node").alias("class"))
-    ids = named.join(named.groupBy("class").agg(F.min("first_id").alias("class_id")), "class").select("node", "class_id")
-    some = full.select("doc_id", "node").join(ids, "node").select("doc_id", "node", "class_id")
-    none = signed.where("signature is null").select("doc_id", "node", F.col("doc_id").alias("class_id"))
-    return some.unionAll(none).select("doc_id", F.col("node").alias("text_hash"), "class_id")
+    ids = named.join(named.groupBy("class").agg(F.min("first_id").alias("class_id")), "class").select("node", "class", "class_id")
+    some = full.select("doc_id", "node").join(ids, "node").select("doc_id", "node", "class", "class_id")
+    none = signed.where("signature is null").select("doc_id", "node", F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("class_id"))
+    return some.unionAll(none).select("doc_id", F.col("node").alias("text_hash"), F.col("class").alias("class_hash"), "class_id")
+
+
+def one_of_each(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`docs` with one row of each class: the one with the smallest id (nulls last), then the smallest text hash.
+
+    Rows without words all stay. Of rows that repeat id and text one stays, with other columns of any of them.
+    """
+    found = written(classes(docs, least, text, key).where("class_hash is not null"), "classes")
+    best = found.groupBy("class_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    rows = found.groupBy("doc_id", "text_hash").agg(F.first("class_hash").alias("class_hash"), F.count("*").alias("n")).join(best, "class_hash")
+    stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash"))
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.when(~stays, "drop").when(F.col("n") > 1, "many").alias("_fate")).where("_fate is not null")
+    rows = written(rows, "fates")
+    joined = docs.join(rows, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.unhex(F.md5(F.col(text).cast("string"))) == F.col("_hash")), "left")
+    kept = joined.where("_fate is null").select(*docs.columns)
+    if rows.where("_fate = 'many'").limit(1).count():
+        kept = kept.unionAll(joined.where("_fate = 'many'").select(*docs.columns).dropDuplicates([key, text]))
+    return kept
