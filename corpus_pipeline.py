@@ -10,13 +10,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelspark.llm import bpe, decontam, langid, near, pii
-from reelspark.llm.common import written
+from reelspark.llm.common import boxed, unboxed, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows that have a language, drops texts without one (null, or without letters)."""
-    found = langid.label(docs.select("text", F.struct(*docs.columns).alias("row")), langid.fit(docs))
-    return found.where("lang_pred <> 'und'").select("row.*")
+    model = langid.fit(docs)
+    if not model["langs"]:  # nothing to learn from
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    return unboxed(langid.label(boxed(docs), model).where("lang_pred <> 'und'"), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
