@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from reelspark.session import written
 
-__all__ = ["map_rows", "texts_of", "kept_schema", "written", "pieces", "prepared"]
+__all__ = ["boxed", "kept_schema", "map_rows", "pieces", "prepared", "texts_of", "unboxed", "written"]
 
 
 def prepared(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -19,6 +19,17 @@ def prepared(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def boxed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id and text as in `prepared`, and all other columns in a struct, where no name can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(*others).alias("row"))
+
+
+def unboxed(df: DataFrame, like: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of `like` from a boxed table, the text as it now is."""
+    return df.select(*(F.col("text").cast(f.dataType).alias(f.name) if f.name == text else F.col(f"row.`{f.name}`").alias(f.name) for f in like.schema.fields))
+
+
 def kept_schema(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     """Columns of `df`, then `fields`; a result replaces an input column of its name."""
     new = {f.name.lower() for f in fields}

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reelspark.llm.common import boxed, prepared, unboxed
+
 SEED, STRIDE = 7, 6
 RUN = SEED + STRIDE - 1
 LEAST = 5
@@ -72,7 +74,7 @@ def agreeing(dt: Column, dv: Column, it: Column, iv: Column, shift: Column, n: C
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """doc_id, text_hash, item_id, n_windows (agreeing pairs of places) for every document that leaks an item."""
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    d = prepared(docs, text, key).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     i = (items.select(F.col(item_key).alias("item_id"), F.col(item_text).cast("string").alias("item")).distinct()
          .select("item_id", tokens(F.col("item")).alias("it"), values(F.col("item")).alias("iv")).withColumn("n", F.least(F.lit(RUN), F.size("it"))).where(F.col("n") >= LEAST))
     short = [r["n"] for r in i.where(F.col("n") < RUN).select("n").distinct().collect()]  # at most RUN - LEAST lengths
@@ -98,8 +100,9 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`docs` without those that leak an item."""
-    bad = leaks(docs, items, text, key).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left_anti")
+    bad = leaks(docs, items, text, key).select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "bad_id", "text_hash": "bad_hash"})
+    rows = boxed(docs, text, key).join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")
+    return unboxed(rows, docs, text)
 
 
 def oracle(least: int = LEAST, run: int = RUN) -> str:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import map_rows, prepared, written
+from reelspark.llm.common import boxed, map_rows, prepared, unboxed, written
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -271,8 +271,8 @@ def one_of_each(docs: DataFrame, least: float = LEAST, text: str = "text", key:
     stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash"))
     rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.when(~stays, "drop").when(F.col("n") > 1, "many").alias("_fate")).where("_fate is not null")
     rows = written(rows, "fates")
-    joined = docs.join(rows, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.unhex(F.md5(F.col(text).cast("string"))) == F.col("_hash")), "left")
-    kept = joined.where("_fate is null").select(*docs.columns)
+    joined = boxed(docs, text, key).join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_hash")), "left")
+    kept = joined.where("_fate is null").select("doc_id", "text", "row")
     if rows.where("_fate = 'many'").limit(1).count():
-        kept = kept.unionAll(joined.where("_fate = 'many'").select(*docs.columns).dropDuplicates([key, text]))
-    return kept
+        kept = kept.unionAll(joined.where("_fate = 'many'").select("doc_id", "text", "row").dropDuplicates(["doc_id", "text"]))
+    return unboxed(kept, docs, text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import map_rows, pieces, texts_of
+from reelspark.llm.common import boxed, map_rows, pieces, texts_of, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -273,14 +273,13 @@ def masked(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: dict, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`docs` with its personal data replaced; null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[text].dataType
 
     def make():
         finder = Finder(shared.value)
-        return lambda texts: {text: [masked(t, s) if s else t for t, s in zip(texts, finder(texts)["spans"], strict=True)]}
+        return lambda texts: {"masked": [masked(t, s) if s else t for t, s in zip(texts, finder(texts)["spans"], strict=True)]}
 
-    whole = map_rows(docs.withColumn("_null", F.col(text).isNull()), text, [T.StructField(text, kind)], make)
-    return whole.withColumn(text, F.when(~F.col("_null"), F.col(text))).select(*docs.columns)
+    rows = map_rows(boxed(docs, text, key), "text", [T.StructField("masked", T.StringType())], make)
+    return unboxed(rows.withColumn("text", F.when(F.col("text").isNotNull(), F.col("masked"))), docs, text)
