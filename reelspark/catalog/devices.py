@@ -31,11 +31,11 @@ SCORE = "CASE lower(sample_format) WHEN 'f32' THEN 9 WHEN 'i24' THEN 8 WHEN 'i16
 
 @query("t3_config_rank", b.with_tables("devices", f"""
   o AS (SELECT host_id, position, channels, {SCORE} AS score, row_number() OVER (PARTITION BY host_id ORDER BY {SCORE} DESC, channels DESC, position) AS rn FROM devices WHERE share_mode = 'exclusive')
-  SELECT host_id, position, channels, score, rn::INTEGER AS rn FROM o WHERE rn <= 3"""))
+  SELECT host_id, position, channels, score, rn::INTEGER AS rn FROM o"""))
 def t3(spark, sf):
     f = F.lower("sample_format")
     score = F.when(f == "f32", 9).when(f == "i24", 8).when(f == "i16", 7).when(f == "i32", 6).otherwise(0)
-    return op.rank_configurations(b.devices(spark, sf).where("share_mode = 'exclusive'"), score, True, 3).select("host_id", "position", "channels", "score", "rn")
+    return op.rank_configurations(b.devices(spark, sf).where("share_mode = 'exclusive'"), score, True).select("host_id", "position", "channels", "score", "rn")
 
 
 @query("t4_preferred_format", b.with_tables("devices", """
@@ -111,12 +111,12 @@ def s12(spark, sf):
 
 
 @query("j7_missing_configurations", b.with_tables("devices", """
-  c AS (SELECT r AS rate, ch AS channel FROM (VALUES (44100), (48000), (96000)) a(r), (VALUES (2), (4)) b(ch)),
+  c AS (SELECT r AS rate, ch AS channel FROM (VALUES (44100), (48000), (96000)) a(r), (VALUES (2), (4), (6)) b(ch)),
   h AS (SELECT DISTINCT host_id FROM devices)
-  SELECT host_id, rate::BIGINT AS rate, channel::BIGINT AS channel FROM h, c WHERE NOT EXISTS (SELECT 1 FROM devices d WHERE d.host_id = h.host_id AND position % 5 = 3 AND min_sample_rate <= rate AND max_sample_rate >= rate AND channels >= channel)"""))
+  SELECT host_id, rate::BIGINT AS rate, channel::BIGINT AS channel FROM h, c WHERE NOT EXISTS (SELECT 1 FROM devices d WHERE d.host_id = h.host_id AND min_sample_rate <= rate AND max_sample_rate >= rate AND channels >= channel)"""))
 def j7(spark, sf):
     d = b.devices(spark, sf)
-    return op.missing_cells(d.where("position % 5 = 3"), d.select("host_id").distinct(), (2, 4))
+    return op.missing_cells(d, d.select("host_id").distinct(), (2, 4, 6))
 
 
 @query("j9_required_matrix", b.with_tables("devices", """

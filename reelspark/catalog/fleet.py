@@ -21,7 +21,7 @@ RUN_SQL = """
      CASE WHEN o_orderkey % 8 <> 2 THEN 10 + o_orderkey % 5 * 10 END AS min_seconds, CASE WHEN o_orderkey % 8 = 2 THEN o_orderkey % 11 END AS min_hours,
      o_orderkey % 4 <> 3 AS export, CASE WHEN o_orderkey % 29 = 0 THEN 'r-' || o_orderkey || '-1' END AS report, CASE WHEN o_orderkey % 8 = 7 THEN o_orderkey - CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END END AS bound_to,
      o_orderkey % 3 = 0 AS production_eligible, 'rf64' AS container FROM orders),
-  li2 AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, sum(l_quantity) AS sq, min(l_suppkey) AS sk FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+  li2 AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, sum(l_quantity) AS sq, min(l_suppkey) AS sk FROM lineitem GROUP BY ALL),
   rp AS (SELECT 'r-' || k || '-' || n AS path, (k // 8) % 40 AS qualification_id, k AS run_id,
      CASE WHEN n = 2 AND k % 5 = 0 THEN 'short' ELSE ['inventory', 'short', 'soak', 'unplug', 'replug', 'disk-full', 'recover', 'inspect'][k % 8 + 1] END AS mode,
      CASE WHEN q < 5 THEN 'FAIL' ELSE 'PASS' END AS overall, sk % 10 AS session_id, 'd' || (sk % 10) AS session_dir,
@@ -56,7 +56,7 @@ def runs(spark, sf):
 
 def reports(spark, sf):
     k = C("k")
-    li = b.table(spark, sf, "lineitem").where("l_linenumber <= 2").groupBy(C("l_orderkey").alias("k"), C("l_linenumber").alias("n")).agg(
+    li = b.table(spark, sf, "lineitem").groupBy(C("l_orderkey").alias("k"), C("l_linenumber").alias("n")).agg(
         F.min("l_quantity").alias("q"), F.sum("l_quantity").alias("sq"), F.min("l_suppkey").alias("sk"))
     rate, depth, ch = _formats(k)
     return li.select(

@@ -108,11 +108,11 @@ def f10(spark, sf):
   WITH x AS (SELECT o_orderkey, (floor(o_totalprice)::BIGINT * 30000) AS available,
                     (CASE o_orderkey % 3 WHEN 0 THEN 44100 WHEN 1 THEN 48000 ELSE 96000 END) * (o_orderkey % 2 + 1)
                     * (CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 END) AS bps FROM orders),
-  y AS (SELECT *, greatest(1073741824, bps * 1800) AS critical, greatest(5368709120, bps * 14400) AS warning, greatest(2147483648, bps * 7200) AS startup FROM x WHERE bps IS NOT NULL)
+  y AS (SELECT *, greatest(1073741824, bps * 1800) AS critical, greatest(5368709120, bps * 14400) AS warning, greatest(2147483648, bps * 7200) AS startup FROM x)
   SELECT o_orderkey, bps::BIGINT AS bytes_per_second,
-         CASE WHEN available <= critical THEN 'critical' WHEN available <= warning THEN 'warning' ELSE 'healthy' END AS status,
-         available >= startup AS can_start, startup::BIGINT AS startup_required_bytes, (available // bps)::BIGINT AS remaining_recording_seconds,
-         (greatest(0, available - critical) // bps)::BIGINT AS safe_recording_seconds
+         CASE WHEN bps IS NULL THEN NULL WHEN available <= critical THEN 'critical' WHEN available <= warning THEN 'warning' ELSE 'healthy' END AS status,
+         CASE WHEN bps IS NOT NULL THEN available >= startup END AS can_start, CASE WHEN bps IS NOT NULL THEN startup::BIGINT END AS startup_required_bytes, (available // bps)::BIGINT AS remaining_recording_seconds,
+         CASE WHEN bps IS NOT NULL THEN (greatest(0, available - critical) // bps)::BIGINT END AS safe_recording_seconds
   FROM y""")
 def f11(spark, sf):
     o = b.table(spark, sf, "orders")
@@ -120,8 +120,8 @@ def f11(spark, sf):
     rate = F.when(key % 3 == 0, 44100).when(key % 3 == 1, 48000).otherwise(96000)
     depth = F.when(key % 5 == 0, 16).when(key % 5 == 1, 24).when(key % 5 == 2, 32).otherwise(20)
     o = o.select("o_orderkey", (F.floor("o_totalprice").cast("long") * 30000).alias("available"),
-                 storage.bytes_per_second(rate.cast("long"), key % 2 + 1, depth).alias("bps")).where("bps is not null")
-    r = storage.storage_report(C("available"), C("bps"))
+                 storage.bytes_per_second(rate.cast("long"), key % 2 + 1, depth).alias("bps"))
+    r = F.when(C("bps").isNotNull(), storage.storage_report(C("available"), C("bps")))  # a depth without a rate has no report
     return o.select("o_orderkey", C("bps").alias("bytes_per_second"), r.alias("r")).select(
         "o_orderkey", "bytes_per_second", "r.status", "r.can_start", "r.startup_required_bytes",
         "r.remaining_recording_seconds", "r.safe_recording_seconds")

@@ -103,7 +103,7 @@ def s3(spark, sf):
     return src.plain_items(src.script_lines(files(spark, sf)))
 
 
-@query("w20_duplicate_item_id", oracle("SELECT script_id, d AS delimiter, line_no::INTEGER AS line_no, item_id FROM rw WHERE dup AND d = ','"))
+@query("w20_duplicate_item_id", oracle("SELECT script_id, d AS delimiter, line_no::INTEGER AS line_no, item_id FROM rw WHERE dup"))
 def w20(spark, sf):
     rows = src.parsed_rows(src.script_lines(files(spark, sf)))
-    return rows.where("delimiter = ',' AND first_line < line_no").select("script_id", "delimiter", "line_no", "item_id")
+    return rows.where("first_line < line_no").select("script_id", "delimiter", "line_no", "item_id")

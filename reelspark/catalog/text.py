@@ -15,10 +15,11 @@ C = F.col
 LOG_SQL = """
   raw AS (SELECT session_id AS store, seq, k, phase, value, CASE WHEN k = 7 THEN '{"seq":' ELSE '{"seq":' || CASE WHEN k = 8 THEN '0' WHEN k = 9 THEN '"x"' ELSE seq::VARCHAR END || ',"ts":"' || CASE WHEN k = 10 THEN ' ' ELSE 't' || seq END
      || '","level":"' || CASE phase WHEN 'error' THEN 'error' WHEN 'view' THEN 'warn' WHEN 'click' THEN 'trace' ELSE 'debug' END || '","category":"' || CASE WHEN k % 5 = 0 THEN '' ELSE repeat('c', k) END
-     || '","event":"' || CASE WHEN k = 11 THEN ' ' ELSE phase END || '","message":"' || CASE WHEN k = 12 THEN repeat('m', 2100) ELSE 'value ' || k END || '"' || CASE WHEN k % 4 = 0 THEN ',"session_id":" s' || session_id || ' "' ELSE '' END
+     || '","event":"' || CASE WHEN k = 11 THEN ' ' ELSE phase END || '","message":"' || CASE WHEN k = 12 THEN repeat('m', 2100) || ' value 3' ELSE 'value ' || k END || '"' || CASE WHEN k % 4 = 0 THEN ',"session_id":" s' || session_id || ' "' ELSE '' END
      || CASE WHEN k % 3 = 0 THEN ',"data":{"k":' || k || '}' WHEN k % 3 = 1 THEN ',"data":[1]' ELSE ',"data":{}' END || '}' END AS text FROM telemetry),
   logs AS (SELECT store, seq, 't' || seq AS ts, CASE phase WHEN 'error' THEN 'error' WHEN 'view' THEN 'warn' WHEN 'click' THEN 'info' ELSE 'debug' END AS level, 'ui' AS source,
-     CASE WHEN k % 5 = 0 THEN 'app' ELSE left(repeat('c', k), 40) END AS category, phase AS event, CASE WHEN k = 12 THEN repeat('m', 2000) || '…[truncated 100]' ELSE 'value ' || k END AS message,
+     CASE WHEN k % 5 = 0 THEN 'app' ELSE left(repeat('c', k), 40) END AS category, phase AS event, CASE WHEN k = 12 THEN repeat('m', 2000) || '…[truncated 108]' ELSE 'value ' || k END AS message,
+     CASE WHEN k % 5 = 0 THEN 'app' ELSE repeat('c', k) END AS full_category, phase AS full_event, CASE WHEN k = 12 THEN repeat('m', 2100) || ' value 3' ELSE 'value ' || k END AS full_message,
      CASE WHEN k % 4 = 0 THEN 's' || store END AS session_id, CASE WHEN k % 3 = 0 THEN '{"k":' || k || '}' WHEN k % 3 = 2 THEN '{}' END AS data
      FROM raw WHERE k NOT BETWEEN 7 AND 11 AND seq > 0)"""
 
@@ -31,7 +32,7 @@ def log_lines(spark, sf):
         F.lit('{"seq":'), F.when(k == 8, "0").when(k == 9, '"x"').otherwise(seq), F.lit(',"ts":"'), F.when(k == 10, " ").otherwise(F.concat(F.lit("t"), seq)),
         F.lit('","level":"'), level, F.lit('","category":"'), F.when(k % 5 == 0, "").otherwise(F.repeat(F.lit("c"), k)),
         F.lit('","event":"'), F.when(k == 11, " ").otherwise(C("phase")), F.lit('","message":"'),
-        F.when(k == 12, F.repeat(F.lit("m"), F.lit(2100))).otherwise(F.concat(F.lit("value "), k.cast("string"))), F.lit('"'),
+        F.when(k == 12, F.concat(F.repeat(F.lit("m"), F.lit(2100)), F.lit(" value 3"))).otherwise(F.concat(F.lit("value "), k.cast("string"))), F.lit('"'),
         F.when(k % 4 == 0, F.concat(F.lit(',"session_id":" s'), C("session_id").cast("string"), F.lit(' "'))).otherwise(""),
         F.when(k % 3 == 0, F.concat(F.lit(',"data":{"k":'), k.cast("string"), F.lit("}"))).when(k % 3 == 1, ',"data":[1]').otherwise(',"data":{}'), F.lit("}"))
     return e.select(C("session_id").alias("store"), F.when(k == 7, '{"seq":').otherwise(text).alias("text"))
@@ -51,7 +52,7 @@ def s11(spark, sf):
 
 
 @query("p9_log_search", oracle("""
-  SELECT store, seq FROM logs WHERE level IN ('warn', 'error') AND contains(lower(ts || ' ' || level || ' ' || source || ' ' || category || ' ' || event || ' ' || message || ' ' || coalesce(session_id, '') || ' ' || coalesce(data, '')), 'value 3')"""))
+  SELECT store, seq FROM logs WHERE level IN ('warn', 'error') AND contains(lower(ts || ' ' || level || ' ' || source || ' ' || full_category || ' ' || full_event || ' ' || full_message || ' ' || coalesce(session_id, '') || ' ' || coalesce(data, '')), 'value 3')"""))
 def p9(spark, sf):
     return logs.search(entries(spark, sf), "warn", "Value 3").select("store", "seq")
 
@@ -166,11 +167,11 @@ def p16(spark, sf):
 
 
 @query("p20_warning_split", """
-  SELECT doc_id, (doc_id % 3 > 0)::INTEGER AS benign, (CASE WHEN length(trim(left(text, doc_id % 2))) > 0 THEN 1 ELSE 0 END + 1)::INTEGER AS serious FROM documents""")
+  SELECT doc_id, (doc_id % 3 > 0)::INTEGER AS benign, (CASE WHEN length(trim(text)) > 0 THEN 1 ELSE 0 END + 1)::INTEGER AS serious FROM documents""")
 def p20(spark, sf):
     d = b.table(spark, sf, "documents")
     seq = F.when(C("doc_id") % 3 > 0, "journal_seq=4").otherwise("seq=4")
-    ws = F.array(F.concat(F.lit(t.REPLAYED_SNAPSHOT + " "), seq), F.expr("left(text, doc_id % 2)"), F.when(C("doc_id") % 3 > 0, "disk").otherwise(" "))
+    ws = F.array(F.concat(F.lit(t.REPLAYED_SNAPSHOT + " "), seq), C("text"), F.when(C("doc_id") % 3 > 0, "disk").otherwise(" "))
     return d.select("doc_id", t.split_warnings(ws).alias("w")).select("doc_id", F.size("w.benign").alias("benign"), F.size("w.serious").alias("serious"))
 
 

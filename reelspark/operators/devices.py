@@ -37,11 +37,12 @@ def config_match(rate: Column, channel: Column, mode: Column) -> Column:
     return mode_ok & (C("min_sample_rate") <= rate) & (C("max_sample_rate") >= rate) & (C("channels") >= channel)
 
 
-def rank_configurations(configs: DataFrame, score: Column, exclusive: bool, top: int) -> DataFrame:
-    """The best configurations per host: format score, in exclusive mode then channels."""
+def rank_configurations(configs: DataFrame, score: Column, exclusive: bool, top: int | None = None) -> DataFrame:
+    """Configurations ranked per host: format score, in exclusive mode then channels; with ``top`` only the best."""
     order = [F.desc("score"), *([F.desc("channels")] if exclusive else []), F.asc("position")]
     w = Window.partitionBy("host_id").orderBy(*order)
-    return configs.withColumn("score", score).withColumn("rn", F.row_number().over(w)).where(C("rn") <= top)
+    ranked = configs.withColumn("score", score).withColumn("rn", F.row_number().over(w))
+    return ranked if top is None else ranked.where(C("rn") <= top)
 
 
 def preferred_format(configs: DataFrame) -> DataFrame:

@@ -38,11 +38,13 @@ def chunk_width(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder all executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as in
-    tests, a local folder takes its place.
+    The cluster names it in spark.checkpoint.dir; only where that is unset and Spark runs
+    on this machine alone, as in tests, a local folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

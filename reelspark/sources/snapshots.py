@@ -17,7 +17,6 @@ GENERATIONS = (
     ("items.snapshot.json", 30), ("items.snapshot.tmp", 20), ("items.snapshot.prev", 10), ("items.snapshot.backup", 9),
     ("items.snapshot.json.prev", 10), ("items.snapshot.json.backup", 9), ("items.snapshot.json.bak", 8))
 JOURNAL_PRIORITY = 40
-SNAPSHOT_CAP, JOURNAL_CAP = 64 * 1024 * 1024, 128 * 1024 * 1024
 
 
 def _all(checks: list[Column]) -> Column:
@@ -135,12 +134,19 @@ def journal_events(lines: DataFrame) -> DataFrame:
     return rows.where("journal_seq = event_seq").drop("event_seq")
 
 
+def folder_of(path: Column) -> Column:
+    """Recording folder of a metadata file, written alike whichever reader gave the path.
+
+    Readers differ in local paths only (``file:/x``, ``file:///x``, ``/x``); other stores keep their scheme.
+    """
+    return F.regexp_extract(F.regexp_replace(path, r"^file:/*(?=/)", ""), r"^(.*)/metadata/[^/]+$", 1)
+
+
 def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
-    """Snapshot generations below ``root``; only files within the size cap are opened."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "items.snapshot.*")
-             .load(root).where(C("length") <= SNAPSHOT_CAP))
+    """Snapshot generations below ``root``, whatever their size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "items.snapshot.*").load(root)
     return files.select(
-        F.regexp_extract("path", r"^(.*)/metadata/[^/]+$", 1).alias("session_dir"), F.element_at(F.split("path", "/"), -1).alias("name"),
+        folder_of(C("path")).alias("session_dir"), F.element_at(F.split("path", "/"), -1).alias("name"),
         C("modificationTime").alias("modified_at"), F.decode("content", "UTF-8").alias("text"))
 
 
@@ -148,11 +154,10 @@ def read_journals(spark: SparkSession, root: str) -> DataFrame:
     """Journal lines below ``root``, split by Spark, never a whole file in one row.
 
     A line's order is its split's byte offset, then its place within the split: the row
-    part of the generated id counts up while one task reads the split.
+    part of the generated id counts up while one task reads the split. Both fit a decimal
+    for files of any length.
     """
     lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "events.jsonl").text(root)
-             .select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_block_start", "_metadata.file_size",
-                     F.monotonically_increasing_id().alias("row")))
-    return lines.where(C("file_size") <= JOURNAL_CAP).select(
-        F.regexp_extract("file_path", r"^(?:file:)?(.*)/metadata/[^/]+$", 1).alias("session_dir"),
-        (F.shiftleft(C("file_block_start"), 33) + C("row").bitwiseAND(F.lit(0x1_FFFF_FFFF))).alias("line_no"), C("file_modification_time").alias("modified_at"), C("value").alias("text"))
+             .select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
+    place = C("file_block_start").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + C("row").bitwiseAND(F.lit(0x1_FFFF_FFFF)).cast("decimal(10,0)")
+    return lines.select(folder_of(C("file_path")).alias("session_dir"), place.cast("decimal(31,0)").alias("line_no"), C("file_modification_time").alias("modified_at"), C("value").alias("text"))
