@@ -72,31 +72,36 @@ def k4(spark, sf):
     return fleet.manifest(p.select(F.when(C("page_id") % 40 == 1, "twice").otherwise(F.concat(F.lit("p/"), C("page_id").cast("string"))).alias("path"), C("html").cast("binary").alias("content")))
 
 
-# --- cuts: ten takes per label on the contiguous blocks ----------------------------------
+# --- cuts: a take at every fifth block, some empty, the last ones beyond the audio ---------
 
 CUTS = """
   bl AS (SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1) * 64 AS bs, samples FROM blocks),
-  tk AS (SELECT DISTINCT session_id, i AS item_id, i * 300 + 10 AS s, i * 310 + 160 AS e FROM blocks, (SELECT unnest(range(0, 12)) AS i)),
+  tk AS (SELECT session_id, bs // 320 AS item_id, bs + 10 AS s, bs + CASE WHEN bs // 320 % 7 = 3 THEN 10 ELSE 160 + bs // 320 % 50 * 10 END AS e FROM bl WHERE bs % 320 = 0),
   sm AS (SELECT session_id, bs + i AS p, v FROM (SELECT session_id, bs, unnest(range(0, 64)) AS i, unnest(samples)::DOUBLE AS v FROM bl)),
-  ct AS (SELECT tk.session_id, item_id, s, e, count(*) AS frames, round(sum(v), 6) AS total FROM tk JOIN sm ON sm.session_id = tk.session_id AND p >= s AND p < e GROUP BY ALL)"""
+  ct AS (SELECT tk.session_id, item_id, s, e, count(v) AS frames, round(sum(v), 6) AS total FROM tk LEFT JOIN sm ON sm.session_id = tk.session_id AND p >= s AND p < e GROUP BY ALL)"""
 
 
-def cut_takes(spark, sf):
-    s = b.blocks(spark, sf).select("session_id").distinct()
-    t = s.select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("item_id"))
-    return t.select("*", (C("item_id") * 300 + 10).alias("start_sample"), (C("item_id") * 310 + 160).alias("end_sample"))
+def cut_inputs(spark, sf):
+    """Contiguous blocks and the takes to cut from them."""
+    blocks = tl.contiguous_blocks(b.blocks(spark, sf), chunk_width(spark))
+    n = F.floor(C("block_start") / 320).cast("long")
+    end = F.when(n % 7 == 3, 10).otherwise(n % 50 * 10 + 160)
+    takes = blocks.where("block_start % 320 = 0").select("session_id", n.alias("item_id"), (C("block_start") + 10).alias("start_sample"), (C("block_start") + end).alias("end_sample"))
+    return takes, op.cut_parts(takes, blocks, 64)
 
 
-@query("k3_sentence_cuts", b.with_tables("blocks", CUTS + """
-  SELECT session_id, item_id, 'sentences/' || lpad((item_id + 1)::VARCHAR, 6, '0') || '-' || item_id || '.wav' AS file, frames, frames = e - s AS complete, 'riff' AS container, 44 + frames * 3 + frames * 3 % 2 AS file_bytes FROM ct"""))
+@query("k3_sentence_cuts", b.with_tables("blocks", CUTS + """,
+  er AS (SELECT *, CASE WHEN e <= s THEN 'empty_range' WHEN frames <> e - s THEN 'not_covered' END AS error FROM ct)
+  SELECT session_id, item_id, 'sentences/' || lpad((item_id + 1)::VARCHAR, 6, '0') || '-' || item_id || '.wav' AS file, frames, error, CASE WHEN error IS NULL THEN 'riff' END AS container,
+         CASE WHEN error IS NULL THEN 44 + frames * 3 + frames * 3 % 2 END AS file_bytes FROM er"""))
 def k3(spark, sf):
-    parts = op.cut_parts(cut_takes(spark, sf), tl.contiguous_blocks(b.blocks(spark, sf), chunk_width(spark)), 64)
-    return op.cut_totals(parts, ["session_id", "item_id"], 24).withColumn("file", op.sentence_file(C("item_id") + 1, C("item_id")))
+    takes, parts = cut_inputs(spark, sf)
+    return op.cut_totals(takes, parts, ["session_id", "item_id"], 24).withColumn("file", op.sentence_file(C("item_id") + 1, C("item_id")))
 
 
-@query("k3_cut_samples", b.with_tables("blocks", CUTS + " SELECT session_id, item_id, frames, total FROM ct"))
+@query("k3_cut_samples", b.with_tables("blocks", CUTS + " SELECT session_id, item_id, frames, total FROM ct WHERE frames > 0"))
 def k3_samples(spark, sf):
-    parts = op.cut_parts(cut_takes(spark, sf), tl.contiguous_blocks(b.blocks(spark, sf), chunk_width(spark)), 64)
+    _, parts = cut_inputs(spark, sf)
     return parts.groupBy("session_id", "item_id").agg(F.sum(F.size("samples")).alias("frames"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)), 6).alias("total"))
 
 

@@ -361,13 +361,13 @@ C4_CHECKS = [
   a AS (SELECT p.session_id, p.captured_samples, row_number() OVER (PARTITION BY p.session_id ORDER BY p.seq DESC) AS r FROM p JOIN ff USING (session_id) WHERE elapsed_seconds >= fault_elapsed),
   sa AS (SELECT session_id, count(*) >= 2 AND count(DISTINCT captured_samples) = 1 AS stopped FROM a WHERE r <= 3 GROUP BY 1),
   cr AS (SELECT session_id, min(CASE WHEN storage_status = 'critical' THEN elapsed_seconds END) AS ce FROM telemetry GROUP BY 1),
-  facts AS (SELECT ff.session_id, fault_elapsed, fault_kind AS first_kind, stopped, ff.session_id % 2 = 0 AS unplug, 2.0 * 48000 + ff.session_id % 2 - 1 AS cbt, fault_elapsed - 100000 AS sat, fault_elapsed - ce AS sac
-            FROM ff JOIN telemetry t ON t.seq = first_kind_seq JOIN sa ON sa.session_id = ff.session_id JOIN cr ON cr.session_id = ff.session_id) """ + _facts_sql(C4_CHECKS)))
+  facts AS (SELECT cr.session_id, fault_elapsed, fault_kind AS first_kind, stopped, cr.session_id % 2 = 0 AS unplug, 2.0 * 48000 + cr.session_id % 2 - 1 AS cbt, fault_elapsed - 100000 AS sat, fault_elapsed - ce AS sac
+            FROM cr LEFT JOIN ff USING (session_id) LEFT JOIN telemetry t ON t.seq = first_kind_seq LEFT JOIN sa ON sa.session_id = cr.session_id) """ + _facts_sql(C4_CHECKS)))
 def c4(spark, sf):
     t = b.telemetry(spark, sf)
     ff = to.first_fault(t).select("session_id", C("first_fault.elapsed_seconds").alias("fault_elapsed"), C("first_kind.fault_kind").alias("first_kind"))
-    cr = t.where("storage_status = 'critical'").groupBy("session_id").agg(F.min("elapsed_seconds").alias("ce"))
-    f = ff.join(to.stopped_after_fault(t), "session_id").join(cr, "session_id", "left")
+    every = t.groupBy("session_id").agg(F.min(F.when(C("storage_status") == "critical", C("elapsed_seconds"))).alias("ce"))
+    f = every.join(ff, "session_id", "left").join(to.stopped_after_fault(t), "session_id", "left")  # a session without a fault fails its checks
     s = C("session_id")
     f = f.select("*", F.when(s % 2 == 0, "unplug").otherwise("disk-full").alias("mode"), (s % 2 + 95_999).alias("captured_before_trigger"), (C("fault_elapsed") - 100_000).alias("seconds_after_trigger"),
                  (C("fault_elapsed") - C("ce")).alias("seconds_after_critical"), (s % 3 == 0).alias("fault_marker"), F.when(s % 5 > 0, "faulted").otherwise("stopped").alias("status"),

@@ -64,11 +64,14 @@ KIND = """CASE WHEN status = 'faulted' OR overflow_samples > 0 THEN 'attention'
   WHEN pending_items + review_items > 0 THEN 'unfinished' ELSE 'completed' END"""
 PAGE = OVERRIDE + "," + COUNTS + f""",
   dirs AS (SELECT session_dir, max(modified_at) AS m FROM candidates GROUP BY 1 ORDER BY m DESC, session_dir LIMIT 100 OFFSET 20),
-  pg AS (SELECT m.*, coalesce(total_items, 0) AS total_items, coalesce(accepted_items, 0) AS accepted_items, coalesce(skipped_items, 0) AS skipped_items,
-                coalesce(review_items, 0) AS review_items, coalesce(pending_items, 0) AS pending_items
-         FROM marked m LEFT JOIN counts c ON c.session_id = m.session_dir WHERE session_dir IN (SELECT session_dir FROM dirs))
-  SELECT session_dir, session_id, status, {KIND} AS kind,
-         CASE WHEN fault_marker OR status IN ('faulted', 'recording', 'stopping') OR overflow_samples > 0 THEN 'needs_repair' ELSE 'normal' END AS data_health,
+  pg AS (SELECT d.session_dir, coalesce(m.session_id, d.session_dir::VARCHAR) AS session_id, m.session_id IS NULL AS history_issue, coalesce(m.status, 'invalid') AS status,
+                coalesce(m.modified_at, d.m) AS modified_at, m.journal_seq, m.fault_marker, coalesce(m.captured_samples, 0)::BIGINT AS captured_samples, coalesce(m.committed_samples, 0)::BIGINT AS committed_samples,
+                coalesce(m.overflow_samples, 0)::BIGINT AS overflow_samples, CASE WHEN m.session_id IS NULL THEN 0 ELSE coalesce(total_items, 0) END AS total_items,
+                CASE WHEN m.session_id IS NULL THEN 0 ELSE coalesce(accepted_items, 0) END AS accepted_items, CASE WHEN m.session_id IS NULL THEN 0 ELSE coalesce(skipped_items, 0) END AS skipped_items,
+                CASE WHEN m.session_id IS NULL THEN 0 ELSE coalesce(review_items, 0) END AS review_items, CASE WHEN m.session_id IS NULL THEN 0 ELSE coalesce(pending_items, 0) END AS pending_items
+         FROM dirs d LEFT JOIN marked m USING (session_dir) LEFT JOIN counts c ON c.session_id = d.session_dir)
+  SELECT session_dir, session_id, status, CASE WHEN history_issue THEN 'attention' ELSE {KIND} END AS kind, history_issue,
+         CASE WHEN history_issue THEN NULL WHEN fault_marker OR status IN ('faulted', 'recording', 'stopping') OR overflow_samples > 0 THEN 'needs_repair' ELSE 'normal' END AS data_health,
          journal_seq, captured_samples, committed_samples, overflow_samples, modified_at, total_items, accepted_items, skipped_items, review_items, pending_items FROM pg"""
 
 

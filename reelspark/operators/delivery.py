@@ -52,11 +52,13 @@ def cut_parts(takes: DataFrame, blocks: DataFrame, frames_per_block: int) -> Dat
     return j.where(hi > lo).select(*takes.columns, "block", lo.alias("part_start"), part.alias("samples"))
 
 
-def cut_totals(parts: DataFrame, keys: list[str], bit_depth: int) -> DataFrame:
-    """Frames and planned file of every cut, and whether it is complete."""
-    out = parts.groupBy(*keys, "start_sample", "end_sample").agg(F.sum(F.size("samples")).alias("frames"))
-    return out.select("*", (C("frames") == C("end_sample") - C("start_sample")).alias("complete"),
-                      storage.wav_plan(C("frames"), F.lit(1), F.lit(bit_depth)).alias("p")).select(*keys, "frames", "complete", C("p.container").alias("container"), C("p.file_bytes").alias("file_bytes"))
+def cut_totals(takes: DataFrame, parts: DataFrame, keys: list[str], bit_depth: int) -> DataFrame:
+    """Frames and planned file of every take; one that is empty or not covered has an error and no file."""
+    n = parts.groupBy(*keys).agg(F.sum(F.size("samples")).alias("frames"))
+    out = takes.select(*keys, (C("end_sample") - C("start_sample")).alias("wanted")).join(n, keys, "left").withColumn("frames", F.coalesce("frames", F.lit(0).cast("long")))
+    error = F.when(C("wanted") <= 0, "empty_range").when(C("frames") != C("wanted"), "not_covered")
+    out = out.select("*", error.alias("error"), storage.wav_plan(C("frames"), F.lit(1), F.lit(bit_depth)).alias("p"))
+    return out.select(*keys, "frames", "error", *[F.when(C("error").isNull(), C(f"p.{c}")).alias(c) for c in ("container", "file_bytes")])
 
 
 def export_peak(steps: DataFrame, width: int, critical_reserve: int) -> DataFrame:

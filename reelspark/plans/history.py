@@ -33,17 +33,30 @@ def history_page(candidates: DataFrame, markers: DataFrame, items: DataFrame, of
     """One page of history rows, newest first.
 
     Only the page's directories are joined with candidates and items; the page has at
-    most 200 rows, a proven bound for its broadcast.
+    most 200 rows, a proven bound for its broadcast. A directory whose sources name several
+    sessions stays on the page for inspection: no trusted state, status ``invalid``.
     """
     directories = candidates.groupBy("session_dir").agg(F.max("modified_at").alias("modified_at"))
-    page = F.broadcast(page_directories(directories, offset, limit).select("session_dir"))
+    return page_rows(page_directories(directories, offset, limit), candidates, markers, items)
+
+
+def page_rows(directories: DataFrame, candidates: DataFrame, markers: DataFrame, items: DataFrame) -> DataFrame:
+    """History rows of the listed directories (session_dir, modified_at), MAX_LIMIT at most."""
+    listed = F.broadcast(directories.select("session_dir", C("modified_at").alias("listed_at")))
+    page = listed.select("session_dir")
     latest = sessions.latest_snapshot(candidates.join(page, "session_dir", "left_semi"))
     marked = sessions.fault_override(latest, markers.join(page, "session_dir", "left_semi"))
     counts = sessions.item_counts(items.join(page.withColumnRenamed("session_dir", "session_id"), "session_id", "left_semi"))
     counts = counts.withColumnRenamed("session_id", "session_dir")
-    rows = marked.join(counts, "session_dir", "left").fillna(0, [f"{s}_items" for s in ("total", *sessions.STATUSES)])
-    rows = rows.withColumn("is_active", F.lit(False)).withColumn("history_issue", F.lit(False))
-    rows = rows.withColumn("kind", rules.session_kind()).withColumn("data_health", rules.data_health())
+    found = listed.join(marked.join(counts, "session_dir", "left"), "session_dir", "left")
+    issue = C("session_id").isNull()
+    zero = ["captured_samples", "committed_samples", "overflow_samples", *[f"{s}_items" for s in ("total", *sessions.STATUSES)]]
+    rows = found.select(
+        "session_dir", F.coalesce("session_id", F.element_at(F.split(C("session_dir").cast("string"), "/"), -1)).alias("session_id"), issue.alias("history_issue"),
+        F.coalesce("status", F.lit("invalid")).alias("status"), F.coalesce("modified_at", "listed_at").alias("modified_at"), "journal_seq", F.coalesce("fault_marker", F.lit(False)).alias("fault_marker"),
+        *[F.when(~issue, F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c) for c in zero])
+    rows = rows.withColumn("is_active", F.lit(False))
+    rows = rows.withColumn("kind", rules.session_kind()).withColumn("data_health", F.when(~C("history_issue"), rules.data_health()))
     return rows.select(
-        "session_dir", "session_id", "status", "kind", "data_health", "journal_seq", "captured_samples", "committed_samples",
+        "session_dir", "session_id", "status", "kind", "data_health", "history_issue", "journal_seq", "captured_samples", "committed_samples",
         "overflow_samples", "modified_at", "total_items", *[f"{s}_items" for s in sessions.STATUSES]).orderBy(F.desc("modified_at"), "session_dir")

@@ -38,7 +38,8 @@ def run_to_end(spark: SparkSession, stream: DataFrame, step: Step, states: list[
     return spark.read.parquet(f"{root}/rows").drop("batch")
 
 
-def latest_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+def latest_rows(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """Newest emitted row per key."""
-    others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*")
+    keys = [key] if isinstance(key, str) else key
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("r")).select(*keys, "r.*")

@@ -10,7 +10,7 @@ from reelspark.functions import samples
 from reelspark.operators import gates, telemetry, timeline
 from reelspark.streaming import carry, live
 
-SCHEMA = "session_id long, seq long, block_start long, block_end long, is_speech boolean, armed long, required long, enforce boolean"
+SCHEMA = "session_id long, take_id long, seq long, block_start long, block_end long, is_speech boolean, armed long, required long, enforce boolean"
 
 
 def random_takes(n, seed=1):
@@ -19,7 +19,7 @@ def random_takes(n, seed=1):
         at, armed, required, enforce = 0, r.choice([0, 100, 700]), r.choice([0, 100, 300, 900]), r.random() < 0.5
         for i in range(r.randint(1, 25)):
             size = r.choice([50, 100, 100, 160])
-            rows.append((s, i, at, at + size, r.random() < 0.3, armed, required, enforce))
+            rows.append((s // 2, s % 2, i, at, at + size, r.random() < 0.3, armed, required, enforce))
             at += size
     return rows
 
@@ -27,8 +27,8 @@ def random_takes(n, seed=1):
 def replay(rows):
     """Event by event: the rules as stated, one block after the other."""
     out = {}
-    for s, _, start, end, speech, armed, required, enforce in rows:
-        t = out.setdefault(s, {"phase": "waiting_for_head_silence", "progress": 0, "passed": 0, "first": 0, "last": 0})
+    for s, take, _, start, end, speech, armed, required, enforce in rows:
+        t = out.setdefault((s, take), {"phase": "waiting_for_head_silence", "progress": 0, "passed": 0, "first": 0, "last": 0})
         waiting = t["phase"] == "waiting_for_head_silence"
         if speech and end > armed and not (enforce and waiting):
             t["first"] = t["first"] or max(start, armed, 1)
@@ -44,7 +44,7 @@ def replay(rows):
 
 
 def as_dict(df):
-    return {r.session_id: (r.phase, r.passed_sample, r.content_started_sample, r.last_signal_sample) for r in df.collect()}
+    return {(r.session_id, r.take_id): (r.phase, r.passed_sample, r.content_started_sample, r.last_signal_sample) for r in df.collect()}
 
 
 @pytest.mark.parametrize("width", [2, 1000])
@@ -54,14 +54,14 @@ def test_gate_equals_replay(spark, width):
 
 
 def test_gate_stream_equals_replay(spark, tmp_path):
-    rows = sorted(random_takes(40, seed=3), key=lambda r: r[1])
+    rows = sorted(random_takes(40, seed=3), key=lambda r: r[2])
     folder = tmp_path / "blocks.parquet"
     for lo, hi in ((0, 3), (3, 9), (9, 99)):  # one file, one micro-batch, each
-        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        spark.createDataFrame([r for r in rows if lo <= r[2] < hi], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
     out = carry.run_to_end(spark, stream, live.head_silence(4), ["run", "gate"])
-    assert out.groupBy("session_id").count().agg(F.max("count")).first()[0] > 1
-    assert as_dict(carry.latest_rows(out, "session_id", "seq")) == replay(sorted(rows))
+    assert out.groupBy("session_id", "take_id").count().agg(F.max("count")).first()[0] > 1
+    assert as_dict(carry.latest_rows(out, ["session_id", "take_id"], "seq")) == replay(sorted(rows))
 
 
 def test_fault_latch_stream(spark, tmp_path):
@@ -74,14 +74,16 @@ def test_fault_latch_stream(spark, tmp_path):
     assert {r.session_id: r.fault_seq for r in carry.latest_rows(out, "session_id", "seq").collect()} == {1: 1, 2: None}
 
 
-def test_unanswered_request_times_out(spark, tmp_path):
+def test_request_without_answer_times_out(spark, tmp_path):
     q, r = tmp_path / "q.parquet", tmp_path / "r.parquet"
     at = "timestamp_seconds(s + 1700000000) AS at"
     for df, path in (([("a", 1, 0), ("b", 2, 10), ("z", 9, 999_999)], q), ([("a", 5, 30), ("z", 8, 999_999)], r)):
         spark.createDataFrame(df, "request_id string, seq long, s long").selectExpr("request_id", "seq", at).coalesce(1).write.parquet(str(path))
     read = lambda p: spark.readStream.schema("request_id string, seq long, at timestamp").parquet(str(p))
-    rows = live.drain(spark, live.unanswered(read(q), read(r), "60 seconds")).collect()
-    assert {(x.request_id, x.response_seq) for x in rows} == {("a", 5), ("b", None)}
+    told = live.drain(spark, live.answers(read(q), read(r), "60 seconds"))
+    assert {(x.request_id, x.response_seq) for x in told.collect()} == {("a", 5), ("b", None)}
+    rows = live.settled(told, spark.read.parquet(str(q))).collect()
+    assert {(x.request_id, x.response_seq, x.timed_out) for x in rows} == {("a", 5, False), ("b", None, True), ("z", None, True)}
 
 
 def test_speech_bounds(spark):
