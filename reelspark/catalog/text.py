@@ -102,22 +102,28 @@ def p17(spark, sf):
 
 
 @query("p18_redact_keys", r"""
-  SELECT doc_id, '{"source":"' || source || '","api_token":"[Filtered]","session_id":"[Filtered]","mytext":"' || lang || '","note":"in [LocalPath] now"}' AS data FROM documents""")
+  SELECT doc_id, '{"api_token":"[Filtered]","at":' || doc_id || ',"list":["in [LocalPath] now",{"deep":[{"password":"[Filtered]","path":"[LocalPath]"}],"ok":true},null],"mytext":"' || lang
+     || '","nested":{"secret":"[Filtered]","token":"[Filtered]"},"session_id":"[Filtered]","source":"' || source || '"}' AS data FROM documents""")
 def p18(spark, sf):
     d = b.table(spark, sf, "documents")
-    raw = F.concat(F.lit('{"source":"'), C("source"), F.lit('","api_token":"x'), C("doc_id").cast("string"), F.lit('","session_id":"s1","mytext":"'), C("lang"),
-                   F.lit('","note":"in /tmp/a/b now"}'))
-    return d.select("doc_id", F.to_json(t.redact_map(F.from_json(raw, "map<string,string>"))).alias("data"))
+    key = C("doc_id").cast("string")
+    raw = F.concat(F.lit('{"source":"'), C("source"), F.lit('","api_token":"x'), key, F.lit('","session_id":"s1","mytext":"'), C("lang"), F.lit('","at":'), key,
+                   F.lit(',"nested":{"token":"S"  ,"secret":{"a":[1,'), key, F.lit(']}},"list":["in /tmp/a/b now",{"deep":[{"password":"P","path":"/tmp/f'), key, F.lit('"}],"ok":true},null]}'))
+    return d.select("doc_id", F.to_json(t.redact_value(F.parse_json(raw))).alias("data"))
 
 
 @query("p19_summarise_payload", """
-  SELECT doc_id, length(text) AS chars, left(text, 240) || CASE WHEN length(text) > 240 THEN '…[truncated ' || (length(text) - 240) || ']' ELSE '' END AS body, 3 AS items FROM documents""")
+  SELECT doc_id, length(text) AS chars, left(text, 240) || CASE WHEN length(text) > 240 THEN '…[truncated ' || (length(text) - 240) || ']' ELSE '' END AS body, 3 AS items,
+         '[' || left(text, 20) AS note, '{"content":"[omitted]","deep":{"deeper":{"deepest":"[Nested]"}},"many":{"length":15,"preview":[0,1,2,3,4,5,6,7]},"n":' || doc_id || ',"none":null}' AS nested FROM documents""")
 def p19(spark, sf):
     d = b.table(spark, sf, "documents")
-    m = t.summarise_map(F.create_map(F.lit("text"), C("text"), F.lit("body"), C("text"), F.lit("items"), F.lit("[1,2,3]")))
-    return d.select("doc_id", m.alias("m")).select(
-        "doc_id", F.get_json_object(C("m")["text"], "$.chars").cast("long").alias("chars"), C("m")["body"].alias("body"),
-        F.get_json_object(C("m")["items"], "$.length").cast("int").alias("items"))
+    nested = F.concat(F.lit('{"content":{"a":1},"deep":{"deeper":{"deepest":{"x":[1]}}},"many":[0,1,2,3,4,5,6,7,8,9,10,11,12,13,14],"none":null,"n":'), C("doc_id").cast("string"), F.lit("}"))
+    doc = F.to_json(F.struct("text", C("text").alias("body"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("items"), F.concat(F.lit("["), F.left("text", F.lit(20))).alias("note")))
+    whole = F.concat(F.expr("left(doc, length(doc) - 1)"), F.lit(',"nested":'), nested, F.lit("}"))
+    m = d.select("doc_id", doc.alias("doc")).select("doc_id", t.summarise_value(F.parse_json(whole)).alias("m"))
+    get = lambda path, kind: F.try_variant_get("m", path, kind)
+    return m.select("doc_id", get("$.text.chars", "long").alias("chars"), get("$.body", "string").alias("body"), get("$.items.length", "int").alias("items"),
+                    get("$.note", "string").alias("note"), F.to_json(get("$.nested", "variant")).alias("nested"))
 
 
 @query("f25_text_clamp", """

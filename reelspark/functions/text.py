@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ FAULT_TITLES = {
 }
 OTHER_FAULT_TITLE = "音频采集已触发数据保护"
 QUIET_COMMANDS = ("get_state", "get_state_optional", "hello", "dev_feed_pcm")
-# Error classes, first match wins.
+# Error classes, first match wins.
 ERROR_RULES = (
     (r"(?i)0x8889000[aA]|声卡正被其他程序独占使用|DEVICE_IN_USE", "exclusive_busy"),
     (r"(?i)0x8889000[eE]|系统策略不允许该设备使用独占|EXCLUSIVE_MODE_NOT_ALLOWED", "exclusive_policy"),
@@ -34,6 +36,7 @@ REPLAYED_SNAPSHOT, REPLAYED_SEQ = "最终快照不可用或不是最新", "journ
 LEVELS = ("debug", "info", "warn", "error")
 SOURCES = ("ui", "main", "engine", "ipc")
 CATEGORY_CAP, EVENT_CAP, MESSAGE_CAP, TEXT_CAP = 40, 80, 2000, 240
+ARRAY_CAP, PREVIEW, DEPTH_CAP = 12, 8, 4
 FILTERED = "[Filtered]"
 
 
@@ -49,19 +52,58 @@ def redact(x: Column) -> Column:
     return F.regexp_replace(x, POSIX_PATH, "$1[LocalPath]")
 
 
-def redact_map(m: Column) -> Column:
-    """Masks the values of sensitive keys of one level, redacts the others."""
-    return F.transform_values(m, lambda k, v: F.when(k.rlike(SENSITIVE_KEY), F.lit(FILTERED)).otherwise(redact(v)))
+def _string(x: Column) -> Column:
+    return x.cast("variant")
+
+
+def _walk(v: Column, inner: Callable[[Column, Column], Column], rebuilt: Callable[[Column, Column], Column]) -> Column:
+    """A container with ``inner(key, value)`` in place of each value; elements of an array have the key ''.
+
+    Objects and arrays share one expression, so that nesting it makes the plan grow by one step a level.
+    """
+    array = F.schema_of_variant(v).startswith("ARRAY")
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit("").alias("key"), x.alias("value")))
+    entries = F.when(array, listed).otherwise(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")))
+    done = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), inner(e["key"], e["value"]).alias("value")))
+    return F.get(F.transform(F.array(done), lambda x: rebuilt(array, x)), 0)  # bound to a name: written out, it would double at every level
+
+
+def _container(array: Column, entries: Column) -> Column:
+    return F.when(array, F.to_variant_object(F.transform(entries, lambda e: e["value"]))).otherwise(F.to_variant_object(F.map_from_entries(entries)))
+
+
+def redact_value(v: Column, levels: int = 6) -> Column:
+    """Masks the values of sensitive keys at any level of a VARIANT and redacts all other strings.
+
+    What lies deeper than ``levels`` containers is masked whole, so nothing passes unseen.
+    """
+    def inner(key: Column, value: Column, left: int) -> Column:
+        kind = F.schema_of_variant(value)
+        nested = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), _walk(value, lambda k, x: inner(k, x, left - 1), _container) if left else _string(F.lit(FILTERED)))
+        return F.when(key.rlike(SENSITIVE_KEY), _string(F.lit(FILTERED))).when(kind == "STRING", _string(redact(F.try_variant_get(value, "$", "string")))).otherwise(F.coalesce(nested, value))
+
+    return inner(F.lit(""), v, levels)
+
+
+def summarise_value(v: Column) -> Column:
+    """A VARIANT cut for the log: bulky fields become their size, strings are cut at TEXT_CAP, arrays of more than
+    ARRAY_CAP elements become their length and a preview, containers below DEPTH_CAP levels a mark."""
+    def inner(key: Column, value: Column, depth: int) -> Column:
+        kind = F.schema_of_variant(value)
+        is_array, text = kind.startswith("ARRAY"), F.try_variant_get(value, "$", "string")
+        n = F.size(F.try_variant_get(value, "$", "array<variant>"))
+        bulky = (F.when(is_array, F.to_variant_object(F.struct(n.alias("length")))).when(kind == "STRING", F.to_variant_object(F.struct(F.length(text).alias("chars"))))
+                 .otherwise(_string(F.lit("[omitted]"))))
 
+        def rebuilt(array: Column, entries: Column) -> Column:
+            preview = F.transform(F.slice(entries, 1, PREVIEW), lambda e: e["value"])
+            return F.when(array & (n > ARRAY_CAP), F.to_variant_object(F.struct(n.alias("length"), preview.alias("preview")))).otherwise(_container(array, entries))
 
-def summarise_map(m: Column) -> Column:
-    """Bulky fields become their size, other strings are cut."""
-    def short(k: Column, v: Column) -> Column:
-        size = F.when(v.startswith("["), F.concat(F.lit('{"length":'), F.json_array_length(v).cast("string"), F.lit("}"))).otherwise(
-            F.concat(F.lit('{"chars":'), F.length(v).cast("string"), F.lit("}")))
-        return F.when(k.rlike(BULKY_KEY), size).otherwise(clamp(v, TEXT_CAP))
+        nested = _walk(value, lambda k, x: inner(k, x, depth + 1), rebuilt) if depth < DEPTH_CAP else _string(F.lit("[Nested]"))
+        return (F.when(key.rlike(BULKY_KEY), bulky).when(kind == "STRING", _string(clamp(text, TEXT_CAP)))
+                .when(is_array | kind.startswith("OBJECT"), nested).otherwise(value))
 
-    return F.transform_values(m, short)
+    return inner(F.lit(""), v, 0)
 
 
 def csv_cell(x: Column) -> Column:

@@ -48,3 +48,21 @@ def test_script_cases(spark):
         ("plain", 1, "0001", "first", ""), ("plain", 2, "0002", "second", ""), ("quoted", 1, "0001", "Hello, world", "calm"),
         ("tabs", 1, "1", "hello, world", ""), ("tabs", 2, "2", "bye, now", "")]
     assert errors == [("blank", 0, "empty_file"), ("gap", 3, "empty_text"), ("gap", 5, "duplicate_id"), ("headless", 0, "no_text_column"), ("mixed", 1, "empty_text")]
+
+
+def test_redaction_and_summary_at_any_depth(spark):
+    """Nested secrets never pass; texts that look like arrays stay texts; what is too deep is masked."""
+    from reelspark.functions import text as t
+
+    docs = ['{"message":"saved C:\\\\Users\\\\tester\\\\a.wav","attributes":{"token":"S","phase":"recording"}}', '{"a":{"token":"S"},"list":[{"password":"P"},["/tmp/x y"]]}', '"plain /tmp/a"', "[]", "null",
+            '{"k":' * 9 + '"deep"' + "}" * 9]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
+    got = {r.i: r.v for r in df.select("i", F.to_json(t.redact_value(F.parse_json("d"))).alias("v")).collect()}
+    assert got[0] == '{"attributes":{"phase":"recording","token":"[Filtered]"},"message":"saved [LocalPath]"}'
+    assert got[1] == '{"a":{"token":"[Filtered]"},"list":[{"password":"[Filtered]"},["[LocalPath] y"]]}'
+    assert (got[2], got[3], got[4]) == ('"plain [LocalPath]"', "[]", "null") and "deep" not in got[5] and "[Filtered]" in got[5]
+    docs = ['{"note":"[note] hello","items":[1,2],"text":"abc","content":{"x":1},"many":[' + ",".join(map(str, range(13))) + "]}", '{"a":{"b":{"c":{"d":{"e":1}}}},"s":"' + "x" * 300 + '"}']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
+    got = {r.i: r.v for r in df.select("i", F.to_json(t.summarise_value(F.parse_json("d"))).alias("v")).collect()}
+    assert got[0] == '{"content":"[omitted]","items":{"length":2},"many":{"length":13,"preview":[0,1,2,3,4,5,6,7]},"note":"[note] hello","text":{"chars":3}}'
+    assert got[1] == '{"a":{"b":{"c":{"d":"[Nested]"}}},"s":"' + "x" * 240 + '…[truncated 60]"}'
