@@ -190,7 +190,7 @@ def interrupted_takes(started: DataFrame, stopped: DataFrame, durable: DataFrame
     status, journal_seq, physical_frames. A stopped session is left alone, so a second run
     changes nothing.
     """
-    s = stopped.select("session_id", "attempt_id", C("seq").alias("stop_seq"))
+    s = stopped.groupBy("session_id", "attempt_id").agg(F.max("seq").alias("stop_seq"))  # a start is stopped if the last stop comes after it
     live = durable.where("status != 'stopped'")
     cond = (started["session_id"] == s["session_id"]) & (started["attempt_id"] == s["attempt_id"]) & (s["stop_seq"] > started["seq"])
     return started.join(s, cond, "left_anti").join(live, "session_id").select(

@@ -60,14 +60,16 @@ def points_in_takes(points: DataFrame, takes: DataFrame, width: int) -> DataFram
 
     Some take starting at or before the sample must end after it, so a running maximum of
     the ends decides. No pair is formed, however many takes overlap; a null end is open.
+    A sample enters the scan twice at most, as a start and as a point, whatever stands on it,
+    so a chunk holds two rows a sample.
     """
     open_end = F.lit(2**62).cast("long")
-    starts = takes.select("session_id", C("start_sample").alias("sample"), F.lit(0).alias("kind"),
-                          F.coalesce("end_sample", open_end).alias("end_sample"))
-    rows = points.withColumn("kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    rows = rows.withColumn("chunk", chunk_of("sample", width))
+    starts = takes.groupBy("session_id", C("start_sample").alias("sample")).agg(F.max(F.coalesce("end_sample", open_end)).alias("end_sample")).withColumn("kind", F.lit(0))
+    asked = points.select("session_id", "sample").distinct().withColumn("kind", F.lit(1))
+    rows = asked.unionByName(starts, allowMissingColumns=True).withColumn("chunk", chunk_of("sample", width))
     rows = scan(rows, ["session_id"], ["sample", "kind"], "chunk", Scan(top={"reach": C("end_sample")}))
-    return rows.where("kind = 1").select(*points.columns, F.coalesce(C("reach") > C("sample"), F.lit(False)).alias("in_take"))
+    told = rows.where("kind = 1").select("session_id", "sample", F.coalesce(C("reach") > C("sample"), F.lit(False)).alias("in_take"))
+    return points.join(told, ["session_id", "sample"], "left").select(*points.columns, "in_take")
 
 
 def numbering_gaps(segments: DataFrame, width: int) -> DataFrame:
