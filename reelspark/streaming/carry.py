@@ -1,16 +1,16 @@
 """Micro-batches that continue a chunked scan from the state the previous one left.
 
 Spark's own keyed state runs a key in one task, whatever the size of the batch. Here a
-batch is a normal job over its rows and a small table with one summary per session, so a
-busy session is cut into chunks like in batch mode. Rows and state of batch n go to
-folders named n below the shared folder and are overwritten when the batch is replayed;
-state n is read from folder n - 1 only. A lost executor or a restarted query therefore
-repeats work but never counts a row twice.
+batch is a normal job over its rows and the summaries of the sessions it touches, so a busy
+session is cut into chunks like in batch mode. Rows and changed states of batch n go to
+folders named n below ``root`` and are overwritten when the batch is replayed; only folders
+of earlier batches are read. A lost executor or a restarted query therefore repeats work but
+never counts a row twice, and a query that is given the same ``root`` goes on where it ended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +19,45 @@ from reelspark.session import shared_dir
 
 # rows and state of a batch from (its rows, the state before it by name)
 Step = Callable[[DataFrame, dict[str, DataFrame | None]], tuple[DataFrame, dict[str, DataFrame]]]
+#: After so many batches the changed states are drawn together in one table.
+COMPACT = 20
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, step: Step, states: list[str], root: str | None = None) -> DataFrame:
-    """Runs the stream over everything available now and returns all emitted rows."""
+def state_before(session: SparkSession, folder: str, batch_id: int, keys: Sequence[str]) -> DataFrame:
+    """Newest state of each key before a batch: the last whole table and the changes since."""
+    base = (batch_id - 1) // COMPACT * COMPACT
+    parts = [(f"{folder}/whole={base}", -1)] if base else []
+    parts += [(f"{folder}/batch={i}", i) for i in range(base, batch_id)]
+    rows = None
+    for path, order in parts:
+        part = session.read.parquet(path).withColumn("_order", F.lit(order))
+        rows = part if rows is None else rows.unionByName(part)
+    return latest_rows(rows, list(keys), "_order").drop("_order")
+
+
+def run_to_end(spark: SparkSession, stream: DataFrame, step: Step, states: list[str], keys: Sequence[str] = ("session_id",), root: str | None = None) -> DataFrame:
+    """Runs the stream over everything available now and returns all emitted rows.
+
+    ``root`` is a shared folder that belongs to this query; without one the run is on its own.
+    """
     root = root or shared_dir(spark, "carry")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        before = {n: session.read.parquet(f"{root}/state/{n}/{batch_id - 1}") if batch_id > 0 else None for n in states}
+        batch = batch.persist()
+        touched = batch.select(*keys).distinct()
+        before: dict[str, DataFrame | None] = dict.fromkeys(states)
+        if batch_id > 0:
+            for n in states:
+                whole = state_before(session, f"{root}/state/{n}", batch_id, keys)
+                if batch_id % COMPACT == 0:
+                    whole.write.mode("overwrite").parquet(f"{root}/state/{n}/whole={batch_id}")
+                before[n] = whole.join(touched, list(keys), "left_semi")
         rows, after = step(batch, before)
         for name, df in after.items():
-            df.write.mode("overwrite").parquet(f"{root}/state/{name}/{batch_id}")
+            df.write.mode("overwrite").parquet(f"{root}/state/{name}/batch={batch_id}")
         rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+        batch.unpersist()
 
     q = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -53,13 +53,14 @@ def test_gate_equals_replay(spark, width):
     assert as_dict(gates.head_silence_gate(spark.createDataFrame(rows, SCHEMA), width)) == replay(rows)
 
 
-def test_gate_stream_equals_replay(spark, tmp_path):
+def test_gate_stream_equals_replay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(carry, "COMPACT", 2)
     rows = sorted(random_takes(40, seed=3), key=lambda r: r[2])
     folder = tmp_path / "blocks.parquet"
-    for lo, hi in ((0, 3), (3, 9), (9, 99)):  # one file, one micro-batch, each
+    for lo, hi in ((0, 3), (3, 6), (6, 9), (9, 14), (14, 99)):  # one file, one micro-batch, each
         spark.createDataFrame([r for r in rows if lo <= r[2] < hi], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    out = carry.run_to_end(spark, stream, live.head_silence(4), ["run", "gate"])
+    out = carry.run_to_end(spark, stream, live.head_silence(4), ["run", "gate"], gates.TAKE)
     assert out.groupBy("session_id", "take_id").count().agg(F.max("count")).first()[0] > 1
     assert as_dict(carry.latest_rows(out, ["session_id", "take_id"], "seq")) == replay(sorted(rows))
 
