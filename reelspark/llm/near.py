@@ -11,8 +11,8 @@ generated; where a component stayed empty, the horizon is doubled.
 
 Classes: equal texts are one node. BANDS bands of ROWS components each give buckets (a pair at 0.8 shares one but
 for a chance of 5e-6). Within a bucket all are compared to its most central member. Buckets whose members then
-still are in several classes are compared in blocks of at most BLOCK by BLOCK on their signatures, across classes
-only. Every link is checked on the bags themselves. Classes are connected components, found by Spark in rounds.
+still are in several classes are compared in blocks of at most BLOCK by BLOCK, across classes only: on signatures,
+and on the bags where those are near. Every link is checked on the bags themselves. Classes are connected components, found by Spark in rounds.
 
 Null and empty texts have no shingles: each such row is a class of its own. Rows with equal texts share a class;
 a class has the smallest doc_id of its rows as id, or null if all are null.
@@ -33,7 +33,7 @@ from reelspark.llm.common import boxed, map_rows, prepared, unboxed, written
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
-BLOCK = 256
+BLOCK = 128
 #: Estimates below this are no links: 0.8 less four standard deviations of an estimate.
 ESTIMATE = LEAST - 4 * (LEAST * (1 - LEAST) / SIZE) ** 0.5
 MEMORY = 300_000
@@ -196,7 +196,6 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "class", F.least("class", "near").alias("next"))
-        step = written(step, "labels")
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
         after = written(step.join(jump, "next").select("node", F.col("class").alias("old"), F.least("next", "far").alias("class")), "labels")
         changed = after.where("old <> class").limit(1).count()
@@ -205,18 +204,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def within_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket (key, node, class) in different classes whose signatures agree enough.
+def within_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links between members of a bucket (key, band, node, class) that are in different classes.
 
-    The members outside a bucket's largest class meet all its members, block by block.
+    The members outside a bucket's largest class meet all its members, block by block. A pair whose signatures
+    agree enough is compared on its bags where it stands, in the first of the bands that it shares; only links leave
+    the task.
     """
     each = members.groupBy("key", "class").agg(F.count("*").alias("n"))
     keys = each.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
     keys = keys.select("key", F.col("top.class").alias("most"), F.ceil(F.col("all") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("n_rest"))
     rows = members.join(keys, "key").withColumn("at", F.xxhash64("node"))
-    own = rows.where(F.col("class") != F.col("most")).select("key", "node", "class", F.pmod("at", "n_rest").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(True).alias("rest"))
-    other = rows.select("key", "node", "class", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("i"), F.pmod("at", "n_all").cast("int").alias("j"), F.lit(False).alias("rest"))
-    rows = own.unionAll(other).join(nodes.select("node", "signature"), "node").select("key", "i", "j", "node", "class", "rest", "signature")
+    own = rows.where(F.col("class") != F.col("most")).select("key", "band", "node", "class", F.pmod("at", "n_rest").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(True).alias("rest"))
+    other = rows.select("key", "band", "node", "class", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("i"), F.pmod("at", "n_all").cast("int").alias("j"), F.lit(False).alias("rest"))
+    full = nodes.select("node", "signature").join(texts, "node")
+    rows = own.unionAll(other).join(full, "node").select("key", "band", "i", "j", "node", "class", "rest", "signature", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         rest = table.column("rest").to_numpy(zero_copy_only=False)
@@ -224,11 +226,23 @@ def within_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
         number = {c: i for i, c in enumerate(set(label))}
         label = np.array([number[c] for c in label])
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(node), SIZE)
+        band, text, shingle = table.column("band")[0].as_py(), table.column("text"), Shingler()
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in bags:
+                bags[i] = shingle([text[i].as_py()])[1:]
+            return bags[i]
+
         x, y = np.flatnonzero(rest), np.flatnonzero(~rest)
         found: list[tuple[bytes, bytes]] = []
         for i in x.tolist():
-            agree = (sig[y] == sig[i]).mean(1)
-            found += [(min(node[i], node[j]), max(node[i], node[j])) for j in y[(agree >= ESTIMATE) & (label[y] != label[i])].tolist()]
+            same = sig[y] == sig[i]
+            near = (same.mean(1) >= ESTIMATE) & (label[y] != label[i])
+            first = same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            for j in y[near][first].tolist():
+                if similarity(bag(i), bag(j)) >= least:
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
@@ -240,8 +254,8 @@ def classes(docs: DataFrame, least: float = LEAST, text: str = "text", key: str
     signed = written(sign(base).select("doc_id", "node", "signature"), "signatures")
     full = signed.where("signature is not null")
     nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature")), "nodes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    bands = nodes.select("node", band.alias("key"))
+    own = lambda b: F.xxhash64(b, F.substring("signature", b * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+    bands = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), own)).alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(bands.join(sizes, "key"), "buckets")
     central = shared.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -250,9 +264,9 @@ def classes(docs: DataFrame, least: float = LEAST, text: str = "text", key: str
     wanted = shared.select("node").distinct()
     texts = written(base.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = written(verified(stars, texts, least), "links")
-    members = shared.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
-    more = verified(within_blocks(members, nodes), texts, least)
-    found = components(links.unionAll(written(more, "links")))
+    members = shared.select("key", "band", "node").join(components(links), "node", "left").select("key", "band", "node", F.coalesce("class", "node").alias("class"))
+    more = written(within_blocks(members, nodes, texts, least), "links")
+    found = components(links.unionAll(more))
     named = nodes.select("node", "first_id").join(found, "node", "left").select("node", "first_id", F.coalesce("class", "node").alias("class"))
     ids = named.join(named.groupBy("class").agg(F.min("first_id").alias("class_id")), "class").select("node", "class", "class_id")
     some = full.select("doc_id", "node").join(ids, "node").select("doc_id", "node", "class", "class_id")

@@ -67,7 +67,7 @@ def copies(r):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [128, 3])
 def test_classes_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near, "BLOCK", block)
     rows = copies(np.random.default_rng(block))
