@@ -32,7 +32,7 @@ def wav_files(spark, sf):
                     _le(F.lit(2), 2), _le(F.lit(16), 2), extra, F.lit("64617461"), _le(data, 4), pcm, F.when(k == 4, "00").otherwise(""))
     content = F.when(k == 6, F.lit("not a wave file").cast("binary")).otherwise(F.unhex(text))
     f = e.select(F.concat(F.lit("master-"), F.lpad(C("vec_id").cast("string"), 6, "0"), F.lit(".wav")).alias("path"), content.alias("content"))
-    return f.select("path", F.length("content").cast("long").alias("length"), "content", F.substring("content", 1, wav.HEADER_BYTES).alias("head"))
+    return f.select("path", F.length("content").cast("long").alias("length"), "content")
 
 
 @query("s7_wav_inventory", """

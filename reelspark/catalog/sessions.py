@@ -212,11 +212,11 @@ CHOSEN = """
   lat AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos DESC) AS r FROM u WHERE usable),
   chosen AS (SELECT * FROM s1 UNION ALL SELECT * FROM lat WHERE r = 1 AND item_id NOT IN (SELECT item_id FROM s1))"""
 MARKS = CHOSEN + """,
-  hs AS (SELECT c.*, i.session_id AS owner, CASE WHEN head_silence_passed_sample > 0 AND head_silence_passed_sample >= 24000 THEN greatest(coalesce(nullif(recording_started_sample, 0), start_sample), head_silence_passed_sample - 24000)
-                          ELSE coalesce(nullif(recording_started_sample, 0), start_sample) END AS hstart FROM chosen c JOIN items i USING (item_id) WHERE i.status IN ('review', 'accepted')),
+  hs AS (SELECT c.* EXCLUDE (item_id), i.item_id, i.session_id AS owner, CASE WHEN head_silence_passed_sample > 0 AND head_silence_passed_sample >= 24000 THEN greatest(coalesce(nullif(recording_started_sample, 0), start_sample), head_silence_passed_sample - 24000)
+                          ELSE coalesce(nullif(recording_started_sample, 0), start_sample) END AS hstart FROM items i LEFT JOIN chosen c USING (item_id) WHERE i.status IN ('review', 'accepted')),
   ms AS (SELECT *, CASE WHEN content_started_sample > 0 THEN floor(greatest(0, content_started_sample - hstart) / 48000 * 1000 + 0.5)::BIGINT END AS head_ms,
                 CASE WHEN tail_silence_samples IS NOT NULL THEN floor(tail_silence_samples / 48000 * 1000 + 0.5)::BIGINT END AS tail_ms FROM hs),
-  marks AS (SELECT item_id, owner AS session_id, head_ms, tail_ms, coalesce(head_ms < 600, false) AS head_short, forced_without_tail_silence OR coalesce(tail_ms < 600, false) AS tail_short FROM ms)"""
+  marks AS (SELECT item_id, owner AS session_id, head_ms, tail_ms, coalesce(head_ms < 600, false) AS head_short, coalesce(forced_without_tail_silence, false) OR coalesce(tail_ms < 600, false) AS tail_short FROM ms)"""
 
 
 def chosen(spark, sf):

@@ -155,7 +155,7 @@ def silence_marks(chosen: DataFrame, items: DataFrame, rate: int, required_ms: i
     head = fs.head_silence_ms(start, t("content_started_sample"), r)
     tail = F.when(t("tail_silence_samples").isNotNull(), fs.samples_to_ms(t("tail_silence_samples"), r))
     rows = items.where(C("status").isin("review", "accepted")).select("item_id", *([] if "session_id" not in items.columns else ["session_id"]))
-    rows = rows.join(chosen, "item_id").withColumn("head_ms", head).withColumn("tail_ms", tail)
+    rows = rows.join(chosen, "item_id", "left").withColumn("head_ms", head).withColumn("tail_ms", tail)
     need = F.lit(required_ms)
     forced = F.coalesce(t("forced_without_tail_silence"), F.lit(False))
     return rows.withColumn("head_short", fs.is_short(C("head_ms"), need)).withColumn(

@@ -1,66 +1,98 @@
-"""WAV segments: header inventory and decoded sample blocks."""
+"""WAV segments: header inventory and decoded sample blocks.
+
+Files are read by byte range: the inventory seeks from chunk to chunk, decoding reads the slices it
+wants. No file is loaded whole, so neither the place of the audio nor a length over 2 GiB matters.
+Where the bytes come from a table instead of files, a column ``content`` holds them.
+"""
 
 from __future__ import annotations
 
+import io
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 C = F.col
-# How much of a file may hold its header, and the 32-bit "see ds64" mark.
-HEADER_BYTES = 1024 * 1024
+# Fixed values of the format: the 32-bit "see ds64" mark, and the fields at the start of the chunks that are read.
 MARK32 = 4_294_967_295
+LAYOUT = {
+    b"ds64": ("<QQQI", ("ds_riff", "ds_data", "ds_frames", "ds_table")),
+    b"fmt ": ("<HHIIHH", ("code", "channels", "rate", "byte_rate", "align", "bits")),
+    b"fact": ("<I", ("fact",)),
+}
 _FIELDS = ("riff32 bigint, rf64 boolean, wave boolean, code int, channels int, rate bigint, byte_rate bigint, align int, bits int, "
            "fact bigint, data32 bigint, data_at bigint, ds_riff bigint, ds_data bigint, ds_frames bigint, ds_table bigint")
+_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
+#: Blocks of one file that a task decodes in a row.
+RUN = 1024
+
+
+def open_bytes(path: str, content: bytes | None):
+    """A seekable reader of a file on any store that Arrow reaches, or of bytes at hand."""
+    if content is not None:
+        return io.BytesIO(content)
+    uri = re.sub("^file:/*(?=/)", "file://", path) if path.startswith("file:") else re.sub("^s3[an]:", "s3:", path)
+    store, name = pyarrow.fs.FileSystem.from_uri(uri)
+    return store.open_input_file(name)
 
 
-def _header(head: bytes) -> dict:
-    """Fields of the chunks before the audio; only these few bytes are looked at."""
-    num = lambda at, n: int.from_bytes(head[at:at + n], "little")
-    out = {"riff32": num(4, 4), "rf64": head[:4] == b"RF64", "wave": head[:4] in (b"RIFF", b"RF64") and head[8:12] == b"WAVE"}
+def chunk_directory(f, length: int) -> Iterator[tuple[bytes, int, int]]:
+    """Name, declared size and place of the body of each chunk, the audio last."""
     at = 12
-    while out["wave"] and at + 8 <= len(head):
-        name, size, body = head[at:at + 4], num(at + 4, 4), at + 8
-        room = len(head) - body
-        if name == b"ds64" and size >= 28 and room >= 28:
-            out |= {"ds_riff": num(body, 8), "ds_data": num(body + 8, 8), "ds_frames": num(body + 16, 8), "ds_table": num(body + 24, 4)}
-        elif name == b"fmt " and size >= 16 and room >= 16:
-            out |= {"code": num(body, 2), "channels": num(body + 2, 2), "rate": num(body + 4, 4), "byte_rate": num(body + 8, 4),
-                    "align": num(body + 12, 2), "bits": num(body + 14, 2)}
-        elif name == b"fact" and size >= 4 and room >= 4:
-            out["fact"] = num(body, 4)
-        elif name == b"data":
+    while at + 8 <= length:
+        f.seek(at)
+        name, size = struct.unpack("<4sI", f.read(8))
+        yield name, size, at + 8
+        if name == b"data":
+            return
+        at += 8 + size + size % 2
+
+
+def header_fields(f, length: int) -> dict:
+    """What the lead and the chunks of LAYOUT say; a chunk too short for its fields says nothing."""
+    if length < 12:
+        return {"wave": False}
+    kind, size, form = struct.unpack("<4sI4s", f.read(12))
+    out = {"riff32": size, "rf64": kind == b"RF64", "wave": kind in (b"RIFF", b"RF64") and form == b"WAVE"}
+    for name, size, body in chunk_directory(f, length) if out["wave"] else ():
+        if name == b"data":
             out |= {"data32": size, "data_at": body}
-            break
-        step = body + size + size % 2
-        if step > len(head):
-            break
-        at = step
+        elif name in LAYOUT:
+            packed, names = LAYOUT[name]
+            n = struct.calcsize(packed)
+            if size >= n and body + n <= length:
+                f.seek(body)
+                out |= zip(names, struct.unpack(packed, f.read(n)), strict=True)
     return out
 
 
-_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
-
-
 def _headers():
     """Arrow function, made on call because declaring one needs a running session."""
     @F.pandas_udf(_FIELDS)
-    def headers(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in heads:
-            yield pd.DataFrame([_header(bytes(h)) for h in s], columns=_NAMES, dtype=object)
+    def headers(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for paths, lengths, contents in rows:
+            found = []
+            for path, length, content in zip(paths, lengths, contents, strict=True):
+                with open_bytes(path, content) as f:
+                    found.append(header_fields(f, length))
+            yield pd.DataFrame({n: pd.Series([h.get(n) for h in found], dtype=object) for n in _NAMES})
 
     return headers
 
 
 def inventory(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per file (path, length, head): format, declared and physical frames, exactness.
+    """One row per file (path, length): format, declared and physical frames, exactness.
 
     ``keep`` passes further columns through, so that decoding needs no join with the files.
     """
-    d = files.select("path", "length", *keep, _headers()("head").alias("h")).select("path", "length", *keep, "h.*")
+    content = C("content") if "content" in files.columns else F.lit(None).cast("binary")
+    d = files.select("path", "length", *keep, _headers()("path", "length", content).alias("h")).select("path", "length", *keep, "h.*")
     zero = F.lit(0).cast("long")
     declared = F.when(C("rf64"), C("ds_data")).otherwise(C("data32"))
     payload = F.greatest(zero, C("length") - C("data_at"))
@@ -90,8 +122,9 @@ def inventory(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """path and length of the files below ``root``; their bytes stay where they are."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root)
-    return f.select("path", "length", "content", F.substring("content", 1, HEADER_BYTES).alias("head"))
+    return f.select("path", "length")
 
 
 def _decode(raw: bytes, bits: int) -> np.ndarray:
@@ -105,21 +138,36 @@ def _decode(raw: bytes, bits: int) -> np.ndarray:
 
 
 def pcm_blocks(files: DataFrame, frames_per_block: int) -> DataFrame:
-    """Sample blocks of mono files (path, content, data_at, bit_depth, physical_frames).
+    """Sample blocks of mono files (path, data_at, bit_depth, physical_frames).
 
-    Spark cuts a file into block slices first, so a task decodes a bounded slice at a time.
+    Runs of RUN blocks are dealt over the tasks, so a long file is decoded in many places; a task reads
+    one block's bytes at a time.
     """
+    held = "content" in files.columns
     width = F.floor(C("bit_depth") / 8).cast("int")
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((C("physical_frames") - 1) / frames_per_block).cast("long"))
-    rows = files.where("physical_frames > 0").select("path", "content", "data_at", "bit_depth", "physical_frames", F.explode(blocks).alias("block"))
+    rows = files.where("physical_frames > 0").select("path", *(["content"] if held else []), "data_at", "bit_depth", "physical_frames", F.explode(blocks).alias("block"))
     start = C("block") * frames_per_block
     n = F.least(F.lit(frames_per_block).cast("long"), C("physical_frames") - start)
-    rows = rows.select("path", start.alias("block_start"), (start + n).alias("block_end"), C("bit_depth").cast("int").alias("bit_depth"),
-                       F.substring("content", (C("data_at") + start * width + 1).cast("int"), (n * width).cast("int")).alias("raw"))
+    at, size = C("data_at") + start * width, n * width
+    raw = F.substring("content", (at + 1).cast("int"), size.cast("int")) if held else F.lit(None).cast("binary")
+    rows = rows.select("path", start.alias("block_start"), (start + n).alias("block_end"), C("bit_depth").cast("int").alias("bit_depth"), at.alias("at"), size.alias("size"), raw.alias("raw"))
+    if not held:
+        run = F.floor(C("block_start") / (frames_per_block * RUN))
+        rows = rows.repartition("path", run).sortWithinPartitions("path", "block_start")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, f = None, None
         for p in batches:
-            p["samples"] = [_decode(bytes(r), b) for r, b in zip(p["raw"], p["bit_depth"])]
+            samples = []
+            for path, at, size, bits, raw in zip(p["path"], p["at"], p["size"], p["bit_depth"], p["raw"], strict=True):
+                if raw is None:
+                    if path != name:
+                        name, f = path, open_bytes(path, None)
+                    f.seek(at)
+                    raw = f.read(size)
+                samples.append(_decode(bytes(raw), bits))
+            p["samples"] = samples
             yield p[["path", "block_start", "block_end", "samples"]]
 
     return rows.mapInPandas(decode, "path string, block_start long, block_end long, samples array<float>")

@@ -34,13 +34,32 @@ def test_wav_inventory_and_blocks(spark, tmp_path):
     got = {r.name: (r.error, r.container, r.physical_frames, r.trailing_bytes, r.exact_header) for r in inv.collect()}
     assert got == {"a.wav": (None, "riff", 3, 0, True), "b.wav": (None, "riff", 2, 2, False), "c.wav": (None, "riff", 2, 0, True), "d.wav": (None, "rf64", 3, 0, True),
                    "e.wav": ("too_short", None, None, None, None), "f.wav": (None, "riff", 3, 0, True)}
-    blocks = wav.pcm_blocks(wav.inventory(files, keep=("content",)).where("error is null"), 2).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    blocks = wav.pcm_blocks(wav.inventory(files).where("error is null"), 2).withColumn("name", F.element_at(F.split("path", "/"), -1))
     s = {}
     for r in blocks.orderBy("name", "block_start").collect():
         s.setdefault(r.name, []).extend(r.samples)
     assert s["a.wav"] == [-1.0, 0.5, 0.0] and s["d.wav"] == [-1.0, 0.0, 0.5] and s["c.wav"] == [0.5, -0.25]
 
 
+def test_wav_beyond_prefix_and_two_gigabytes(spark, tmp_path):
+    """Audio behind a chunk of 3 MB, and an RF64 file of 5 GB (sparse) whose last frames are read."""
+    far = wave(struct.pack("<2h", 100, -100))
+    far = far[:12] + b"LIST" + struct.pack("<I", 3_000_001) + b"x" * 3_000_002 + far[12:]
+    (tmp_path / "far.wav").write_bytes(b"RIFF" + struct.pack("<I", len(far) - 8) + far[8:])
+    frames = 2_600_000_000
+    head = b"RF64" + struct.pack("<I", 0xFFFFFFFF) + b"WAVE" + b"ds64" + struct.pack("<IQQQI", 28, 72 + 2 * frames, 2 * frames, frames, 0) + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 48_000, 96_000, 2, 16) + b"data" + struct.pack("<I", 0xFFFFFFFF)
+    with open(tmp_path / "long.wav", "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + 2 * frames)
+        f.seek(-2, 2)
+        f.write(struct.pack("<h", 16384))
+    inv = wav.inventory(wav.read_files(spark, str(tmp_path))).withColumn("name", F.element_at(F.split("path", "/"), -1)).cache()
+    got = {r.name: (r.error, r.container, r.physical_frames, r.exact_header) for r in inv.collect()}
+    assert got == {"far.wav": (None, "riff", 2, True), "long.wav": (None, "rf64", frames, True)}
+    last = inv.where("name = 'long.wav'").withColumn("data_at", F.col("data_at") + (frames - 3) * 2).withColumn("physical_frames", F.lit(3).cast("long"))
+    assert [list(r.samples) for r in wav.pcm_blocks(last, 2).orderBy("block_start").collect()] == [[0.0, 0.0], [0.5]]
+
+
 def test_recordings_logs_and_reports(spark, tmp_path):
     for p, content in {"r1/session.json": "{}", "r1/metadata/items.snapshot.json": "{}", "r2/audio/master-000001.wav": "x", "other/readme.txt": "x",
                        "r1/acceptance-report.json": '{"mode":"short","qualification":{"qualification_id":1,"run_id":2}}', "r2/acceptance-report.json": "{"}.items():
