@@ -105,12 +105,13 @@ def k3_samples(spark, sf):
     return parts.groupBy("session_id", "item_id").agg(F.sum(F.size("samples")).alias("frames"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)), 6).alias("total"))
 
 
-@query("k1_delivery_csv", b.with_tables("takes items", cs.CHOSEN + '''
-  SELECT i.session_id, '"' || c.item_id || '","say ""' || c.item_id || '""","' || i.label || '","' || c.attempt_id || '",' || start_sample || ',' || recording_started_sample || ',0,' || head_silence_passed_sample || ',24000,' || content_started_sample || ','
+@query("k1_delivery_csv", b.with_tables("takes items", cs.CHOSEN + f"""
+  SELECT DISTINCT i.session_id, 0::BIGINT AS line_no, '{','.join(op.CSV_COLUMNS)}' AS line FROM chosen c JOIN items i USING (item_id) UNION ALL""" + '''
+  SELECT i.session_id, row_number() OVER (PARTITION BY i.session_id ORDER BY c.item_id) AS line_no, '"' || c.item_id || '","say ""' || c.item_id || '""","' || i.label || '","' || c.attempt_id || '",' || start_sample || ',' || recording_started_sample || ',0,' || head_silence_passed_sample || ',24000,' || content_started_sample || ','
      || printf('%.6f', content_started_sample / 48000) || ',' || end_sample || ',' || (end_sample - start_sample) || ',"sentences/' || lpad(c.item_id::VARCHAR, 6, '0') || '-' || c.item_id || '.wav",' || forced_without_tail_silence::VARCHAR || ',' || coalesce(tail_silence_samples, 0) || ',24000' AS line
   FROM chosen c JOIN items i USING (item_id)'''))
 def k1(spark, sf):
-    return delivery_rows(spark, sf).select("session_id", op.csv_line().alias("line"))
+    return op.csv_lines(delivery_rows(spark, sf), chunk_width(spark))
 
 
 def delivery_rows(spark, sf):
@@ -124,13 +125,16 @@ def delivery_rows(spark, sf):
         (t("end_sample") - t("start_sample")).alias("duration_samples"), op.sentence_file(C("item_id"), C("item_id")).alias("file"))
 
 
-@query("k2_delivery_json", b.with_tables("items", """
-  x AS (SELECT session_id, item_id // 1000 AS part, item_id AS pos, status = 'accepted' AS ex, '{"pos":' || item_id || ',"id":' || item_id || ',"attempt_id":"' || selected_attempt_id || '"}' AS j FROM items)
-  SELECT session_id, part, count_if(ex)::INTEGER AS n_exported, count_if(NOT ex)::INTEGER AS n_skipped, '{"exported":[' || coalesce(string_agg(j, ',' ORDER BY pos) FILTER (WHERE ex), '') || '],"skipped":[' || coalesce(string_agg(j, ',' ORDER BY pos) FILTER (WHERE NOT ex), '')
-     || '],"selected_attempts":[' || string_agg(j, ',' ORDER BY pos) || ']}' AS document FROM x GROUP BY ALL"""))
+@query("k2_delivery_json", b.with_tables("candidates items", cs.LATEST + """,
+  x AS (SELECT session_id, item_id // 1000 AS part, item_id AS pos, status = 'accepted' AS ex, '{"pos":' || item_id || ',"id":' || item_id || ',"attempt_id":"' || selected_attempt_id || '"}' AS j FROM items),
+  g AS (SELECT session_id, part, count_if(ex)::INTEGER AS n_exported, count_if(NOT ex)::INTEGER AS n_skipped, coalesce(string_agg(j, ',' ORDER BY pos) FILTER (WHERE ex), '') AS e,
+        coalesce(string_agg(j, ',' ORDER BY pos) FILTER (WHERE NOT ex), '') AS k, string_agg(j, ',' ORDER BY pos) AS a FROM x GROUP BY ALL)
+  SELECT g.session_id, part, n_exported, n_skipped, '{"source":{' || coalesce('"journal_seq":' || journal_seq || ',"committed_samples":' || committed_samples || ',', '') || '"selected_attempts":[' || a || ']},"exported":[' || e || '],"skipped":[' || k || ']}' AS document
+  FROM g LEFT JOIN latest l ON l.session_dir = g.session_id"""))
 def k2(spark, sf):
     i = b.items(spark, sf).select("session_id", C("item_id").alias("pos"), "item_id", C("selected_attempt_id").alias("attempt_id"), (C("status") == "accepted").alias("exported"))
-    return op.manifest_parts(i, 1000)
+    source = so.latest_snapshot(b.candidates(spark, sf)).select(C("session_dir").alias("session_id"), "journal_seq", "committed_samples")
+    return op.manifest_parts(i, source, 1000)
 
 
 @query("w3_export_peak_space", """

@@ -32,6 +32,14 @@ def csv_line() -> Column:
     return F.concat_ws(",", *[cell(c) for c in CSV_COLUMNS])
 
 
+def csv_lines(rows: DataFrame, width: int) -> DataFrame:
+    """Lines of each session's table (session_id, line_no, line): the header, then the rows in item order."""
+    numbered = scan(rows.withColumn("chunk", chunk_of("item_id", width)), ["session_id"], ["item_id"], "chunk", Scan(total={"before": F.lit(1).cast("long")}))
+    lines = numbered.select("session_id", (C("before") + 1).alias("line_no"), csv_line().alias("line"))
+    head = rows.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("line_no"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    return head.unionAll(lines)
+
+
 def sentence_file(order: Column, item: Column) -> Column:
     return F.concat(F.lit("sentences/"), F.lpad(order.cast("string"), 6, "0"), F.lit("-"), item.cast("string"), F.lit(".wav"))
 
@@ -75,12 +83,13 @@ def export_peak(steps: DataFrame, width: int, critical_reserve: int) -> DataFram
     return out.select("export_id", "peak_additional_bytes", need.alias("required_available_bytes"), (C("available") >= need).alias("can_export"))
 
 
-def manifest_parts(rows: DataFrame, items_per_part: int) -> DataFrame:
+def manifest_parts(rows: DataFrame, sources: DataFrame, items_per_part: int) -> DataFrame:
     """Delivery metadata as JSON parts of at most ``items_per_part`` rows each.
 
-    ``rows``: session_id, pos (unique, rising), item_id, attempt_id, exported. A session's
-    parts in order are its ``exported``, ``skipped`` and ``selected_attempts`` lists; no
-    part grows with the session.
+    ``rows``: session_id, pos (unique, rising), item_id, attempt_id, exported; ``sources``:
+    session_id, journal_seq, committed_samples of the state that is delivered. Each part names
+    its source; a session's parts in order are its ``exported``, ``skipped`` and
+    ``selected_attempts`` lists, and no part grows with the session.
     """
     entry = F.struct("pos", C("item_id").alias("id"), "attempt_id")
     part = chunk_of("pos", items_per_part)
@@ -88,8 +97,10 @@ def manifest_parts(rows: DataFrame, items_per_part: int) -> DataFrame:
         F.array_sort(F.collect_list(F.when(C("exported"), entry))).alias("exported"),
         F.array_sort(F.collect_list(F.when(~C("exported"), entry))).alias("skipped"),
         F.array_sort(F.collect_list(entry)).alias("selected_attempts"))
+    out = out.join(sources.select("session_id", "journal_seq", "committed_samples"), "session_id", "left")
+    source = F.struct("journal_seq", "committed_samples", "selected_attempts").alias("source")
     return out.select("session_id", "part", F.size("exported").alias("n_exported"), F.size("skipped").alias("n_skipped"),
-                      F.to_json(F.struct("exported", "skipped", "selected_attempts")).alias("document"))
+                      F.to_json(F.struct(source, "exported", "skipped")).alias("document"))
 
 
 def manifest_checks(facts: DataFrame) -> DataFrame:

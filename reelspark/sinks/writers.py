@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.operators.delivery import CSV_COLUMNS, csv_line
 from reelspark.operators.fleet import manifest
 from reelspark.sources.logs import log_line
 
 C = F.col
 
 
-def write_delivery_csv(rows: DataFrame, path: str) -> None:
-    """A folder per session; the header goes in front of every file's rows as its own file."""
-    lines = rows.select("session_id", csv_line().alias("value"))
-    lines.write.mode("overwrite").partitionBy("session_id").text(f"{path}/rows")
-    head = rows.sparkSession.range(1).select(F.lit(",".join(CSV_COLUMNS)).alias("value"))
-    head.write.mode("overwrite").text(f"{path}/header")
+def write_delivery_csv(lines: DataFrame, path: str, lines_per_part: int = 1_000_000) -> None:
+    """One file per session and part of its table; the parts in order are the CSV, header first.
+
+    ``lines``: session_id, line_no, line, see ``operators.delivery.csv_lines``.
+    """
+    part = F.floor(C("line_no") / lines_per_part).cast("int").alias("part")
+    rows = lines.select("session_id", part, "line_no", C("line").alias("value")).repartition("session_id", "part")
+    rows.sortWithinPartitions("session_id", "part", "line_no").drop("line_no").write.mode("overwrite").partitionBy("session_id", "part").text(path)
 
 
 def write_manifest_json(parts: DataFrame, path: str) -> None:
-    parts.select("session_id", C("document").alias("value")).write.mode("overwrite").partitionBy("session_id").text(path)
+    """One file per session and part."""
+    rows = parts.select("session_id", "part", C("document").alias("value")).repartition("session_id", "part")
+    rows.write.mode("overwrite").partitionBy("session_id", "part").text(path)
 
 
 def write_cuts(parts: DataFrame, path: str) -> None:
     """Cut samples by session; rows of a take are ordered by their part_start."""
-    parts.write.mode("overwrite").partitionBy("session_id").parquet(path)
+    rows = parts.repartition("session_id", F.floor(C("part_start") / 2**24)).sortWithinPartitions("session_id", "part_start")
+    rows.write.mode("overwrite").partitionBy("session_id").parquet(path)
 
 
 def write_sha256(files: DataFrame, path: str) -> None:

@@ -90,5 +90,19 @@ def test_manifest_sink(spark, tmp_path):
 
 def test_manifest_parts_are_bounded(spark):
     rows = spark.range(2500).select(F.lit(1).alias("session_id"), F.col("id").alias("pos"), F.col("id").alias("item_id"), F.lit("a").alias("attempt_id"), (F.col("id") % 2 == 0).alias("exported"))
-    parts = delivery.manifest_parts(rows, 1000).collect()
+    source = spark.createDataFrame([(1, 7, 900)], "session_id int, journal_seq long, committed_samples long")
+    parts = delivery.manifest_parts(rows, source, 1000).collect()
+    assert all(p.document.startswith('{"source":{"journal_seq":7,"committed_samples":900,"selected_attempts":[') for p in parts)
     assert sorted((p.part, p.n_exported + p.n_skipped) for p in parts) == [(0, 1000), (1, 1000), (2, 500)]
+
+
+def test_delivery_csv_has_its_header_first_and_rows_in_order(spark, tmp_path):
+    cols = {c: F.lit(1) for c in delivery.CSV_COLUMNS if c not in ("id", "forced_without_tail_silence", "content_started_seconds")}
+    rows = spark.range(25).select((F.col("id") % 2).alias("session_id"), F.col("id").alias("item_id"), F.col("id").cast("string").alias("id"), F.lit(False).alias("forced_without_tail_silence"), F.lit(0.5).alias("content_started_seconds"), *[v.alias(k) for k, v in cols.items()])
+    writers.write_delivery_csv(delivery.csv_lines(rows.repartition(5), 4), str(tmp_path / "csv"), 8)
+    for s, n in ((0, 13), (1, 12)):
+        parts = sorted((tmp_path / "csv" / f"session_id={s}").iterdir(), key=lambda p: int(p.name.split("=")[1]))
+        files = [[f for f in p.iterdir() if f.suffix == ".txt"] for p in parts]
+        assert [len(f) for f in files] == [1] * len(files)
+        lines = "".join(f.read_text() for (f,) in files).splitlines()
+        assert lines[0] == ",".join(delivery.CSV_COLUMNS) and [x.split(",")[0] for x in lines[1:]] == [f'"{s + 2 * i}"' for i in range(n)]
