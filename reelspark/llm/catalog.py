@@ -91,3 +91,5 @@ def op3_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+ORACLES["op3_bag_min_hash"] = near.oracle()
+ORACLES["op7_warc_round_trip"] = warc.oracle()

@@ -290,3 +290,18 @@ def one_of_each(docs: DataFrame, least: float = LEAST, text: str = "text", key:
     if rows.where("_fate = 'many'").limit(1).count():
         kept = kept.unionAll(joined.where("_fate = 'many'").select("doc_id", "text", "row").dropDuplicates(["doc_id", "text"]))
     return unboxed(kept, docs, text)
+
+
+def oracle(least: str = "0.8") -> str:
+    """Classes by plain comparison of all texts that share a shingle, in DuckDB SQL."""
+    return f"""
+with recursive w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') w from documents),
+g as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS} - 1], ' ')) end) s from w),
+b as (select doc_id, s, count(*) n from g group by all),
+t as (select doc_id, sum(n) total from b group by 1),
+o as (select x.doc_id a, y.doc_id b, sum(least(x.n, y.n)) common from b x join b y on x.s = y.s and x.doc_id < y.doc_id group by all),
+e as (select a, b from o join t ta on ta.doc_id = a join t tb on tb.doc_id = b where common >= {least} * (ta.total + tb.total - common)),
+pairs as (select a, b from e union all select b, a from e),
+reach as (select doc_id, doc_id root from documents union select pairs.b, root from reach join pairs on pairs.a = reach.doc_id)
+select doc_id, min(root) class_id from reach group by 1"""

@@ -138,3 +138,14 @@ def read_records(archive: DataFrame) -> DataFrame:
     short = archive.where("n_chunks = 1").mapInArrow(_read, FIELDS)
     long = archive.where("n_chunks > 1").repartition("record_no").sortWithinPartitions("record_no", "chunk_no").mapInArrow(_read, FIELDS)
     return short.unionAll(long)
+
+
+def oracle() -> str:
+    """What the archive says of each page, straight from the pages, in DuckDB SQL."""
+    groups = " || ".join(
+        f"list_aggregate(list_transform([15, 10, 5, 0], lambda k: substr('{BASE32}', ((('0x' || substr(h, {5 * i + 1}, 5))::bigint >> k) & 31)::int + 1, 1)), 'string_agg', '')" for i in range(8))
+    return f"""
+with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages),
+f as (select *, min(page_id) over (partition by html) first from p)
+select page_id, strlen(html) payload_bytes, {groups} payload_digest, case when page_id > first then 'revisit' else 'response' end record_type,
+       case when page_id > first then first end refers_to from f"""
