@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from reelspark.catalog import query
 from reelspark.catalog import bindings as b
 from reelspark.functions import formats, identity, levels, samples, storage
+from reelspark.operators import timeline
+from reelspark.session import chunk_width
 
 C = F.col
 RATE = 48000
@@ -227,6 +229,20 @@ def f23(spark, sf):
         "session_id", "seq", F.size("y").cast("long").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query("f23_resample_stream", b.with_tables("blocks", """
+  bl AS (SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1) * 64 AS bs, samples FROM blocks),
+  sm AS (SELECT session_id, bs + unnest(range(0, 64)) AS p, unnest(samples)::DOUBLE AS v FROM bl),
+  n AS (SELECT session_id, count(*) AS n FROM sm GROUP BY 1),
+  k AS (SELECT session_id, unnest(range(0, n * 16000 // 44100 + 2)) AS k FROM n),
+  y AS (SELECT k.session_id, k, k * 44100 // 16000 AS i, l.v + (r.v - l.v) * ((k * 44100 % 16000) / 16000.0::DOUBLE) AS y
+        FROM k JOIN sm l ON l.session_id = k.session_id AND l.p = k * 44100 // 16000 JOIN sm r ON r.session_id = k.session_id AND r.p = k * 44100 // 16000 + 1)
+  SELECT session_id, i // 64 * 64 AS block_start, min(k) AS first, count(*) AS n, round(sum(y), 6) AS total FROM y GROUP BY ALL"""))
+def f23_stream(spark, sf):
+    """44.1 to 16 kHz over block borders."""
+    out = timeline.resample_blocks(timeline.contiguous_blocks(b.blocks(spark, sf), chunk_width(spark)), 44_100, 16_000).where(F.size("resampled") > 0)
+    return out.select("session_id", "block_start", "first", F.size("resampled").cast("long").alias("n"), F.round(F.aggregate("resampled", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query("f24_discontinuity_ms", b.with_tables("telemetry", """
   SELECT session_id, seq, floor(committed_samples / 44100 * 1000 + 0.5)::BIGINT AS ms FROM telemetry"""))
 def f24(spark, sf):

@@ -132,6 +132,29 @@ def take_peak(bins: DataFrame, stored: DataFrame) -> DataFrame:
         F.coalesce("bin_peak", F.lit(0.0)), levels.finite_or_zero(C("stored_peak")), levels.finite_or_zero(C("live_peak"))).alias("peak"))
 
 
+def resample_blocks(blocks: DataFrame, from_rate: int, to_rate: int) -> DataFrame:
+    """Linear resampling of a session's contiguous blocks (session_id, block_start, block_end, samples) as one stream.
+
+    Output k lies at sample k * from_rate / to_rate of the session. A block makes those that begin in it; the
+    one sample it needs beyond its end comes from the next block by an equi join. An output without a right
+    neighbour isn't made. Adds ``first``, the number of the first output, and ``resampled``.
+    """
+    halo = blocks.select("session_id", C("block_start").alias("block_end"), F.get("samples", F.lit(0)).cast("double").alias("_next"))
+    rows = blocks.join(halo, ["session_id", "block_end"], "left")
+    ceil = lambda c: F.floor((c * to_rate + (from_rate - 1)) / from_rate).cast("long")
+
+    def output(k: Column) -> Column:
+        place = k * from_rate
+        rest = F.pmod(place, F.lit(to_rate))
+        i = ((place - rest) / to_rate - C("block_start")).cast("int")
+        left, right = F.get("samples", i).cast("double"), F.coalesce(F.get("samples", i + 1).cast("double"), C("_next"))
+        return F.when(rest == 0, F.when(right.isNotNull(), left)).otherwise(left + (right - left) * (rest / to_rate))
+
+    first, after = ceil(C("block_start")), ceil(C("block_end"))
+    made = F.when(after > first, F.array_compact(F.transform(F.sequence(first, after - 1), output))).otherwise(F.array().cast("array<double>"))
+    return rows.select(*blocks.columns, first.alias("first"), made.alias("resampled"))
+
+
 def contiguous_blocks(blocks: DataFrame, width: int) -> DataFrame:
     """Closes the gaps: every block starts where the previous one of its session ended."""
     rows = scan(blocks.withColumn("chunk", chunk_of("seq", width)), ["session_id"], ["seq"], "chunk",
