@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.operators.fleet import manifest
-from reelspark.sources.logs import log_line
+from reelspark.sources.logs import CAPACITY, log_line, newest
 
 C = F.col
 
@@ -46,3 +46,15 @@ def write_log_text(entries: DataFrame, path: str) -> None:
 
 def write_report(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").json(path)
+
+
+def write_states(states: DataFrame, path: str) -> None:
+    """Newest states, a folder per session. Folders of the sessions at hand are replaced, all others stay."""
+    rows = states.repartition("session_dir").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("session_dir").parquet(path)
+
+
+def rewrite_logs(entries: DataFrame, path: str, capacity: int = CAPACITY) -> None:
+    """Logs cut to their newest entries, a folder per store; ``entries`` must not be read from ``path`` itself."""
+    rows = newest(entries, capacity).repartition("store").sortWithinPartitions("store", "seq")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store").json(path)

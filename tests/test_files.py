@@ -106,3 +106,13 @@ def test_delivery_csv_has_its_header_first_and_rows_in_order(spark, tmp_path):
         assert [len(f) for f in files] == [1] * len(files)
         lines = "".join(f.read_text() for (f,) in files).splitlines()
         assert lines[0] == ",".join(delivery.CSV_COLUMNS) and [x.split(",")[0] for x in lines[1:]] == [f'"{s + 2 * i}"' for i in range(n)]
+
+
+def test_states_and_logs_are_replaced_per_session(spark, tmp_path):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "session_dir string, journal_seq long")
+    writers.write_states(old, str(tmp_path / "s"))
+    writers.write_states(spark.createDataFrame([("b", 7)], "session_dir string, journal_seq long"), str(tmp_path / "s"))
+    assert {(r.session_dir, r.journal_seq) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {("a", 1), ("b", 7)}
+    rows = spark.createDataFrame([("x", i) for i in range(9)] + [("y", 1)], "store string, seq long")
+    writers.rewrite_logs(rows, str(tmp_path / "l"), 3)
+    assert {(r.store, r.seq) for r in spark.read.json(str(tmp_path / "l")).collect()} == {("x", 6), ("x", 7), ("x", 8), ("y", 1)}
