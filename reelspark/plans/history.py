@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.operators import rules, sessions
+from reelspark.sources import recordings, snapshots
 
 C = F.col
 # Fixed values.
@@ -40,6 +43,30 @@ def history_page(candidates: DataFrame, markers: DataFrame, items: DataFrame, of
     return page_rows(page_directories(directories, offset, limit), candidates, markers, items)
 
 
+def page_from_files(spark: SparkSession, root: str, offset: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """The page of a root of recording folders, read from their files.
+
+    Names and times of all files are listed; snapshots and journals are opened for the folders of
+    the page only, MAX_LIMIT at most. A folder without usable or agreeing state keeps its row.
+    """
+    plain = re.sub("^file:/*(?=/)", "", root.rstrip("/"))
+    listing = recordings.list_files(spark, root).withColumn("path", F.regexp_replace("path", "^file:/*(?=/)", ""))
+    found = recordings.recording_scan(listing, plain).withColumn("session_dir", F.concat(F.lit(f"{plain}/"), "session_dir"))
+    page = page_directories(found.select("session_dir", "modified_at", "issue"), offset, limit)
+    rows = page.collect()
+    page = spark.createDataFrame(rows, page.schema)
+    folders = [f"{r['session_dir']}/metadata" for r in rows if r["issue"] is None]
+    marker = F.element_at(F.split("path", "/"), -1)
+    markers = listing.select(snapshots.folder_of(C("path")).alias("session_dir"), marker.alias("name"), "modified_at").where(C("name").startswith("audio-fault."))
+    if folders:
+        candidates = snapshots.candidate_rows(snapshots.read_snapshot_files(spark, folders), snapshots.read_journals(spark, folders))
+    else:
+        kinds = "session_dir string, session_id string, journal_seq long, priority int, ordinal long, modified_at timestamp, status string, overflow_samples long, committed_samples long, captured_samples long, item_statuses array<string>"
+        candidates = spark.createDataFrame([], kinds)
+    items = sessions.latest_snapshot(candidates).select(C("session_dir").alias("session_id"), F.explode("item_statuses").alias("status"))
+    return page_rows(page, candidates, markers, items)
+
+
 def page_rows(directories: DataFrame, candidates: DataFrame, markers: DataFrame, items: DataFrame) -> DataFrame:
     """History rows of the listed directories (session_dir, modified_at), MAX_LIMIT at most."""
     listed = F.broadcast(directories.select("session_dir", C("modified_at").alias("listed_at")))

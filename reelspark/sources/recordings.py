@@ -11,7 +11,10 @@ SIGNS = ("session.json", "metadata", "audio")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, modified_at; file contents are pruned from the scan."""
+    """path, length, modified_at; file contents are pruned from the scan.
+
+    Spark's file sources pass over files without a byte, so these aren't listed.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return f.select("path", "length", C("modificationTime").alias("modified_at"))
 

@@ -142,7 +142,17 @@ def folder_of(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(path, r"^file:/*(?=/)", ""), r"^(.*)/metadata/[^/]+$", 1)
 
 
-def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
+def candidate_rows(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Candidates of both kinds with the columns that history needs; ``item_statuses`` has one entry per item."""
+    rows = snapshot_candidates(files).unionByName(journal_events(lines), allowMissingColumns=True)
+    s = C("snapshot")
+    return rows.select(
+        "session_dir", d.text(s, "$.session_id").alias("session_id"), "journal_seq", "priority", "ordinal", "modified_at", d.text(s, "$.status").alias("status"),
+        *[d.whole(s, f"$.{n}").alias(n) for n in ("overflow_samples", "committed_samples", "captured_samples")],
+        F.transform(d.elements(s, "$.items"), lambda i: d.text(i, "$.status")).alias("item_statuses"))
+
+
+def read_snapshot_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Snapshot generations below ``root``, whatever their size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "items.snapshot.*").load(root)
     return files.select(
@@ -150,7 +160,7 @@ def read_snapshot_files(spark: SparkSession, root: str) -> DataFrame:
         C("modificationTime").alias("modified_at"), F.decode("content", "UTF-8").alias("text"))
 
 
-def read_journals(spark: SparkSession, root: str) -> DataFrame:
+def read_journals(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Journal lines below ``root``, split by Spark, never a whole file in one row.
 
     A line's order is its split's byte offset, then its place within the split: the row
@@ -160,4 +170,5 @@ def read_journals(spark: SparkSession, root: str) -> DataFrame:
     lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "events.jsonl").text(root)
              .select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
     place = C("file_block_start").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + C("row").bitwiseAND(F.lit(0x1_FFFF_FFFF)).cast("decimal(10,0)")
-    return lines.select(folder_of(C("file_path")).alias("session_dir"), place.cast("decimal(31,0)").alias("line_no"), C("file_modification_time").alias("modified_at"), C("value").alias("text"))
+    path = F.url_decode(F.replace(C("file_path"), F.lit("+"), F.lit("%2B")))  # the metadata column escapes what the other reader doesn't
+    return lines.select(folder_of(path).alias("session_dir"), place.cast("decimal(31,0)").alias("line_no"), C("file_modification_time").alias("modified_at"), C("value").alias("text"))

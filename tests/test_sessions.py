@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import levels, storage, text
 from reelspark.operators import delivery, fleet, sessions
+from reelspark.plans import history
 from reelspark.sources import snapshots
 
 
@@ -39,7 +40,26 @@ def test_snapshot_files_and_journal(spark, tmp_path):
     lines = snapshots.journal_events(snapshots.read_journals(spark, str(tmp_path)))
     assert sorted((r.journal_seq, r.priority) for r in files.collect()) == [(2, 20), (3, 10)]
     assert [(r.journal_seq, r.priority) for r in lines.collect()] == [(4, 40)]
-    assert files.select("session_dir").first()[0].endswith("/rec") and lines.select("session_dir").first()[0].endswith("/rec")
+    assert {r.session_dir for r in files.select("session_dir").union(lines.select("session_dir")).collect()} == {str(tmp_path / "rec")}
+    newest = sessions.latest_snapshot(snapshots.candidate_rows(snapshots.read_snapshot_files(spark, str(tmp_path)), snapshots.read_journals(spark, str(tmp_path)))).collect()
+    assert [(r.session_dir, r.journal_seq, r.priority) for r in newest] == [(str(tmp_path / "rec"), 4, 40)]
+
+
+def test_history_page_from_files(spark, tmp_path):
+    """Every recording folder has its row: trusted, in conflict, without usable state, without metadata."""
+    event = lambda seq, snap: '{"journal_seq":%d,"event":"e","snapshot":%s}' % (seq, snap)
+    item = '"items":[{"id":"i","text":"t","label":"","status":"%s","attempts":[]}]'
+    snap = lambda seq, who, status: (SNAP % (seq, "")).replace('"session_id":"s"', f'"session_id":"{who}"').replace('"items":[]', item % status)
+    for name, content in {"good 1+中/metadata/items.snapshot.json": snap(2, "a", "pending"), "good 1+中/metadata/events.jsonl": event(3, snap(3, "a", "accepted")),
+                          "split/metadata/items.snapshot.json": snap(2, "b", "pending"), "split/metadata/items.snapshot.prev": snap(1, "c", "pending"),
+                          "torn/metadata/items.snapshot.json": "{", "bare/audio/master-000001.wav": "x", "marked/metadata/items.snapshot.json": snap(1, "d", "skipped"), "marked/metadata/audio-fault.tmp": "{",
+                          "other/readme.txt": "x"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    got = {r.session_dir.rsplit("/", 1)[1]: (r.session_id, r.status, r.history_issue, r.journal_seq, r.total_items, r.accepted_items) for r in history.page_from_files(spark, str(tmp_path)).collect()}
+    assert got == {"good 1+中": ("a", "recording", False, 3, 1, 1), "split": ("split", "invalid", True, None, 0, 0), "torn": ("torn", "invalid", True, None, 0, 0),
+                   "bare": ("bare", "invalid", True, None, 0, 0), "marked": ("d", "faulted", False, 1, 1, 0)}
+    assert len(history.page_from_files(spark, str(tmp_path), 1, 2).collect()) == 2
 
 
 def test_export_space(spark):
