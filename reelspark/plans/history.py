@@ -18,13 +18,27 @@ DEFAULT_LIMIT, MAX_LIMIT = 100, 200
 def page_directories(directories: DataFrame, offset: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Newest directories first, cut before any state is read.
 
-    Sort, offset and limit together run as a top-k, each task keeps offset + limit rows.
+    Sort, offset and limit together run as a top-k, each task keeps offset + limit rows;
+    for pages far back see ``page_after``.
     """
     if not 1 <= limit <= MAX_LIMIT or offset < 0:
         raise ValueError("offset must be >= 0 and limit within 1..200")
     return directories.orderBy(F.desc("modified_at"), "session_dir").offset(offset).limit(limit)
 
 
+def page_after(directories: DataFrame, last: tuple | None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """The page behind ``last`` (modified_at, session_dir), the final row of the page before.
+
+    Each task keeps ``limit`` rows however far the reader has paged.
+    """
+    if not 1 <= limit <= MAX_LIMIT:
+        raise ValueError("limit must be within 1..200")
+    if last is not None:
+        at, name = F.lit(last[0]), F.lit(last[1])
+        directories = directories.where((C("modified_at") < at) | ((C("modified_at") == at) & (C("session_dir") > name)))
+    return directories.orderBy(F.desc("modified_at"), "session_dir").limit(limit)
+
+
 def page_totals(directories: DataFrame, offset: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
     n = directories.agg(F.count(F.lit(1)).alias("total_directories"))
     end = F.least(C("total_directories"), F.lit(offset + limit).cast("long"))

@@ -88,3 +88,12 @@ def test_torn_evidence(spark):
     df = spark.createDataFrame(rows, "file string, line_no long, text string, terminated boolean")
     assert {r.file: r.verdict for r in fleet.ndjson_verdict(df, True).collect()} == {"ok": "sound", "torn": "torn_tail", "bad": "damaged"}
     assert {r.file: r.verdict for r in fleet.ndjson_verdict(df, False).collect()}["torn"] == "damaged"
+
+
+def test_paging_by_key_gives_every_row_once(spark):
+    dirs = spark.range(53).select((F.col("id") % 7).alias("modified_at"), F.col("id").alias("session_dir"))
+    want = [(r.modified_at, r.session_dir) for r in dirs.orderBy(F.desc("modified_at"), "session_dir").collect()]
+    got, last = [], None
+    while page := [(r.modified_at, r.session_dir) for r in history.page_after(dirs, last, 20).collect()]:
+        got, last = got + page, page[-1]
+    assert got == want
