@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reelspark.llm.common import boxed, prepared, unboxed
+from reelspark.llm.common import boxed, prepared, unboxed, written
 
 SEED, STRIDE = 7, 6
 RUN = SEED + STRIDE - 1
@@ -87,6 +87,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
         found = found.select("doc_id", "text_hash", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash")).join(own, "hash")
         hits = found if hits is None else hits.unionAll(found)
     lines = hits.select("doc_id", "text_hash", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    lines = written(lines, "shared-templates")  # used twice, and costs a pass over all texts
     marked = lines.select("doc_id", "text_hash").distinct()
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     hit = d.join(marked, same(d, marked), "left_semi").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
