@@ -29,7 +29,7 @@ SWITCH = 14.0
 FOREIGN = 40.0
 LEAST_SHARE = 1e-3
 MOST_WORD = 24.0
-MEMORY = 300_000
+MEMORY = 120_000
 # First code point of each block of scripts, and the script from there on.
 SCRIPTS = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"),
            (0x0E00, "thai"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"),
@@ -211,7 +211,7 @@ def label(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Adds lang_pred, score (its share of the letters) and spans (`lang:first word:word after` in order)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.StringType())]
-    return map_rows(docs, text, fields, lambda: Labeller(shared.value))
+    return map_rows(docs, text, fields, lambda: Labeller(shared.value), most=2 << 20)
 
 
 def remainder(doc_id: str | Column, of: int) -> Column:

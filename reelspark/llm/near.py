@@ -36,7 +36,7 @@ SIZE = BANDS * ROWS
 BLOCK = 128
 #: Estimates below this are no links: 0.8 less four standard deviations of an estimate.
 ESTIMATE = LEAST - 4 * (LEAST * (1 - LEAST) / SIZE) ** 0.5
-MEMORY = 300_000
+MEMORY = 120_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
