@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPACES = " \\t\\n\\x0B\\f\\r"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
+#: Words of a block in which distinct words are counted; long texts repeat words, so the whole text is no measure.
+BLOCK = 100
 STEPS = 60
 
 #: Name, bad when, good when (false: it votes bad or abstains). The figures are per word, line or letter.
@@ -29,7 +31,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("shouts", "n_shouts > 0.1 * n_words", "false"),
     ("lines", "n_dup_lines > 0.3 * n_lines", "false"),
     ("repeats", "n_repeat_words > 0.3 * n_words", "n_repeat_words = 0 and n_words >= 50"),
-    ("distinct", "n_distinct < 0.25 * least(n_words, 100)", "n_distinct > 0.6 * least(n_words, 100)"),
+    ("distinct", "n_distinct < 0.25 * n_words", "n_distinct > 0.6 * n_words"),
     ("length", "word_chars < 2.5 * n_words or word_chars > 12 * n_words", "false"),
 )
 #: A rule is taken to vote bad at least so many times as often on bad documents as on good ones.
@@ -44,6 +46,13 @@ def window_hashes(words: str) -> Column:
     return F.when(n >= WINDOW, hashes).otherwise(none)
 
 
+def distinct_words(words: str) -> Column:
+    """Distinct words of each block of BLOCK words, summed over all blocks."""
+    w = F.col(words)
+    last = F.greatest(F.lit(0), F.ceil(F.size(w) / BLOCK).cast("int") - 1)
+    return F.aggregate(F.sequence(F.lit(0), last), F.lit(0).cast("long"), lambda s, i: s + F.size(F.array_distinct(F.slice(w, i * BLOCK + 1, BLOCK))))
+
+
 def statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The counts that the rules and the base read, one row a document."""
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -57,7 +66,7 @@ def statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         F.regexp_count("text", F.lit("!")).cast("long").alias("n_shouts"),
         F.regexp_count("text", F.lit(f"(?:^|[{SPACES}])\\p{{Lu}}?\\p{{Ll}}*[.,;:?]?(?=[{SPACES}]|$)")).cast("long").alias("n_plain"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct(F.slice("words", 1, 100))).cast("long").alias("n_distinct"), window_hashes("words").alias("windows"))
+        distinct_words("words").alias("n_distinct"), window_hashes("words").alias("windows"))
     base = base.drop("words").withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
     placed = F.when(F.col("repeats"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     base = base.withColumn("placed", placed).drop("windows")

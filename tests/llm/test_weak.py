@@ -52,6 +52,14 @@ def test_judgement(spark):
     assert [got[i][0] for i in (43, 44, 45)] == [True] * 3
 
 
+def test_distinct_words_of_the_whole_text(spark):
+    varied = " ".join(f"{a}{b}" for a in "bcdfghklmn" for b in "aeiouxyzwv")
+    texts = [varied, varied + " word" * 3000, "word " * 100 + " ".join([varied] * 30), "", "a b a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_distinct"], r["vote_distinct"]) for r in weak.votes(weak.statistics(docs)).collect()}
+    assert got == {0: (100, 1), 1: (130, 0), 2: (3001, 1), 3: (0, None), 4: (2, 1)}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert weak.judge(weak.statistics(docs)).collect() == []
