@@ -63,13 +63,14 @@ def write_records(records: DataFrame, date: str = "1970-01-01T00:00:00Z", chunk:
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", length.cast("string")), F.lit("\r\n"))
     whole = records.withColumn("http", http).withColumn("front", F.encode(F.concat(head, F.col("http")), "UTF-8"))
-    whole = whole.withColumn("n_chunks", F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int"))
-    rows = whole.select(F.monotonically_increasing_id().alias("record_no"), "n_chunks", "front", F.when(~revisit, F.col("payload")).alias("payload"),
+    whole = whole.withColumn("n_front", F.expr(f"cast((octet_length(front) - 1) div {CHUNK} as int)"))  # chunks before the one in which the header ends
+    whole = whole.withColumn("n_chunks", F.col("n_front") + F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int"))
+    rows = whole.select(F.monotonically_increasing_id().alias("record_no"), "n_chunks", "n_front", "front", F.when(~revisit, F.col("payload")).alias("payload"),
                         F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
-    part = F.coalesce(F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})"), F.encode(F.lit(""), "UTF-8"))
     none = F.encode(F.lit(""), "UTF-8")
-    data = F.concat(F.when(F.col("chunk_no") == 0, F.col("front")).otherwise(none), part,
-                    F.when(F.col("chunk_no") == F.col("n_chunks") - 1, F.encode(F.lit("\r\n\r\n"), "UTF-8")).otherwise(none))
+    front = F.when(F.col("chunk_no") <= F.col("n_front"), F.expr(f"substring(front, chunk_no * {CHUNK} + 1, {CHUNK})")).otherwise(none)
+    part = F.when(F.col("chunk_no") >= F.col("n_front"), F.coalesce(F.expr(f"substring(payload, (chunk_no - n_front) * {chunk} + 1, {chunk})"), none)).otherwise(none)
+    data = F.concat(front, part, F.when(F.col("chunk_no") == F.col("n_chunks") - 1, F.encode(F.lit("\r\n\r\n"), "UTF-8")).otherwise(none))
     return rows.select("record_no", "chunk_no", "n_chunks", data.alias("data"))
 
 
@@ -86,23 +87,37 @@ class Record:
     """A record whose chunks arrive in order; holds its header, a length and a running digest."""
 
     def __init__(self, chunk: memoryview):
-        raw = bytes(chunk[: 64 << 10])
-        ends = raw.find(b"\r\n\r\n") + 4
-        starts = raw.find(b"\r\n\r\n", ends) + 4
-        if not raw.startswith(b"WARC/1.") or ends < 4 or starts < 4:
+        self.raw, self.head = bytearray(), None
+        self.add(chunk)
+
+    def begin(self, chunk: memoryview) -> memoryview:
+        """Collects both headers; returns what of the chunk follows them."""
+        old = len(self.raw)
+        self.raw += chunk
+        if not self.raw.startswith(b"WARC/1."[: len(self.raw)]):
             raise ValueError("a chunk that begins a record has no WARC header")
-        self.head, self.http = _fields(raw[: ends - 4]), _fields(raw[ends : starts - 4])
+        ends = self.raw.find(b"\r\n\r\n") + 4
+        starts = self.raw.find(b"\r\n\r\n", ends) + 4
+        if ends < 4 or starts < 4:
+            return chunk[:0]
+        self.head, self.http = _fields(bytes(self.raw[: ends - 4])), _fields(bytes(self.raw[ends : starts - 4]))
         self.left = int(self.head["content-length"]) - (starts - ends)
-        self.size, self.digest = 0, hashlib.sha1(usedforsecurity=False)
-        self.add(chunk[starts:])
+        self.size, self.digest, self.raw = 0, hashlib.sha1(usedforsecurity=False), bytearray()
+        return chunk[starts - old :]
 
     def add(self, chunk: memoryview) -> None:
+        if self.head is None:
+            chunk = self.begin(chunk)
+            if self.head is None:
+                return
         part = chunk[: self.left]
         self.digest.update(part)
         self.left -= len(part)
         self.size += len(part)
 
     def row(self) -> tuple:
+        if self.head is None:
+            raise ValueError("a record ends within its header")
         kind, told = self.head["warc-type"], self.head["warc-payload-digest"].removeprefix("sha1:")
         got = base64.b32encode(self.digest.digest()).decode()
         intact = self.left == 0 and (kind == "revisit" or got == told)

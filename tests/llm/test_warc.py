@@ -43,6 +43,17 @@ def test_round_trip(spark, chunk):
     assert records == len(ROWS)
 
 
+def test_long_urls(spark):
+    rows = [(1, "u" * 65_536, "a"), (2, " " * 70_000, "é" * 90_000), (3, "é" * 200_000, "a"), (4, "v" * (2 * warc.CHUNK - 500), ""), (5, "w", "b")]
+    chunks = warc.write_records(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string"))).cache()
+    got = warc.read_records(chunks).collect()
+    assert all(r["intact"] for r in got)
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == expected(rows)
+    assert chunks.agg(F.max(F.octet_length("data"))).first()[0] <= 2 * warc.CHUNK + 4
+    stream = b"".join(bytes(r["data"]) for r in chunks.orderBy("record_no", "chunk_no").collect())
+    assert stream.count(b"WARC/1.1\r\n") == 5 and stream.count(b"WARC-Target-URI: " + "é".encode() * 200_000 + b"\r\n") == 1
+
+
 def test_damage_is_seen(spark):
     pages = spark.createDataFrame([(1, "u", "abcdefgh" * 30)], "page_id long, url string, html string")
     chunks = warc.write_records(warc.plan_records(pages), chunk=50)
