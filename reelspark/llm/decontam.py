@@ -9,12 +9,18 @@ The documents' windows are SEED tokens long and start at every STRIDE-th token:
 whole, so nothing that agrees over RUN tokens is missed. For items shorter than RUN the documents also get windows
 of the item's own length at every token. Items of fewer than LEAST tokens say too little to be searched for.
 
+That is the rule of the SQL twin; a name counts as one only after a blank within a sentence, so copies that are
+wrapped or cased otherwise, or are mostly slots, can escape it. `copies` finds those by the words as they stand,
+items of any length included.
+
 Null texts count as empty and have no windows, on either side. Rows that are repeated are found once for each
 (doc_id, text); a null doc_id is kept as it is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelspark.llm.common import boxed, prepared, unboxed, written
@@ -51,6 +57,11 @@ def values(text: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: p["t"] != ""), lambda p: p["v"])
 
 
+def plain_words(text: Column) -> Column:
+    """Runs of letters and digits in lower case: the same for any case, punctuation and white space."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+"), "")
+
+
 def seeds(toks: Column, length: int, stride: int) -> Column:
     """(place, hash) of the windows of `length` tokens at every `stride`-th token."""
     last = F.size(toks) - length
@@ -77,31 +88,59 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     d = prepared(docs, text, key).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     i = (items.select(F.col(item_key).alias("item_id"), F.col(item_text).cast("string").alias("item")).distinct()
          .select("item_id", tokens(F.col("item")).alias("it"), values(F.col("item")).alias("iv")).withColumn("n", F.least(F.lit(RUN), F.size("it"))).where(F.col("n") >= LEAST))
-    short = [r["n"] for r in i.where(F.col("n") < RUN).select("n").distinct().collect()]  # at most RUN - LEAST lengths
+    lines = written(met(d, i, tokens), "shared-templates")  # used twice, and costs a pass over all texts
+    at = agreeing(F.col("dt"), F.col("dv"), F.col("it"), F.col("iv"), F.col("shift"), F.col("n"))
+    return counted(beside(d, i, lines, dt=tokens(F.col("text")), dv=values(F.col("text"))), at)
+
+
+def copies(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """The columns of `leaks` for every document that holds RUN words of an item in a row as they stand, or all words of a shorter item."""
+    d = prepared(docs, text, key).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    i = (items.select(F.col(item_key).alias("item_id"), plain_words(F.col(item_text).cast("string")).alias("it")).distinct()
+         .withColumn("n", F.least(F.lit(RUN), F.size("it"))).where(F.col("n") >= LEAST))
+    lines = written(met(d, i, plain_words), "shared-words")
+    first, last, n = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("it"), F.size("dt") - F.col("shift")) - F.col("n"), F.col("n")
+    fits = lambda j: F.slice("it", j + 1, n) == F.slice("dt", j + F.col("shift") + 1, n)
+    at = F.when(last >= first, F.filter(F.sequence(first, last), fits)).otherwise(F.array().cast("array<int>"))
+    return counted(beside(d, i, lines, dt=plain_words(F.col("text"))), at)
+
+
+def met(d: DataFrame, i: DataFrame, toks: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, text_hash, item_id, shift of documents and items that share a window of tokens."""
+    short = [r["n"] for r in i.where(F.col("n") < RUN).select("n").distinct().collect()]  # at most RUN - 1 lengths
     kinds = [(SEED, STRIDE), *((n, 1) for n in sorted(short))]
     hits = None
     for length, stride in kinds:
         own = i.where(F.col("n") >= RUN) if stride > 1 else i.where(F.col("n") == length)
         own = own.select("item_id", F.explode(seeds(F.col("it"), length, 1)).alias("w")).select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
-        found = d.withColumn("dt", tokens(F.col("text"))).select("doc_id", "text_hash", F.explode(seeds(F.col("dt"), length, stride)).alias("w"))
+        found = d.withColumn("dt", toks(F.col("text"))).select("doc_id", "text_hash", F.explode(seeds(F.col("dt"), length, stride)).alias("w"))
         found = found.select("doc_id", "text_hash", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash")).join(own, "hash")
         hits = found if hits is None else hits.unionAll(found)
-    lines = hits.select("doc_id", "text_hash", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    lines = written(lines, "shared-templates")  # used twice, and costs a pass over all texts
+    return hits.select("doc_id", "text_hash", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+
+
+def beside(d: DataFrame, i: DataFrame, lines: DataFrame, **made: Column) -> DataFrame:
+    """The lines with the item's columns and those that are made of the document's text."""
     marked = lines.select("doc_id", "text_hash").distinct()
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     hit = d.join(marked, same(d, marked), "left_semi").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
-    hit = hit.select("doc_id", "text_hash", tokens(F.col("text")).alias("dt"), values(F.col("text")).alias("dv"))
+    hit = hit.select("doc_id", "text_hash", *(c.alias(name) for name, c in made.items()))
     pairs = lines.alias("l").join(hit.alias("h"), F.col("l.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("l.text_hash") == F.col("h.text_hash")))
-    pairs = pairs.select("l.doc_id", "l.text_hash", "l.item_id", "shift", "dt", "dv").join(i, "item_id")
-    at = agreeing(F.col("dt"), F.col("dv"), F.col("it"), F.col("iv"), F.col("shift"), F.col("n"))
+    return pairs.select("l.doc_id", "l.text_hash", "l.item_id", "shift", *made).join(i, "item_id")
+
+
+def counted(pairs: DataFrame, at: Column) -> DataFrame:
     return (pairs.select("doc_id", "text_hash", "item_id", F.size(at).cast("long").alias("n_windows")).where("n_windows > 0")
             .groupBy("doc_id", "text_hash", "item_id").agg(F.sum("n_windows").alias("n_windows")))
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`docs` without those that leak an item."""
-    bad = leaks(docs, items, text, key).select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "bad_id", "text_hash": "bad_hash"})
+    at = agreeing(F.col("dt"), F.col("dv"), F.col("it"), F.col("iv"), F.col("shift"), F.col("n"))
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", exact: bool = False) -> DataFrame:
+    """`docs` without those that leak an item; `exact`: by its template or by its words as they stand (`copies`)."""
+    found = leaks(docs, items, text, key)
+    bad = (found.unionAll(copies(docs, items, text, key)) if exact else found).select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "bad_id", "text_hash": "bad_hash"})
     rows = boxed(docs, text, key).join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")
     return unboxed(rows, docs, text)
 
