@@ -97,7 +97,7 @@ def copies(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "do
     """The columns of `leaks` for every document that holds RUN words of an item in a row as they stand, or all words of a shorter item."""
     d = prepared(docs, text, key).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     i = (items.select(F.col(item_key).alias("item_id"), plain_words(F.col(item_text).cast("string")).alias("it")).distinct()
-         .withColumn("n", F.least(F.lit(RUN), F.size("it"))).where(F.col("n") >= LEAST))
+         .withColumn("n", F.least(F.lit(RUN), F.size("it"))).where("n > 0"))
     lines = written(met(d, i, plain_words), "shared-words")
     first, last, n = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("it"), F.size("dt") - F.col("shift")) - F.col("n"), F.col("n")
     fits = lambda j: F.slice("it", j + 1, n) == F.slice("dt", j + F.col("shift") + 1, n)

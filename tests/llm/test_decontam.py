@@ -62,6 +62,6 @@ def test_exact_copies_in_any_context_case_and_wrapping(spark):
     texts = {1: "we know, Paris lies on the Seine today", 2: "so (Anna Bell Carl Dunn Emma Ford Gina Hall Ivan Jones Kate Lund Mia)", 3: "sums: 1 + 2 = 3, 4 + 5 = 9, 6 + 7 = 13, 8 + 9 = 17 and so on",
              4: "here Two\n Words stand", 5: ITEM.upper() + "!!", 6: ITEM.replace(" ", "\n  "), 7: "two other words", 8: None, 9: ""}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert set(rows(decontam.copies(docs, items))) == {(1, 1), (2, 2), (3, 3), (5, 5), (6, 5)}
-    assert {r["doc_id"] for r in decontam.clean(docs, items, exact=True).collect()} == {4, 7, 8, 9}
+    assert set(rows(decontam.copies(docs, items))) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5)}
+    assert {r["doc_id"] for r in decontam.clean(docs, items, exact=True).collect()} == {7, 8, 9}
     assert decontam.copies(docs, items.where("false")).collect() == [] and decontam.copies(docs.where("false"), items).collect() == []
