@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes features in a linear support vector machine.
 
 A text becomes indicators of n-grams (1 to 3) of word forms: the shape of each word, with its punctuation as it
-stands and a mark where a word repeats the one before. Each indicator is scaled by the log ratio of its class
+stands and a mark where a word repeats the one before. Indicators of n-grams (1 and 2) of the words themselves, in
+lower case and without punctuation around them, have buckets of their own. Each indicator is scaled by the log ratio of its class
 counts, which are taken over all training rows. The hinge loss (squared) is minimised by dual coordinate descent
 on a bounded sample of SAMPLE labelled rows, the last quarter of which sets the scale of the score.
 
@@ -16,17 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from reelspark.llm.common import map_rows
 
-BUCKETS = 1 << 16
+SHAPES, VOCABULARY = 1 << 16, 1 << 18
+#: Indicators: those of shapes, then those of words.
+BUCKETS = SHAPES + VOCABULARY
 #: Labelled rows, by the hash of their id, that the machine is fitted on.
 SAMPLE = 16_000
 ROUNDS = 8
 COST = 0.1
 MEMORY = 300_000
+_AROUND = re.compile(r"^[\W_]+|[\W_]+$")
 _RUNS = re.compile(r"[^\W\d_]+|\d+|[\W_]")
 
 
@@ -56,14 +61,16 @@ class Features:
     """Sorted buckets of a text's indicators, as little-endian 32-bit integers."""
 
     def __init__(self):
-        self.memory: dict[str, int] = {}
+        self.memory: dict[str, tuple[int, int]] = {}
 
-    def word(self, w: str) -> int:
+    def word(self, w: str) -> tuple[int, int]:
+        """Hashes of the word's shape and of the word itself."""
         h = 1469598103934665603
         for b in form(w).encode("utf-8", "surrogatepass"):
             h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-        self.memory[w] = h
-        return h
+        bare = _AROUND.sub("", w.lower()) or w
+        both = self.memory[w] = h, xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass"))
+        return both
 
     def __call__(self, texts: list[str]) -> dict[str, list[bytes]]:
         if len(self.memory) > MEMORY:
@@ -74,7 +81,7 @@ class Features:
             if not words:
                 out.append(b"")
                 continue
-            h = np.fromiter([x if (x := get(w)) is not None else self.word(w) for w in words], np.uint64, len(words))
+            h, own = np.array([get(w) or self.word(w) for w in words], np.uint64).T.copy()
             h[1:][np.array([a == b for a, b in zip(words[1:], words[:-1], strict=True)], bool)] ^= np.uint64(0x5BD1E995)
             found = [mix(h)]
             for n in (2, 3):
@@ -83,7 +90,9 @@ class Features:
                     for i in range(n):
                         g = mix(g ^ h[i : i + len(g)])
                     found.append(g)
-            out.append(np.unique(np.concatenate(found) % np.uint64(BUCKETS)).astype("<u4").tobytes())
+            vocabulary = [mix(own), mix(mix(own[:-1]) ^ own[1:] ^ np.uint64(2))]
+            made = np.concatenate([np.concatenate(found) % np.uint64(SHAPES), np.concatenate(vocabulary) % np.uint64(VOCABULARY) + np.uint64(SHAPES)])
+            out.append(np.unique(made).astype("<u4").tobytes())
         return {"features": out}
 
 

@@ -38,6 +38,15 @@ def test_counts(spark):
     assert set(rows.values()) == {(1, 2)} and quality.BUCKETS in rows
 
 
+def test_words_of_equal_shape_are_told_apart(spark):
+    r = np.random.default_rng(3)
+    word = {0: ["buys", "cash", "pill", "deal", "free"], 1: ["lake", "tree", "moon", "bird", "snow"]}
+    rows = [(i, " ".join(r.choice(word[i % 2], 12)), i % 2) for i in range(200)]
+    docs = quality.featurise(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    got = quality.score(docs.where("doc_id >= 100"), quality.fit(docs.where("doc_id < 100"))).collect()
+    assert len(got) == 100 and all((x["score"] >= 0.5) == bool(x["y"]) for x in got)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     label = dict(duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall())
