@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import bpe, decontam, langid, near, pii, quality, sharding, suffix, warc, weak
+from reelspark.llm import bpe, decontam, langid, near, pii, quality, repair, sharding, suffix, warc, weak
 from reelspark.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,5 +91,12 @@ def op3_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_survivor_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 ORACLES["op3_bag_min_hash"] = near.oracle()
 ORACLES["op7_warc_round_trip"] = warc.oracle()
