@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelspark.llm import bpe, decontam, diverge, langid, near, pii, quality, repair, sharding, suffix, warc, weak
+from reelspark.llm import bpe, decontam, diverge, idfile, langid, near, pii, quality, repair, sharding, suffix, warc, weak
 from reelspark.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,12 @@ def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return idfile.documents(written(idfile.files(docs, public_tokenizers.path("byte_bpe_50k.json")), "ids"))
+
+
 @query
 def op12_segment_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diverge.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
