@@ -3,34 +3,36 @@
 A text becomes indicators of n-grams (1 to 3) of word forms: the shape of each word, with its punctuation as it
 stands and a mark where a word repeats the one before. Indicators of n-grams (1 and 2) of the words themselves, in
 lower case and without punctuation around them, have buckets of their own. Each indicator is scaled by the log ratio of its class
-counts, which are taken over all training rows. The hinge loss (squared) is minimised by dual coordinate descent
-on a bounded sample of SAMPLE labelled rows, the last quarter of which sets the scale of the score.
+counts. The hinge loss (squared) is minimised by dual coordinate descent.
 
-Null and empty texts have no n-grams and are scored by the intercept. Rows whose label is null are not learned
-from; without rows of both classes the score is the share of label 1, or 0.5.
+The classifier is learned from a bounded sample: about SAMPLE labelled ids, chosen by their hash before any text is
+read, and of those the first whose features fit in SAMPLE_BYTES. Only these ids are broadcast, and only their features come
+to the driver. The last quarter sets the scale of the score.
+
+Null and empty texts have no n-grams and are scored by the intercept. Labels that are neither 0 nor 1 are left out, an
+id with labels of both kinds as well; an id with one label several times counts once. Rows that repeat an id are learned
+from each. Without rows of both classes the score is the share of label 1, or 0.5.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import map_rows
+from reelspark.llm.common import map_rows, prepared, written
 
 SHAPES, VOCABULARY = 1 << 16, 1 << 18
 #: Indicators: those of shapes, then those of words.
 BUCKETS = SHAPES + VOCABULARY
-#: Labelled rows, by the hash of their id, that the machine is fitted on.
-SAMPLE = 16_000
+#: Labelled ids that the machine is fitted on, and bytes of their features at most.
+SAMPLE, SAMPLE_BYTES = 16_000, 96 << 20
 ROUNDS = 8
 COST = 0.1
-MEMORY = 300_000
+#: Words that a task remembers, and the longest of them.
+MEMORY, REMEMBERED = 300_000, 64
 _AROUND = re.compile(r"^[\W_]+|[\W_]+$")
 _RUNS = re.compile(r"[^\W\d_]+|\d+|[\W_]")
 
@@ -69,7 +71,9 @@ class Features:
         for b in form(w).encode("utf-8", "surrogatepass"):
             h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
         bare = _AROUND.sub("", w.lower()) or w
-        both = self.memory[w] = h, xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass"))
+        both = h, xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass"))
+        if len(w) <= REMEMBERED:
+            self.memory[w] = both
         return both
 
     def __call__(self, texts: list[str]) -> dict[str, list[bytes]]:
@@ -97,22 +101,22 @@ class Features:
 
 
 def featurise(docs: DataFrame, text: str = "text") -> DataFrame:
-    return map_rows(docs, text, [T.StructField("features", T.BinaryType())], Features)
+    return map_rows(docs, text, [T.StructField("features", T.BinaryType())], Features, most=1 << 20)
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """slot, bad, good: rows of either class that have a feature; slot BUCKETS has all rows."""
+def chosen(labels: DataFrame, key: str = "doc_id", label: str = "quality", most: int = SAMPLE) -> DataFrame:
+    """doc_id and y of about `most` labelled ids, those with the smallest hashes: all where there are fewer."""
+    own = labels.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    n = own.count()
+    if n > most:
+        own = own.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(most / n * 2**63))
+    return own.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("doc_id", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS + 1), np.int64)
-        for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[y, np.frombuffer(x, "<u4")] += 1
-                sums[y, BUCKETS] += 1
-        at = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["slot", "bad", "good"])
 
-    return rows.select("features", "y").mapInArrow(run, "slot int, bad long, good long").groupBy("slot").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most: int = SAMPLE) -> DataFrame:
+    """doc_id, y and features of the documents whose ids are chosen, written; texts stay where they lie."""
+    ids = F.broadcast(chosen(labels, key, label, most).limit(2 * most))  # the limit only proves the size
+    return written(featurise(prepared(docs, text, key).join(ids, "doc_id")).drop("text"), "sample")
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -150,26 +154,28 @@ def sigmoid_scale(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(rows: DataFrame, key: str = "doc_id") -> dict:
-    """From features and y (0 or 1). What comes to the driver is bounded: BUCKETS sums and SAMPLE rows."""
-    rows = rows.where("y in (0, 1) and features is not null")
-    got = counts(rows).toPandas()
-    n = np.zeros((2, BUCKETS + 1))
-    n[:, got["slot"].to_numpy()] = got[["bad", "good"]].to_numpy().T
-    bad, good = n[:, BUCKETS]
-    none = {"w": np.zeros(BUCKETS), "b": 0.0, "scale": (0.0, float(np.log((good + 1) / (bad + 1))))}
-    if not bad or not good:
-        return none
-    r = np.log((n[1, :BUCKETS] + 0.5) / (good + 1)) - np.log((n[0, :BUCKETS] + 0.5) / (bad + 1))
-    sample = rows.select("features", F.col("y").cast("int"), F.xxhash64(key).alias("by")).orderBy("by").limit(SAMPLE).collect()
-    x = [np.frombuffer(s[0], "<u4") for s in sample]
-    y = np.array([s[1] for s in sample])
+def fit(rows: DataFrame, most_bytes: int = SAMPLE_BYTES) -> dict:
+    """From `sample`'s rows, each (id, features) once; `most_bytes` of features come to the driver at most."""
+    none = {"w": np.zeros(BUCKETS), "b": 0.0, "scale": (0.0, 0.0)}
+    rows = rows.select("features", "y", F.shiftrightunsigned(F.xxhash64("doc_id", "features"), 1).alias("by")).dropDuplicates(["by"])
+    total = rows.agg(F.sum(F.octet_length("features"))).first()[0] or 0
+    if total > most_bytes:
+        rows = rows.where(F.col("by") < int(most_bytes / total * 2**63))
+    table = rows.toArrow().sort_by("by")
+    x = [np.frombuffer(s, "<u4") for s in table.column("features").to_pylist()]
+    y = table.column("y").to_numpy().astype(int)
+    good = int(y.sum())
+    none["scale"] = (0.0, float(np.log((good + 1) / (len(y) - good + 1))))
     cut = len(x) * 3 // 4
     if len({*y[:cut]}) < 2 or len({*y[cut:]}) < 2:
         cut = len(x)
-    share = y[:cut].mean()
-    if not 0 < share < 1:
+    if len({*y[:cut]}) < 2:
         return none
+    n = np.full((2, BUCKETS), 0.5)
+    for f, label in zip(x[:cut], y[:cut].tolist(), strict=True):
+        n[label, f] += 1
+    share = y[:cut].mean()
+    r = np.log(n[1] / (share * cut + 1)) - np.log(n[0] / ((1 - share) * cut + 1))
     w, b = descend(x[:cut], np.where(y[:cut] == 1, 1.0, -1.0), r, np.where(y[:cut] == 1, 0.5 / share, 0.5 / (1 - share)))
     w = w * r
     test = slice(cut, None) if cut < len(x) else slice(None)
@@ -191,4 +197,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
         return run
 
-    return map_rows(docs, "features", [T.StructField("score", T.DoubleType())], make)
+    return map_rows(docs, "features", [T.StructField("score", T.DoubleType())], make, most=1 << 20)

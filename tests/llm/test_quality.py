@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from reelspark.llm import catalog, quality
 
@@ -32,10 +33,25 @@ def test_edges(spark):
     assert len({r["score"] for r in quality.score(docs, quality.fit(docs)).where("doc_id in (0, 1, 2)").collect()}) == 1
 
 
-def test_counts(spark):
-    docs = quality.featurise(spark.createDataFrame([("a b", 1), ("a b", 1), ("a b", 0)], "text string, y int").repartition(3))
-    rows = {r["slot"]: (r["bad"], r["good"]) for r in quality.counts(docs).collect()}
-    assert set(rows.values()) == {(1, 2)} and quality.BUCKETS in rows
+def test_chosen_labels(spark):
+    labels = spark.createDataFrame([(1, 1, "x"), (1, 1, "x"), (2, 0, "x"), (2, 1, "x"), (3, None, "x"), (4, 7, "x"), (None, 1, "x"), (5, 0, "x")], "doc_id long, quality int, y string")
+    assert sorted(map(tuple, quality.chosen(labels).collect())) == [(1, 1), (5, 0)]
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    some = {r[0] for r in quality.chosen(many, most=1000).collect()}
+    assert 850 < len(some) < 1150 and some >= {r[0] for r in quality.chosen(many, most=100).collect()}
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (5, None), (9, "d")], "doc_id long, text string").withColumn("features", F.lit(3))
+    assert sorted((r["doc_id"], r["y"]) for r in quality.sample(docs, labels).collect()) == [(1, 1)] * 3 + [(5, 0)]
+    assert quality.fit(quality.sample(docs.where("false"), labels))["b"] == 0
+
+
+def test_few_bytes_to_the_driver(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in r.integers(0, 30, 20)), i % 2) for i in range(400)]
+    docs = quality.featurise(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    size = docs.agg(F.sum(F.octet_length("features"))).first()[0]
+    model = quality.fit(docs, size // 4)
+    assert np.count_nonzero(model["w"]) < np.count_nonzero(quality.fit(docs)["w"])
+    assert all((x["score"] >= 0.5) == bool(x["y"]) for x in quality.score(docs, model).collect())
 
 
 def test_words_of_equal_shape_are_told_apart(spark):
