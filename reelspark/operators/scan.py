@@ -136,36 +136,6 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: str, spec: Sca
     return _finish(df.columns, inside, carries, keys, chunk, spec)
 
 
-def scan_on(df: DataFrame, keys: list[str], order: list[str], chunk: str, spec: Scan, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """``scan`` that continues from ``state``; returns the rows and the state after them.
-
-    The state holds one summary row per key, in the shape of a chunk that lies before all
-    others, so a batch of a stream costs what its own rows cost.
-    """
-    inside = _inside(df, keys, order, chunk, spec)
-    summaries = _summaries(inside, keys, order, chunk, spec)
-    if state is not None:
-        before_all = F.lit(-(2**62)).cast("long")
-        summaries = state.select(*keys, before_all.alias(chunk), *[c for c in summaries.columns if c not in (*keys, chunk)]).unionByName(summaries)
-    carries = _carries(summaries, keys, chunk, spec)
-
-    ends = summaries.join(carries, [*keys, chunk])
-    values = [c for c in ends.columns if c not in (*keys, chunk)]
-    z = ends.groupBy(*keys).agg(F.max_by(F.struct(*values), chunk).alias("z"))
-    zc = lambda n: F.col(f"z.{n}")
-    cols = [*keys]
-    for name in [*spec.lag, *spec.last]:
-        cols += [F.coalesce(zc(f"_{name}_c"), zc(f"_{name}_k")).alias(f"_{name}_c")]
-    for name in spec.total:
-        cols += [(zc(f"_{name}_c") + zc(f"_{name}_k")).alias(f"_{name}_c")]
-    for name in spec.top:
-        cols += [F.greatest(zc(f"_{name}_c"), zc(f"_{name}_k")).alias(f"_{name}_c")]
-    for name in spec.run:
-        c, base, k = zc(f"_{name}_c"), zc(f"_{name}_b"), zc(f"_{name}_k")
-        cols += [F.when(base.isNotNull(), c - base).otherwise(c + k).alias(f"_{name}_c"), F.lit(None).cast("long").alias(f"_{name}_b")]
-    return _finish(df.columns, inside, carries, keys, chunk, spec), z.select(*cols)
-
-
 def _finish(source: list[str], inside: DataFrame, carries: DataFrame, keys: list[str], chunk: str, spec: Scan) -> DataFrame:
     joined = inside.join(carries, [*keys, chunk], "left")
 

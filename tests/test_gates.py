@@ -1,5 +1,6 @@
 """Gate, silence and bandwidth rules against plain replays and known cases."""
 
+import datetime
 import math
 import random
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import samples
 from reelspark.operators import gates, telemetry, timeline
-from reelspark.streaming import carry, live
+from reelspark.streaming import live, state
 
 SCHEMA = "session_id long, take_id long, seq long, block_start long, block_end long, is_speech boolean, armed long, required long, enforce boolean"
 
@@ -53,38 +54,57 @@ def test_gate_equals_replay(spark, width):
     assert as_dict(gates.head_silence_gate(spark.createDataFrame(rows, SCHEMA), width)) == replay(rows)
 
 
-def test_gate_stream_equals_replay(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(carry, "COMPACT", 2)
+def test_gate_stream_equals_replay(spark, tmp_path):
+    """One micro-batch a file, and the query is started anew from its checkpoint for the last ones."""
     rows = sorted(random_takes(40, seed=3), key=lambda r: r[2])
     folder = tmp_path / "blocks.parquet"
-    for lo, hi in ((0, 3), (3, 6), (6, 9), (9, 14), (14, 99)):  # one file, one micro-batch, each
-        spark.createDataFrame([r for r in rows if lo <= r[2] < hi], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    out = carry.run_to_end(spark, stream, live.head_silence(4), ["run", "gate"], gates.TAKE)
+
+    def run(*parts):
+        for lo, hi in parts:
+            spark.createDataFrame([r for r in rows if lo <= r[2] < hi], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        return live.drain(spark, state.follow_rule(stream, gates.TAKE, state.HeadSilence()), root=str(tmp_path / "query"))
+
+    run((0, 3), (3, 6))
+    out = run((6, 9), (9, 14), (14, 99))
     assert out.groupBy("session_id", "take_id").count().agg(F.max("count")).first()[0] > 1
-    assert as_dict(carry.latest_rows(out, ["session_id", "take_id"], "seq")) == replay(sorted(rows))
+    assert as_dict(live.latest_rows(out, ["session_id", "take_id"], "seq")) == replay(sorted(rows))
 
 
-def test_fault_latch_stream(spark, tmp_path):
-    schema = "session_id long, seq long, faulted boolean, overflow_samples long, fault_marker_exists boolean, cleared boolean"
-    folder = tmp_path / "rows.parquet"
-    batches = [[(1, 0, False, 0, False, False), (2, 0, True, 0, False, False)], [(1, 1, True, 0, False, False)], [(1, 2, True, 0, False, False), (2, 1, False, 0, False, True)]]
+def streamed(spark, folder, batches, schema, make):
     for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(folder))
-    out = carry.run_to_end(spark, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)), live.fault_latch(), ["latch"])
-    assert {r.session_id: r.fault_seq for r in carry.latest_rows(out, "session_id", "seq").collect()} == {1: 1, 2: None}
+    return live.drain(spark, make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))))
+
+
+def test_fault_latch_stream(spark, tmp_path):
+    batches = [[(1, 0, False, False), (2, 0, True, False)], [(1, 1, True, False)], [(1, 2, True, False), (2, 1, True, True)]]
+    out = streamed(spark, tmp_path / "rows", batches, "session_id long, seq long, fault boolean, cleared boolean", lambda s: state.follow_rule(s, ["session_id"], state.FaultLatch()))
+    assert {r.session_id: r.fault_seq for r in live.latest_rows(out, "session_id", "seq").collect()} == {1: 1, 2: None}
+
+
+def test_latest_only_waits_for_its_acknowledgement(spark, tmp_path):
+    v, a, f = (lambda i: (1, i, "value", None)), (lambda i, n: (1, i, "ack", n)), (lambda i: (1, i, "fault", None))
+    batches = [[v(1), v(2), v(3)], [a(4, 7), v(5), a(6, 1)], [a(7, 1), v(8), f(9), a(10, 2), a(11, 2)], [v(12), (2, 13, "ack", 1), (2, 14, "value", None)]]
+    out = streamed(spark, tmp_path / "rows", batches, "session_id long, seq long, kind string, ack_id long", lambda s: state.follow_rule(s, ["session_id"], state.LatestOnly()))
+    # 1 is in flight, 5 is the newest behind it; the fault passes and removes 8, so 12 goes out once 5 is acknowledged
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 1), (1, 5, 2), (1, 9, None), (1, 12, 3), (2, 14, 1)]
+
+
+def test_discontinuity_streaks(spark, tmp_path):
+    rows = [(1, 0, 0, 1000), (1, 480, 10, 1010), (2, 960, 20, 1040), (3, 1000, 30, 2000), (0, 1000, 40, 2010), (1, 1400, 50, 2020)]
+    rows = [(1, i, c, s, n) for i, (c, s, _, n) in enumerate(rows)]
+    schema = "session_id long, seq long, count long, silence_samples long, now_ms long"
+    out = streamed(spark, tmp_path / "rows", [rows[:3], rows[3:]], schema, lambda s: state.follow_rule(s, ["session_id"], state.Discontinuities(48000)))
+    assert sorted(map(tuple, out.select("seq", "streak_silence_samples", "show").collect())) == [(2, 480, True), (3, 40, False), (5, 400, False)]
 
 
 def test_request_without_answer_times_out(spark, tmp_path):
-    q, r = tmp_path / "q.parquet", tmp_path / "r.parquet"
-    at = "timestamp_seconds(s + 1700000000) AS at"
-    for df, path in (([("a", 1, 0), ("b", 2, 10), ("z", 9, 999_999)], q), ([("a", 5, 30), ("z", 8, 999_999)], r)):
-        spark.createDataFrame(df, "request_id string, seq long, s long").selectExpr("request_id", "seq", at).coalesce(1).write.parquet(str(path))
-    read = lambda p: spark.readStream.schema("request_id string, seq long, at timestamp").parquet(str(p))
-    told = live.drain(spark, live.answers(read(q), read(r), "60 seconds"))
-    assert {(x.request_id, x.response_seq) for x in told.collect()} == {("a", 5), ("b", None)}
-    rows = live.settled(told, spark.read.parquet(str(q))).collect()
-    assert {(x.request_id, x.response_seq, x.timed_out) for x in rows} == {("a", 5, False), ("b", None, True), ("z", None, True)}
+    rows = [("a", "request", 1, 0), ("b", "request", 2, 10), ("a", "request", 3, 20), ("a", "response", 5, 30), ("b", "response", 6, 71), ("z", "tick", 7, 400), ("a", "response", 8, 401), ("z", "request", 9, 402)]
+    batches = [[(i, k, n, datetime.datetime.fromtimestamp(1_700_000_000 + s, datetime.UTC), (1_700_000_000 + s) * 1000) for i, k, n, s in part] for part in (rows[:2], rows[2:4], rows[4:6], rows[6:])]
+    out = streamed(spark, tmp_path / "rows", batches, "request_id string, kind string, seq long, at timestamp, at_ms long", lambda s: state.answers(s, 60_000, "10 seconds"))
+    # each request once: a's by its first response, b's by its timer although a late response came; the last is open
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 5, False), ("a", 3, 5, False), ("b", 2, None, True)]
 
 
 def test_speech_bounds(spark):
