@@ -109,7 +109,7 @@ def p18(spark, sf):
     key = C("doc_id").cast("string")
     raw = F.concat(F.lit('{"source":"'), C("source"), F.lit('","api_token":"x'), key, F.lit('","session_id":"s1","mytext":"'), C("lang"), F.lit('","at":'), key,
                    F.lit(',"nested":{"token":"S"  ,"secret":{"a":[1,'), key, F.lit(']}},"list":["in /tmp/a/b now",{"deep":[{"password":"P","path":"/tmp/f'), key, F.lit('"}],"ok":true},null]}'))
-    return d.select("doc_id", F.to_json(t.redact_value(F.parse_json(raw))).alias("data"))
+    return d.select("doc_id", t.redact_json(F.to_json(F.parse_json(raw))).alias("data"))
 
 
 @query("p19_summarise_payload", """

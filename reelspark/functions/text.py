@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,17 +75,56 @@ def _container(array: Column, entries: Column) -> Column:
     return F.when(array, F.to_variant_object(F.transform(entries, lambda e: e["value"]))).otherwise(F.to_variant_object(F.map_from_entries(entries)))
 
 
-def redact_value(v: Column, levels: int = 6) -> Column:
-    """Masks the values of sensitive keys at any level of a VARIANT and redacts all other strings.
-
-    What lies deeper than ``levels`` containers is masked whole, so nothing passes unseen.
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+
+
+def _redact_text(x: str) -> str:
+    """``redact`` of one string."""
+    return re.sub(POSIX_PATH, r"\1[LocalPath]", re.sub(WINDOWS_PATH, "[LocalPath]", re.sub(UUID, "[RecordingId]", x)))
+
+
+def _redact_document(doc: str) -> str:
+    """One pass over the tokens of a JSON document; the only thing that grows with its depth is the list of open containers."""
+    out, open_, hidden, key_next, mask, filtered = [], [], 0, False, False, f'"{FILTERED}"'
+    for token in (m[0] for m in _JSON_TOKEN.finditer(doc)):
+        if hidden:  # within a masked container
+            hidden += (token in "{[") - (token in "}]")
+        elif token in "{[":
+            if mask:
+                out.append(filtered)
+                hidden, mask = 1, False
+            else:
+                open_.append(token)
+                out.append(token)
+                key_next = token == "{"
+        elif key_next and token[0] == '"':
+            out.append(token)
+            mask, key_next = re.search(SENSITIVE_KEY, json.loads(token)) is not None, False
+        elif token in "}],:":
+            out.append(token)
+            if token in "}]":
+                open_.pop()
+            key_next = token == "," and open_[-1] == "{"
+        else:
+            if mask:
+                token = filtered
+            elif token[0] == '"':
+                plain = json.loads(token)
+                token = token if (safe := _redact_text(plain)) == plain else json.dumps(safe, ensure_ascii=False)
+            out.append(token)
+            mask = False
+    return "".join(out)
+
+
+def redact_json(doc: Column) -> Column:
+    """Masks the values of sensitive keys at any depth of a JSON document and redacts all other strings; null stays null.
+
+    A Python helper in Arrow batches: SQL expressions have no recursion, so there the depth would need a limit.
     """
-    def inner(key: Column, value: Column, left: int) -> Column:
-        kind = F.schema_of_variant(value)
-        nested = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), _walk(value, lambda k, x: inner(k, x, left - 1), _container) if left else _string(F.lit(FILTERED)))
-        return F.when(key.rlike(SENSITIVE_KEY), _string(F.lit(FILTERED))).when(kind == "STRING", _string(redact(F.try_variant_get(value, "$", "string")))).otherwise(F.coalesce(nested, value))
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(_redact_document, na_action="ignore")
 
-    return inner(F.lit(""), v, levels)
+    return F.pandas_udf(run, "string")(doc)
 
 
 def summarise_value(v: Column) -> Column:

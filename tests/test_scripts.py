@@ -1,4 +1,6 @@
+import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -55,12 +57,31 @@ def test_redaction_and_summary_at_any_depth(spark):
     from reelspark.functions import text as t
 
     docs = ['{"message":"saved C:\\\\Users\\\\tester\\\\a.wav","attributes":{"token":"S","phase":"recording"}}', '{"a":{"token":"S"},"list":[{"password":"P"},["/tmp/x y"]]}', '"plain /tmp/a"', "[]", "null",
-            '{"k":' * 9 + '"deep"' + "}" * 9]
+            '{"k":' * 50 + '{"token":{"a":["x"]},"v":["/tmp/a",{"secret":1,"n":1.50}]}' + "}" * 50, None]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
-    got = {r.i: r.v for r in df.select("i", F.to_json(t.redact_value(F.parse_json("d"))).alias("v")).collect()}
+    got = {r.i: r.v for r in df.select("i", t.redact_json(F.to_json(F.parse_json("d"))).alias("v")).collect()}
     assert got[0] == '{"attributes":{"phase":"recording","token":"[Filtered]"},"message":"saved [LocalPath]"}'
     assert got[1] == '{"a":{"token":"[Filtered]"},"list":[{"password":"[Filtered]"},["[LocalPath] y"]]}'
-    assert (got[2], got[3], got[4]) == ('"plain [LocalPath]"', "[]", "null") and "deep" not in got[5] and "[Filtered]" in got[5]
+    assert (got[2], got[3], got[4]) == ('"plain [LocalPath]"', "[]", "null") and got[6] is None
+    assert got[5] == '{"k":' * 50 + '{"token":"[Filtered]","v":["[LocalPath]",{"n":1.5,"secret":"[Filtered]"}]}' + "}" * 50
+    rng = random.Random(1)
+
+    def made(depth):
+        kind = rng.randrange(6) if depth else rng.randrange(4)
+        if kind < 4:
+            return ['a "b" /home/x', 12, None, True][kind]
+        return [made(depth - 1) for _ in range(3)] if kind == 4 else {rng.choice(["a", "token", "my_text", "é\\", "/tmp/key"]) + str(i) * (i > 1): made(depth - 1) for i in range(3)}
+
+    def plain(v, key=""):
+        if re.search(t.SENSITIVE_KEY, key):
+            return t.FILTERED
+        if isinstance(v, str):
+            return v.replace("/home/x", "[LocalPath]")
+        return [plain(x) for x in v] if isinstance(v, list) else {k: plain(x, k) for k, x in v.items()} if isinstance(v, dict) else v
+
+    for _ in range(300):
+        v = made(7)
+        assert json.loads(t._redact_document(json.dumps(v))) == plain(v)
     docs = ['{"note":"[note] hello","items":[1,2],"text":"abc","content":{"x":1},"many":[' + ",".join(map(str, range(13))) + "]}", '{"a":{"b":{"c":{"d":{"e":1}}}},"s":"' + "x" * 300 + '"}']
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
     got = {r.i: r.v for r in df.select("i", F.to_json(t.summarise_value(F.parse_json("d"))).alias("v")).collect()}
