@@ -105,10 +105,23 @@ def k3_samples(spark, sf):
     return parts.groupBy("session_id", "item_id").agg(F.sum(F.size("samples")).alias("frames"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)), 6).alias("total"))
 
 
-@query("k1_delivery_csv", b.with_tables("takes items", cs.CHOSEN + f"""
-  SELECT DISTINCT i.session_id, 0::BIGINT AS line_no, '{','.join(op.CSV_COLUMNS)}' AS line FROM chosen c JOIN items i USING (item_id) UNION ALL""" + '''
-  SELECT i.session_id, row_number() OVER (PARTITION BY i.session_id ORDER BY c.item_id) AS line_no, '"' || c.item_id || '","say ""' || c.item_id || '""","' || i.label || '","' || c.attempt_id || '",' || start_sample || ',' || recording_started_sample || ',0,' || head_silence_passed_sample || ',24000,' || content_started_sample || ','
-     || printf('%.6f', content_started_sample / 48000) || ',' || end_sample || ',' || (end_sample - start_sample) || ',"sentences/' || lpad(c.item_id::VARCHAR, 6, '0') || '-' || c.item_id || '.wav",' || forced_without_tail_silence::VARCHAR || ',' || coalesce(tail_silence_samples, 0) || ',24000' AS line
+# Items stand in the snapshot against the order of their ids, which are text.
+ITEM = lambda i: f"'i-' || {i}"
+POS = lambda i: f"(99 - {i} % 100 + {i} // 100 * 100)"
+
+
+def item_id(i):
+    return F.concat(F.lit("i-"), i.cast("string"))
+
+
+def item_pos(i):
+    return F.floor(i / 100) * 100 + 99 - i % 100
+
+
+@query("k1_delivery_csv", b.with_tables("takes items", cs.CHOSEN + f'''
+  SELECT DISTINCT i.session_id, 0::BIGINT AS line_no, '{','.join(op.CSV_COLUMNS)}' AS line FROM chosen c JOIN items i USING (item_id) UNION ALL
+  SELECT i.session_id, row_number() OVER (PARTITION BY i.session_id ORDER BY {POS('c.item_id')}) AS line_no, '"' || {ITEM('c.item_id')} || '","say ""' || c.item_id || '""","' || i.label || '","' || c.attempt_id || '",' || start_sample || ',' || recording_started_sample || ',0,' || head_silence_passed_sample || ',24000,' || content_started_sample || ','
+     || printf('%.6f', content_started_sample / 48000) || ',' || end_sample || ',' || (end_sample - start_sample) || ',"sentences/' || lpad({POS('c.item_id')}::VARCHAR, 6, '0') || '-' || {ITEM('c.item_id')} || '.wav",' || forced_without_tail_silence::VARCHAR || ',' || coalesce(tail_silence_samples, 0) || ',24000' AS line
   FROM chosen c JOIN items i USING (item_id)'''))
 def k1(spark, sf):
     return op.csv_lines(delivery_rows(spark, sf), chunk_width(spark))
@@ -117,22 +130,23 @@ def k1(spark, sf):
 def delivery_rows(spark, sf):
     t = lambda n: C(f"take.{n}")
     rows = cs.chosen(spark, sf).join(b.items(spark, sf).select("session_id", "item_id", "label"), "item_id")
+    pos, key = item_pos(C("item_id")), item_id(C("item_id"))
     return rows.select(
-        "session_id", "item_id", C("item_id").cast("string").alias("id"), F.concat(F.lit('say "'), C("item_id").cast("string"), F.lit('"')).alias("text"), "label",
+        "session_id", pos.alias("pos"), key.alias("id"), F.concat(F.lit('say "'), C("item_id").cast("string"), F.lit('"')).alias("text"), "label",
         *[t(n).alias(n) for n in ("attempt_id", "start_sample", "recording_started_sample", "head_silence_passed_sample", "required_head_silence_samples", "content_started_sample",
                                   "end_sample", "forced_without_tail_silence", "tail_silence_samples", "required_tail_silence_samples")],
         F.lit(-1).alias("head_silence_armed_sample"), (t("content_started_sample") / F.lit(48000.0)).alias("content_started_seconds"),
-        (t("end_sample") - t("start_sample")).alias("duration_samples"), op.sentence_file(C("item_id"), C("item_id")).alias("file"))
+        (t("end_sample") - t("start_sample")).alias("duration_samples"), op.sentence_file(pos, key).alias("file"))
 
 
-@query("k2_delivery_json", b.with_tables("candidates items", cs.LATEST + """,
-  x AS (SELECT session_id, item_id // 1000 AS part, item_id AS pos, status = 'accepted' AS ex, '{"pos":' || item_id || ',"id":' || item_id || ',"attempt_id":"' || selected_attempt_id || '"}' AS j FROM items),
+@query("k2_delivery_json", b.with_tables("candidates items", cs.LATEST + f""",
+  x AS (SELECT session_id, {POS('item_id')} AS pos, {POS('item_id')} // 1000 AS part, status = 'accepted' AS ex, '{{"pos":' || {POS('item_id')} || ',"id":"' || {ITEM('item_id')} || '","attempt_id":"' || selected_attempt_id || '"}}' AS j FROM items),
   g AS (SELECT session_id, part, count_if(ex)::INTEGER AS n_exported, count_if(NOT ex)::INTEGER AS n_skipped, coalesce(string_agg(j, ',' ORDER BY pos) FILTER (WHERE ex), '') AS e,
         coalesce(string_agg(j, ',' ORDER BY pos) FILTER (WHERE NOT ex), '') AS k, string_agg(j, ',' ORDER BY pos) AS a FROM x GROUP BY ALL)
-  SELECT g.session_id, part, n_exported, n_skipped, '{"source":{' || coalesce('"journal_seq":' || journal_seq || ',"committed_samples":' || committed_samples || ',', '') || '"selected_attempts":[' || a || ']},"exported":[' || e || '],"skipped":[' || k || ']}' AS document
+  SELECT g.session_id, part, n_exported, n_skipped, '{{"source":{{' || coalesce('"journal_seq":' || journal_seq || ',"committed_samples":' || committed_samples || ',', '') || '"selected_attempts":[' || a || ']}},"exported":[' || e || '],"skipped":[' || k || ']}}' AS document
   FROM g LEFT JOIN latest l ON l.session_dir = g.session_id"""))
 def k2(spark, sf):
-    i = b.items(spark, sf).select("session_id", C("item_id").alias("pos"), "item_id", C("selected_attempt_id").alias("attempt_id"), (C("status") == "accepted").alias("exported"))
+    i = b.items(spark, sf).select("session_id", item_pos(C("item_id")).alias("pos"), item_id(C("item_id")).alias("item_id"), C("selected_attempt_id").alias("attempt_id"), (C("status") == "accepted").alias("exported"))
     source = so.latest_snapshot(b.candidates(spark, sf)).select(C("session_dir").alias("session_id"), "journal_seq", "committed_samples")
     return op.manifest_parts(i, source, 1000)
 

@@ -264,6 +264,31 @@ def s13(spark, sf):
     return op.plan_header_checks(op.read_plans(c.select(k.alias("plan_id"), doc.alias("text"))), "capture-v1")
 
 
+@query("s13_plan_schema", """
+  WITH x AS (SELECT c_custkey AS k FROM customer),
+  v AS (SELECT k, unnest([
+     {'path': '/schema_version', 'rule': 'const', 'bad': k % 11 = 0}, {'path': '/profile', 'rule': 'const', 'bad': k % 13 = 0}, {'path': '/qualification_id', 'rule': 'pattern', 'bad': k % 3 = 0},
+     {'path': '/release/app_version', 'rule': 'minLength', 'bad': k % 17 = 0}, {'path': '/release/installer_sha256', 'rule': 'pattern', 'bad': k % 19 = 0}, {'path': '/target/platform', 'rule': 'required', 'bad': k % 23 = 0},
+     {'path': '/target/channels', 'rule': 'uniqueItems', 'bad': k % 5 = 0}, {'path': '/target/channels/0', 'rule': 'minimum', 'bad': k % 5 <> 0 AND k % 7 = 0}, {'path': '/target/primary_format/sample_rate', 'rule': 'enum', 'bad': k % 2 = 1},
+     {'path': '/required_runs/0/min_seconds', 'rule': 'minimum', 'bad': k % 29 = 0}, {'path': '/required_runs/1/production_eligible', 'rule': 'required', 'bad': k % 31 = 0},
+     {'path': '/required_runs/1/note', 'rule': 'additionalProperties', 'bad': k % 37 = 0}]) AS r FROM x)
+  SELECT k AS plan_id, r.path AS path, r.rule AS rule FROM v WHERE r.bad""")
+def s13_schema(spark, sf):
+    c = b.table(spark, sf, "customer")
+    k = C("c_custkey")
+    pick = lambda n, bad, good: F.when(k % n == 0, F.lit(bad)).otherwise(F.lit(good))
+    sha = F.sha2("c_name", 256)
+    target = [f'"{n}":"x"' for n in ("hostname", "windows_release", "device_id", "device_name", "driver_version", "usb_port", "serial")]
+    doc = F.concat(
+        F.lit('{"schema_version":'), pick(11, "2", "1"), F.lit(',"profile":"'), pick(13, "other", "capture-v1"), F.lit('","qualification_id":"'), F.when(k % 3 == 0, "bad id").otherwise(F.concat(F.lit("q"), k.cast("string"))),
+        F.lit('","release":{"app_version":"'), pick(17, "", "1.0"), F.lit('","installer_path":"i","installer_sha256":"'), F.when(k % 19 == 0, "abc").otherwise(F.upper(sha)),
+        F.lit('","engine_sha256":"'), sha, F.lit('","acceptance_tool_sha256":"'), sha, F.lit('"},"target":{' + ",".join(target)), pick(23, "", ',"platform":"win32"'), F.lit(',"architecture":"x64","channels":'),
+        F.when(k % 5 == 0, "[1,1]").when(k % 7 == 0, "[0,1]").otherwise("[1,2]"), F.lit(',"primary_format":{"sample_rate":'), pick(2, "48000", "22050"), F.lit(',"bit_depth":24,"channel":1}},'),
+        F.lit('"required_runs":[{"id":"a","mode":"short","min_seconds":'), pick(29, "10", "30"), F.lit('},{"id":"b","mode":"recover","phase1_evidence_run_id":"a","phase1_report":"r"'),
+        pick(31, "", ',"production_eligible":true'), pick(37, ',"note":1', ""), F.lit("}]}"))
+    return op.plan_violations(c.select(k.alias("plan_id"), doc.alias("text")), plan.plan_schema("capture-v1"))
+
+
 DESCRIPTOR_KEYS = ("schema_version", "kind", "segment_file", "sample_rate", "channels", "bit_depth", "encoding", "header_len", "max_frames_per_segment", "segment_index")
 
 

@@ -33,8 +33,11 @@ def csv_line() -> Column:
 
 
 def csv_lines(rows: DataFrame, width: int) -> DataFrame:
-    """Lines of each session's table (session_id, line_no, line): the header, then the rows in item order."""
-    numbered = scan(rows.withColumn("chunk", chunk_of("item_id", width)), ["session_id"], ["item_id"], "chunk", Scan(total={"before": F.lit(1).cast("long")}))
+    """Lines of each session's table (session_id, line_no, line): the header, then the rows in item order.
+
+    ``pos`` is the item's place in the snapshot (unique, with gaps where nothing is delivered); ids are text.
+    """
+    numbered = scan(rows.withColumn("chunk", chunk_of("pos", width)), ["session_id"], ["pos"], "chunk", Scan(total={"before": F.lit(1).cast("long")}))
     lines = numbered.select("session_id", (C("before") + 1).alias("line_no"), csv_line().alias("line"))
     head = rows.select("session_id").distinct().select("session_id", F.lit(0).cast("long").alias("line_no"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
     return head.unionAll(lines)
@@ -86,7 +89,7 @@ def export_peak(steps: DataFrame, width: int, critical_reserve: int) -> DataFram
 def manifest_parts(rows: DataFrame, sources: DataFrame, items_per_part: int) -> DataFrame:
     """Delivery metadata as JSON parts of at most ``items_per_part`` rows each.
 
-    ``rows``: session_id, pos (unique, rising), item_id, attempt_id, exported; ``sources``:
+    ``rows``: session_id, pos (the item's place in the snapshot), item_id (text), attempt_id, exported; ``sources``:
     session_id, journal_seq, committed_samples of the state that is delivered. Each part names
     its source; a session's parts in order are its ``exported``, ``skipped`` and
     ``selected_attempts`` lists, and no part grows with the session.

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions import storage
+from reelspark.functions.schema import violations
 from reelspark.operators.checks import check_rows
 from reelspark.operators.devices import REQUIRED_DEPTHS, REQUIRED_RATES, required_matrix
 from reelspark.operators.scan import Scan, chunk_of, scan
+from reelspark.sources.wav import open_bytes
 
 C = F.col
+#: Bytes of a file in memory while it is hashed.
+PART = 4 << 20
 RUN = ["qualification_id", "run_id"]
 # Fixed values.
 MODES = ("inventory", "short", "soak", "unplug", "default-switch", "replug", "disk-full", "abrupt-enospc", "recover", "inspect")
@@ -90,10 +98,31 @@ def evidence_totals(files: DataFrame, by: str) -> DataFrame:
     return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 
 
+def _digests():
+    """Arrow function, made on call because declaring one needs a running session."""
+    @F.pandas_udf("string")
+    def digests(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for paths, contents in rows:
+            out = []
+            for path, content in zip(paths, contents, strict=True):
+                with open_bytes(path, content) as f:
+                    sha = hashlib.sha256()
+                    while part := f.read(PART):
+                        sha.update(part)
+                out.append(sha.hexdigest())
+            yield pd.Series(out)
+
+    return digests
+
+
 def manifest(files: DataFrame) -> DataFrame:
-    """``sha *path`` lines (path, content); a path listed twice is marked."""
-    rows = files.select("path", F.sha2("content", 256).alias("sha"))
-    twice = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    """``sha *path`` lines of files (path); a path listed twice is marked.
+
+    Files are read part by part where they lie, of any length; a column ``content`` holds the bytes instead if there is one.
+    """
+    content = C("content") if "content" in files.columns else F.lit(None).cast("binary")
+    rows = files.select("path", _digests()("path", content).alias("sha"))
+    twice = files.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(twice, "path").select("path", F.concat(C("sha"), F.lit(" *"), C("path")).alias("line"), (C("n") > 1).alias("duplicate"))
 
 
@@ -148,6 +177,13 @@ def read_plans(documents: DataFrame) -> DataFrame:
     return documents.select("plan_id", F.from_json("text", PLAN_SCHEMA).alias("p")).select("plan_id", "p.*")
 
 
+def plan_violations(documents: DataFrame, schema: dict) -> DataFrame:
+    """plan_id, path, rule: a row for every place where a plan (plan_id, text) breaks the schema; all of it where it is no JSON."""
+    doc = F.try_parse_json("text")
+    unread = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
+    return documents.select("plan_id", F.inline(F.coalesce(violations(doc, schema), unread)))
+
+
 def plan_header_checks(plans: DataFrame, profile: str) -> DataFrame:
     said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
     safe_id = C("qualification_id").rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$")

@@ -37,3 +37,28 @@ def qualify(runs: DataFrame, reports: DataFrame, targets: DataFrame, channels: t
     counts = rows.groupBy("qualification_id").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(C("status") == "PASS").alias("passed"), F.count_if(C("selected").isNull()).alias("missing"))
     return verdict.join(counts, "qualification_id", "left")
+
+
+# The format of a qualification plan. The profile's name is an input.
+_TEXT, _ID, _SHA = {"type": "string", "minLength": 1}, {"$ref": "#/$defs/id"}, {"$ref": "#/$defs/sha256"}
+_CHANNEL, _RATE, _DEPTH = {"type": "integer", "minimum": 1, "maximum": 256}, {"enum": [44100, 48000, 96000]}, {"enum": [16, 24, 32]}
+
+
+def _object(required: str, optional: dict | None = None, **properties) -> dict:
+    names = required.split()
+    return {"type": "object", "additionalProperties": False, "required": names, "properties": {k: properties.get(k, _TEXT) for k in names} | (optional or {})}
+
+
+def plan_schema(profile: str) -> dict:
+    run = _object("id mode", {"report": _TEXT, "sample_rate": _RATE, "bit_depth": _DEPTH, "channel": _CHANNEL, "min_seconds": {"type": "number", "minimum": 30}, "min_hours": {"type": "number", "minimum": 2, "maximum": 8},
+                              "export": {"type": "boolean"}, "expected_full_track_container": {"enum": ["riff", "rf64"]}, "production_eligible": {"type": "boolean"}, "phase1_evidence_run_id": _ID,
+                              "phase1_report": _TEXT, "bound_to": _ID},
+                  id=_ID, mode={"enum": ["inventory", "short", "soak", "unplug", "disk-full", "power-cut", "recover", "inspect", "default-switch", "replug", "abrupt-enospc"]})
+    needs = {"recover": ["phase1_evidence_run_id", "phase1_report", "production_eligible"], "abrupt-enospc": ["production_eligible"]}
+    run["allOf"] = [{"if": {"properties": {"mode": {"const": mode}}, "required": ["mode"]}, "then": {"required": names}} for mode, names in needs.items()]
+    release = _object("app_version installer_path installer_sha256 engine_sha256 acceptance_tool_sha256", app_version=_TEXT | {"maxLength": 128}, installer_sha256=_SHA, engine_sha256=_SHA, acceptance_tool_sha256=_SHA)
+    target = _object("hostname platform architecture windows_release device_id device_name driver_version usb_port serial channels primary_format", platform={"const": "win32"}, architecture={"const": "x64"},
+                     channels={"type": "array", "minItems": 1, "uniqueItems": True, "items": _CHANNEL}, primary_format=_object("sample_rate bit_depth channel", sample_rate=_RATE, bit_depth=_DEPTH, channel=_CHANNEL))
+    plan = _object("schema_version profile qualification_id release target required_runs", schema_version={"const": 1}, profile={"const": profile}, qualification_id=_ID, release=release, target=target,
+                   required_runs={"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/run"}})
+    return plan | {"$defs": {"id": {"type": "string", "pattern": "^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"}, "sha256": {"type": "string", "pattern": "^[0-9a-fA-F]{64}$"}, "run": run}}

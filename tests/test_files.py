@@ -1,5 +1,6 @@
 """Readers and writers on real files."""
 
+import hashlib
 import struct
 
 import numpy as np
@@ -88,6 +89,21 @@ def test_manifest_sink(spark, tmp_path):
         assert "listed twice" in str(e)
 
 
+def test_manifest_of_files_of_any_length(spark, tmp_path):
+    """A sparse file of over 2 GiB is hashed where it lies."""
+    big, small = tmp_path / "big.bin", tmp_path / "small.bin"
+    with open(big, "wb") as f:
+        f.write(b"head")
+        f.truncate((2 << 30) + 5)
+    small.write_bytes(b"x")
+    want = hashlib.sha256(b"head")
+    for _ in range(2048):
+        want.update(bytes(1 << 20))
+    want.update(b"\0")
+    got = {r.line for r in fleet.manifest(spark.createDataFrame([(str(big),), (str(small),)], "path string")).collect()}
+    assert got == {f"{want.hexdigest()} *{big}", f"{hashlib.sha256(b'x').hexdigest()} *{small}"}
+
+
 def test_manifest_parts_are_bounded(spark):
     rows = spark.range(2500).select(F.lit(1).alias("session_id"), F.col("id").alias("pos"), F.col("id").alias("item_id"), F.lit("a").alias("attempt_id"), (F.col("id") % 2 == 0).alias("exported"))
     source = spark.createDataFrame([(1, 7, 900)], "session_id int, journal_seq long, committed_samples long")
@@ -98,14 +114,14 @@ def test_manifest_parts_are_bounded(spark):
 
 def test_delivery_csv_has_its_header_first_and_rows_in_order(spark, tmp_path):
     cols = {c: F.lit(1) for c in delivery.CSV_COLUMNS if c not in ("id", "forced_without_tail_silence", "content_started_seconds")}
-    rows = spark.range(25).select((F.col("id") % 2).alias("session_id"), F.col("id").alias("item_id"), F.col("id").cast("string").alias("id"), F.lit(False).alias("forced_without_tail_silence"), F.lit(0.5).alias("content_started_seconds"), *[v.alias(k) for k, v in cols.items()])
+    rows = spark.range(25).select((F.col("id") % 2).alias("session_id"), F.col("id").alias("pos"), F.concat(F.lit("t"), 99 - F.col("id")).alias("id"), F.lit(False).alias("forced_without_tail_silence"), F.lit(0.5).alias("content_started_seconds"), *[v.alias(k) for k, v in cols.items()])
     writers.write_delivery_csv(delivery.csv_lines(rows.repartition(5), 4), str(tmp_path / "csv"), 8)
     for s, n in ((0, 13), (1, 12)):
         parts = sorted((tmp_path / "csv" / f"session_id={s}").iterdir(), key=lambda p: int(p.name.split("=")[1]))
         files = [[f for f in p.iterdir() if f.suffix == ".txt"] for p in parts]
         assert [len(f) for f in files] == [1] * len(files)
         lines = "".join(f.read_text() for (f,) in files).splitlines()
-        assert lines[0] == ",".join(delivery.CSV_COLUMNS) and [x.split(",")[0] for x in lines[1:]] == [f'"{s + 2 * i}"' for i in range(n)]
+        assert lines[0] == ",".join(delivery.CSV_COLUMNS) and [x.split(",")[0] for x in lines[1:]] == [f'"t{99 - s - 2 * i}"' for i in range(n)]
 
 
 def test_states_and_logs_are_replaced_per_session(spark, tmp_path):
