@@ -11,7 +11,8 @@ coder for each lane takes the id's share of the mixed range; carries are resolve
 
 Files. Documents are sorted by id over all files (range partitions, nulls first, ties by the text's hash); a file is
 one partition. Spark's writers have no plain binary files, so a file is rows of a table in the shared folder: file,
-block, first (ids in the file before it), n and payload, which holds the whole block with its directory of documents.
+block, part and more (blocks of one long document), first (ids in the file before it), n and payload, the whole block
+with its directory of documents.
 
 Null text counts as empty and has the end id alone. Rows that repeat are documents of their own. Other columns are
 not written. A text may be of any length; it is tokenized whole, and its ids are held at once.
@@ -19,9 +20,12 @@ not written. A text may be of any length; it is tokenized whole, and its ids are
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from reelspark.llm.common import pieces, prepared, texts_of
 
@@ -37,16 +42,27 @@ BLOCK = 1 << 20
 LANES, STEPS = 4096, 256
 #: Bits of the mixing weights, of the hash of two ids, and steps between two readings of the id counts.
 WEIGHT, CONTEXT, EVERY = 10, 18, 32
-#: Pieces of text that a task remembers the ids of, and their longest.
-MEMORY, LONGEST = 200_000, 48
+#: Strings that a task remembers the ids of (once as units, once as pieces), and the longest.
+MEMORY, LONGEST = 400_000, 48
 MAGIC = b"IDS1"
 HEAD = struct.Struct("<4sIIIII")
 #: The pre-tokenizer of byte-level vocabularies of this family (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A space where a unit of text may begin, and whether there are other spaces before spaces.
+_BETWEEN, _ODD = re.compile(r"(?<=\S) "), re.compile(r"\s ")  # of Python, which knows more of them
+#: Stands before the first unit of a text; no text holds a lone surrogate.
+_FIRST = "\ud800"
+#: Byte-level vocabularies write printable bytes as they are and the others, in order, as the characters from 256 on;
+#: 255 stands in no text and becomes a blank.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_VISIBLE = np.arange(256, dtype="<u4")
+_VISIBLE[[b for b in range(256) if b not in _PLAIN]] = 256 + np.arange(256 - len(_PLAIN))
+_VISIBLE[255] = 32
 _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 # Next confidence by right (4 to 7) or wrong (0 to 3) and the one before; a prediction that is wrong at 0 or 1 gives way.
 _NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
+_A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 class Model:
@@ -54,10 +70,11 @@ class Model:
 
     def __init__(self, size: int, lanes: int):
         self.size, self.bits = size, max(18, size.bit_length() + 1)
+        self.shift, self.whole = np.uint64(self.bits), np.uint64(1 << WEIGHT)
         self.count = np.zeros(size, np.int64)
         self.by_one, self.by_two = np.zeros(size, np.int32), np.zeros(1 << CONTEXT, np.int32)  # id << 2 | confidence
         self.right = np.tile(np.array([1, 1, 4], np.int64), 32)
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.recent: list[np.ndarray] = []
         self.read()
 
@@ -69,52 +86,60 @@ class Model:
         total = max(1, int(self.count.sum()))
         share = 1 + self.count * ((1 << self.bits) - self.size) // total
         share[share.argmax()] += (1 << self.bits) - share.sum()
-        self.share, self.start = share.astype(np.uint64), np.append(0, np.cumsum(share)[:-1]).astype(np.uint64)
+        self.share = share
+        self.place = ((np.cumsum(share) - share) << 32 | share).astype(np.uint64)  # start and width beside each other
         self.slots: np.ndarray | None = None
 
     def predict(self, k: int) -> None:
         """For the first k lanes: the ids of both contexts, and how much of the range they get."""
-        one, two = self.one[:k], self.two[:k]
-        self.at = (((two * 0x9E3779B1) ^ (one * 0x85EBCA6B)) & 0xFFFFFFFF) >> (32 - CONTEXT)
-        first, second = self.by_one[one], self.by_two[self.at]
+        self.at = (self.two[:k] * _A ^ self.one[:k] * _B) >> np.uint32(32 - CONTEXT)
+        first, second = self.by_one.take(self.one[:k]), self.by_two.take(self.at)
         self.c1, self.f1, self.c2, self.f2 = first >> 2, first & 3, second >> 2, second & 3
-        self.mix = ((self.f2 << 2 | self.f1) << 1) | (self.c1 == self.c2)
+        self.mix = self.f2 << 3
+        self.mix |= self.f1 << 1
+        self.mix |= self.c1 == self.c2
         n = self.right.reshape(32, 3)
-        w = 1 + n[:, :2] * ((1 << WEIGHT) - 3) // n.sum(1)[:, None]
-        w = w.astype(np.uint64)
-        self.w2, self.w1 = w[self.mix, 0], w[self.mix, 1]
+        w = (1 + n[:, :2] * ((1 << WEIGHT) - 3) // n.sum(1)[:, None]).astype(np.uint64)
+        self.w2, self.both = w[:, 0].take(self.mix), w.sum(1).take(self.mix)
+        self.rest = self.whole - self.both
 
     def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id's share of 1 << (bits + WEIGHT)."""
-        bits = np.uint64(self.bits)
-        self.hit2 = ids == self.c2
-        self.hit1 = ids == self.c1
-        lone = self.hit1 & ~self.hit2
-        both = self.w2 + self.w1
-        rest = np.uint64(1 << WEIGHT) - both
-        start = np.where(self.hit2, np.uint64(0), np.where(lone, self.w2 << bits, (both << bits) + rest * self.start[ids]))
-        width = np.where(self.hit2, self.w2 << bits, np.where(lone, self.w1 << bits, rest * self.share[ids]))
-        self.outcome = np.where(self.hit2, 0, np.where(lone, 1, 2))
+        self.hit2, self.hit1 = ids == self.c2, ids == self.c1
+        place = self.place.take(ids)
+        start = (place >> _32) * self.rest
+        start += self.both << self.shift
+        width = (place & _LOW) * self.rest
+        lone = self.hit1 > self.hit2
+        np.copyto(start, self.w2 << self.shift, where=lone)
+        np.copyto(width, (self.both - self.w2) << self.shift, where=lone)
+        np.copyto(start, np.uint64(0), where=self.hit2)
+        np.copyto(width, self.w2 << self.shift, where=self.hit2)
+        self.outcome = np.int8(2) - self.hit2 * np.int8(2) - lone
         return start, width
 
     def found(self, at: np.ndarray) -> np.ndarray:
         """The ids whose shares hold these points of the range."""
         if self.slots is None:
-            self.slots = np.repeat(np.arange(self.size, dtype=np.int32), self.share.astype(np.int64))
-        bits = np.uint64(self.bits)
-        two, both = self.w2 << bits, (self.w2 + self.w1) << bits
-        is2, is1 = at < two, at < both
-        rest = np.uint64(1 << WEIGHT) - self.w2 - self.w1
-        other = self.slots[np.where(is1, np.uint64(0), (at - both) // rest)]
-        return np.where(is2, self.c2, np.where(is1, self.c1, other)).astype(np.int64)
+            self.slots = np.repeat(np.arange(self.size, dtype=np.int32), self.share)
+        both = self.both << self.shift
+        known = at < both
+        rest = at - both
+        rest[known] = 0
+        out = self.slots.take(rest // self.rest)
+        np.copyto(out, self.c1, where=known)
+        np.copyto(out, self.c2, where=at < self.w2 << self.shift)
+        return out
 
     def learn(self, ids: np.ndarray, step: int) -> None:
         k = len(ids)
         self.right += np.bincount(self.mix * 3 + self.outcome, minlength=96)
         for table, at, old, conf, hit in ((self.by_one, self.one[:k], self.c1, self.f1, self.hit1), (self.by_two, self.at, self.c2, self.f2, self.hit2)):
-            keep = hit | (conf > 1)
-            table[at] = np.where(keep, old, ids).astype(np.int32) << 2 | _NEXT[(hit << 2) | conf]
-        self.two[:k], self.one[:k] = self.one[:k], ids
+            new = _NEXT.take(conf + (hit << np.int32(2)))
+            new |= np.where(hit | (conf > 1), old, ids) << np.int32(2)
+            table[at] = new
+        self.two[:k] = self.one[:k]
+        self.one[:k] = ids
         self.recent.append(ids)
         step += 1
         if step % EVERY == 0 or step < EVERY and step & (step - 1) == 0:
@@ -133,7 +158,7 @@ def squeezed(ids: np.ndarray, size: int) -> bytes:
     lanes, steps = _shape(n)
     if not n:
         return b""
-    rows = np.zeros(lanes * steps, np.int64)
+    rows = np.zeros(lanes * steps, np.int32)
     rows[:n] = ids
     rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
     model = Model(size, lanes)
@@ -175,7 +200,7 @@ def squeezed(ids: np.ndarray, size: int) -> bytes:
 def expanded(data: bytes, n: int, size: int) -> np.ndarray:
     lanes, steps = _shape(n)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     many = np.frombuffer(data, "<u4", lanes).astype(np.int64)
     words = np.append(np.frombuffer(data, "<u4", offset=4 * lanes), np.zeros(2, np.uint32)).astype(np.uint64)
     end = np.cumsum(many)
@@ -194,7 +219,7 @@ def expanded(data: bytes, n: int, size: int) -> np.ndarray:
     total = np.uint64(model.bits + WEIGHT)
     top = np.uint64((1 << (model.bits + WEIGHT)) - 1)
     width = np.full(lanes, np.iinfo(np.uint64).max)
-    rows = np.zeros((steps, lanes), np.int64)
+    rows = np.zeros((steps, lanes), np.int32)
     last = n - (lanes - 1) * steps
     for t in range(steps):
         k = lanes if t < last else lanes - 1
@@ -242,52 +267,107 @@ def unblock(data: bytes) -> tuple[np.ndarray, list[int | None], list[int], int,
     return ids, [None if x else k for k, x in zip(keys.tolist(), none, strict=True)], lens.tolist(), part, bool(more)
 
 
+class Ids:
+    """Remembered ids of strings: each has a place, its ids stand in a row with those of all others."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def put(self, fresh: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        n = len(self.first) - 1
+        self.place.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(lens))
+
+    def get(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all strings of all rows, and how many each row has."""
+        n = np.array([len(r) for r in rows], np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(rows)), np.int64, int(n.sum()))
+        begin = self.first.take(at)
+        lens = self.first.take(at + 1) - begin
+        ends = np.append(0, np.cumsum(lens))
+        ids = self.flat.take(np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1]))
+        return ids, np.diff(ends[np.append(0, np.cumsum(n))])
+
+    def forget(self, fresh: list[str]) -> None:
+        """Forgets the long ones of the strings put last, and all where there are too many."""
+        if len(self.place) > MEMORY:
+            self.__init__()
+        elif any(len(f) > LONGEST for f in fresh):
+            kept = [f for f in fresh if len(f) <= LONGEST]
+            ids, lens = self.get([[f] for f in kept])
+            n = len(self.first) - 1 - len(fresh)
+            for f in fresh:
+                del self.place[f]
+            self.first, self.flat = self.first[: n + 1], self.flat[: self.first[n]]
+            self.put(kept, ids, lens)
+
+
 class Encoder:
-    """Ids of texts as the library gives them, each distinct piece of text handed to it once while it is remembered."""
+    """Ids of texts as the library gives them.
+
+    Texts are cut before single spaces after a character that is no space, where no piece of the pre-tokenizer can
+    cross; what stands between is looked up, or cut into pieces, and pieces not seen yet go through the library's
+    model many at a time.
+    """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.special = {s.content: i for i, s in self.library.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.start()
-
-    def start(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, fresh: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-        self.place.update(zip(fresh, range(len(self.first) - 1, len(self.first) - 1 + len(fresh)), strict=True))
-        self.flat = np.concatenate([self.flat, np.array([i for f in found for i in f], np.uint32)])
-        self.first = np.append(self.first, self.first[-1] + np.cumsum([len(f) for f in found], dtype=np.int64))
+        self.library.pre_tokenizer, self.library.post_processor = WhitespaceSplit(), None  # pieces come between blanks
+        self.units, self.pieces = Ids(), Ids()
+
+    def model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all pieces, and how many each has."""
+        lines = [_VISIBLE[np.frombuffer(b"\xff".join(p.encode() for p in pieces[i : i + 500]), np.uint8)].tobytes().decode("utf-32-le") for i in range(0, len(pieces), 500)]
+        found = self.library.encode_batch(lines, add_special_tokens=False)
+        ids = [np.array(e.ids, np.uint32) for e in found]
+        lens = [np.bincount(np.array(e.word_ids, np.int64)) for e in found]
+        return (np.concatenate(ids), np.concatenate(lens)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def learn(self, units: list[str]) -> None:
+        cut = [PATTERN.findall(u[1:] if u[:1] == _FIRST else " " + u) for u in units]
+        fresh = list({p for row in cut for p in row if p not in self.pieces.place})
+        self.pieces.put(fresh, *self.model(fresh))
+        self.units.put(units, *self.pieces.get(cut))
+        self.pieces.forget(fresh)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > MEMORY:
-            self.start()
-        split = [[p for s in (self.cut.split(t) if self.cut else [t]) for p in ([s] if s in self.special else PATTERN.findall(s))] for t in texts]
-        place = self.place
-        fresh = {p for row in split for p in row if p not in place}
-        long = [p for p in fresh if len(p) > LONGEST]
-        self.learn([p for p in fresh if len(p) <= LONGEST])
-        kept = len(self.first) - 1, len(self.flat)
-        if long:
-            self.learn(long)
-        n = [len(row) for row in split]
-        at = np.fromiter((place[p] for row in split for p in row), np.int64, sum(n))
-        begin, lens = self.first[at], self.first[at + 1] - self.first[at]
-        ends = np.append(0, np.cumsum(lens))
-        ids = self.flat[np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1])]
-        if long:  # not remembered
-            for p in long:
-                del place[p]
-            self.first, self.flat = self.first[: kept[0] + 1], self.flat[: kept[1]]
-        cuts = ends[np.append(0, np.cumsum(n))]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        rows: list[list[str]] = []
+        marks: list[tuple[int, int]] = []  # special ids, each after so many rows
+        ends = []
+        for text in texts:
+            for i, part in enumerate(self.cut.split(text) if any(s in text for s in self.special) else [text]):
+                if i % 2:
+                    marks.append((len(rows), self.special[part]))
+                elif part:
+                    own = _BETWEEN.split(part) if _ODD.search(part) else part.split(" ")
+                    own[0] = _FIRST + own[0]
+                    rows.append(own)
+            ends.append((len(rows), len(marks)))
+        place = self.units.place
+        fresh = list({u for row in rows for u in row if u not in place})
+        self.learn(fresh)
+        ids, lens = self.units.get(rows)
+        self.units.forget(fresh)
+        cuts = np.append(0, np.cumsum(lens)).tolist()
+        out, row, mark = [], 0, 0
+        for last, marked in ends:
+            own = []
+            for at, special in marks[mark:marked]:
+                own += [ids[cuts[row] : cuts[at]], np.array([special], np.uint32)]
+                row = at
+            own.append(ids[cuts[row] : cuts[last]])
+            out.append(own[0] if len(own) == 1 else np.concatenate(own))
+            row, mark = last, marked
+        return out
 
 
 # On Spark.
 
-FILES = "file int, block int, first long, n long, payload binary"
+FILES = "file int, block int, part int, more boolean, first long, n long, payload binary"
 
 
 def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str = "doc_id", size: int = BLOCK) -> DataFrame:
@@ -298,6 +378,7 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
     rows = rows.repartitionByRange(many, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode, file = Encoder(path), TaskContext.get().partitionId()
         number = first = held = 0
         ids: list[np.ndarray] = []
@@ -305,9 +386,10 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
 
         def told(own: np.ndarray, docs: list, lens: list[int], part: int = 0, more: bool = False) -> pa.RecordBatch:
             nonlocal number, first
-            row = [[file], [number], [first], [len(own)], [block(own, docs, lens, part, more)]]
+            row = [[file], [number], [part], [more], [first], [len(own)], [block(own, docs, lens, part, more)]]
             number, first = number + 1, first + len(own)
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["file", "block", "first", "n", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                                              names=["file", "block", "part", "more", "first", "n", "payload"])
 
         def rest() -> Iterator[pa.RecordBatch]:
             nonlocal ids, docs, held
@@ -374,7 +456,7 @@ def read(table: DataFrame, ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                file, number, at, data = (batch.column(c)[r].as_py() for c in (0, 1, 2, 4))
+                file, number, at, data = (batch.column(c)[r].as_py() for c in range(4))
                 own, docs, lens, part, more = unblock(data)
                 raw = memoryview(own.astype("<u4").tobytes())
                 ends = np.append(0, np.cumsum(lens)).tolist()
@@ -383,16 +465,15 @@ def read(table: DataFrame, ids: bool = False) -> DataFrame:
                 columns = [[file] * n, [number] * n, [part] * n, [more] * n, docs, [at + e for e in ends[:-1]], lens, [zlib.crc32(c) for c in cut], [bytes(c) for c in cut] if ids else None]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True) if v is not None], names=schema.names)
 
-    return table.select("file", "block", "first", "n", "payload").mapInArrow(run, schema)
+    return table.select("file", "block", "first", "payload").mapInArrow(run, schema)
 
 
 def documents(table: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document in the files."""
     own = table.groupBy("file").agg(F.sum("n").alias("n"))  # one small row a file; their running sum is one task's
     offsets = own.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("offset"))
-    found = read(table)
-    whole = found.where("part = 0 and not more").select("doc_id", "file", "at", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    several = found.where("part > 0 or more").groupBy("file", (F.col("block") - F.col("part")).alias("head")).agg(
+    whole = read(table.where("part = 0 and not more")).select("doc_id", "file", "at", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    several = read(table.where("part > 0 or more")).groupBy("file", (F.col("block") - F.col("part")).alias("head")).agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.collect_list(F.struct("part", "n", "crc")).alias("parts"))  # a part for every million ids
     joined = F.udf(lambda parts: _joined([tuple(p) for p in parts]), "struct<n_tokens:bigint,ids_crc32:bigint>")
     several = several.select("doc_id", "file", "at", joined("parts").alias("j")).select("doc_id", "file", "at", "j.n_tokens", "j.ids_crc32")

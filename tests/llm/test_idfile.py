@@ -71,11 +71,20 @@ def test_checksums_of_parts():
 
 
 def test_encoder_is_the_library():
-    texts = ["", "Hello  world\n\n x", "<|endoftext|>a<|endoftext|>", "it's 12 ½ ²", "漢字" * 200, "\t   x ", "é" * 300, "a" * 100 + " b", "🙂🙂", "x\u0000y", "ſ K' s"]
+    texts = ["", "Hello  world\n\n x", "<|endoftext|>a<|endoftext|>", "it's 12 ½ ²", "漢字" * 200, "\t   x ", "é" * 300, "a" * 100 + " b", "🙂🙂", "x\u0000y", "ſ K' s", " a", "  a  b   c \n d\n e\n  f ", "a \n\tb\u00a0 c \x1c d\u2003 e", "don't  we'll ", "a <|endoftext|> b c", " ", "<|endoftext|>", "\u0085 x"]
     encode = idfile.Encoder(PATH)
     for _ in range(2):
         assert [[*x.tolist(), 0] for x in encode(texts)] == [ids_of(t) for t in texts]
-    assert max(map(len, encode.place)) <= idfile.LONGEST
+    assert max(map(len, [*encode.units.place, *encode.pieces.place])) <= idfile.LONGEST
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\ta1.'sß漢½\u00a0\x1c\u0301,"), max_size=30), max_size=4))
+def test_encoder_on_odd_texts(texts):
+    assert [[*x.tolist(), 0] for x in shared(texts)] == [ids_of(t) for t in texts]
+
+
+shared = idfile.Encoder(PATH)
 
 
 def test_query(spark):
