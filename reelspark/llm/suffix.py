@@ -8,7 +8,9 @@ shard, so strings that may be equal first have to meet in one shard:
 2. Regions of equal bytes are one region with a count; from a count of two on all its windows repeat.
 3. Groups of regions are packed into shards of about SHARD bytes. A shard's suffix array comes from induced sorting,
    its permuted common prefixes tell which windows stand in it twice.
-4. A group of more than GROUP bytes, as around a passage in very many documents, isn't gathered: its regions are cut
+4. A group of more than GROUP bytes, as around a passage in very many documents, has one k-byte string in all its
+   regions: a window is what it takes on either side of it. Such windows are counted place by place, all regions abreast.
+5. A group of more than HOT bytes, or one whose string stands twice in a region, isn't gathered: its regions are cut
    again by longer k-byte strings, up to the whole window, where a group is one string and a count.
 
 All windows are covered at any size; nothing is sampled. Null text counts as empty, texts under LENGTH bytes keep
@@ -30,7 +32,9 @@ from reelspark.llm.common import map_rows, pieces, prepared, written
 LENGTH = 400
 #: Bytes of the hashed strings, level by level, as parts of a window; the last is the window.
 PARTS = (0.12, 0.5, 0.8, 0.95, 1.0)
-SHARD, GROUP = 2 << 20, 1 << 20
+SHARD, GROUP, HOT = 1 << 20, 1 << 19, 32 << 20
+#: Shards' partitions, in parts of the session's; shards cost time by their bytes.
+SPREAD = 4
 #: Windows of a text that are hashed at a time.
 SEGMENT = 1 << 20
 _P = 0x9E3779B97F4A7C15
@@ -62,7 +66,7 @@ class Filer:
             self.up, self.down = _powers(_P, self.n + 1), _powers(_INV, self.n + 1)
 
     def part(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Key, first window, window after, and whether the key stands at two places, of each region."""
+        """Key, first window, window after, whether the key stands at two places, and its first place from the region's first byte."""
         n, k, wide = len(data), self.k, self.length - self.k + 1
         self.grow(n)
         sums = np.zeros(n + 1, np.uint64)
@@ -82,16 +86,16 @@ class Filer:
         first = np.append(0, np.flatnonzero(cut) + 1)
         after = np.append(first[1:], windows)
         twice = np.cumsum(np.append(0, moves & ~cut))
-        return key[first].view(np.int64), first, after, twice[after - 1] > twice[first]
+        return key[first].view(np.int64), first, after, twice[after - 1] > twice[first], place[first] - first
 
     def __call__(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
         windows = len(data) - self.length + 1
         if windows < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
         out = []
         for s in range(0, windows, SEGMENT):
-            key, first, after, twice = self.part(data[s : s + SEGMENT + self.length - 1])
-            out.append((key, first + s, after + s, twice))
+            key, first, after, twice, at = self.part(data[s : s + SEGMENT + self.length - 1])
+            out.append((key, first + s, after + s, twice, at))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -282,9 +286,39 @@ def repeats(regions: list[bytes], length: int) -> list[np.ndarray]:
     return [mark[a : a + n - length + 1] for a, n in zip(starts.tolist(), lens.tolist(), strict=True)]
 
 
+def beside(regions: list[bytes], at: np.ndarray, length: int, k: int) -> list[np.ndarray]:
+    """The marks of `repeats` for regions that all hold one string of k bytes, at `at`, in each of their windows.
+
+    A window is told by the bytes it has before and after that string, hashed for one length after the other.
+    """
+    m, room = len(regions), length - k
+    size = np.array([len(r) for r in regions])
+    left, right = np.zeros((room + 1, m), np.uint8), np.zeros((room + 1, m), np.uint8)  # from the string outwards
+    for i, (r, a) in enumerate(zip(regions, at.tolist(), strict=True)):
+        own = np.frombuffer(r, np.uint8)
+        before, after = own[max(0, a - room) : a][::-1], own[a + k : a + k + room]
+        left[: len(before), i], right[: len(after), i] = before, after
+    low = at - (size - length)  # fewest bytes before the string in a window of the region
+    up = _powers(_P, room + 1)
+    ahead, behind = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+    for j in range(room):
+        behind += _BYTE[right[j]] * up[j]
+    marks = [np.zeros(n - length + 1, bool) for n in size.tolist()]
+    for l in range(room + 1):
+        if l:
+            ahead += _BYTE[left[l - 1]] * up[l - 1]
+            behind -= _BYTE[right[room - l]] * up[room - l]
+        own = np.flatnonzero((l <= at) & (l >= low))
+        if len(own) > 1:
+            _, same, many = np.unique(_mix(_mix(ahead[own]) + behind[own]), return_inverse=True, return_counts=True)
+            for i in own[many[same] > 1].tolist():
+                marks[i][at[i] - l] = True
+    return marks
+
+
 # On Spark.
 
-RUNS = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("twice", T.BooleanType())]))
+RUNS = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("twice", T.BooleanType()), T.StructField("at", T.IntegerType())]))
 SPANS = "array<struct<first:int,after:int>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
 
@@ -304,7 +338,7 @@ def file_regions(owners: DataFrame, length: int, k: int) -> DataFrame:
                 rows = [cut(np.frombuffer(x or b"", np.uint8)) for x in batch.column(1).slice(i, j - i).to_pylist()]
                 ends = np.append(0, np.cumsum([len(r[0]) for r in rows])).astype(np.int32)
                 parts = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else []
-                runs = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["key", "first", "after", "twice"])
+                runs = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()), strict=True)], ["key", "first", "after", "twice", "at"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), runs)], ["owner", "runs"])
 
     return owners.select("owner", "data").mapInArrow(run, T.StructType([T.StructField("owner", T.BinaryType()), T.StructField("runs", RUNS)]))
@@ -323,12 +357,12 @@ def _take(found: DataFrame, length: int) -> DataFrame:
                     for r in runs:
                         own = data[r["first"] : r["after"] + length - 1]
                         rid = hashlib.blake2b(own, digest_size=16).digest()
-                        out.append((owner, r["first"], r["key"], rid, None if rid in seen else own, len(own), r["twice"]))
+                        out.append((owner, r["first"], r["key"], rid, None if rid in seen else own, len(own), r["twice"], r["at"]))
                         seen.add(rid)
-                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["owner", "first", "key", "rid", "bytes", "size", "twice"])
+                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["owner", "first", "key", "rid", "bytes", "size", "twice", "at"])
 
-    return found.select("owner", "data", "runs").mapInArrow(run, "owner binary, first int, key long, rid binary, bytes binary, size long, twice boolean")
+    return found.select("owner", "data", "runs").mapInArrow(run, "owner binary, first int, key long, rid binary, bytes binary, size long, twice boolean, at int")
 
 
 def repeated_windows(owners: DataFrame, counts: DataFrame, length: int, level: int = 0) -> DataFrame:
@@ -340,11 +374,11 @@ def repeated_windows(owners: DataFrame, counts: DataFrame, length: int, level: i
     runs = written(file_regions(owners, length, k).groupBy("owner").agg(F.first("runs").alias("runs")).join(counts, "owner"), "runs")
     each = runs.select("owner", "n", F.inline("runs"))
     keys = each.groupBy("key").agg(F.sum("n").alias("all"), F.max("twice").alias("any")).where("all > 1 or any").select("key")
-    wanted = each.join(keys, "key").groupBy("owner").agg(F.collect_list(F.struct("key", "first", "after", "twice")).alias("runs"))
+    wanted = each.join(keys, "key").groupBy("owner").agg(F.collect_list(F.struct("key", "first", "after", "twice", "at")).alias("runs"))
     data = owners.join(wanted, "owner").groupBy("owner").agg(F.first("data").alias("data"), F.first("runs").alias("runs"))
     taken = written(_take(data, length), "taken")
     regions = (taken.join(counts, "owner").groupBy("key", "rid")
-               .agg(F.sum("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("size").alias("size"), F.max("twice").alias("twice")))
+               .agg(F.sum("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("size").alias("size"), F.max("twice").alias("twice"), F.first("at").alias("at")))
     regions = written(regions, "regions")
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("size") - length + 1).cast("int").alias("after"))).cast(SPANS)
     known = regions.where("n > 1").select("rid", whole.alias("spans"))
@@ -358,13 +392,22 @@ def repeated_windows(owners: DataFrame, counts: DataFrame, length: int, level: i
         shards = max(1, -(-total // SHARD))
         packed = regions.join(small.select("key"), "key").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "rid", "n", "bytes")
 
-        def sort(table: pa.Table) -> pa.Table:
-            marks = repeats(table.column("bytes").to_pylist(), length)
+        def told(table: pa.Table, marks: list[np.ndarray]) -> pa.Table:
             rows = [(r, _spans(m)) for r, n, m in zip(table.column("rid").to_pylist(), table.column("n").to_pylist(), marks, strict=True) if n == 1 and m.any()]
             return pa.table({"rid": pa.array([r for r, _ in rows], pa.binary()), "spans": pa.array([x for _, x in rows], _SPANS)})
 
-        results = known.unionAll(packed.groupBy("shard").applyInArrow(sort, f"rid binary, spans {SPANS}"))
-        hot = groups.where(F.col("total") > GROUP).select("key")
+        def sort(table: pa.Table) -> pa.Table:
+            return told(table, repeats(table.column("bytes").to_pylist(), length))
+
+        def count(table: pa.Table) -> pa.Table:
+            return told(table, beside(table.column("bytes").to_pylist(), table.column("at").to_numpy().astype(np.int64), length, k))
+
+        parts = min(shards, SPREAD * int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        results = known.unionAll(packed.repartition(parts, "shard").groupBy("shard").applyInArrow(sort, f"rid binary, spans {SPANS}"))
+        wide = groups.where((F.col("total") > GROUP) & (F.col("total") <= HOT) & ~F.col("any")).select("key")
+        hot = groups.where((F.col("total") > GROUP) & ((F.col("total") > HOT) | F.col("any"))).select("key")
+        if wide.limit(1).count():
+            results = results.unionAll(regions.join(wide, "key").select("key", "rid", "n", "bytes", "at").groupBy("key").applyInArrow(count, f"rid binary, spans {SPANS}"))
         if hot.limit(1).count():
             again = written(regions.join(hot, "key").select(F.col("rid").alias("owner"), F.col("bytes").alias("data"), "n"), "again")
             more = repeated_windows(again.select("owner", "data"), again.select("owner", "n"), length, level + 1)

@@ -60,9 +60,26 @@ def sample(r):
     return [*rows, (40, None), (41, ""), (42, "z" * 100), (43, "ab" * 60), (44, "ab" * 60), (45, "é" * 30 + passage), (45, "x"), (None, passage), (46, "ab" * 11)]
 
 
-@pytest.mark.parametrize("group", [1 << 20, 60])
-def test_equal_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(suffix, "GROUP", group)  # the second cuts groups again, down to whole windows
+def test_windows_beside_a_string():
+    r = np.random.default_rng(5)
+    for t in range(200):
+        n, k = int(r.integers(4, 12)), int(r.integers(1, 4))
+        regions, at = [], []
+        for _ in range(int(r.integers(1, 9))):
+            a, b = int(r.integers(0, n - k + 1)), int(r.integers(0, n - k + 1))
+            if a + b + k >= n:
+                part = lambda m: bytes(r.integers(97, 99 + t % 2 * 9, m).astype(np.uint8))  # noqa: B023, E731
+                regions.append(part(a) + b"#" * k + part(b))
+                at.append(a)
+        seen = Counter(x[i : i + n] for x in regions for i in range(len(x) - n + 1))
+        for x, mark in zip(regions, suffix.beside(regions, np.array(at), n, k), strict=True):
+            assert mark.tolist() == [seen[x[i : i + n]] > 1 for i in range(len(x) - n + 1)]
+
+
+@pytest.mark.parametrize(("group", "hot"), [(1 << 20, 1 << 20), (60, 1 << 20), (60, 60)])
+def test_equal_brute_force(spark, monkeypatch, group, hot):
+    monkeypatch.setattr(suffix, "GROUP", group)  # the second counts place by place, the third cuts groups again, down to whole windows
+    monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "SHARD", 400)
     rows = sample(np.random.default_rng(group))
     assert run(spark, rows, 20) == want(rows, 20)
