@@ -62,7 +62,7 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_personal_data_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find(docs, pii.fit(docs))
+    found = pii.find(docs, pii.fit())
     kinds = [F.regexp_count("base", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *kinds, F.sha2("base", 256).alias("base_sha256"), "spans")
 
@@ -75,8 +75,9 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"))
+    found = decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n_windows")).otherwise(0))
+    return found.groupBy("doc_id", "item_id").agg(n(decontam.TEMPLATE).alias("n_windows"), n(decontam.WORDS).alias("n_copies"))
 
 
 ORACLES["op2_template_decontamination"] = decontam.oracle()
@@ -90,7 +91,9 @@ def op3_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeat"))
+
+
 
 
 @query

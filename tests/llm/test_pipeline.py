@@ -30,10 +30,11 @@ def test_stages_and_their_decisions(spark, tmp_path):
     top = brute(ids)
     assert texts[2] == {r for r, (k, _) in zip(rows, ids, strict=True) if top[k] == k}
     assert texts[3] <= texts[2] and 0 < len(texts[2] - texts[3]) < 0.2 * len(texts[2])
+    finder = pii.Finder(pii.fit())
     before, after = dict(texts[3]), dict(texts[4])
     assert before.keys() == after.keys()
     for k, t in after.items():
-        assert not pii.base_spans(t) and (t == before[k] or pii.base_spans(before[k]))
+        assert not pii.base_spans(t) and (t == before[k] or finder([before[k]])["spans"] != [""])
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in docs.collect():
         ids = library.encode(after[r["doc_id"]], add_special_tokens=False).ids
