@@ -32,8 +32,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; n_chars follows the text."""
-    out = pii.redact(docs, pii.fit(docs))
+    """Replaces personal data and secrets by their kind in brackets; n_chars follows the text."""
+    out = pii.redact(docs, pii.fit())
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
