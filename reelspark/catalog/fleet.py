@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reelspark.catalog import query
 from reelspark.catalog import bindings as b
 from reelspark.catalog import gates, sessions as cs, telemetry as ct, timeline as cl
-from reelspark.operators import checks, fleet as op, sessions as so, telemetry as to, timeline as tl
+from reelspark.operators import checks, evidence, fleet as op, sessions as so, telemetry as to, timeline as tl
 from reelspark.plans import qualification as plan
 from reelspark.session import chunk_width
 
@@ -103,6 +103,47 @@ def c6(spark, sf):
     return op.report_checks(plan.run_results(runs(spark, sf), reports(spark, sf)))
 
 
+EVIDENCE = """
+  e AS (SELECT k, n, ['inventory', 'short', 'soak', 'unplug', 'replug', 'disk-full', 'recover', 'inspect'][k % 8 + 1] AS mode FROM li2),
+  ev AS (SELECT k, n, unnest([
+     {'id': 'report-schema', 'ok': k % 11 <> 0, 'on': true}, {'id': 'qualification-installer', 'ok': k % 18 <> 0, 'on': true}, {'id': 'acceptance-tool-hash', 'ok': k % 7 <> 0, 'on': true}, {'id': 'engine-hash', 'ok': k % 9 <> 0, 'on': mode <> 'inspect'},
+     {'id': 'host-identity', 'ok': n % 3 <> 0, 'on': true}, {'id': 'inventory-target-device', 'ok': k % 6 <> 0, 'on': mode = 'inventory'}, {'id': 'inventory-required-configurations', 'ok': k % 5 <> 0, 'on': mode = 'inventory'},
+     {'id': 'device-identity', 'ok': k % 13 <> 0 AND n <> 4, 'on': mode <> 'inventory'}, {'id': 'full-track-container', 'ok': k % 3 <> 0 AND k % 10 > 0, 'on': mode = 'soak'}, {'id': 'production-eligible', 'ok': k % 4 = 2, 'on': k % 3 = 0},
+     {'id': 'phase1-qualification-binding', 'ok': n < 5 AND k % 15 > 0, 'on': mode = 'recover'}, {'id': 'report-directory-contained', 'ok': k % 12 <> 0, 'on': true},
+     {'id': 'recording-evidence-contained', 'ok': k % 14 <> 0 AND k % 17 <> 0, 'on': mode <> 'inventory'}, {'id': 'evidence-telemetry.jsonl', 'ok': k % 5 > 0, 'on': mode NOT IN ('inventory', 'recover', 'inspect')},
+     {'id': 'evidence-protocol.jsonl', 'ok': k % 16 <> 1, 'on': mode <> 'inspect'}, {'id': 'evidence-engine-stderr.log', 'ok': k % 19 <> 0, 'on': mode <> 'inspect'}]) AS c FROM e)"""
+
+
+def evidence_rows(spark, sf):
+    """Reports beside their requirement and plan; what a report says goes wrong with its number."""
+    r = reports(spark, sf).select("path", C("run_id").alias("k"), F.element_at(F.split("path", "-"), 3).cast("int").alias("n"))
+    k, n = C("k"), C("n")
+    mode, sha = _pick(RUN_MODES, k % 8), lambda x: F.sha2(F.lit(x), 256)
+    config = F.struct(F.lit(44100).alias("min_rate"), F.when(k % 5 == 0, 48000).otherwise(96000).alias("max_rate"), F.lit(2).alias("channels"))
+    device = F.struct(F.lit("d").alias("id"), F.array(config).alias("configurations"))
+    other = F.struct(F.lit("x").alias("id"), F.array(config).alias("configurations"))
+    entry = lambda name, there, size: F.when(there, F.struct(F.lit(name).alias("name"), size.cast("long").alias("size"), F.lit(True).alias("regular")))
+    report = F.struct(
+        F.when(k % 11 == 0, 2).otherwise(1).alias("schema_version"), F.when(k % 18 == 0, sha("old")).otherwise(sha("installer")).alias("installer_sha256"), F.when(k % 7 == 0, F.lit("x")).otherwise(F.upper(sha("tool"))).alias("tool_sha256"),
+        F.when(k % 9 == 0, sha("other")).otherwise(sha("engine")).alias("engine_sha256"),
+        F.struct(F.lit("win32").alias("platform"), F.lit("x64").alias("architecture"), F.when(n % 3 == 0, "h2").otherwise("h1").alias("hostname"), F.lit("10").alias("windows_release")).alias("host"),
+        F.when(k % 6 == 0, F.array(device, device)).otherwise(F.array(other, device)).alias("devices"), F.when(k % 13 == 0, F.array().cast("array<string>")).when(n == 4, F.array(F.lit("d"), F.lit("e"))).otherwise(F.array(F.lit("d"))).alias("device_ids"),
+        F.when(k % 3 == 0, "riff").otherwise("rf64").alias("container"), (k % 10 > 0).alias("exact_header"), (k % 4 == 2).alias("production_eligible"),
+        F.struct(F.when(n < 5, "q").alias("qualification_id"), F.when(k % 15 > 0, k).alias("run_id"), sha("installer").alias("installer_sha256")).alias("phase1"),
+        F.when(k % 12 == 0, F.lit("/rep/a/../../other/report.json")).when(n == 2, F.concat(F.lit("/rep/./x//"), "path", F.lit("/report.json"))).otherwise(F.concat(F.lit("/rep/"), "path", F.lit("/report.json"))).alias("path"),
+        F.when(k % 14 == 0, F.lit("/report/s")).otherwise(F.concat(F.lit("/rep/"), "path", F.lit("/session"))).alias("session_dir"), (k % 17 != 0).alias("session_dir_exists"),
+        F.array_compact(F.array(entry("telemetry.jsonl", F.lit(True), k % 5), entry("protocol.jsonl", k % 16 != 1, F.lit(9)), entry("engine-stderr.log", k % 19 != 0, F.lit(0)))).alias("files"))
+    plan_row = F.struct(F.lit("q").alias("qualification_id"), sha("installer").alias("installer_sha256"), sha("engine").alias("engine_sha256"), sha("tool").alias("tool_sha256"), F.lit("win32").alias("platform"), F.lit("x64").alias("architecture"),
+                        F.lit("h1").alias("hostname"), F.lit("10").alias("windows_release"), F.lit("d").alias("device_id"), F.array(F.lit(1), F.lit(2)).alias("channels"))
+    requirement = F.struct(mode.alias("mode"), F.when(mode == "soak", "rf64").alias("container"), (k % 3 == 0).alias("production_eligible"), k.alias("phase1_run_id"))
+    return r.select("k", "n", requirement.alias("requirement"), plan_row.alias("plan"), report.alias("report"))
+
+
+@query("c6_report_evidence", b.with_tables("li", RUN_SQL + "," + EVIDENCE + " SELECT k AS run_id, n AS report_no, c.id AS check_id, CASE WHEN c.ok THEN 'PASS' ELSE 'FAIL' END AS status FROM ev WHERE c.on"))
+def c6_evidence(spark, sf):
+    return evidence.report_evidence_checks(evidence_rows(spark, sf), ["k", "n"], "/rep").withColumnsRenamed({"k": "run_id", "n": "report_no"})
+
+
 @query("j6_bound_run", b.with_tables("li", RESULT + " SELECT qualification_id, run_id, 'bound-run-identity' AS check_id, status FROM bo"))
 def j6(spark, sf):
     return op.bound_runs(plan.with_status(plan.run_results(runs(spark, sf), reports(spark, sf))))
