@@ -253,6 +253,15 @@ def a17(spark, sf):
     return op.fleet_rollup(t, 48000, "device", "fmt").withColumn("hours", F.round("hours", 6)).withColumn("flagged_share", F.round("flagged_share", 6))
 
 
+@query("a17_fleet_daily", b.with_tables("takes", """
+  x AS (SELECT *, attempt_id AS fmt, start_sample % 5 AS device, tail_silence_samples < 24000 AS flagged, item_id % 30 AS day FROM takes)
+  SELECT device, fmt, day, count(*)::BIGINT AS takes, round(sum(greatest(0, end_sample - start_sample)) / (48000 * 3600.0::DOUBLE), 6) AS hours, coalesce(count_if(flagged), 0)::BIGINT AS flagged, round(coalesce(count_if(flagged), 0) / count(*), 6) AS flagged_share, count(DISTINCT session_id) AS sessions
+  FROM x GROUP BY ROLLUP (device, fmt, day)"""))
+def a17_daily(spark, sf):
+    t = b.takes(spark, sf).select("*", C("attempt_id").alias("fmt"), (C("start_sample") % 5).alias("device"), (C("tail_silence_samples") < 24000).alias("flagged"), (C("item_id") % 30).alias("day"))
+    return op.from_daily(op.fleet_daily(t, "device", "fmt"), 48000, "device", "fmt").withColumn("hours", F.round("hours", 6)).withColumn("flagged_share", F.round("flagged_share", 6))
+
+
 # --- evidence ------------------------------------------------------------------------
 
 ND = """
@@ -417,6 +426,26 @@ def c3(spark, sf):
     return checks.capture_checks(f, 48000, 24)
 
 
+C3_SESSION_CHECKS = [
+    ("engine-ready", "d % 67 <> 0"), ("device-id-match", "d % 29 <> 0"), ("sample-rate-match", "d % 23 <> 0"), ("wav-bit-depth-match", "d % 19 <> 0"), ("input-channel-match", "d % 17 <> 0"), ("capture-share-mode-match", "d % 13 <> 0"),
+    ("input-format-recorded", "d % 11 <> 0"), ("input-format-minimum", "d % 11 <> 0 AND d % 4 <> 1"), ("segment-wav-readable", "segments > 0 AND d % 41 <> 0"), ("segment-format-match", "segments > 0 AND d % 53 <> 0"),
+    ("physical-frame-watermark", "com = physical_frames"), ("safe-stop", "d % 71 <> 0 AND d % 73 <> 0"), ("stopped-status", "status = 'stopped'"), ("exact-sample-watermark", "cap >= 0 AND cap = com AND com = physical_frames"),
+    ("no-overflow", "overflow_samples = 0"), ("no-fault-marker", "NOT marker"), ("exact-segment-headers", "segments > 0 AND inexact = 0"), ("full-track-export", "d % 3 <> 0 OR (com IS NOT NULL AND d % 61 <> 0 AND d % 7 <> 0)")]
+
+
+@query("c3_session_checks", b.with_tables("candidates markers takes", SEALED + _facts_sql(C3_SESSION_CHECKS)))
+def c3_session(spark, sf):
+    d = C("session_id")
+    other = lambda n, bad, good: F.when(d % n == 0, F.lit(bad)).otherwise(F.lit(good))
+    f = sealed_facts(spark, sf).select(
+        "*", (d % 67 != 0).alias("engine_ready"), other(29, "e", "d").alias("device_id"), F.lit("d").alias("selected_id"), other(23, 44100, 48000).alias("sample_rate"), other(19, 16, 24).alias("bit_depth"),
+        other(17, 2, 1).alias("input_channel"), other(13, "shared", "exclusive").alias("share_mode"), F.when(d % 11 == 0, "").when(d % 4 == 1, "i16").otherwise("i32").alias("input_format"),
+        (d % 71 != 0).alias("stop_result"), F.when(d % 73 == 0, "late").alias("stop_error"),
+        F.struct(F.lit(48000).alias("rate"), F.lit(24).alias("bits"), F.lit(1).alias("channel"), F.lit("exclusive").alias("share_mode"), F.lit(24).alias("precision"), (d % 3 == 0).alias("export")).alias("requested"))
+    track = F.struct((~C("full_track_error")).alias("exact_header"), (C("committed_samples") + (d % 7 == 0).cast("int")).alias("frames"), C("sample_rate").alias("rate"), C("bit_depth").alias("bits"), F.lit(1).alias("channels"))
+    return checks.capture_session_checks(f.withColumn("track", track))
+
+
 C4_CHECKS = [
     ("healthy-prefix", "cbt >= 96000"), ("fault-detected", "fault_elapsed IS NOT NULL"), ("fault-after-trigger", "NOT unplug OR sat >= 0"), ("unplug-detection-latency", "NOT unplug OR sat BETWEEN 0 AND 15"),
     ("unplug-fault-kind", "NOT unplug OR first_kind = 'device_unavailable'"), ("disk-critical-latency", "unplug OR sac <= 5"), ("fault-marker", "session_id % 3 = 0"), ("faulted-status", "session_id % 5 > 0"),

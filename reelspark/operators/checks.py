@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.functions import formats
+
 C = F.col
 
 
@@ -77,6 +79,25 @@ def capture_checks(facts: DataFrame, rate: int, delivery_bits: int) -> DataFrame
         ("input-precision", C("precision_bits") >= delivery_bits), ("storage-health", C("first_critical_seq").isNull(), "WARN")])
 
 
+def capture_session_checks(facts: DataFrame) -> DataFrame:
+    """What was asked of a capture run against the session it left: device, format, segments, stop and full track.
+
+    ``facts``: snapshot and inventory columns of the session beside ``requested`` (rate, bits, channel, share_mode, precision,
+    export) and ``track`` (exact_header, frames, rate, bits, channels) of the exported full track.
+    """
+    some, asked, track = C("segments") > 0, lambda c: C(f"requested.{c}"), lambda c: C(f"track.{c}")
+    whole = track("exact_header") & (track("frames") == C("committed_samples")) & (track("rate") == C("sample_rate")) & (track("bits") == C("bit_depth")) & (track("channels") == 1)
+    return check_rows(facts, ["session_id"], [
+        ("engine-ready", C("engine_ready")), ("device-id-match", C("device_id").eqNullSafe(C("selected_id"))), ("sample-rate-match", C("sample_rate") == asked("rate")),
+        ("wav-bit-depth-match", C("bit_depth") == asked("bits")), ("input-channel-match", C("input_channel") == asked("channel")), ("capture-share-mode-match", C("share_mode") == asked("share_mode")),
+        ("input-format-recorded", C("input_format") != ""), ("input-format-minimum", formats.precision_bits(C("input_format")) >= asked("precision")),
+        ("segment-wav-readable", some & (C("segment_errors") == 0)), ("segment-format-match", some & (C("foreign_formats") == 0)), ("physical-frame-watermark", C("physical_frames") == C("committed_samples")),
+        ("safe-stop", C("stop_result") & C("stop_error").isNull()), ("stopped-status", C("status") == "stopped"),
+        ("exact-sample-watermark", (C("captured_samples") >= 0) & (C("captured_samples") == C("committed_samples")) & (C("committed_samples") == C("physical_frames"))),
+        ("no-overflow", F.coalesce("overflow_samples", F.lit(0)) == 0), ("no-fault-marker", ~C("fault_marker")), ("exact-segment-headers", some & (C("inexact_headers") == 0)),
+        ("full-track-export", ~asked("export") | whole)])
+
+
 def fault_checks(facts: DataFrame, rate: int) -> DataFrame:
     """Rules of a provoked fault; unplug runs are judged by kind and latency, others by the disk."""
     unplug = C("mode").isin("unplug", "replug", "default-switch")

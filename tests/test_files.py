@@ -6,6 +6,7 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
+from reelspark.functions import paths
 from reelspark.operators import delivery, fleet
 from reelspark.sinks import writers
 from reelspark.sources import logs, recordings, wav
@@ -104,6 +105,24 @@ def test_manifest_of_files_of_any_length(spark, tmp_path):
     assert got == {f"{want.hexdigest()} *{big}", f"{hashlib.sha256(b'x').hexdigest()} *{small}"}
 
 
+def test_daily_rows_roll_up_without_the_takes(spark):
+    """Two days' tables made apart give what all takes at once give; sessions and lengths within the sketches' error."""
+    takes = spark.range(60_000).select((F.col("id") % 3).alias("device"), (F.col("id") % 2).alias("day"), (F.col("id") % 5000).alias("session_id"), F.lit(0).cast("long").alias("start_sample"), (F.col("id") * 7 % 10_000).alias("end_sample"), (F.col("id") % 4 == 0).alias("flagged"))
+    daily = fleet.fleet_daily(takes.where("day = 0"), "device").unionByName(fleet.fleet_daily(takes.where("day = 1"), "device"))
+    got = {(r.device, r.day): r for r in fleet.from_daily(daily, 48000, "device").collect()}
+    assert got[None, None].takes == 60_000 and got[None, None].flagged == 15_000 and got[1, None].takes == 20_000 and got[1, 1].takes == 10_000
+    assert abs(got[None, None].sessions - 5000) < 150 and abs(got[None, None].hours - 60_000 * 4999.5 / 48000 / 3600) < 1e-6
+    lengths = {(r.device, r["rank"]): r.samples for r in fleet.length_quantiles(daily, [0.1, 0.5, 0.9], "device").collect()}
+    assert len(lengths) == 9 and all(abs(v - q * 10_000) < 300 for (_, q), v in lengths.items())
+
+
+def test_paths(spark):
+    cases = [("/rep", "/rep/a", True), ("/rep", "/rep", True), ("/rep", "/report/a", False), ("/rep", "/rep/../x", False), ("/rep/", "/x/../rep//./b", True), ("/rep", "rep/a", False), ("/rep", None, False),
+             ("/rep/a", "/rep", False), ("C:\\rep", "C:\\rep\\s\\..\\t", True), ("/", "/../../a", True)]
+    df = spark.createDataFrame(cases, "root string, path string, inside boolean")
+    assert [r[0] for r in df.select(paths.within(F.col("root"), F.col("path")) == F.col("inside")).collect()] == [True] * len(cases)
+
+
 def test_manifest_parts_are_bounded(spark):
     rows = spark.range(2500).select(F.lit(1).alias("session_id"), F.col("id").alias("pos"), F.col("id").alias("item_id"), F.lit("a").alias("attempt_id"), (F.col("id") % 2 == 0).alias("exported"))
     source = spark.createDataFrame([(1, 7, 900)], "session_id int, journal_seq long, committed_samples long")
