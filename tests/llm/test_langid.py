@@ -1,3 +1,5 @@
+import tracemalloc
+
 import duckdb
 
 from reelspark.llm import catalog, langid
@@ -22,6 +24,36 @@ def test_spans_scripts_and_edges(spark):
     assert len(got) == len(texts) and 0 <= got[9]["score"] <= 1
 
 
+def test_letters_and_marks(spark):
+    texts = ["½", "² ① Ⅷ 3", "ª", "हिन्दी"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["lang_pred"] for r in langid.label(docs, trained(spark)).orderBy("doc_id").collect()]
+    assert got[:2] == ["und", "und"] and "und" not in got[2:]
+    assert langid.letters("हिन्दी") == "\x02हिन्दी\x03"
+
+
+def test_many_languages(spark):
+    names = [f"l{i:03}" for i in range(200)]
+    words = {n: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(26)) for i, n in enumerate(names)}
+    model = langid.fit(spark.createDataFrame([(words[n], n) for n in names], "text string, lang string"))
+    docs = spark.createDataFrame([(i, words[n]) for i, n in enumerate(names)], "doc_id long, text string")
+    got = [r["lang_pred"] for r in langid.label(docs, model).orderBy("doc_id").collect()]
+    assert sum(a == b for a, b in zip(got, names, strict=True)) > 190
+
+
+def test_memory_of_texts_without_blanks(spark):
+    """Memory follows a fixed part of the text, not its length."""
+    label, peaks = langid.Labeller(trained(spark)), []
+    for n in (1 << 20, 1 << 22):
+        text = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(n))
+        tracemalloc.start()
+        out = label([text])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert out["spans"][0].endswith(f":{n // langid.LONG}") and not any(len(c) > langid.REMEMBERED for c in label.memory)
+    assert peaks[1] < 2 * peaks[0] + (1 << 22)
+
+
 def test_nothing_learned_and_empty(spark):
     model = langid.fit(spark.createDataFrame([], "text string, lang string"))
     docs = spark.createDataFrame([(1, EN), (2, None)], "doc_id long, text string")
