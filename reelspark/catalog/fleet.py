@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from reelspark.catalog import query
 from reelspark.catalog import bindings as b
 from reelspark.catalog import gates, sessions as cs, telemetry as ct, timeline as cl
-from reelspark.operators import checks, evidence, fleet as op, sessions as so, telemetry as to, timeline as tl
+from reelspark.operators import checks, evidence, fleet as op, replug, sessions as so, telemetry as to, timeline as tl
+from reelspark.operators.scan import Scan, chunk_of, scan
 from reelspark.plans import qualification as plan
 from reelspark.session import chunk_width
 
@@ -515,6 +516,42 @@ def c9(spark, sf):
     return checks.replug_checks(rows, 48000, 60.0)
 
 
+REPLUG = """
+  z AS (SELECT session_id AS sid, seq AS idx, k, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM telemetry),
+  cl AS (SELECT sid, idx, k, CASE WHEN rn IN (3, 30) OR (rn = 33 AND sid % 7 = 0) THEN 'start_session' WHEN rn = 5 THEN 'export_session' WHEN rn = 6 OR (rn = 7 AND sid % 13 = 0) THEN 'resume_session' WHEN rn IN (29, n - 1) THEN 'stop_session'
+     WHEN rn = n OR (rn = n - 2 AND sid % 3 = 0) THEN 'shutdown' WHEN rn <> 1 THEN 'list_devices' END AS command, k % 40 > 0 AND (rn NOT IN (5, 6) OR sid % 10 = 0) AND NOT (rn = 7 AND sid % 13 = 0) AS ok,
+     sid % 12 > 0 AS pair_ok, k % 4 > 0 AS matches, k % 4 = 0 AND rn > 8 AS absent, sid % 11 > 0 AS old, CASE WHEN rn < 30 THEN 'faulted' ELSE 'stopped' END AS stop_status, rn < 30 AS stop_old FROM z),
+  b0 AS (SELECT sid, count(*) AS starts, min(idx) AS f, bool_and(pair_ok) AS pok, list_sort(list(idx)) AS l FROM cl WHERE command = 'start_session' GROUP BY 1),
+  bd AS (SELECT s.sid, coalesce(starts, 0) AS starts, f, pok, l[2] AS g FROM (SELECT DISTINCT sid FROM cl WHERE command IS NOT NULL) s LEFT JOIN b0 USING (sid)),
+  rw AS (SELECT cl.*, f, g, idx > f AND idx < g AS mid FROM cl JOIN bd USING (sid) WHERE command IS NOT NULL),
+  fa AS (SELECT sid, count_if(command = 'list_devices' AND idx < f AND ok AND matches) AS il, min(idx) FILTER (WHERE command = 'list_devices' AND mid AND ok AND absent) AS ab,
+     count_if(command = 'export_session' AND mid AND old) AS oe, count_if(command = 'resume_session' AND mid AND old) AS orr, bool_or(command = 'export_session' AND mid AND old AND NOT ok) AS er, bool_or(command = 'resume_session' AND mid AND old AND NOT ok) AS rr,
+     min(idx) FILTER (WHERE command = 'export_session' AND mid) AS ea, min(idx) FILTER (WHERE command = 'resume_session' AND mid) AS ra,
+     count_if(command = 'stop_session' AND ok AND mid AND stop_old AND stop_status = 'faulted') AS bs, max(idx) FILTER (WHERE command = 'stop_session' AND ok AND idx > g AND NOT stop_old AND stop_status = 'stopped') AS st FROM rw GROUP BY 1),
+  sh AS (SELECT rw.sid, count_if(idx > st) AS n FROM rw JOIN fa USING (sid) WHERE command = 'shutdown' AND ok GROUP BY 1),
+  bk AS (SELECT rw.sid, idx, ok AND matches AS good, sum(CASE WHEN ok AND matches THEN 0 ELSE 1 END) OVER (PARTITION BY rw.sid ORDER BY idx ROWS UNBOUNDED PRECEDING) AS isl FROM rw JOIN fa USING (sid) WHERE command = 'list_devices' AND mid AND idx > ab),
+  sk AS (SELECT sid, max(c) AS streak FROM (SELECT sid, isl, count_if(good) AS c FROM bk GROUP BY ALL) GROUP BY 1),
+  rd AS (SELECT cl.sid, count_if(idx < f) AS n FROM cl JOIN bd USING (sid) WHERE command IS NULL GROUP BY 1),
+  facts AS (SELECT bd.sid AS session_id, starts = 2 AND pok AND sid % 5 > 0 AS c1, il >= 1 AND ab IS NOT NULL AND coalesce(streak, 0) >= 2 AND oe = 1 AND er AND ea < ab AND orr = 1 AND rr AND ra < ab AS c2,
+     coalesce(rd.n, 0) >= 1 AND bs >= 1 AND st IS NOT NULL AND coalesce(sh.n, 0) = 1 AS c3 FROM bd JOIN fa USING (sid) LEFT JOIN sh USING (sid) LEFT JOIN sk USING (sid) LEFT JOIN rd USING (sid)) """
+
+
+@query("c9_replug_protocol", b.with_tables("telemetry", REPLUG + _facts_sql([("replug-protocol-two-starts", "c1"), ("replug-protocol-transition", "c2"), ("replug-protocol-seals-and-shutdown", "c3")])))
+def c9_protocol(spark, sf):
+    """The polls of a session as requests and their responses, by their rank."""
+    t = b.telemetry(spark, sf).select("session_id", C("seq").alias("idx"), "k", chunk_of("seq", chunk_width(spark)).alias("chunk"))
+    ranked = scan(t, ["session_id"], ["idx"], "chunk", Scan(total={"before": F.lit(1).cast("long")}))
+    z = ranked.join(ranked.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")), "session_id").withColumn("rn", C("before") + 1)
+    s, k, rn, n = C("session_id"), C("k"), C("rn"), C("n")
+    command = (F.when(rn.isin(3, 30) | ((rn == 33) & (s % 7 == 0)), "start_session").when(rn == 5, "export_session").when((rn == 6) | ((rn == 7) & (s % 13 == 0)), "resume_session")
+               .when((rn == 29) | (rn == n - 1), "stop_session").when((rn == n) | ((rn == n - 2) & (s % 3 == 0)), "shutdown").when(rn != 1, "list_devices"))
+    ok = (k % 40 > 0) & (~rn.isin(5, 6) | (s % 10 == 0)) & ~((rn == 7) & (s % 13 == 0))
+    request = F.when(s % 5 == 0, F.lit(1).cast("long")).otherwise(C("idx"))
+    z = z.select("session_id", "idx", request.alias("request_id"), command.alias("command"), ok.alias("ok"), (s % 12 > 0).alias("pair_ok"), (k % 4 > 0).alias("matches"), ((k % 4 == 0) & (rn > 8)).alias("absent"),
+                 (s % 11 > 0).alias("old"), F.when(rn < 30, "faulted").otherwise("stopped").alias("stop_status"), (rn < 30).alias("stop_old"))
+    return replug.replug_protocol_checks(z.where("command is not null"), z.where("command is null").select("session_id", "idx"), chunk_width(spark))
+
+
 @query("c10_preseal_recovery", b.with_tables("takes", cl.SEGMENTS + """,
   u AS (SELECT *, max(segment_index) OVER (PARTITION BY session_id) AS li FROM segments)
   SELECT session_id, segment_index, CASE WHEN segment_index <> li THEN 'closed_unreadable' ELSE 'last_without_descriptor' END AS reason FROM u
