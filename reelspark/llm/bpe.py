@@ -24,8 +24,8 @@ from reelspark.llm.common import map_rows
 # Fixed values of the public format: what counts as white space, and the pattern of the words.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^" + SPACE + "\\p{L}\\p{N}]+"
-# Words whose encoding a task remembers; beyond it the memory starts anew.
-MEMORY = 300_000
+# Chunks whose encoding a task remembers (beyond it the memory starts anew), and the longest of them.
+MEMORY, REMEMBERED = 300_000, 64
 _NONE = 1 << 40
 
 
@@ -190,7 +190,11 @@ class Encoder:
                 coded = [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
             for c, ws in zip(fresh, cut, strict=True):
                 memory[c] = coded[place[ws[0]]] if len(ws) == 1 else b"".join(coded[place[w]] for w in ws)
-        return [b"".join(map(memory.__getitem__, chunks)) for chunks in split]
+        out = [b"".join(map(memory.__getitem__, chunks)) for chunks in split]
+        for c in fresh:
+            if len(c) > REMEMBERED and c not in self.special:
+                del memory[c]
+        return out
 
 
 def decode_ids(ids: bytes, tokens: list[str]) -> str:
@@ -209,7 +213,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", to: str = "ids")
         encoder = Encoder(shared.value)
         return lambda texts: {to: encoder(texts)}
 
-    return map_rows(docs, text, [T.StructField(to, T.BinaryType())], make)
+    return map_rows(docs, text, [T.StructField(to, T.BinaryType())], make, most=2 << 20)
 
 
 def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -220,4 +224,4 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", to: str = "decoded
         tokens = shared.value
         return lambda lists: {to: [decode_ids(x or b"", tokens) for x in lists]}
 
-    return map_rows(docs, ids, [T.StructField(to, T.StringType())], make)
+    return map_rows(docs, ids, [T.StructField(to, T.StringType())], make, most=2 << 20)
