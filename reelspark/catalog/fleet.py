@@ -490,6 +490,26 @@ def c7(spark, sf):
     return checks.phase1_checks(f, 48000, 15.0)
 
 
+RECOVERY_CHECKS = [
+    ("phase1-original-report-selected", "s % 3 = 1"), ("offline-seal-complete", "s % 9 > 0 AND s % 8 > 0 AND s % 7 > 0"), ("seal-watermark-consistent", "s % 6 > 0 AND s % 11 > 0"), ("armed-committed-preserved", "ph >= am"),
+    ("power-cut-tail-loss-budget", "greatest(0, ac - ph) <= least(600000, 720000)")]
+
+
+@query("c7_recovery_checks", b.with_tables("telemetry", """
+  m AS (SELECT session_id, max(elapsed_seconds) * (session_id % 5) / 4 AS armed, arg_max(committed_samples, seq) AS last FROM telemetry GROUP BY 1),
+  ar AS (SELECT t.session_id, arg_max(captured_samples, (elapsed_seconds, seq)) AS ac, arg_max(committed_samples, (elapsed_seconds, seq)) AS am FROM telemetry t JOIN m USING (session_id) WHERE elapsed_seconds <= armed GROUP BY 1),
+  facts AS (SELECT m.session_id, m.session_id AS s, last AS ph, ac, am FROM m LEFT JOIN ar USING (session_id)) """ + _facts_sql(RECOVERY_CHECKS)))
+def c7_recovery(spark, sf):
+    t, s = b.telemetry(spark, sf), C("session_id")
+    ends = t.groupBy("session_id").agg(F.max("elapsed_seconds").alias("end"), F.max_by("committed_samples", "seq").alias("physical_frames"))
+    evidence_of = ends.select("*", (C("end") * (s % 5) / 4).alias("armed_seconds"), F.lit(600_000).alias("evidence_tail_limit"))
+    f = checks.armed_rows(t, evidence_of).select(
+        "*", (s % 3).alias("phase1_reports"), (s % 9 > 0).alias("seal_snapshot"), (s % 8 == 0).alias("no_op"), F.concat(F.lit("/rec/./s"), s.cast("string")).alias("seal_dir"),
+        F.concat(F.when(s % 7 == 0, "/rec/x").otherwise("/rec/s"), s.cast("string")).alias("session_dir"), (C("physical_frames") + (s % 6 == 0).cast("int")).alias("durable_frames"),
+        (C("physical_frames") + (s % 11 == 0).cast("int")).alias("seal_committed"))
+    return checks.recovery_checks(f, 48000, 15.0)
+
+
 C9_CHECKS = [
     ("replug-states-once", "n_p = 1 AND n_a = 1 AND n_s = 1"), ("replug-present-exact", "at_p < a_first"), ("replug-absent", "n_a > 0"), ("replug-fault-before-absent", "a_fault < at_a"),
     ("replug-stable", "at_a < at_s"), ("replug-after-stable", "b_rows >= 2 AND b_first > at_s"), ("replug-rates", "a_dc / a_de BETWEEN 45600 AND 50400 AND b_dc / b_de BETWEEN 45600 AND 50400 AND a_de > 0 AND b_de > 0"),

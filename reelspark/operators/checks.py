@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.functions import formats
+from reelspark.functions import formats, paths
 
 C = F.col
 
@@ -126,6 +126,32 @@ def phase1_checks(facts: DataFrame, rate: int, max_tail_seconds: float, producti
         ("host-rebooted-after-arm", (C("boot_id") != C("evidence_boot_id")) & (C("booted_at_ms") > C("armed_at_ms") + 1000))])
 
 
+def armed_rows(polls: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The evidence of a session with the last poll at or before the moment it was armed (as-of), as armed_captured and armed_committed.
+
+    ``polls``: session_id, seq, elapsed_seconds and the watermarks; ``evidence``: session_id, armed_seconds and more. A session
+    that has no poll by then keeps nulls.
+    """
+    last = polls.join(evidence.select("session_id", "armed_seconds"), "session_id").where(C("elapsed_seconds") <= C("armed_seconds")).groupBy("session_id").agg(
+        F.max_by(F.struct(C("captured_samples").alias("armed_captured"), C("committed_samples").alias("armed_committed")), F.struct("elapsed_seconds", "seq")).alias("a"))
+    return evidence.join(last, "session_id", "left").select(*evidence.columns, "a.armed_captured", "a.armed_committed")
+
+
+def recovery_checks(facts: DataFrame, rate: int, max_tail_seconds: float) -> DataFrame:
+    """The session that an offline seal recovered against the armed poll before the power was cut.
+
+    ``facts``: a row of ``armed_rows`` beside the seal's answer (seal_snapshot, no_op, seal_dir, durable_frames, seal_committed), the
+    physical frames found, the folder of the run, evidence_tail_limit and how many original reports are bound to the run.
+    """
+    limit = F.least(C("evidence_tail_limit"), F.lit(int(-(-max_tail_seconds * rate // 1))))
+    return check_rows(facts, ["session_id"], [
+        ("phase1-original-report-selected", C("phase1_reports") == 1),
+        ("offline-seal-complete", C("seal_snapshot") & ~C("no_op") & (paths.steps(C("seal_dir")) == paths.steps(C("session_dir")))),
+        ("seal-watermark-consistent", (C("durable_frames") == C("physical_frames")) & (C("seal_committed") == C("physical_frames"))),
+        ("armed-committed-preserved", C("physical_frames") >= C("armed_committed")),
+        ("power-cut-tail-loss-budget", F.greatest(F.lit(0).cast("long"), C("armed_captured") - C("physical_frames")) <= limit)])
+
+
 def preseal_recovery(segments: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Unreadable segments that offline recovery must not rebuild, with the reason.
 
