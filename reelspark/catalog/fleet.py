@@ -171,6 +171,7 @@ PLAN_CHECKS = RUN_SQL + """,
     UNION ALL SELECT qualification_id, 'matrix-primary-soak-8h', bool_or(mode = 'soak' AND prim AND coalesce(min_hours >= 8, false)) FROM pm GROUP BY 1
     UNION ALL SELECT qualification_id, 'matrix-rf64-export', bool_or(mode = 'soak' AND export AND coalesce(sample_rate * bit_depth / 8 * min_hours * 3600 > 4294967295, false)) FROM pm GROUP BY 1
     UNION ALL SELECT qualification_id, 'production-recover-required', bool_or(mode = 'recover' AND prim AND production_eligible) FROM pm GROUP BY 1
+    UNION ALL SELECT qualification_id, 'production-abrupt-enospc-required', bool_or(mode = 'abrupt-enospc' AND prim AND production_eligible) FROM pm GROUP BY 1
     UNION ALL SELECT qualification_id, 'inspect-bound-to-recover', coalesce(bool_and(s_mode = 'recover') FILTER (WHERE mode = 'inspect'), true)
        FROM (SELECT pm.*, coalesce(s.mode, 'none') AS s_mode FROM pm LEFT JOIN pr s ON s.qualification_id = pm.qualification_id AND s.run_id = pm.bound_to) GROUP BY 1
     UNION ALL """ + " UNION ALL ".join(_mode_sql(m) for m in op.MODES if m not in ("short", "soak")) + " UNION ALL " + " UNION ALL ".join(_mode_sql(m, True) for m in op.PRIMARY_MODES) + ")"
@@ -207,6 +208,21 @@ def k6(spark, sf):
     return v.select("qualification_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), "qualification_id", "overall", "runs", "passed", "missing")).alias("report"))
 
 
+@query("k6_report_parts", b.with_tables("li", VERDICT + """,
+  ev AS (SELECT qualification_id, count(*) AS files, sum(length(path)) AS bytes FROM rp GROUP BY 1),
+  hp AS (SELECT qualification_id, string_agg('{"id":"' || check_id || '","status":"' || CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END || '"}', ',' ORDER BY check_id, ok DESC) AS l FROM pc GROUP BY 1),
+  rc AS (SELECT qualification_id, run_id, check_id, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status FROM ck UNION ALL SELECT qualification_id, run_id, 'bound-run-identity', status FROM bo),
+  rl AS (SELECT qualification_id, run_id, string_agg('{"id":"' || check_id || '","status":"' || status || '"}', ',' ORDER BY check_id, status) AS l, bool_and(status = 'PASS') AS ok FROM rc GROUP BY ALL),
+  en AS (SELECT sel.qualification_id, sel.run_id, '{"id":' || sel.run_id || ',"mode":"' || mode || '","status":"' || CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END || '",' || coalesce('"report_path":"' || selected || '",', '') || '"checks":[' || l || ']}' AS j FROM sel JOIN rl USING (qualification_id, run_id))
+  SELECT v.qualification_id, 0::BIGINT AS part, '{"schema_version":1,"qualification_id":' || v.qualification_id || ',"overall":"' || overall || '","discovered_report_count":' || coalesce(files, 0) || ',"plan_checks":[' || l || '],"evidence":{"status":"'
+     || CASE WHEN overall = 'QUALIFIED' THEN 'PASS","input_file_count":' || files || ',"input_bytes":' || bytes || '}}' ELSE 'NOT_GENERATED"}}' END AS document FROM verdict v LEFT JOIN hp USING (qualification_id) LEFT JOIN ev USING (qualification_id)
+  UNION ALL SELECT qualification_id, run_id // 10000 + 1, '{"requirements":[' || string_agg(j, ',' ORDER BY run_id) || ']}' FROM en GROUP BY ALL"""))
+def k6_parts(spark, sf):
+    r = reports(spark, sf)
+    files = r.groupBy("qualification_id").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("path")).alias("bytes"))
+    return plan.report_parts(runs(spark, sf), r, targets(spark, sf), (1, 2), files, 10_000)
+
+
 @query("j8_request_response", """
   WITH r AS (SELECT conv_id AS request_id, turn AS idx, role, md5(text) AS m FROM conversations)
   SELECT q.request_id, q.idx, min(s.idx) AS response_idx, arg_min(s.m, s.idx) AS response FROM r q LEFT JOIN r s ON s.request_id = q.request_id AND s.role = 'assistant' AND s.idx > q.idx WHERE q.role = 'user' GROUP BY ALL""")
@@ -449,7 +465,7 @@ def c3_session(spark, sf):
 
 C4_CHECKS = [
     ("healthy-prefix", "cbt >= 96000"), ("fault-detected", "fault_elapsed IS NOT NULL"), ("fault-after-trigger", "NOT unplug OR sat >= 0"), ("unplug-detection-latency", "NOT unplug OR sat BETWEEN 0 AND 15"),
-    ("unplug-fault-kind", "NOT unplug OR first_kind = 'device_unavailable'"), ("disk-critical-latency", "unplug OR sac <= 5"), ("fault-marker", "session_id % 3 = 0"), ("faulted-status", "session_id % 5 > 0"),
+    ("unplug-fault-kind", "NOT unplug OR first_kind = 'device_unavailable'"), ("disk-critical-latency", "unplug OR sac <= 5"), ("fault-marker", "session_id % 3 = 0"), ("faulted-status", "session_id % 5 > 0"), ("normal-export-blocked", "fault_elapsed IS NOT NULL AND session_id % 16 > 0"),
     ("captured-prefix-preserved", "session_id % 8 > 0"), ("timeline-stopped-after-fault", "stopped")]
 
 
@@ -466,7 +482,7 @@ def c4(spark, sf):
     f = every.join(ff, "session_id", "left").join(to.stopped_after_fault(t), "session_id", "left")  # a session without a fault fails its checks
     s = C("session_id")
     f = f.select("*", F.when(s % 2 == 0, "unplug").otherwise("disk-full").alias("mode"), (s % 2 + 95_999).alias("captured_before_trigger"), (C("fault_elapsed") - 100_000).alias("seconds_after_trigger"),
-                 (C("fault_elapsed") - C("ce")).alias("seconds_after_critical"), (s % 3 == 0).alias("fault_marker"), F.when(s % 5 > 0, "faulted").otherwise("stopped").alias("status"),
+                 (C("fault_elapsed") - C("ce")).alias("seconds_after_critical"), (s % 3 == 0).alias("fault_marker"), F.when(s % 5 > 0, "faulted").otherwise("stopped").alias("status"), (C("fault_elapsed").isNotNull() & (s % 16 > 0)).alias("export_rejected"),
                  (s % 8).alias("physical_frames"), F.lit(0).alias("trailing_segments"))
     return checks.fault_checks(f, 48000)
 

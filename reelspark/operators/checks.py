@@ -106,7 +106,7 @@ def fault_checks(facts: DataFrame, rate: int) -> DataFrame:
         ("healthy-prefix", C("captured_before_trigger") >= rate * 2), ("fault-detected", C("fault_elapsed").isNotNull()),
         ("fault-after-trigger", ~unplug | (after >= 0)), ("unplug-detection-latency", ~unplug | after.between(0, 15)),
         ("unplug-fault-kind", ~unplug | (C("first_kind") == "device_unavailable")),
-        ("disk-critical-latency", unplug | (disk <= 5)), ("fault-marker", C("fault_marker")), ("faulted-status", C("status") == "faulted"),
+        ("disk-critical-latency", unplug | (disk <= 5)), ("fault-marker", C("fault_marker")), ("faulted-status", C("status") == "faulted"), ("normal-export-blocked", C("export_rejected")),
         ("captured-prefix-preserved", (C("physical_frames") > 0) & (C("trailing_segments") == 0)), ("timeline-stopped-after-fault", C("stopped"))])
 
 

@@ -251,7 +251,7 @@ def plan_run_checks(runs: DataFrame, targets: DataFrame, channels: tuple[int, ..
         some(soak & C("export") & (C("container") == "rf64") & (need > storage.RIFF_LIMIT), "rf64"),
         *[some(C("mode") == m, f"mode_{m}") for m in MODES if m not in ("short", "soak")],
         *[some((C("mode") == m) & primary, f"primary_{m}") for m in PRIMARY_MODES],
-        some((C("mode") == "recover") & primary & C("production_eligible"), "production_recover"),
+        *[some((C("mode") == m) & primary & C("production_eligible"), f"production_{m}") for m in ("recover", "abrupt-enospc")],
         F.coalesce(F.bool_and(F.when(C("mode") == "inspect", F.coalesce(C("source_mode") == "recover", F.lit(False)))), F.lit(True)).alias("inspect_bound"))
     facts = targets.select(q).join(facts, q, "left")
     rest = check_rows(facts, [q], [
@@ -259,7 +259,7 @@ def plan_run_checks(runs: DataFrame, targets: DataFrame, channels: tuple[int, ..
         *[(f"matrix-soak-{r}", C(f"soak_{r}")) for r in REQUIRED_RATES], ("matrix-primary-soak-8h", C("soak_8h")), ("matrix-rf64-export", C("rf64")),
         *[(f"required-mode-{m}", C(f"`mode_{m}`")) for m in MODES if m not in ("short", "soak")],
         *[(f"required-mode-{m}-primary-format", C(f"`primary_{m}`")) for m in PRIMARY_MODES],
-        ("production-recover-required", C("production_recover")), ("inspect-bound-to-recover", C("inspect_bound"))])
+        ("production-recover-required", C("production_recover")), ("production-abrupt-enospc-required", C("`production_abrupt-enospc`")), ("inspect-bound-to-recover", C("inspect_bound"))])
     return matrix.unionByName(rest)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.operators import checks, fleet
-from reelspark.session import written
+from reelspark.operators.scan import chunk_of
 
 C = F.col
 
@@ -39,6 +39,28 @@ def qualify(runs: DataFrame, reports: DataFrame, targets: DataFrame, channels: t
     return verdict.join(counts, "qualification_id", "left")
 
 
+def report_parts(runs: DataFrame, reports: DataFrame, targets: DataFrame, channels: tuple[int, ...], evidence: DataFrame, runs_per_part: int) -> DataFrame:
+    """The report of every qualification as JSON parts: qualification_id, part, document.
+
+    Part 0 is the head: verdict, plan checks and the totals of the evidence (``evidence``: qualification_id, files, bytes), which only a
+    qualified plan has. The parts after it list the required runs by number, each with its checks; no part grows with the plan.
+    """
+    q, said = "qualification_id", lambda: F.struct(C("check_id").alias("id"), "status")
+    checks_of = fleet.plan_run_checks(runs, targets, channels).groupBy(q).agg(F.array_sort(F.collect_list(said())).alias("plan_checks"))
+    found = reports.groupBy(q).agg(F.count(F.lit(1)).alias("discovered"))
+    head = qualify(runs, reports, targets, channels).join(checks_of, q, "left").join(found, q, "left").join(evidence, q, "left")
+    passed = C("overall") == "QUALIFIED"
+    totals = F.struct(F.when(passed, "PASS").otherwise("NOT_GENERATED").alias("status"), F.when(passed, C("files")).alias("input_file_count"), F.when(passed, C("bytes")).alias("input_bytes"))
+    document = F.struct(F.lit(1).alias("schema_version"), q, "overall", F.coalesce("discovered", F.lit(0)).alias("discovered_report_count"), "plan_checks", totals.alias("evidence"))
+    head = head.select(q, F.lit(0).cast("long").alias("part"), F.to_json(document).alias("document"))
+
+    rows = run_results(runs, reports)
+    each = fleet.report_checks(rows).unionByName(fleet.bound_runs(with_status(rows))).groupBy(*fleet.RUN).agg(F.array_sort(F.collect_list(said())).alias("checks"), F.bool_and(C("status") == "PASS").alias("ok"))
+    entry = F.struct(C("run_id").alias("id"), "mode", F.when(C("ok"), "PASS").otherwise("FAIL").alias("status"), C("selected").alias("report_path"), "checks")
+    parts = rows.select(*fleet.RUN, "mode", "selected").join(each, fleet.RUN).groupBy(q, (chunk_of("run_id", runs_per_part) + 1).alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("requirements"))
+    return head.unionByName(parts.select(q, "part", F.to_json(F.struct("requirements")).alias("document")))
+
+
 # The format of a qualification plan. The profile's name is an input.
 _TEXT, _ID, _SHA = {"type": "string", "minLength": 1}, {"$ref": "#/$defs/id"}, {"$ref": "#/$defs/sha256"}
 _CHANNEL, _RATE, _DEPTH = {"type": "integer", "minimum": 1, "maximum": 256}, {"enum": [44100, 48000, 96000]}, {"enum": [16, 24, 32]}
