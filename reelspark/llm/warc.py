@@ -63,12 +63,12 @@ def write_records(records: DataFrame, date: str = "1970-01-01T00:00:00Z", chunk:
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", length.cast("string")), F.lit("\r\n"))
     whole = records.withColumn("http", http).withColumn("front", F.encode(F.concat(head, F.col("http")), "UTF-8"))
-    whole = whole.withColumn("n_front", F.expr(f"cast((octet_length(front) - 1) div {CHUNK} as int)"))  # chunks before the one in which the header ends
+    whole = whole.withColumn("n_front", F.expr(f"cast((octet_length(front) - 1) div {chunk} as int)"))  # chunks before the one in which the header ends
     whole = whole.withColumn("n_chunks", F.col("n_front") + F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int"))
     rows = whole.select(F.monotonically_increasing_id().alias("record_no"), "n_chunks", "n_front", "front", F.when(~revisit, F.col("payload")).alias("payload"),
                         F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
     none = F.encode(F.lit(""), "UTF-8")
-    front = F.when(F.col("chunk_no") <= F.col("n_front"), F.expr(f"substring(front, chunk_no * {CHUNK} + 1, {CHUNK})")).otherwise(none)
+    front = F.when(F.col("chunk_no") <= F.col("n_front"), F.expr(f"substring(front, chunk_no * {chunk} + 1, {chunk})")).otherwise(none)
     part = F.when(F.col("chunk_no") >= F.col("n_front"), F.coalesce(F.expr(f"substring(payload, (chunk_no - n_front) * {chunk} + 1, {chunk})"), none)).otherwise(none)
     data = F.concat(front, part, F.when(F.col("chunk_no") == F.col("n_chunks") - 1, F.encode(F.lit("\r\n\r\n"), "UTF-8")).otherwise(none))
     return rows.select("record_no", "chunk_no", "n_chunks", data.alias("data"))
