@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from reelspark.session import written
 
-__all__ = ["boxed", "kept_schema", "map_rows", "pieces", "prepared", "texts_of", "unboxed", "written"]
+__all__ = ["boxed", "kept_schema", "map_rows", "pieces", "prepared", "release", "texts_of", "unboxed", "written"]
 
 
 def prepared(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -36,6 +38,13 @@ def kept_schema(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in new] + fields)
 
 
+def release() -> None:
+    """Gives back what a finished task has freed: its worker stays, beside those of the tasks to come."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of a column, the empty one for a null."""
     return ["" if t is None else t for t in column.to_pylist()]
@@ -75,5 +84,7 @@ def map_rows(df: DataFrame, text: str, fields: list[T.StructField], make: Callab
                 out = fn(texts_of(part.column(at)))
                 arrays = [part.column(p) for p in places] + [pa.array(out[n], type=k) for n, k in kinds]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(n for n, _ in kinds)])
+        del fn
+        release()
 
     return df.mapInArrow(run, schema)

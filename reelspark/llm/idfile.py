@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from reelspark.llm.common import pieces, prepared, texts_of
+from reelspark.llm.common import pieces, prepared, release, texts_of
 
 BLOCK = 1 << 20
 LANES, STEPS = 4096, 256
@@ -412,6 +412,8 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
                     docs.append(doc)
                     held += len(own)
         yield from rest()
+        del encode
+        release()
 
     return rows.mapInArrow(run, FILES)
 
