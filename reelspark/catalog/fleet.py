@@ -601,6 +601,31 @@ def c10(spark, sf):
     return checks.preseal_recovery(s.select("session_id", "segment_index", (~unreadable).alias("readable")), descriptors)
 
 
+BEFORE_SEAL = [
+    ("phase1-source-bound", "d % 2 = 0 OR (d % 15 > 0 AND d % 21 > 0)"), ("session-evidence-bound", "d % 25 > 0 AND d % 27 > 0"), ("recording-tree-safe-before-seal", "d % 31 <> 0 AND d % 37 <> 0 AND d % 43 <> 0 AND d % 47 <> 0 AND NOT damaged"),
+    ("phase1-binaries-match", "d % 33 > 0"), ("engine-clean-exit", "d % 35 > 0 AND d % 39 > 0")]
+
+
+@query("c2_before_seal_checks", b.with_tables("candidates markers takes", SEALED.replace("facts AS (", "sf AS (") + """,
+  u AS (SELECT *, max(segment_index) OVER (PARTITION BY session_id) AS li FROM segments),
+  dm AS (SELECT DISTINCT session_id FROM u WHERE ((session_id + segment_index) % 31 = 0 OR (segment_index = li AND session_id % 4 = 0)) AND (segment_index <> li OR session_id % 8 = 0)),
+  facts AS (SELECT session_id, d, session_id IN (SELECT session_id FROM dm) AS damaged FROM sf) """ + _facts_sql(BEFORE_SEAL)))
+def c2_before_seal(spark, sf):
+    """The segments that offline recovery must not rebuild are those of c10."""
+    d = C("session_id")
+    bad = c10(spark, sf).groupBy("session_id").agg(F.count(F.lit(1)).alias("preseal_errors"))
+    f = sealed_facts(spark, sf).join(bad, "session_id", "left").fillna(0, ["preseal_errors"])
+    name = d.cast("string")
+    return checks.before_seal_checks(f.select(
+        "session_id", "tree_errors", "metadata_errors", "layout_errors", "descriptor_errors", "preseal_errors", F.when(d % 2 == 0, "evidence").otherwise("report").alias("source_kind"),
+        F.when(d % 15 == 0, "soak").otherwise("power-cut").alias("report_mode"), F.lit("armed").alias("report_phase"), F.when(d % 21 == 0, "x").otherwise(name).alias("report_session"), name.alias("evidence_session"),
+        F.concat(F.lit('{"kind":"power-cut-armed","n":'), name, F.lit("}")).alias("evidence"), F.concat(F.lit('{"n":'), F.when(d % 25 == 0, "0").otherwise(name), F.lit(', "kind":"power-cut-armed"}')).alias("evidence_here"),
+        F.lit("power-cut-armed").alias("evidence_here_kind"), F.concat(F.lit("/rec/s"), name).alias("session_dir"),
+        F.when(d % 27 == 0, F.concat(F.lit("/rec/./s"), name, F.lit("/power-cut-evidence.json"))).otherwise(F.concat(F.lit("/phase1/"), name, F.lit(".json"))).alias("evidence_path"),
+        F.lit("t").alias("tool_sha256"), F.lit("t").alias("evidence_tool_sha256"), F.when(d % 33 == 0, "o").otherwise("e").alias("engine_sha256"), F.lit("e").alias("evidence_engine_sha256"),
+        F.when(d % 35 == 0, 1).otherwise(0).alias("exit_code"), F.lit(None).cast("string").alias("exit_signal"), F.when(d % 39 == 0, "late").alias("shutdown_error")))
+
+
 C11_CHECKS = [
     ("fault-archive-clean", "d % 31 <> 0 AND d % 41 <> 0 AND d % 43 <> 0"), ("fault-archive-status", "status = 'faulted' AND marker"), ("fault-archive-watermarks", "d % 7 <> 0 AND d % 5 <> 0 AND (d % 6 <> 0 OR com IS NULL)"),
     ("fault-archive-frames", "physical_frames > 0 AND physical_frames = com"), ("fault-archive-segments", "segments > 0 AND inexact = 0 AND trail = 0")]

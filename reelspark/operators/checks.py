@@ -126,6 +126,31 @@ def phase1_checks(facts: DataFrame, rate: int, max_tail_seconds: float, producti
         ("host-rebooted-after-arm", (C("boot_id") != C("evidence_boot_id")) & (C("booted_at_ms") > C("armed_at_ms") + 1000))])
 
 
+def same_document(a, b):
+    """Do two JSON texts say the same, whatever the order of their keys? VARIANT keeps keys sorted."""
+    read = lambda x: F.to_json(F.try_parse_json(x))
+    return F.coalesce(read(a) == read(b), F.lit(False))
+
+
+def before_seal_checks(facts: DataFrame) -> DataFrame:
+    """What has to hold before an interrupted session is sealed offline, and how the engine that did it ended.
+
+    ``facts``: of the phase-1 input source_kind, report_mode, report_phase, report_session, evidence (JSON), evidence_session, evidence_path
+    and the hashes of its binaries; of the session evidence_here (JSON), evidence_here_kind, its folder, the error counts of its
+    tree and preseal_errors; the engine's exit_code, exit_signal and shutdown_error.
+    """
+    bound = (C("report_mode") == "power-cut") & (C("report_phase") == "armed") & (C("report_session") == C("evidence_session"))
+    here = paths.steps(F.concat("session_dir", F.lit("/power-cut-evidence.json")))
+    clean = F.lit(True)
+    for c in ("tree_errors", "metadata_errors", "layout_errors", "descriptor_errors", "preseal_errors"):
+        clean = clean & (C(c) == 0)
+    return check_rows(facts, ["session_id"], [
+        ("phase1-source-bound", (C("source_kind") == "evidence") | ((C("source_kind") == "report") & bound)),
+        ("session-evidence-bound", (C("evidence_here_kind") == "power-cut-armed") & (paths.steps(C("evidence_path")) != here) & same_document(C("evidence"), C("evidence_here"))),
+        ("recording-tree-safe-before-seal", clean), ("phase1-binaries-match", C("tool_sha256").eqNullSafe(C("evidence_tool_sha256")) & C("engine_sha256").eqNullSafe(C("evidence_engine_sha256"))),
+        ("engine-clean-exit", (C("exit_code") == 0) & C("exit_signal").isNull() & C("shutdown_error").isNull())])
+
+
 def armed_rows(polls: DataFrame, evidence: DataFrame) -> DataFrame:
     """The evidence of a session with the last poll at or before the moment it was armed (as-of), as armed_captured and armed_committed.
 
