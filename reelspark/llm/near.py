@@ -28,15 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.common import boxed, map_rows, prepared, unboxed, written
+from reelspark.llm.common import boxed, map_rows, prepared, release, unboxed, written
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 40, 6
 SIZE = BANDS * ROWS
 BLOCK = 128
-#: Estimates below this are no links: 0.8 less four standard deviations of an estimate.
-ESTIMATE = LEAST - 4 * (LEAST * (1 - LEAST) / SIZE) ** 0.5
-MEMORY = 120_000
+#: Estimates below this are no links: 0.8 less five standard deviations of an estimate (a chance of 3e-7, below that of the bands).
+ESTIMATE = LEAST - 5 * (LEAST * (1 - LEAST) / SIZE) ** 0.5
+#: Words that a task remembers, and the longest of them.
+MEMORY, REMEMBERED = 120_000, 64
+#: Shingles whose points are made at a time.
+SLICE = 1 << 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -53,7 +56,9 @@ class Shingler:
         self.memory: dict[str, int] = {}
 
     def word(self, w: str) -> int:
-        h = self.memory[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        if len(w) <= REMEMBERED:
+            self.memory[w] = h
         return h
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,40 +106,47 @@ def signatures(owner: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> n
     if not len(h):
         return out
     total = np.bincount(owner, count, n)
-    level_of = np.ceil(np.log2(count)).astype(int) + 1  # levels 0 to level_of - 1 have points below the count
-    owner_, h_, count_ = np.repeat(owner, level_of), np.repeat(h, level_of), np.repeat(count, level_of)
-    level = np.arange(len(owner_)) - np.repeat(np.cumsum(level_of) - level_of, level_of)
-    low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
-    width = np.where(level > 0, low, 1.0)
     horizon = SIZE * (np.log(SIZE) + 6) / np.maximum(total, 1)
     todo = total > 0
     while todo.any():
-        on = todo[owner_]
-        o, x, lv, c, lo, w = owner_[on], h_[on], level[on], count_[on], low[on], width[on]
-        t, limit, k = np.zeros(len(o)), horizon[o], 0
-        while len(o):
-            bits, u = points(x, lv, k)
-            t = t - np.log(u) / w
-            live = t <= limit
-            o, x, lv, c, lo, w, t, limit, bits = (a[live] for a in (o, x, lv, c, lo, w, t, limit, bits))
-            more = mix(bits + _C)
-            weight = lo + w * ((more >> np.uint64(40)).astype(np.float64) / (1 << 24))
-            seen = weight < c
-            np.minimum.at(out.reshape(-1), o[seen] * SIZE + (more[seen] & np.uint64(0xFFFFFFFF)).astype(np.int64) % SIZE, t[seen])
-            k += 1
+        for at in range(0, len(h), SLICE):
+            o, x, c = (a[at : at + SLICE] for a in (owner, h, count))
+            on = todo[o]
+            if on.any():
+                earliest(out.reshape(-1), o[on], x[on], c[on], horizon)
         todo &= np.isinf(out).any(1)
         horizon = np.where(todo, horizon * 2, horizon)
         out[todo] = np.inf
     return out
 
 
+def earliest(out: np.ndarray, owner: np.ndarray, h: np.ndarray, count: np.ndarray, horizon: np.ndarray) -> None:
+    """Lowers the times in `out` (owner by component) to those of these shingles' points before the owners' horizons."""
+    levels = np.ceil(np.log2(count)).astype(int) + 1  # levels 0 to levels - 1 have points below the count
+    o, x, c = np.repeat(owner, levels), np.repeat(h, levels), np.repeat(count, levels)
+    lv = np.arange(len(o)) - np.repeat(np.cumsum(levels) - levels, levels)
+    lo = np.where(lv > 0, 2.0 ** (lv - 1), 0.0)
+    w = np.where(lv > 0, lo, 1.0)
+    t, limit, k = np.zeros(len(o)), horizon[o], 0
+    while len(o):
+        bits, u = points(x, lv, k)
+        t = t - np.log(u) / w
+        live = t <= limit
+        o, x, lv, c, lo, w, t, limit, bits = (a[live] for a in (o, x, lv, c, lo, w, t, limit, bits))
+        more = mix(bits + _C)
+        weight = lo + w * ((more >> np.uint64(40)).astype(np.float64) / (1 << 24))
+        seen = weight < c
+        np.minimum.at(out, o[seen] * SIZE + (more[seen] & np.uint64(0xFFFFFFFF)).astype(np.int64) % SIZE, t[seen])
+        k += 1
+
+
 def packed(times: np.ndarray) -> np.ndarray:
     """16 bits of each value; equal times are the same point."""
     return (mix(times.view(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Adds the signature of each text; null for a text without words."""
+    """Adds the signature of each text; null for a text without words. Works on about 1 MB of text at a time."""
 
     def make():
         shingle = Shingler()
@@ -147,7 +159,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_rows(docs, "text", [T.StructField("signature", T.BinaryType())], make)
+    return map_rows(docs, "text", [T.StructField("signature", T.BinaryType())], make, most=1 << 20)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -181,6 +193,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     last = (b, bag(batch.column(3)[i].as_py()))
                 good.append(similarity(bag(batch.column(2)[i].as_py()), last[1]) >= least)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        release()
 
     return rows.mapInArrow(run, "a binary, b binary")
 
@@ -284,7 +297,7 @@ def one_of_each(docs: DataFrame, least: float = LEAST, text: str = "text", key:
     rows = found.groupBy("doc_id", "text_hash").agg(F.first("class_hash").alias("class_hash"), F.count("*").alias("n")).join(best, "class_hash")
     stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash"))
     rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.when(~stays, "drop").when(F.col("n") > 1, "many").alias("_fate")).where("_fate is not null")
-    rows = written(rows, "fates")
+    rows = written(rows, "fates").hint("merge")  # grows with the documents: the same plan at every size
     joined = boxed(docs, text, key).join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_hash")), "left")
     kept = joined.where("_fate is null").select("doc_id", "text", "row")
     if rows.where("_fate = 'many'").limit(1).count():
