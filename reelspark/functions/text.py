@@ -155,10 +155,15 @@ def csv_cell(x: Column) -> Column:
 def fixed6(name: str) -> Column:
     """A non-negative double column with six decimals, rounded by its exact binary value.
 
-    format_string rounds the shortest decimal form instead, which differs near ties. The
-    fraction times 2^62 is a whole number; rounding it to millionths is exact in decimals.
+    format_string rounds the shortest decimal form instead, which differs near ties. The value's fraction times a power
+    of two is a whole number; rounding it to millionths is exact in decimals. Small values have lower bits, so the power
+    grows as they fall; what is under 2^-30 is 0 whatever its bits.
     """
-    millionths = F.expr(f"(CAST(CAST(({name} - floor({name})) * 4611686018427387904D AS BIGINT) AS DECIMAL(20,0)) * 2000000BD + 4611686018427387904BD) div 9223372036854775808BD")
+    def rounded(bits: int) -> str:
+        scaled = f"CAST(CAST(({name} - floor({name})) * {2.0 ** bits!r}D AS BIGINT) AS DECIMAL(20,0))"
+        return f"CAST(({scaled} * 2000000BD + {2 ** bits}BD) div {2 ** (bits + 1)}BD AS BIGINT)"
+
+    millionths = F.expr(f"CASE WHEN {name} < {2.0 ** -20!r}D THEN {rounded(82)} WHEN {name} < {2.0 ** -10!r}D THEN {rounded(72)} ELSE {rounded(62)} END")
     whole = F.floor(F.col(name)).cast("long") + F.when(millionths >= 1_000_000, 1).otherwise(0)
     return F.concat(whole.cast("string"), F.lit("."), F.lpad((millionths % 1_000_000).cast("string"), 6, "0"))
 

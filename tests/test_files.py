@@ -1,12 +1,15 @@
 """Readers and writers on real files."""
 
 import hashlib
+import random
 import struct
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from reelspark.functions import paths
+from reelspark.functions.text import fixed6
 from reelspark.operators import delivery, fleet
 from reelspark.sinks import writers
 from reelspark.sources import logs, recordings, wav
@@ -151,6 +154,14 @@ def test_delivery_csv_has_its_header_first_and_rows_in_order(spark, tmp_path):
         assert lines[0] == ",".join(delivery.CSV_COLUMNS) and [x.split(",")[0] for x in lines[1:]] == [f'"t{99 - s - 2 * i}"' for i in range(n)]
 
 
+def test_six_decimals_follow_the_exact_value(spark):
+    rng = random.Random(3)
+    values = [i / 48000 for i in range(1000)] + [i * 375 / 48000 for i in range(50)] + [i * 10.0 ** -rng.randrange(1, 14) for i in range(2000)] + [0.0, 5e-7, 4.9e-7, 0.9999995, 2.0 ** -20, 2.0 ** -10, 2.0 ** -31, 5e-324, 1e9 + 0.1]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed6("v").alias("s")).collect()
+    bad = [(r.v, r.s) for r in got if r.s != str(Decimal(r.v).quantize(Decimal("0.000001"), ROUND_HALF_UP, Context(prec=60)))]
+    assert not bad
+
+
 def test_states_and_logs_are_replaced_per_session(spark, tmp_path):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "session_dir string, journal_seq long")
     writers.write_states(old, str(tmp_path / "s"))
