@@ -28,26 +28,34 @@ def _named(values: Column, many) -> Column:
     return F.coalesce(F.flatten(F.transform(values, many)), _none())
 
 
+def _read(values: Column) -> Column:
+    """VARIANTs with what the keywords ask of them, read once each; no kind is looked up of objects and arrays, which would walk all of them."""
+    v = lambda x: x.getField("v")
+    rows = F.transform(values, lambda x: F.struct(x.alias("v"), F.try_variant_get(x, "$", "map<string,variant>").alias("fields"), F.try_variant_get(x, "$", "array<variant>").alias("items")))
+    rows = F.transform(rows, lambda x: F.struct(v(x).alias("v"), x.getField("fields").alias("fields"), x.getField("items").alias("items"),
+                                                F.when(x.getField("fields").isNotNull(), "OBJECT").when(x.getField("items").isNotNull(), "ARRAY").otherwise(F.schema_of_variant(v(x))).alias("kind")))
+    numeric = lambda kind: kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return F.transform(rows, lambda x: F.struct(
+        x.getField("fields").alias("fields"), x.getField("items").alias("items"), x.getField("kind").alias("kind"), F.when(x.getField("kind") == "STRING", F.try_variant_get(v(x), "$", "string")).alias("text"),
+        F.when(numeric(x.getField("kind")), F.try_variant_get(v(x), "$", "double")).alias("number"), F.when(x.getField("kind") == "BOOLEAN", F.try_variant_get(v(x), "$", "boolean")).alias("flag")))
+
+
 class _Schema:
     def __init__(self, root: dict):
         self.root = root
 
-    def kind(self, v: Column) -> Column:
-        return F.schema_of_variant(v)
-
     def is_type(self, v: Column, name: str) -> Column:
-        kind, number = self.kind(v), F.try_variant_get(v, "$", "double")
-        numeric = (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
-        return {"string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID", "object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"),
-                "number": numeric, "integer": numeric & (number == F.floor(number))}[name]
+        kind, number = v.getField("kind"), v.getField("number")
+        return {"string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID", "object": kind == "OBJECT", "array": kind == "ARRAY",
+                "number": number.isNotNull(), "integer": number.isNotNull() & (number == F.floor(number))}[name]
 
     def equals(self, v: Column, value) -> Column:
         if isinstance(value, bool):
-            return self.is_type(v, "boolean") & (F.try_variant_get(v, "$", "boolean") == value)
+            return v.getField("flag") == value
         if isinstance(value, str):
-            return self.is_type(v, "string") & (F.try_variant_get(v, "$", "string") == value)
+            return v.getField("text") == value
         if isinstance(value, int | float):
-            return self.is_type(v, "number") & (F.try_variant_get(v, "$", "double") == float(value))
+            return v.getField("number") == float(value)
         if value is None:
             return self.is_type(v, "null")
         raise ValueError(f"only scalars can be compared, not {value!r}")
@@ -74,15 +82,13 @@ class _Schema:
                 for x in values:
                     same = same | F.coalesce(self.equals(v, x), F.lit(False))
                 out.append(_said(~same, path, rule))
-        text, number = F.when(self.is_type(v, "string"), F.try_variant_get(v, "$", "string")), F.when(self.is_type(v, "number"), F.try_variant_get(v, "$", "double"))
-        items = F.when(self.is_type(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
+        text, number, items, fields = (v.getField(x) for x in ("text", "number", "items", "fields"))
         bounds = {"pattern": lambda x: ~text.rlike(x), "minLength": lambda x: F.length(text) < x, "maxLength": lambda x: F.length(text) > x, "minimum": lambda x: number < x, "maximum": lambda x: number > x,
                   "minItems": lambda x: F.size(items) < x, "maxItems": lambda x: F.size(items) > x,
                   "uniqueItems": lambda x: F.lit(x) & (F.size(F.array_distinct(F.transform(items, lambda y: F.to_json(y)))) < F.size(items))}
         out += [_said(broken(schema[k]), path, k) for k, broken in bounds.items() if k in schema]
         if "items" in schema:
-            out.append(_named(items, lambda x, i: self.found(x, F.concat(path, F.lit("/"), i.cast("string")), schema["items"])))
-        fields = F.when(self.is_type(v, "object"), F.try_variant_get(v, "$", "map<string,variant>"))
+            out.append(_named(_read(items), lambda x, i: self.found(x, F.concat(path, F.lit("/"), i.cast("string")), schema["items"])))
         out += [_said(~F.map_contains_key(fields, F.lit(k)), F.concat(path, F.lit(f"/{k}")), "required") for k in schema.get("required", ())]
         known = schema.get("properties", {})
         if schema.get("additionalProperties") is False:
@@ -91,7 +97,7 @@ class _Schema:
         for k, inner in known.items():
             if inner is not True:
                 value = F.try_element_at(fields, F.lit(k))
-                out.append(_named(F.when(value.isNotNull(), F.array(value)), self.below(F.concat(path, F.lit(f"/{k}")), inner)))
+                out.append(_named(F.when(value.isNotNull(), _read(F.array(value))), self.below(F.concat(path, F.lit(f"/{k}")), inner)))
         out += [self.found(v, path, part) for part in schema.get("allOf", ())]
         if "if" in schema:
             holds = F.size(self.found(v, path, schema["if"])) == 0
@@ -101,5 +107,5 @@ class _Schema:
 
 def violations(doc: Column, schema: dict) -> Column:
     """Array of (path, rule) that the VARIANT breaks, empty for a valid document; null where there is no document."""
-    found = F.get(F.transform(F.array(doc), lambda v: _Schema(schema).found(v, F.lit(""), schema)), 0)
-    return F.when(doc.isNotNull(), found)
+    found = F.transform(F.array(doc), lambda v: F.when(v.isNotNull(), F.flatten(F.transform(_read(F.array(v)), lambda x: _Schema(schema).found(x, F.lit(""), schema)))))
+    return F.get(found, 0)
