@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspark.operators.checks import check_rows
 from reelspark.operators.scan import Scan, chunk_of, scan
+from reelspark.session import written
 
 C = F.col
 KEYS = ["session_id"]
@@ -27,9 +28,12 @@ def protocol_facts(calls: DataFrame, width: int) -> DataFrame:
     snapshot's ``stop_status`` and ``stop_old`` (it is the first session's).
     """
     start = C("command") == "start_session"
-    starts = calls.where(start).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("starts"), F.min("idx").alias("first"), F.bool_and(F.coalesce("pair_ok", F.lit(False))).alias("pairs_ok"), F.count_distinct("request_id").alias("start_ids"))
-    second = calls.where(start).join(starts.select(*KEYS, "first"), KEYS).where(C("idx") > C("first")).groupBy(*KEYS).agg(F.min("idx").alias("second"))
-    bounds = calls.select(*KEYS).distinct().join(starts, KEYS, "left").join(second, KEYS, "left")
+    of_start = lambda c: F.when(start, c)
+    bounds = calls.groupBy(*KEYS).agg(F.count_if(start).alias("starts"), F.min(of_start(C("idx"))).alias("first"), F.bool_and(of_start(F.coalesce("pair_ok", F.lit(False)))).alias("pairs_ok"),
+                                      F.count_distinct(of_start(C("request_id"))).alias("start_ids"))
+    second = calls.where(start).join(bounds.select(*KEYS, "first"), KEYS).where(C("idx") > C("first")).groupBy(*KEYS).agg(F.min("idx").alias("second"))
+    # Written, as are the facts: otherwise each of their readers repeats all joins before it, and the memory of all of them adds up in its tasks.
+    bounds = written(bounds.join(second, KEYS, "left"), "bounds")
     rows = calls.join(bounds.select(*KEYS, "first", "second"), KEYS)
     said, between = F.coalesce("ok", F.lit(False)), (C("idx") > C("first")) & (C("idx") < C("second"))
     lists, gone = C("command") == "list_devices", F.coalesce("absent", F.lit(False))
@@ -43,10 +47,11 @@ def protocol_facts(calls: DataFrame, width: int) -> DataFrame:
         *[first_of(old(f"{c}_session")).alias(f"{c}_at") for c in ("export", "resume")],
         F.count_if(stop & between & C("stop_old") & (C("stop_status") == "faulted")).alias("before_stops"),
         F.max(F.when(stop & (C("idx") > C("second")) & ~C("stop_old") & (C("stop_status") == "stopped"), C("idx"))).alias("after_stop"))
-    shut = rows.where((C("command") == "shutdown") & said).join(facts.select(*KEYS, "after_stop"), KEYS).groupBy(*KEYS).agg(F.count_if(C("idx") > C("after_stop")).alias("shutdowns"))
-    back = rows.where(lists & between).join(facts.select(*KEYS, "absent_at"), KEYS).where(C("idx") > C("absent_at"))
-    streaks = longest_streak(back, said & C("matches"), width)
-    return bounds.join(facts, KEYS).join(shut, KEYS, "left").join(streaks, KEYS, "left").fillna(0, ["starts", "shutdowns", "streak"])
+    facts = written(bounds.join(facts, KEYS), "facts")
+    shut = calls.where((C("command") == "shutdown") & said).join(facts.select(*KEYS, "after_stop"), KEYS).groupBy(*KEYS).agg(F.count_if(C("idx") > C("after_stop")).alias("shutdowns"))
+    back = calls.where(lists).join(facts.select(*KEYS, "first", "second", "absent_at"), KEYS).where(between & (C("idx") > C("absent_at")))
+    streaks = longest_streak(written(back.select(*KEYS, "idx", "ok", "matches"), "back"), said & C("matches"), width)
+    return facts.join(shut, KEYS, "left").join(streaks, KEYS, "left").fillna(0, ["starts", "shutdowns", "streak"])
 
 
 def replug_protocol_checks(calls: DataFrame, ready: DataFrame, width: int) -> DataFrame:
