@@ -9,9 +9,10 @@ shard, so strings that may be equal first have to meet in one shard:
 3. Groups of regions are packed into shards of about SHARD bytes. A shard's suffix array comes from induced sorting,
    its permuted common prefixes tell which windows stand in it twice.
 4. A group of more than GROUP bytes, as around a passage in very many documents, has one k-byte string in all its
-   regions: a window is what it takes on either side of it. Such windows are counted place by place, all regions abreast.
-5. A group of more than HOT bytes, or one whose string stands twice in a region, isn't gathered: its regions are cut
-   again by longer k-byte strings, up to the whole window, where a group is one string and a count.
+   windows: a window is what it takes on either side of the first one in it. Such windows are counted distance by
+   distance, all regions abreast, and all places of a region where the string stands again, as in repeated lines.
+5. A group of more than HOT bytes or PLACES places isn't gathered: its regions are cut again by longer k-byte strings,
+   up to the whole window, where a group is one string and a count.
 
 All windows are covered at any size; nothing is sampled. Null text counts as empty, texts under LENGTH bytes keep
 everything. Equal texts are taken up once, with their number.
@@ -32,7 +33,7 @@ from reelspark.llm.common import map_rows, pieces, prepared, written
 LENGTH = 400
 #: Bytes of the hashed strings, level by level, as parts of a window; the last is the window.
 PARTS = (0.12, 0.5, 0.8, 0.95, 1.0)
-SHARD, GROUP, HOT = 1 << 20, 1 << 19, 32 << 20
+SHARD, GROUP, HOT, PLACES = 1 << 20, 1 << 19, 32 << 20, 1 << 18
 #: Shards' partitions, in parts of the session's; shards cost time by their bytes.
 SPREAD = 4
 #: Windows of a text that are hashed at a time.
@@ -66,7 +67,7 @@ class Filer:
             self.up, self.down = _powers(_P, self.n + 1), _powers(_INV, self.n + 1)
 
     def part(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Key, first window, window after, whether the key stands at two places, and its first place from the region's first byte."""
+        """Key, first window, window after, at how many places windows meet the key first, and the first of them from the region's first byte."""
         n, k, wide = len(data), self.k, self.length - self.k + 1
         self.grow(n)
         sums = np.zeros(n + 1, np.uint64)
@@ -85,17 +86,17 @@ class Filer:
         cut = key[1:] != key[:-1]
         first = np.append(0, np.flatnonzero(cut) + 1)
         after = np.append(first[1:], windows)
-        twice = np.cumsum(np.append(0, moves & ~cut))
-        return key[first].view(np.int64), first, after, twice[after - 1] > twice[first], place[first] - first
+        moved = np.cumsum(np.append(0, moves & ~cut))
+        return key[first].view(np.int64), first, after, moved[after - 1] - moved[first] + 1, place[first] - first
 
     def __call__(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
         windows = len(data) - self.length + 1
         if windows < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         out = []
         for s in range(0, windows, SEGMENT):
-            key, first, after, twice, at = self.part(data[s : s + SEGMENT + self.length - 1])
-            out.append((key, first + s, after + s, twice, at))
+            key, first, after, places, at = self.part(data[s : s + SEGMENT + self.length - 1])
+            out.append((key, first + s, after + s, places, at))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -287,38 +288,53 @@ def repeats(regions: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def beside(regions: list[bytes], at: np.ndarray, length: int, k: int) -> list[np.ndarray]:
-    """The marks of `repeats` for regions that all hold one string of k bytes, at `at`, in each of their windows.
+    """The marks of `repeats` for regions that all hold one string of k bytes, first at `at`, in each of their windows.
 
-    A window is told by the bytes it has before and after that string, hashed for one length after the other.
+    A window is told by the bytes it has before and after the first such string in it, hashed for one length after the other.
     """
-    m, room = len(regions), length - k
-    size = np.array([len(r) for r in regions])
-    left, right = np.zeros((room + 1, m), np.uint8), np.zeros((room + 1, m), np.uint8)  # from the string outwards
-    for i, (r, a) in enumerate(zip(regions, at.tolist(), strict=True)):
-        own = np.frombuffer(r, np.uint8)
-        before, after = own[max(0, a - room) : a][::-1], own[a + k : a + k + room]
-        left[: len(before), i], right[: len(after), i] = before, after
-    low = at - (size - length)  # fewest bytes before the string in a window of the region
+    if not regions:
+        return []
+    room, size = length - k, np.array([len(r) for r in regions])
+    own = regions[0][at[0] : at[0] + k]
+    places = []
+    for r, a in zip(regions, at.tolist(), strict=True):
+        found = []
+        while 0 <= a:
+            found.append(a)
+            a = r.find(own, a + 1)
+        places.append(found)
+    many = np.array([len(p) for p in places])
+    region, at = np.repeat(np.arange(len(regions)), many), np.array([a for p in places for a in p], np.int64)
+    before = np.append(-1, at[:-1])
+    before[np.append(0, np.cumsum(many)[:-1])] = -1
+    low, high = np.maximum(at - (size - length)[region], 0), np.minimum(at - before - 1, room)  # bytes before the string in the windows that meet it first
+    live = low <= high
+    region, at, low, high = region[live], at[live], low[live], high[live]
+    place = room + (np.cumsum(size) - size)[region] + at
+    data = np.concatenate([np.zeros(room, np.uint8), np.frombuffer(b"".join(regions), np.uint8), np.zeros(room, np.uint8)])
     up = _powers(_P, room + 1)
-    ahead, behind = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-    for j in range(room):
-        behind += _BYTE[right[j]] * up[j]
-    marks = [np.zeros(n - length + 1, bool) for n in size.tolist()]
+    ahead, behind = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for j in range(room):  # bytes past a region's end are taken off again before one of its windows is told
+        behind += _BYTE[data[place + k + j]] * up[j]
+    windows = size - length + 1
+    start = (np.cumsum(windows) - windows)[region] + at
+    mark = np.zeros(int(windows.sum()), bool)
     for l in range(room + 1):
         if l:
-            ahead += _BYTE[left[l - 1]] * up[l - 1]
-            behind -= _BYTE[right[room - l]] * up[room - l]
-        own = np.flatnonzero((l <= at) & (l >= low))
-        if len(own) > 1:
-            _, same, many = np.unique(_mix(_mix(ahead[own]) + behind[own]), return_inverse=True, return_counts=True)
-            for i in own[many[same] > 1].tolist():
-                marks[i][at[i] - l] = True
-    return marks
+            ahead += _BYTE[data[place - l]] * up[l - 1]
+            behind -= _BYTE[data[place + k + room - l]] * up[room - l]
+        some = np.flatnonzero((l <= high) & (l >= low))
+        if len(some) > 1:
+            told = _mix(_mix(ahead[some]) + behind[some])
+            order = np.argsort(told)
+            same = np.flatnonzero(told[order[1:]] == told[order[:-1]])
+            mark[start[some[order[same]]] - l] = mark[start[some[order[same + 1]]] - l] = True
+    return np.split(mark, np.cumsum(windows)[:-1])
 
 
 # On Spark.
 
-RUNS = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("twice", T.BooleanType()), T.StructField("at", T.IntegerType())]))
+RUNS = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("places", T.IntegerType()), T.StructField("at", T.IntegerType())]))
 SPANS = "array<struct<first:int,after:int>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
 
@@ -338,7 +354,7 @@ def file_regions(owners: DataFrame, length: int, k: int) -> DataFrame:
                 rows = [cut(np.frombuffer(x or b"", np.uint8)) for x in batch.column(1).slice(i, j - i).to_pylist()]
                 ends = np.append(0, np.cumsum([len(r[0]) for r in rows])).astype(np.int32)
                 parts = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else []
-                runs = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()), strict=True)], ["key", "first", "after", "twice", "at"])
+                runs = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["key", "first", "after", "places", "at"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), runs)], ["owner", "runs"])
 
     return owners.select("owner", "data").mapInArrow(run, T.StructType([T.StructField("owner", T.BinaryType()), T.StructField("runs", RUNS)]))
@@ -357,12 +373,12 @@ def _take(found: DataFrame, length: int) -> DataFrame:
                     for r in runs:
                         own = data[r["first"] : r["after"] + length - 1]
                         rid = hashlib.blake2b(own, digest_size=16).digest()
-                        out.append((owner, r["first"], r["key"], rid, None if rid in seen else own, len(own), r["twice"], r["at"]))
+                        out.append((owner, r["first"], r["key"], rid, None if rid in seen else own, len(own), r["places"], r["at"]))
                         seen.add(rid)
-                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["owner", "first", "key", "rid", "bytes", "size", "twice", "at"])
+                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["owner", "first", "key", "rid", "bytes", "size", "places", "at"])
 
-    return found.select("owner", "data", "runs").mapInArrow(run, "owner binary, first int, key long, rid binary, bytes binary, size long, twice boolean, at int")
+    return found.select("owner", "data", "runs").mapInArrow(run, "owner binary, first int, key long, rid binary, bytes binary, size long, places int, at int")
 
 
 def repeated_windows(owners: DataFrame, counts: DataFrame, length: int, level: int = 0) -> DataFrame:
@@ -373,19 +389,19 @@ def repeated_windows(owners: DataFrame, counts: DataFrame, length: int, level: i
     k = max(1, min(length, round(length * PARTS[level])))
     runs = written(file_regions(owners, length, k).groupBy("owner").agg(F.first("runs").alias("runs")).join(counts, "owner"), "runs")
     each = runs.select("owner", "n", F.inline("runs"))
-    keys = each.groupBy("key").agg(F.sum("n").alias("all"), F.max("twice").alias("any")).where("all > 1 or any").select("key")
-    wanted = each.join(keys, "key").groupBy("owner").agg(F.collect_list(F.struct("key", "first", "after", "twice", "at")).alias("runs"))
+    keys = each.groupBy("key").agg(F.sum("n").alias("all"), F.max("places").alias("places")).where("all > 1 or places > 1").select("key")
+    wanted = each.join(keys, "key").groupBy("owner").agg(F.collect_list(F.struct("key", "first", "after", "places", "at")).alias("runs"))
     data = owners.join(wanted, "owner").groupBy("owner").agg(F.first("data").alias("data"), F.first("runs").alias("runs"))
     taken = written(_take(data, length), "taken")
     regions = (taken.join(counts, "owner").groupBy("key", "rid")
-               .agg(F.sum("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("size").alias("size"), F.max("twice").alias("twice"), F.first("at").alias("at")))
+               .agg(F.sum("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("size").alias("size"), F.first("places").alias("places"), F.first("at").alias("at")))
     regions = written(regions, "regions")
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("size") - length + 1).cast("int").alias("after"))).cast(SPANS)
     known = regions.where("n > 1").select("rid", whole.alias("spans"))
     if level == len(PARTS) - 1:  # a key is one string: what isn't counted twice itself stands with others or in a run
         results = known.unionAll(regions.where("n = 1").select("rid", whole.alias("spans")))
     else:
-        groups = regions.groupBy("key").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.max("twice").alias("any")).where("members > 1 or any")
+        groups = regions.groupBy("key").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.sum("places").alias("places")).where("members > 1 or places > 1")
         groups = written(groups, "groups")
         small = groups.where(F.col("total") <= GROUP)
         total = small.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
@@ -404,8 +420,9 @@ def repeated_windows(owners: DataFrame, counts: DataFrame, length: int, level: i
 
         parts = min(shards, SPREAD * int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         results = known.unionAll(packed.repartition(parts, "shard").groupBy("shard").applyInArrow(sort, f"rid binary, spans {SPANS}"))
-        wide = groups.where((F.col("total") > GROUP) & (F.col("total") <= HOT) & ~F.col("any")).select("key")
-        hot = groups.where((F.col("total") > GROUP) & ((F.col("total") > HOT) | F.col("any"))).select("key")
+        fits = (F.col("total") <= HOT) & (F.col("places") <= PLACES)
+        wide = F.broadcast(groups.where((F.col("total") > GROUP) & fits).select("key"))  # a key for GROUP bytes at most, 16 bytes a MB
+        hot = F.broadcast(groups.where((F.col("total") > GROUP) & ~fits).select("key"))
         if wide.limit(1).count():
             results = results.unionAll(regions.join(wide, "key").select("key", "rid", "n", "bytes", "at").groupBy("key").applyInArrow(count, f"rid binary, spans {SPANS}"))
         if hot.limit(1).count():

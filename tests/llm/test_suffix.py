@@ -76,6 +76,31 @@ def test_windows_beside_a_string():
             assert mark.tolist() == [seen[x[i : i + n]] > 1 for i in range(len(x) - n + 1)]
 
 
+def test_windows_beside_a_string_that_stands_again():
+    r = np.random.default_rng(6)
+    for t in range(400):
+        n, k = int(r.integers(5, 14)), int(r.integers(1, 4))
+        own, regions = b"ab#"[:k] if t % 2 else b"#" * k, []
+        for _ in range(int(r.integers(1, 7))):
+            part = lambda m: bytes(r.integers(97, 99, m).astype(np.uint8))  # noqa: B023, E731
+            x = b"".join(part(int(r.integers(0, n - k + 1))) + own for _ in range(int(r.integers(1, 9)))) + part(int(r.integers(0, n - k + 1)))
+            if len(x) >= n and all(own in x[i : i + n] for i in range(len(x) - n + 1)):
+                regions.append(x)
+        seen = Counter(x[i : i + n] for x in regions for i in range(len(x) - n + 1))
+        for x, mark in zip(regions, suffix.beside(regions, np.array([x.find(own) for x in regions]), n, k), strict=True):
+            assert mark.tolist() == [seen[x[i : i + n]] > 1 for i in range(len(x) - n + 1)]
+
+
+def test_repeated_lines_are_not_cut_to_windows(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP", 60)
+    levels, whole = [], suffix.repeated_windows
+    monkeypatch.setattr(suffix, "repeated_windows", lambda *a: levels.append(a[3:]) or whole(*a))
+    r = np.random.default_rng(8)
+    rows = [(i, "".join(map(chr, r.integers(97, 123, i % 7))) + "a common line\n" * (3 + i % 5) + "z" * i) for i in range(12)]
+    assert run(spark, rows, 20) == want(rows, 20)
+    assert levels == [()]
+
+
 @pytest.mark.parametrize(("group", "hot"), [(1 << 20, 1 << 20), (60, 1 << 20), (60, 60)])
 def test_equal_brute_force(spark, monkeypatch, group, hot):
     monkeypatch.setattr(suffix, "GROUP", group)  # the second counts place by place, the third cuts groups again, down to whole windows
