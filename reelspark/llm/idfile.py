@@ -25,10 +25,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -42,16 +43,16 @@ BLOCK = 1 << 20
 LANES, STEPS = 4096, 256
 #: Bits of the mixing weights, of the hash of two ids, and steps between two readings of the id counts.
 WEIGHT, CONTEXT, EVERY = 10, 18, 32
-#: Strings that a task remembers the ids of (once as units, once as pieces), and the longest.
-MEMORY, LONGEST = 400_000, 48
+#: Strings that a worker remembers the ids of, and the longest.
+MEMORY, LONGEST = 800_000, 48
 MAGIC = b"IDS1"
 HEAD = struct.Struct("<4sIIIII")
 #: The pre-tokenizer of byte-level vocabularies of this family (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A space where a unit of text may begin, and whether there are other spaces before spaces.
 _BETWEEN, _ODD = re.compile(r"(?<=\S) "), re.compile(r"\s ")  # of Python, which knows more of them
-#: Stands before the first unit of a text; no text holds a lone surrogate.
-_FIRST = "\ud800"
+#: A word and signs behind it, the two pieces of most strings: letters that every version of Unicode has, no apostrophe.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: Byte-level vocabularies write printable bytes as they are and the others, in order, as the characters from 256 on;
 #: 255 stands in no text and becomes a blank.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -280,15 +281,16 @@ class Ids:
         self.flat = np.concatenate([self.flat, ids])
         self.first = np.append(self.first, self.first[-1] + np.cumsum(lens))
 
-    def get(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all strings of all rows, and how many each row has."""
-        n = np.array([len(r) for r in rows], np.int64)
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(rows)), np.int64, int(n.sum()))
+    def at(self, strings: list[str]) -> np.ndarray:
+        """Places of strings, -1 for those not known."""
+        return np.fromiter(map(self.place.get, strings, repeat(-1)), np.int64, len(strings))
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the strings at these places, and where each one's end."""
         begin = self.first.take(at)
         lens = self.first.take(at + 1) - begin
         ends = np.append(0, np.cumsum(lens))
-        ids = self.flat.take(np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1]))
-        return ids, np.diff(ends[np.append(0, np.cumsum(n))])
+        return self.flat.take(np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1])), ends
 
     def forget(self, fresh: list[str]) -> None:
         """Forgets the long ones of the strings put last, and all where there are too many."""
@@ -296,20 +298,20 @@ class Ids:
             self.__init__()
         elif any(len(f) > LONGEST for f in fresh):
             kept = [f for f in fresh if len(f) <= LONGEST]
-            ids, lens = self.get([[f] for f in kept])
+            ids, ends = self.get(self.at(kept))
             n = len(self.first) - 1 - len(fresh)
             for f in fresh:
                 del self.place[f]
             self.first, self.flat = self.first[: n + 1], self.flat[: self.first[n]]
-            self.put(kept, ids, lens)
+            self.put(kept, ids, np.diff(ends))
 
 
 class Encoder:
     """Ids of texts as the library gives them.
 
     Texts are cut before single spaces after a character that is no space, where no piece of the pre-tokenizer can
-    cross; what stands between is looked up, or cut into pieces, and pieces not seen yet go through the library's
-    model many at a time.
+    cross. Arrow tells the different strings between; each is looked up, or cut into pieces, and pieces not seen yet
+    go through the library's model many at a time. A piece by itself is cut into itself, so one memory serves both.
     """
 
     def __init__(self, path: str):
@@ -317,7 +319,7 @@ class Encoder:
         self.special = {s.content: i for i, s in self.library.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.library.pre_tokenizer, self.library.post_processor = WhitespaceSplit(), None  # pieces come between blanks
-        self.units, self.pieces = Ids(), Ids()
+        self.units = self.pieces = Ids()
 
     def model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all pieces, and how many each has."""
@@ -327,44 +329,77 @@ class Encoder:
         lens = [np.bincount(np.array(e.word_ids, np.int64)) for e in found]
         return (np.concatenate(ids), np.concatenate(lens)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
-    def learn(self, units: list[str]) -> None:
-        cut = [PATTERN.findall(u[1:] if u[:1] == _FIRST else " " + u) for u in units]
-        fresh = list({p for row in cut for p in row if p not in self.pieces.place})
-        self.pieces.put(fresh, *self.model(fresh))
-        self.units.put(units, *self.pieces.get(cut))
-        self.pieces.forget(fresh)
+    def learn(self, units: list[str]) -> list[str]:
+        """Takes up strings; returns what was put into the memory, in order."""
+        known, one, several, cut, many = self.units, [], [], [], []
+        for u in units:
+            if not (word := _WORD(u)):
+                row = PATTERN.findall(u)
+            elif word[2]:
+                row = word.groups()
+            else:
+                one.append(u)
+                continue
+            if len(row) == 1:
+                one.append(u)
+            else:
+                several.append(u)
+                many.append(len(row))
+                cut += row
+        missing = np.flatnonzero(known.at(cut) < 0)
+        fresh = list(dict.fromkeys(chain(one, (cut[i] for i in missing.tolist()))))
+        known.put(fresh, *self.model(fresh))
+        ids, ends = known.get(known.at(cut))
+        known.put(several, ids, np.diff(ends[np.cumsum([0, *many])]))
+        return fresh + several
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        rows: list[list[str]] = []
-        marks: list[tuple[int, int]] = []  # special ids, each after so many rows
-        ends = []
+        plain: list[str] = []
+        odd: list[list[str]] = []
+        told: list[list[tuple[int, int]]] = []  # of each text: 0 and a special id, 1 and a plain row, 2 and an odd one
         for text in texts:
+            own = []
             for i, part in enumerate(self.cut.split(text) if any(s in text for s in self.special) else [text]):
                 if i % 2:
-                    marks.append((len(rows), self.special[part]))
+                    own.append((0, self.special[part]))
+                elif part and _ODD.search(part):
+                    own.append((2, len(odd)))
+                    first, *more = _BETWEEN.split(part)
+                    odd.append([first, *(" " + u for u in more)])
                 elif part:
-                    own = _BETWEEN.split(part) if _ODD.search(part) else part.split(" ")
-                    own[0] = _FIRST + own[0]
-                    rows.append(own)
-            ends.append((len(rows), len(marks)))
-        place = self.units.place
-        fresh = list({u for row in rows for u in row if u not in place})
-        self.learn(fresh)
-        ids, lens = self.units.get(rows)
+                    own.append((1, len(plain)))
+                    plain.append(part)
+            told.append(own)
+        rows = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = rows.flatten().dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ends = np.append(rows.offsets.to_numpy().astype(np.int64), len(index) + np.cumsum([len(r) for r in odd], dtype=np.int64))
+        strings = [" " + w for w in words] + [words[i] for i in index[ends[: len(plain)]].tolist()] + list(chain.from_iterable(odd))
+        at = self.units.at(strings)
+        fresh: list[str] = []
+        if len(new := np.flatnonzero(at < 0)):
+            new_strings = [strings[i] for i in new.tolist()]
+            fresh = self.learn(list(dict.fromkeys(new_strings)))
+            at[new] = self.units.at(new_strings)
+        units = np.concatenate([at[index], at[len(words) + len(plain) :]])
+        units[ends[: len(plain)]] = at[len(words) : len(words) + len(plain)]  # no space stands before the first
+        ids, cuts = self.units.get(units)
         self.units.forget(fresh)
-        cuts = np.append(0, np.cumsum(lens)).tolist()
-        out, row, mark = [], 0, 0
-        for last, marked in ends:
-            own = []
-            for at, special in marks[mark:marked]:
-                own += [ids[cuts[row] : cuts[at]], np.array([special], np.uint32)]
-                row = at
-            own.append(ids[cuts[row] : cuts[last]])
-            out.append(own[0] if len(own) == 1 else np.concatenate(own))
-            row, mark = last, marked
+        cuts = cuts[ends].tolist()
+        out = []
+        for own in told:
+            parts = []
+            for kind, n in own:
+                r = n + len(plain) * (kind == 2)
+                parts.append(ids[cuts[r] : cuts[r + 1]] if kind else np.array([n], np.uint32))
+            out.append(parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts]))
         return out
 
 
+#: Encoders between the tasks of one worker, by path; one that a task has taken up is not here.
+_RESTING: dict[str, Encoder] = {}
+
+
 # On Spark.
 
 FILES = "file int, block int, part int, more boolean, first long, n long, payload binary"
@@ -379,7 +414,7 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, file = Encoder(path), TaskContext.get().partitionId()
+        encode, file = _RESTING.pop(path, None) or Encoder(path), TaskContext.get().partitionId()
         number = first = held = 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
@@ -398,7 +433,7 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
             ids, docs, held = [], [], 0
 
         for batch in batches:
-            for i, j in pieces(batch.column(1), 1 << 20):
+            for i, j in pieces(batch.column(1), 8 << 20):
                 for doc, own in zip(batch.column(0).slice(i, j - i).to_pylist(), encode(texts_of(batch.column(1).slice(i, j - i))), strict=True):
                     own = np.append(own, np.uint32(end))
                     if held + len(own) > size:
@@ -412,7 +447,7 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
                     docs.append(doc)
                     held += len(own)
         yield from rest()
-        del encode
+        _RESTING[path] = encode
         release()
 
     return rows.mapInArrow(run, FILES)

@@ -105,3 +105,11 @@ def test_nulls_ties_long_texts_extra_columns(spark):
     parts = idfile.read(table, ids=True).where("doc_id = 6").orderBy("part").collect()
     assert np.frombuffer(b"".join(r["ids"] for r in parts), "<u4").tolist() == ids_of(long + long)
     assert idfile.documents(written(idfile.files(df.where("false"), PATH), "ids")).collect() == []
+
+
+def test_each_different_string_is_looked_up_once(monkeypatch):
+    sizes, at = [], idfile.Ids.at
+    monkeypatch.setattr(idfile.Ids, "at", lambda self, strings: sizes.append(len(strings)) or at(self, strings))
+    text = "some word, and some word. " * 500
+    assert [*idfile.Encoder(PATH)([text])[0].tolist(), 0] == ids_of(text)
+    assert max(sizes) < 12
