@@ -97,3 +97,12 @@ def test_paging_by_key_gives_every_row_once(spark):
     while page := [(r.modified_at, r.session_dir) for r in history.page_after(dirs, last, 20).collect()]:
         got, last = got + page, page[-1]
     assert got == want
+
+
+def test_journal_lines_are_dealt_out_before_parsing(spark, monkeypatch):
+    from reelspark.catalog import streams
+
+    seen, whole = [], streams.live.journal_tail
+    monkeypatch.setattr(streams.live, "journal_tail", lambda lines, late: seen.append(lines._jdf.queryExecution().logical().toString()) or whole(lines, late))
+    assert streams.x11(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 3 and all("Repartition" in plan for plan in seen)
