@@ -37,22 +37,26 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from reelspark.llm.common import pieces, prepared, release, texts_of
+from reelspark.llm.common import pieces, prepared, release
 
 BLOCK = 1 << 20
 LANES, STEPS = 4096, 256
 #: Bits of the mixing weights, of the hash of two ids, and steps between two readings of the id counts.
 WEIGHT, CONTEXT, EVERY = 10, 18, 32
-#: Strings that a worker remembers the ids of, and the longest.
-MEMORY, LONGEST = 800_000, 48
+#: Strings that a worker remembers the ids of, words of even texts among them, and the longest.
+MEMORY, WORDS, LONGEST = 800_000, 400_000, 48
 MAGIC = b"IDS1"
 HEAD = struct.Struct("<4sIIIII")
 #: The pre-tokenizer of byte-level vocabularies of this family (fixed value).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: A space where a unit of text may begin, and whether there are other spaces before spaces.
-_BETWEEN, _ODD = re.compile(r"(?<=\S) "), re.compile(r"\s ")  # of Python, which knows more of them
+#: Characters that Python takes for spaces, which are more than the library's, and where a unit of text may begin.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BETWEEN = re.compile(r"(?<=\S) ")
+#: Texts that are not cut at every space, and texts that are not cut at every line.
+_ODD, _LINES = f"{_SPACE} | \n", f"{_SPACE}\n"
 #: A word and signs behind it, the two pieces of most strings: letters that every version of Unicode has, no apostrophe.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_WORD = r"^\n?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
 #: Byte-level vocabularies write printable bytes as they are and the others, in order, as the characters from 256 on;
 #: 255 stands in no text and becomes a blank.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -268,6 +272,12 @@ def unblock(data: bytes) -> tuple[np.ndarray, list[int | None], list[int], int,
     return ids, [None if x else k for k, x in zip(keys.tolist(), none, strict=True)], lens.tolist(), part, bool(more)
 
 
+def gathered(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `flat` that begin there, one behind the other, and where each one's end."""
+    ends = np.append(0, np.cumsum(lens))
+    return flat.take(np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1])), ends
+
+
 class Ids:
     """Remembered ids of strings: each has a place, its ids stand in a row with those of all others."""
 
@@ -278,6 +288,9 @@ class Ids:
     def put(self, fresh: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         n = len(self.first) - 1
         self.place.update(zip(fresh, range(n, n + len(fresh)), strict=True))
+        self.add(ids, lens)
+
+    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
         self.flat = np.concatenate([self.flat, ids])
         self.first = np.append(self.first, self.first[-1] + np.cumsum(lens))
 
@@ -288,9 +301,7 @@ class Ids:
     def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of the strings at these places, and where each one's end."""
         begin = self.first.take(at)
-        lens = self.first.take(at + 1) - begin
-        ends = np.append(0, np.cumsum(lens))
-        return self.flat.take(np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1])), ends
+        return gathered(self.flat, begin, self.first.take(at + 1) - begin)
 
     def forget(self, fresh: list[str]) -> None:
         """Forgets the long ones of the strings put last, and all where there are too many."""
@@ -306,12 +317,39 @@ class Ids:
             self.put(kept, ids, np.diff(ends))
 
 
+class Words(Ids):
+    """The same for Arrow's strings, none of them twice; those in no recent piece of text are forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.strings, self.used, self.now = pa.array([], pa.large_string()), np.zeros(0, np.int64), 0
+
+    def put(self, fresh: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.strings, self.used = pa.concat_arrays([self.strings, fresh]), np.append(self.used, np.zeros(len(fresh), np.int64))
+        self.add(ids, lens)
+
+    def at(self, strings: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(strings, value_set=self.strings), -1).to_numpy().astype(np.int64)
+
+    def forget(self, at: np.ndarray) -> None:
+        """Forgets long strings, and where there are too many also those neither at these places nor at the ones before."""
+        self.now += 1
+        self.used[at] = self.now
+        kept = pc.less_equal(pc.utf8_length(self.strings), LONGEST).to_numpy(zero_copy_only=False)
+        if len(kept) > WORDS:
+            kept = kept & (self.used >= self.now - 1)
+        if not kept.all():
+            self.used, places = self.used[kept], np.flatnonzero(kept)
+            (self.flat, self.first), self.strings = self.get(places), self.strings.take(pa.array(places))
+
+
 class Encoder:
-    """Ids of texts as the library gives them.
+    """ids of texts as the library gives them.
 
-    Texts are cut before single spaces after a character that is no space, where no piece of the pre-tokenizer can
-    cross. Arrow tells the different strings between; each is looked up, or cut into pieces, and pieces not seen yet
-    go through the library's model many at a time. A piece by itself is cut into itself, so one memory serves both.
+    Texts are cut before single spaces and lines after a character that is no space, where no piece of the
+    pre-tokenizer can cross. Arrow tells the different strings between and looks them up. Of new ones words and the signs
+    behind them go through the library's model, many at a time; other strings are cut into pieces first, and pieces not
+    seen yet go there. A piece by itself is cut into itself, so one memory serves both.
     """
 
     def __init__(self, path: str):
@@ -320,26 +358,22 @@ class Encoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.library.pre_tokenizer, self.library.post_processor = WhitespaceSplit(), None  # pieces come between blanks
         self.units = self.pieces = Ids()
+        self.words = Words()  # strings as they stand behind a space, or with the end of a line before them
 
-    def model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def model(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all pieces, and how many each has."""
-        lines = [_VISIBLE[np.frombuffer(b"\xff".join(p.encode() for p in pieces[i : i + 500]), np.uint8)].tobytes().decode("utf-32-le") for i in range(0, len(pieces), 500)]
-        found = self.library.encode_batch(lines, add_special_tokens=False)
+        cuts = np.append(np.arange(0, len(pieces), 500), len(pieces)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pieces.cast(pa.large_binary()).cast(pa.binary())), b"\xff")
+        found = self.library.encode_batch([_VISIBLE[np.frombuffer(x, np.uint8)].tobytes().decode("utf-32-le") for x in lines.to_pylist()], add_special_tokens=False)
         ids = [np.array(e.ids, np.uint32) for e in found]
         lens = [np.bincount(np.array(e.word_ids, np.int64)) for e in found]
-        return (np.concatenate(ids), np.concatenate(lens)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        return (np.concatenate(ids), np.concatenate(lens)) if len(pieces) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def learn(self, units: list[str]) -> list[str]:
         """Takes up strings; returns what was put into the memory, in order."""
         known, one, several, cut, many = self.units, [], [], [], []
         for u in units:
-            if not (word := _WORD(u)):
-                row = PATTERN.findall(u)
-            elif word[2]:
-                row = word.groups()
-            else:
-                one.append(u)
-                continue
+            row = PATTERN.findall(u)
             if len(row) == 1:
                 one.append(u)
             else:
@@ -348,58 +382,105 @@ class Encoder:
                 cut += row
         missing = np.flatnonzero(known.at(cut) < 0)
         fresh = list(dict.fromkeys(chain(one, (cut[i] for i in missing.tolist()))))
-        known.put(fresh, *self.model(fresh))
+        known.put(fresh, *self.model(pa.array(fresh, pa.large_string())))
         ids, ends = known.get(known.at(cut))
         known.put(several, ids, np.diff(ends[np.cumsum([0, *many])]))
         return fresh + several
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain: list[str] = []
-        odd: list[list[str]] = []
-        told: list[list[tuple[int, int]]] = []  # of each text: 0 and a special id, 1 and a plain row, 2 and an odd one
-        for text in texts:
+    def places(self, units: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Places of strings in the memory, and what was put there for them."""
+        at, fresh = self.units.at(units), []
+        if len(new := np.flatnonzero(at < 0)):
+            strings = [units[i] for i in new.tolist()]
+            fresh = self.learn(list(dict.fromkeys(strings)))
+            at[new] = self.units.at(strings)
+        return at, fresh
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of different strings as they stand behind a space, or with the end of a line before them, and how many each has."""
+        stems = pc.ascii_rtrim(words, characters=_SIGNS)
+        plain = pc.match_substring_regex(stems, _WORD)
+        keys = pc.if_else(plain, stems, words).dictionary_encode()
+        at = self.words.at(keys.dictionary)
+        new = np.flatnonzero(at < 0)
+        unseen = keys.dictionary.take(pa.array(new))
+        word = pc.match_substring_regex(unseen, _WORD)
+        one, other = unseen.filter(word), unseen.filter(pc.invert(word))
+        word = word.to_numpy(zero_copy_only=False)
+        at[new[word]] = len(self.words.strings) + np.arange(len(one))
+        at[new[~word]] = len(self.words.strings) + len(one) + np.arange(len(other))
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), one, pa.scalar("", pa.large_string()))
+        self.words.put(one, *self.model(pc.if_else(pc.starts_with(one, "\n"), pc.utf8_slice_codeunits(one, 1), spaced)))
+        ends, size = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)[1:], pc.binary_length(stems).to_numpy()
+        lens = np.where(plain.to_numpy(zero_copy_only=False), pc.binary_length(words).to_numpy() - size, 0)
+        data, cuts = gathered(np.frombuffer(words.buffers()[2] or b"", np.uint8), ends - lens, lens)
+        signs = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        odd = [s if s[:1] == "\n" else " " + s for s in other.to_pylist()]
+        places, fresh = self.places(["\n", *signs.dictionary.to_pylist(), *odd])
+        ids, cuts = self.units.get(places[1 + len(signs.dictionary) :])
+        self.words.put(other, ids, np.diff(cuts))
+        parts = np.full((len(words), 3), -1)  # the end of a line, the word, the signs
+        parts[pc.and_(plain, pc.starts_with(words, "\n")).to_numpy(zero_copy_only=False), 0] = places[0]
+        parts[:, 1] = len(self.units.place) + at[keys.indices.to_numpy()]
+        parts[:, 2] = np.where(lens > 0, places[1 + signs.indices.to_numpy()], -1)
+        has = parts >= 0
+        begin = np.concatenate([self.units.first[:-1], len(self.units.flat) + self.words.first[:-1]])
+        lens = np.concatenate([np.diff(self.units.first), np.diff(self.words.first)])
+        all_of = parts[has]
+        ids, cuts = gathered(np.concatenate([self.units.flat, self.words.flat]), begin.take(all_of), lens.take(all_of))
+        self.units.forget(fresh)
+        self.words.forget(at)
+        return ids, np.diff(cuts[np.append(0, np.cumsum(has.sum(1)))])
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        rows = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(rows, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(rows, s))
+        units: list[str] = []
+        told: list[list[tuple[int, int]]] = []  # of each odd text: -1 and a special id, or its first unit and the one after its last
+        for text in rows.filter(odd).to_pylist():
             own = []
-            for i, part in enumerate(self.cut.split(text) if any(s in text for s in self.special) else [text]):
+            for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
                 if i % 2:
-                    own.append((0, self.special[part]))
-                elif part and _ODD.search(part):
-                    own.append((2, len(odd)))
-                    first, *more = _BETWEEN.split(part)
-                    odd.append([first, *(" " + u for u in more)])
+                    own.append((-1, self.special[part]))
                 elif part:
-                    own.append((1, len(plain)))
-                    plain.append(part)
+                    first, *more = _BETWEEN.split(part)
+                    own.append((len(units), len(units) + 1 + len(more)))
+                    units += [first, *(" " + u for u in more)]
             told.append(own)
-        rows = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
-        coded = rows.flatten().dictionary_encode()
-        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        ends = np.append(rows.offsets.to_numpy().astype(np.int64), len(index) + np.cumsum([len(r) for r in odd], dtype=np.int64))
-        strings = [" " + w for w in words] + [words[i] for i in index[ends[: len(plain)]].tolist()] + list(chain.from_iterable(odd))
-        at = self.units.at(strings)
-        fresh: list[str] = []
-        if len(new := np.flatnonzero(at < 0)):
-            new_strings = [strings[i] for i in new.tolist()]
-            fresh = self.learn(list(dict.fromkeys(new_strings)))
-            at[new] = self.units.at(new_strings)
-        units = np.concatenate([at[index], at[len(words) + len(plain) :]])
-        units[ends[: len(plain)]] = at[len(words) : len(words) + len(plain)]  # no space stands before the first
-        ids, cuts = self.units.get(units)
+        even = rows.filter(pc.invert(odd))
+        even = pc.if_else(pc.match_substring_regex(even, _LINES), even, pc.replace_substring(even, "\n", " \n"))
+        split = pc.split_pattern(even, " ")
+        coded, starts = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
+        index, words = coded.indices.to_numpy(), coded.dictionary
+        ids, lens = self.of_words(words)
+        heads = words.take(pa.array(index[starts[:-1]])).to_pylist()  # no space stands before the first
+        places, fresh = self.places(heads + units)
+        at = np.append(index, len(lens) + places[len(heads) :])
+        at[starts[:-1]] = len(lens) + places[: len(heads)]
+        begin = np.concatenate([np.cumsum(lens) - lens, len(ids) + self.units.first[:-1]])
+        ids, cuts = gathered(np.concatenate([ids, self.units.flat]), begin.take(at), np.concatenate([lens, np.diff(self.units.first)]).take(at))
         self.units.forget(fresh)
-        cuts = cuts[ends].tolist()
-        out = []
-        for own in told:
-            parts = []
-            for kind, n in own:
-                r = n + len(plain) * (kind == 2)
-                parts.append(ids[cuts[r] : cuts[r + 1]] if kind else np.array([n], np.uint32))
-            out.append(parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts]))
-        return out
+        ends, behind = cuts[starts].tolist(), cuts[len(index) :]
+        plain = (ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        odds = (np.concatenate([np.zeros(0, np.uint32), *(np.array([b], np.uint32) if a < 0 else ids[behind[a] : behind[b]] for a, b in own)]) for own in told)
+        return [next(odds) if o else next(plain) for o in odd.to_pylist()]
 
 
 #: Encoders between the tasks of one worker, by path; one that a task has taken up is not here.
 _RESTING: dict[str, Encoder] = {}
 
 
+def taken_up(path: str) -> Encoder:
+    """The encoder of this worker. What a task's own function names of a module is copied to each task, but for functions."""
+    return _RESTING.pop(path, None) or Encoder(path)
+
+
+def laid_down(path: str, encode: Encoder) -> None:
+    _RESTING[path] = encode
+
+
 # On Spark.
 
 FILES = "file int, block int, part int, more boolean, first long, n long, payload binary"
@@ -414,7 +495,7 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, file = _RESTING.pop(path, None) or Encoder(path), TaskContext.get().partitionId()
+        encode, file = taken_up(path), TaskContext.get().partitionId()
         number = first = held = 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
@@ -434,7 +515,7 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
 
         for batch in batches:
             for i, j in pieces(batch.column(1), 8 << 20):
-                for doc, own in zip(batch.column(0).slice(i, j - i).to_pylist(), encode(texts_of(batch.column(1).slice(i, j - i))), strict=True):
+                for doc, own in zip(batch.column(0).slice(i, j - i).to_pylist(), encode(pc.fill_null(batch.column(1).slice(i, j - i), "")), strict=True):
                     own = np.append(own, np.uint32(end))
                     if held + len(own) > size:
                         yield from rest()
@@ -447,7 +528,7 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
                     docs.append(doc)
                     held += len(own)
         yield from rest()
-        _RESTING[path] = encode
+        laid_down(path, encode)
         release()
 
     return rows.mapInArrow(run, FILES)

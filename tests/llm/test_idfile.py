@@ -113,3 +113,40 @@ def test_each_different_string_is_looked_up_once(monkeypatch):
     text = "some word, and some word. " * 500
     assert [*idfile.Encoder(PATH)([text])[0].tolist(), 0] == ids_of(text)
     assert max(sizes) < 12
+
+
+def test_memory_holds_words_without_signs_and_lines():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aeionrst", k=7)) for _ in range(40)]
+    text = " ".join(rng.choice(words) + rng.choice([",", ".\n", ".", "!?\n", ""]) + rng.choice(words).title() for _ in range(3000))
+    text = text.replace(".A", ". A")
+    encode = idfile.Encoder(PATH)
+    assert [[*x.tolist(), 0] for x in encode([text])] == [ids_of(text)]
+    lines = " ".join(f"{rng.choice(words)}.\n{rng.choice(words)}{rng.choice(',;:!?')}" for _ in range(3000))
+    known = len(encode.units.place) + len(encode.words.strings)
+    assert [[*x.tolist(), 0] for x in encode([lines])] == [ids_of(lines)]
+    assert len(encode.units.place) + len(encode.words.strings) <= known + 2 * len(words) + 20  # 1500 lines' ends and more before
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(idfile, "WORDS", 100)
+    encode = idfile.Encoder(PATH)
+    for k in range(6):
+        texts = [f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}{'abcdef'[k]} end don't{k}\nx" + " é" * 60 + " y" * 3 + " " + "q" * 70 for i in range(80)]
+        assert [[*x.tolist(), 0] for x in encode(texts)] == [ids_of(t) for t in texts]
+        assert len(encode.words.strings) <= 200 and max(len(w) for w in encode.words.strings.to_pylist()) <= idfile.LONGEST
+
+
+def test_a_worker_keeps_its_encoder(spark):
+    df = spark.range(4, numPartitions=1).selectExpr("id as doc_id", "concat('text ', id) as text")
+    idfile.files(df, PATH).count()
+
+    def probe(batches):
+        import pyarrow as pa
+
+        import reelspark.llm.idfile as own
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(own._RESTING)]})
+
+    assert sum(r["n"] for r in spark.range(64, numPartitions=64).mapInArrow(probe, "n long").collect()) > 0
