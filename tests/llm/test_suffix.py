@@ -131,3 +131,15 @@ def test_query(spark):
     rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in catalog.op5_suffix_arrays(spark, sf).collect()}
     assert got == {k: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for (k, _), x in zip(rows, brute(rows, 400), strict=True)}
+
+
+def test_planted_passages(spark):
+    r = np.random.default_rng(9)
+    prose = lambda n: " ".join("".join(map(chr, r.integers(97, 123, int(r.integers(2, 11))))) for _ in range(n))
+    passages = [prose(int(n)) for n in r.integers(51, 90, 16)]  # over 50 words, some under 400 bytes
+    assert {len(p) >= suffix.LENGTH for p in passages} == {True, False}
+    rows = [(k, f"{prose(60)} {passages[k // 2] if k < 32 else ''} {prose(60)}") for k in range(48)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(48):
+        shared = len(passages[k // 2]) + 2 if k < 32 else 0  # with the blanks around it
+        assert got[k][0] >= shared if shared >= suffix.LENGTH else got[k] == (0, 0)
