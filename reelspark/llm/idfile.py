@@ -65,8 +65,6 @@ _VISIBLE[[b for b in range(256) if b not in _PLAIN]] = 256 + np.arange(256 - len
 _VISIBLE[255] = 32
 _32 = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
-# Next confidence by right (4 to 7) or wrong (0 to 3) and the one before; a prediction that is wrong at 0 or 1 gives way.
-_NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -79,7 +77,7 @@ class Model:
         self.count = np.zeros(size, np.int64)
         self.by_one, self.by_two = np.zeros(size, np.int32), np.zeros(1 << CONTEXT, np.int32)  # id << 2 | confidence
         self.right = np.tile(np.array([1, 1, 4], np.int64), 32)
-        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.recent: list[np.ndarray] = []
         self.read()
 
@@ -97,51 +95,50 @@ class Model:
 
     def predict(self, k: int) -> None:
         """For the first k lanes: the ids of both contexts, and how much of the range they get."""
-        self.at = (self.two[:k] * _A ^ self.one[:k] * _B) >> np.uint32(32 - CONTEXT)
-        first, second = self.by_one.take(self.one[:k]), self.by_two.take(self.at)
+        self.last = self.one[:k]
+        self.at = ((self.two[:k].astype(np.uint32) * _A ^ self.last.astype(np.uint32) * _B) >> np.uint32(32 - CONTEXT)).astype(np.int64)
+        first, second = self.by_one.take(self.last), self.by_two.take(self.at)
         self.c1, self.f1, self.c2, self.f2 = first >> 2, first & 3, second >> 2, second & 3
-        self.mix = self.f2 << 3
-        self.mix |= self.f1 << 1
-        self.mix |= self.c1 == self.c2
+        mix = self.f2 << 3
+        mix |= self.f1 << 1
+        mix |= self.c1 == self.c2
+        self.mix = mix.astype(np.int64)
         n = self.right.reshape(32, 3)
         w = (1 + n[:, :2] * ((1 << WEIGHT) - 3) // n.sum(1)[:, None]).astype(np.uint64)
-        self.w2, self.both = w[:, 0].take(self.mix), w.sum(1).take(self.mix)
-        self.rest = self.whole - self.both
+        both = w.sum(1)
+        self.rest = (self.whole - both).take(self.mix)
+        self.to2, self.to1 = (w[:, 0] << self.shift).take(self.mix), (both << self.shift).take(self.mix)  # ends of both predictions
 
     def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id's share of 1 << (bits + WEIGHT)."""
         self.hit2, self.hit1 = ids == self.c2, ids == self.c1
         place = self.place.take(ids)
         start = (place >> _32) * self.rest
-        start += self.both << self.shift
+        start += self.to1
         width = (place & _LOW) * self.rest
         lone = self.hit1 > self.hit2
-        np.copyto(start, self.w2 << self.shift, where=lone)
-        np.copyto(width, (self.both - self.w2) << self.shift, where=lone)
-        np.copyto(start, np.uint64(0), where=self.hit2)
-        np.copyto(width, self.w2 << self.shift, where=self.hit2)
         self.outcome = np.int8(2) - self.hit2 * np.int8(2) - lone
-        return start, width
+        start = np.where(self.hit2, np.uint64(0), np.where(lone, self.to2, start))
+        return start, np.where(self.hit2, self.to2, np.where(lone, self.to1 - self.to2, width))
 
     def found(self, at: np.ndarray) -> np.ndarray:
         """The ids whose shares hold these points of the range."""
         if self.slots is None:
             self.slots = np.repeat(np.arange(self.size, dtype=np.int32), self.share)
-        both = self.both << self.shift
-        known = at < both
-        rest = at - both
-        rest[known] = 0
-        out = self.slots.take(rest // self.rest)
-        np.copyto(out, self.c1, where=known)
-        np.copyto(out, self.c2, where=at < self.w2 << self.shift)
-        return out
+        rest = np.maximum(at, self.to1)
+        rest -= self.to1
+        rest //= self.rest
+        return np.where(at < self.to2, self.c2, np.where(at < self.to1, self.c1, self.slots.take(rest.view(np.int64))))
 
     def learn(self, ids: np.ndarray, step: int) -> None:
         k = len(ids)
         self.right += np.bincount(self.mix * 3 + self.outcome, minlength=96)
-        for table, at, old, conf, hit in ((self.by_one, self.one[:k], self.c1, self.f1, self.hit1), (self.by_two, self.at, self.c2, self.f2, self.hit2)):
-            new = _NEXT.take(conf + (hit << np.int32(2)))
-            new |= np.where(hit | (conf > 1), old, ids) << np.int32(2)
+        for table, at, old, conf, hit in ((self.by_one, self.last, self.c1, self.f1, self.hit1), (self.by_two, self.at, self.c2, self.f2, self.hit2)):
+            new = np.where(hit | (conf > 1), old, ids) << np.int32(2)  # a prediction that is wrong at 0 or 1 gives way
+            conf += hit
+            conf += hit
+            conf -= np.int32(1)
+            new |= np.minimum(np.maximum(conf, np.int32(1)), np.int32(3))
             table[at] = new
         self.two[:k] = self.one[:k]
         self.one[:k] = ids
@@ -514,7 +511,7 @@ def files(docs: DataFrame, path: str, end: int = 0, text: str = "text", key: str
             ids, docs, held = [], [], 0
 
         for batch in batches:
-            for i, j in pieces(batch.column(1), 8 << 20):
+            for i, j in pieces(batch.column(1), 12 << 20):
                 for doc, own in zip(batch.column(0).slice(i, j - i).to_pylist(), encode(pc.fill_null(batch.column(1).slice(i, j - i), "")), strict=True):
                     own = np.append(own, np.uint32(end))
                     if held + len(own) > size:
