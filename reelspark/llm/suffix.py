@@ -16,6 +16,10 @@ shard, so strings that may be equal first have to meet in one shard:
 
 All windows are covered at any size; nothing is sampled. Null text counts as empty, texts under LENGTH bytes keep
 everything. Equal texts are taken up once, with their number.
+
+A passage of WORDS words may be shorter than LENGTH bytes and then stays. `shared_passages` tells the documents that
+share one with another document: strings of words are filed in the same way, and those whose key stands in two texts are
+counted by their hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -38,10 +42,14 @@ SHARD, GROUP, HOT, PLACES = 1 << 20, 1 << 19, 32 << 20, 1 << 18
 SPREAD = 4
 #: Windows of a text that are hashed at a time.
 SEGMENT = 1 << 20
+#: Words of a passage that documents are told to share, and of the strings under which it is filed.
+WORDS, ANCHOR = 51, 12
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
 
 def _powers(base: int, n: int) -> np.ndarray:
     x = np.full(n, base, np.uint64)
@@ -56,7 +64,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Filer:
-    """Cuts texts into regions: runs of windows whose smallest hash of k bytes is the same."""
+    """Cuts texts into regions: runs of windows whose smallest hash of k symbols is the same. Symbols are bytes or codes of 64 bits."""
 
     def __init__(self, length: int, k: int):
         self.length, self.k, self.n = length, k, 0
@@ -66,14 +74,19 @@ class Filer:
             self.n = max(n, 1 << 14)
             self.up, self.down = _powers(_P, self.n + 1), _powers(_INV, self.n + 1)
 
-    def part(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Key, first window, window after, at how many places windows meet the key first, and the first of them from the region's first byte."""
-        n, k, wide = len(data), self.k, self.length - self.k + 1
+    def hashes(self, data: np.ndarray, k: int) -> np.ndarray:
+        """Of each string of k symbols."""
+        n = len(data)
         self.grow(n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * self.up[:n], out=sums[1:])
-        h = _mix((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
-        windows = n - self.length + 1
+        np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * self.up[:n], out=sums[1:])
+        return _mix((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
+
+    def part(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Key, first window, window after, at how many places windows meet the key first, and the first of them from the region's first byte."""
+        wide = self.length - self.k + 1
+        h = self.hashes(data, self.k)
+        windows = len(data) - self.length + 1
         x = (h & ~np.uint64((1 << 21) - 1)) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost
         if wide > 1:
             x = np.append(x, np.full(-len(x) % wide, np.iinfo(np.uint64).max)).reshape(-1, wide)
@@ -161,35 +174,23 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
     return np.concatenate(out)
 
 
-def _induce_large(s: list[int], small: list[bool], lms: list[int], sigma: int) -> list[int]:
-    """The same for an alphabet as large as the text, element by element."""
+def _doubled(s: np.ndarray) -> np.ndarray:
+    """Suffix array for an alphabet as large as the text: ranks of strings twice as long each round, of those still alike."""
     n = len(s)
-    size = [0] * (sigma + 1)
-    for c in s:
-        size[c + 1] += 1
-    for c in range(sigma):
-        size[c + 1] += size[c]
-    sa = [-1] * n
-    tail = size[1:]
-    for p in reversed(lms):
-        c = s[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
-    head = size[:-1]
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not small[p]:
-            c = s[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = size[1:]
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and small[p]:
-            c = s[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
-    return sa
+    sa = np.argsort(s, kind="stable")
+    at, key, rank, h = np.arange(n), s[sa], np.zeros(n, np.int64), 1
+    while True:
+        x = sa[at]
+        first = np.append(True, key[1:] != key[:-1])
+        rank[x] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        at = at[~(first & np.append(first[1:], True))]
+        if not len(at):
+            return sa
+        x = sa[at]
+        key = rank[x] * n + rank[x + h]  # strings of h symbols that are alike end before the last symbol
+        order = np.argsort(key)
+        sa[at], key = x[order], key[order]
+        h *= 2
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
@@ -197,14 +198,11 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
+    if sigma > 512:
+        return _doubled(s)
     small = _types(s)
     lms = np.flatnonzero(np.append(False, small[1:] & ~small[:-1]))
-    if sigma <= 512:
-        induce = lambda order: _induce(s, small, order, sigma)
-    else:
-        plain, flags = s.tolist(), small.tolist()
-        induce = lambda order: np.array(_induce_large(plain, flags, order.tolist(), sigma))
-    sa = induce(lms)
+    sa = _induce(s, small, lms, sigma)
     # Names of the leftmost-smaller substrings, equal ones alike.
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
@@ -227,8 +225,8 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     reduced = np.zeros(len(lms), np.int64)
     reduced[number[order]] = name
     if name[-1] + 1 == len(lms):
-        return sa if not len(lms) else induce(order)
-    return induce(lms[suffix_array(reduced, int(name[-1]) + 1)])
+        return sa if not len(lms) else _induce(s, small, order, sigma)
+    return _induce(s, small, lms[suffix_array(reduced, int(name[-1]) + 1)], sigma)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,6 +432,78 @@ def repeated_windows(owners: DataFrame, counts: DataFrame, length: int, level: i
     return written(out.groupBy("owner").agg(F.collect_list("x").cast(SPANS).alias("spans")), "windows")
 
 
+def word_codes(texts: list[bytes], cut: Filer) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, and the number of the text it is in."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.flatnonzero(np.diff(_BLANK[data], prepend=True))
+    start, end = edge[::2], edge[1::2]
+    codes = np.zeros(len(start), np.uint64)
+    cut.grow(SEGMENT)
+    for s in range(0, len(data), SEGMENT):
+        part = data[s : s + SEGMENT]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * cut.up[: len(part)], out=sums[1:])
+        i, j = np.searchsorted(end, s, "right"), np.searchsorted(start, s + len(part))
+        a, b = np.maximum(start[i:j] - s, 0), np.minimum(end[i:j] - s, len(part))
+        told = (sums[b] - sums[a]) * cut.down[a]
+        if i < j and start[i] < s:
+            told[:1] *= np.uint64(pow(_P, s - int(start[i]), 1 << 64))
+        codes[i:j] += told
+    return _mix(codes), np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+
+
+def passages(texts: list[bytes], cut: Filer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each string of words as long as `cut` has them: the number of its text, its key and its hash."""
+    codes, text = word_codes(texts, cut)
+    windows, more = len(codes) - cut.length + 1, cut.length - 1
+    if windows < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, first, after, _, _ = cut(codes)
+    told = np.concatenate([cut.hashes(codes[s : s + SEGMENT + more], cut.length) for s in range(0, windows, SEGMENT)])
+    inside = text[:windows] == text[more:]
+    return text[:windows][inside], np.repeat(key, after - first)[inside], told[inside].view(np.int64)
+
+
+def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """The different values of each of n texts."""
+    order = np.lexsort((values, text))
+    text, values = text[order], values[order]
+    new = np.append(True, (text[1:] != text[:-1]) | (values[1:] != values[:-1]))[: len(text)]
+    ends = np.append(0, np.cumsum(np.bincount(text[new], minlength=n)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[new]))
+
+
+def shared_passages(owners: DataFrame, counts: DataFrame, words: int) -> DataFrame:
+    """owner of the texts with a string of `words` words that stands in another document too; arguments as for `repeated_windows`."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Filer(words, min(ANCHOR, words))
+        for batch in batches:
+            for i, j in pieces(batch.column(1), 8 << 20):
+                text, key, _ = passages(batch.column(1).slice(i, j - i).to_pylist(), cut)
+                run = np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[: len(text)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(text[run], key[run], j - i)], ["owner", "keys"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Filer(words, min(ANCHOR, words))
+        for batch in batches:
+            for i, j in pieces(batch.column(1), 8 << 20):
+                text, key, told = passages(batch.column(1).slice(i, j - i).to_pylist(), cut)
+                wanted = np.isin(key, batch.column(2).slice(i, j - i).flatten().to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(text[wanted], told[wanted], j - i)], ["owner", "keys"])
+
+    def twice(listed: DataFrame) -> DataFrame:
+        each = listed.select("owner", F.explode("keys").alias("key"))
+        return each.join(each.groupBy("key").count().where("count > 1").select("key"), "key")
+
+    filed = owners.select("owner", "data").mapInArrow(file, "owner binary, keys array<long>").where("size(keys) > 0")
+    filed = written(filed.groupBy("owner").agg(F.first("keys").alias("keys")).join(counts, "owner"), "filed")
+    wanted = twice(filed).groupBy("owner").agg(F.collect_list("key").alias("keys"))
+    data = owners.join(wanted, "owner").groupBy("owner").agg(F.first("data").alias("data"), F.first("keys").alias("keys"))
+    told = written(data.mapInArrow(tell, "owner binary, keys array<long>"), "told")
+    return written(twice(told).select("owner").unionAll(filed.where("n > 1").select("owner")).distinct(), "shared")
+
+
 def removed(spans: list[dict], length: int) -> list[tuple[int, int]]:
     """Byte ranges that windows starting in these spans cover, joined."""
     out: list[tuple[int, int]] = []
@@ -445,15 +515,16 @@ def removed(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept, the bytes that stay, of every row."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept, the bytes that stay, and whether another document shares a string of `words` words, of every row."""
     base = prepared(docs, text, key).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")).withColumn("owner", F.unhex(F.md5("data")))
     counts = written(base.groupBy("owner").agg(F.count("*").alias("n")), "counts")
     long = base.where(F.octet_length("data") >= length).select("owner", "data")
     spans = repeated_windows(long, counts, length)
     all_of = F.array(F.struct(F.lit(0).alias("first"), F.lit(-1).alias("after"))).cast(SPANS)  # equal texts go whole
-    told = counts.join(spans, "owner", "left").select("owner", F.when(F.col("n") > 1, all_of).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
-    rows = base.join(told, "owner", "left").select("doc_id", "data", "spans")
+    shared = shared_passages(base.where(F.octet_length("data") >= 2 * words - 1).select("owner", "data"), counts, words).withColumn("shares", F.lit(True))
+    told = counts.join(spans, "owner", "left").join(shared, "owner", "left").select("owner", F.when(F.col("n") > 1, all_of).otherwise(F.col("spans")).alias("spans"), "shares")
+    rows = base.join(told.where("spans is not null or shares"), "owner", "left").select("doc_id", "data", "spans", F.coalesce("shares", F.lit(False)).alias("shares"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -470,6 +541,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", k
                         kept = b"".join(data[a:b] for a, b in zip([0, *(c[1] for c in cuts)], [*(c[0] for c in cuts), len(data)], strict=True))
                         out.append((len(data), len(data) - len(kept), len(cuts), kept))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[c] for o in out], t) for c, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                cols = [part.column(0), *(pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)), part.column(3)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "shares_passage"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, shares_passage boolean")

@@ -143,3 +143,40 @@ def test_planted_passages(spark):
     for k in range(48):
         shared = len(passages[k // 2]) + 2 if k < 32 else 0  # with the blanks around it
         assert got[k][0] >= shared if shared >= suffix.LENGTH else got[k] == (0, 0)
+
+
+def test_shared_words_below_the_byte_length(spark):
+    r = np.random.default_rng(10)
+    word = lambda: "".join(map(chr, r.integers(97, 123, int(r.integers(1, 6)))))
+    prose = lambda n: [word() for _ in range(n)]
+    texts = []
+    for n in (50, 51, 52, 60):  # strings of n words, each in two documents; all under 400 bytes
+        p = prose(n)
+        assert len(" ".join(p)) < suffix.LENGTH
+        texts += [" ".join(prose(30) + p + prose(9)), "\n".join(p), " ".join(prose(20) + p)]
+    own = prose(51)
+    texts += [" ".join(own + prose(3) + own), " ".join(prose(50)), " ".join(prose(90)), "", None, " \n", "é " * 50]
+    texts += [" ".join(prose(51))] * 2 + [" ".join(prose(50))] * 2 + ["".join(map(chr, r.integers(97, 123, 3000))) + " " + " ".join(prose(60))]
+
+    def strings(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 51]) for i in range(len(w) - 50)}
+
+    where = Counter(x for t in texts for x in strings(t))
+    want = {k: any(where[x] > 1 for x in strings(t)) for k, t in enumerate(texts)}
+    assert [want[k] for k in range(15)] == [False] * 3 + [True] * 9 + [False] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix.without_repeats(docs).collect()
+    assert {r["doc_id"]: r["shares_passage"] for r in got} == want
+    assert all(r["n_removed"] == 0 for r in got)
+
+
+def test_codes_of_words_in_segments(monkeypatch):
+    texts = ["one two  three".encode(), b"", b"\tthree" + b"x" * 90 + b" two\n", b"one", ("é" * 70).encode()]
+    whole = suffix.word_codes(texts, suffix.Filer(3, 2))
+    assert whole[1].tolist() == [0, 0, 0, 2, 2, 3, 4]
+    assert whole[0][0] == whole[0][5] and whole[0][1] == whole[0][4] and len(set(whole[0].tolist())) == 5
+    strings = suffix.passages(texts * 9, suffix.Filer(3, 2))
+    monkeypatch.setattr(suffix, "SEGMENT", 16)
+    assert suffix.word_codes(texts, suffix.Filer(3, 2))[0].tolist() == whole[0].tolist()
+    assert [x.tolist() for x in suffix.passages(texts * 9, suffix.Filer(3, 2))] == [x.tolist() for x in strings]
