@@ -91,7 +91,7 @@ def op3_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeat"), "shares_passage")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeat"), "n_shared", (F.col("n_shared") > 0).alias("shares_passage"))
 
 
 

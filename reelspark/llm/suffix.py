@@ -17,9 +17,9 @@ shard, so strings that may be equal first have to meet in one shard:
 All windows are covered at any size; nothing is sampled. Null text counts as empty, texts under LENGTH bytes keep
 everything. Equal texts are taken up once, with their number.
 
-A passage of WORDS words may be shorter than LENGTH bytes and then stays. `shared_passages` tells the documents that
-share one with another document: strings of words are filed in the same way, and those whose key stands in two texts are
-counted by their hashes of 64 bits.
+A passage of WORDS words may be shorter than LENGTH bytes and then stays. `shared_passages` counts those that a document
+shares with another one: strings of words are filed in the same way, and those whose key stands in two texts are told by
+their hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -474,15 +474,19 @@ def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 
 def shared_passages(owners: DataFrame, counts: DataFrame, words: int) -> DataFrame:
-    """owner of the texts with a string of `words` words that stands in another document too; arguments as for `repeated_windows`."""
+    """owner and n_shared, its different strings of `words` words that stand in another document too, if any; arguments as for `repeated_windows`."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Filer(words, min(ANCHOR, words))
         for batch in batches:
             for i, j in pieces(batch.column(1), 8 << 20):
-                text, key, _ = passages(batch.column(1).slice(i, j - i).to_pylist(), cut)
+                text, key, told = passages(batch.column(1).slice(i, j - i).to_pylist(), cut)
                 run = np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[: len(text)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(text[run], key[run], j - i)], ["owner", "keys"])
+                own = told + text  # equal strings of a text alike, of others apart
+                order = np.argsort(own)
+                new = np.append(True, own[order[1:]] != own[order[:-1]])[: len(own)]
+                strings = pa.array(np.bincount(text[order[new]], minlength=j - i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(text[run], key[run], j - i), strings], ["owner", "keys", "strings"])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Filer(words, min(ANCHOR, words))
@@ -496,12 +500,13 @@ def shared_passages(owners: DataFrame, counts: DataFrame, words: int) -> DataFra
         each = listed.select("owner", F.explode("keys").alias("key"))
         return each.join(each.groupBy("key").count().where("count > 1").select("key"), "key")
 
-    filed = owners.select("owner", "data").mapInArrow(file, "owner binary, keys array<long>").where("size(keys) > 0")
-    filed = written(filed.groupBy("owner").agg(F.first("keys").alias("keys")).join(counts, "owner"), "filed")
+    filed = owners.select("owner", "data").mapInArrow(file, "owner binary, keys array<long>, strings long").where("strings > 0")
+    filed = written(filed.groupBy("owner").agg(F.first("keys").alias("keys"), F.first("strings").alias("strings")).join(counts, "owner"), "filed")
     wanted = twice(filed).groupBy("owner").agg(F.collect_list("key").alias("keys"))
     data = owners.join(wanted, "owner").groupBy("owner").agg(F.first("data").alias("data"), F.first("keys").alias("keys"))
     told = written(data.mapInArrow(tell, "owner binary, keys array<long>"), "told")
-    return written(twice(told).select("owner").unionAll(filed.where("n > 1").select("owner")).distinct(), "shared")
+    shared = twice(told).groupBy("owner").agg(F.count("*").alias("n_shared")).unionAll(filed.where("n > 1").select("owner", "strings"))
+    return written(shared.groupBy("owner").agg(F.max("n_shared").alias("n_shared")), "shared")  # of equal texts all strings are shared
 
 
 def removed(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -516,15 +521,15 @@ def removed(spans: list[dict], length: int) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept, the bytes that stay, and whether another document shares a string of `words` words, of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept, the bytes that stay, and n_shared, its different strings of `words` words that another document has too, of every row."""
     base = prepared(docs, text, key).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")).withColumn("owner", F.unhex(F.md5("data")))
     counts = written(base.groupBy("owner").agg(F.count("*").alias("n")), "counts")
     long = base.where(F.octet_length("data") >= length).select("owner", "data")
     spans = repeated_windows(long, counts, length)
     all_of = F.array(F.struct(F.lit(0).alias("first"), F.lit(-1).alias("after"))).cast(SPANS)  # equal texts go whole
-    shared = shared_passages(base.where(F.octet_length("data") >= 2 * words - 1).select("owner", "data"), counts, words).withColumn("shares", F.lit(True))
-    told = counts.join(spans, "owner", "left").join(shared, "owner", "left").select("owner", F.when(F.col("n") > 1, all_of).otherwise(F.col("spans")).alias("spans"), "shares")
-    rows = base.join(told.where("spans is not null or shares"), "owner", "left").select("doc_id", "data", "spans", F.coalesce("shares", F.lit(False)).alias("shares"))
+    shared = shared_passages(base.where(F.octet_length("data") >= 2 * words - 1).select("owner", "data"), counts, words)
+    told = counts.join(spans, "owner", "left").join(shared, "owner", "left").select("owner", F.when(F.col("n") > 1, all_of).otherwise(F.col("spans")).alias("spans"), "n_shared")
+    rows = base.join(told.where("spans is not null or n_shared > 0"), "owner", "left").select("doc_id", "data", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -542,6 +547,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", k
                         out.append((len(data), len(data) - len(kept), len(cuts), kept))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 cols = [part.column(0), *(pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)), part.column(3)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "shares_passage"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_shared"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, shares_passage boolean")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_shared long")
