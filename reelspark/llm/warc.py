@@ -65,8 +65,10 @@ def write_records(records: DataFrame, date: str = "1970-01-01T00:00:00Z", chunk:
     whole = records.withColumn("http", http).withColumn("front", F.encode(F.concat(head, F.col("http")), "UTF-8"))
     whole = whole.withColumn("n_front", F.expr(f"cast((octet_length(front) - 1) div {CHUNK} as int)"))  # chunks before the one in which the header ends
     whole = whole.withColumn("n_chunks", F.col("n_front") + F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int"))
-    rows = whole.select(F.monotonically_increasing_id().alias("record_no"), "n_chunks", "n_front", "front", F.when(~revisit, F.col("payload")).alias("payload"),
-                        F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
+    # Numbered before they are cut: beside explode() in one select, the number would be that of a chunk.
+    rows = whole.withColumn("record_no", F.monotonically_increasing_id()).select(
+        "record_no", "n_chunks", "n_front", "front", F.when(~revisit, F.col("payload")).alias("payload"),
+        F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
     none = F.encode(F.lit(""), "UTF-8")
     front = F.when(F.col("chunk_no") <= F.col("n_front"), F.expr(f"substring(front, chunk_no * {CHUNK} + 1, {CHUNK})")).otherwise(none)
     part = F.when(F.col("chunk_no") >= F.col("n_front"), F.coalesce(F.expr(f"substring(payload, (chunk_no - n_front) * {chunk} + 1, {chunk})"), none)).otherwise(none)
@@ -128,12 +130,15 @@ class Record:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
-    record, out = None, []
+    record, out, due = None, [], None
     for batch in batches:
         data = batch.column(batch.schema.get_field_index("data"))
-        order = zip(batch.column(batch.schema.get_field_index("chunk_no")).to_pylist(), batch.column(batch.schema.get_field_index("n_chunks")).to_pylist(), strict=True)
-        for i, (no, of) in enumerate(order):
+        order = zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("record_no", "chunk_no", "n_chunks")), strict=True)
+        for i, (of_record, no, of) in enumerate(order):
             chunk = memoryview(data[i].as_buffer())
+            if (due or (of_record, 0)) != (of_record, no):
+                raise ValueError(f"chunk {no} of record {of_record} comes out of turn")
+            due = (of_record, no + 1) if no < of - 1 else None
             if no == 0:
                 record = Record(chunk)
             else:
@@ -143,6 +148,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
             out = []
+    if due:
+        raise ValueError(f"record {due[0]} ends before chunk {due[1]}")
 
 
 def read_records(archive: DataFrame) -> DataFrame:

@@ -54,6 +54,28 @@ def test_long_urls(spark):
     assert stream.count(b"WARC/1.1\r\n") == 5 and stream.count(b"WARC-Target-URI: " + "é".encode() * 200_000 + b"\r\n") == 1
 
 
+def test_long_records_over_many_partitions(spark):
+    rows = [(i, f"http://{i}", chr(97 + i % 26) * (50 * i)) for i in range(60)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would else be read by one task
+    try:
+        chunks = warc.write_records(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")), chunk=100).cache()
+        assert chunks.groupBy("record_no").agg(F.count("*").alias("n"), F.max("n_chunks").alias("of")).where("n = of").count() == 60
+        got = warc.read_records(chunks).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(r["intact"] for r in got)
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == expected(rows)
+
+
+def test_chunks_out_of_turn(spark):
+    pages = spark.createDataFrame([(1, "u", "abcdefgh" * 30)], "page_id long, url string, html string")
+    chunks = warc.write_records(warc.plan_records(pages), chunk=50)
+    with pytest.raises(Exception, match="out of turn"):
+        warc.read_records(chunks.where("chunk_no != 2")).collect()
+    with pytest.raises(Exception, match="ends before chunk 4"):
+        warc.read_records(chunks.where("chunk_no < 4")).collect()
+
+
 def test_damage_is_seen(spark):
     pages = spark.createDataFrame([(1, "u", "abcdefgh" * 30)], "page_id long, url string, html string")
     chunks = warc.write_records(warc.plan_records(pages), chunk=50)
