@@ -71,6 +71,20 @@ def test_gate_stream_equals_replay(spark, tmp_path):
     assert as_dict(live.latest_rows(out, ["session_id", "take_id"], "seq")) == replay(sorted(rows))
 
 
+def test_takes_that_share_a_state_value(spark, tmp_path):
+    """Takes of a session come mixed, some go on in later batches; each key of the state is four of them."""
+    rows = [(s % 3, s // 3, *r[2:]) for s, r in ((2 * r[0] + r[1], r) for r in random_takes(60, seed=5))]
+    rows = sorted(((*r[:2], r[2] * 60 + r[1], *r[3:]) for r in rows), key=lambda r: r[2])
+    batches = [[r for r in rows if lo <= r[2] < hi] for lo, hi in ((0, 200), (200, 500), (500, 2000))]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "rows"))
+        out = live.drain(spark, state.follow_rule(stream, gates.TAKE, state.HeadSilence(), together=4), root=str(tmp_path / "query"))
+    assert as_dict(live.latest_rows(out, gates.TAKE, "seq")) == replay(rows)
+    kept = spark.read.format("statestore").option("stateVarName", "rule").load(str(tmp_path / "query" / "checkpoint"))
+    assert kept.count() == len({(r[0], r[1] // 4) for r in rows}) == 15
+
+
 def streamed(spark, folder, batches, schema, make):
     for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(folder))
