@@ -85,6 +85,16 @@ def test_takes_that_share_a_state_value(spark, tmp_path):
     assert kept.count() == len({(r[0], r[1] // 4) for r in rows}) == 15
 
 
+def test_packed_rows_give_what_plain_ones_give(spark, tmp_path, monkeypatch):
+    """A rule that answers each row; rows of one key come in several packs and batches."""
+    monkeypatch.setattr(state, "PACK", 7)
+    rows = [(i % 2, None if i % 11 == 0 else i % 5, i, i, i + 1, None if i % 13 == 0 else float(i % 3)) for i in range(120)]
+    schema = "session_id long, take_id long, seq long, block_start long, block_end long, peak double"
+    got = [streamed(spark, tmp_path / f"rows{n}", [rows[:50], rows[50:]], schema, lambda s, n=n: state.follow_rule(s, gates.TAKE, state.DigitalSilence(2), n)) for n in (1, 2)]
+    assert got[0].count() == 120 and got[0].schema == got[1].schema
+    assert sorted(map(str, got[0].collect())) == sorted(map(str, got[1].collect()))
+
+
 def streamed(spark, folder, batches, schema, make):
     for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(folder))
