@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from reelspark.catalog import streams
 from reelspark.functions import samples
 from reelspark.operators import gates, telemetry, timeline
 from reelspark.streaming import live, state
@@ -85,6 +86,14 @@ def test_takes_that_share_a_state_value(spark, tmp_path):
     assert kept.count() == len({(r[0], r[1] // 4) for r in rows}) == 15
 
 
+def test_query_keeps_fewer_state_keys_than_takes(spark, monkeypatch):
+    roots, drain = set(), live.drain
+    monkeypatch.setattr(live, "drain", lambda *a, root, **k: roots.add(root) or drain(*a, root=root, **k))
+    takes = streams.x2(spark, "/root/testdata/sf0.01").count()
+    kept = spark.read.format("statestore").option("stateVarName", "rule").load(f"{roots.pop()}/checkpoint").count()
+    assert takes == 600 and kept == 150  # one a session here
+
+
 def test_packed_rows_give_what_plain_ones_give(spark, tmp_path, monkeypatch):
     """A rule that answers each row; rows of one key come in several packs and batches."""
     monkeypatch.setattr(state, "PACK", 7)
